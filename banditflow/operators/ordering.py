@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,3 +95,55 @@ def running_sum(
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_bf_loc_{v}") + F.col(f"_bf_off_{v}"))
     return out.drop("_bf_blk", *[f"_bf_loc_{v}" for v in values], *[f"_bf_off_{v}" for v in values])
+
+
+def _number_per_key(keys: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key = None
+        seen = 0
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            kv = pdf[keys].to_numpy()
+            change = np.ones(n, dtype=bool)
+            change[1:] = (kv[1:] != kv[:-1]).any(axis=1)
+            pos = np.arange(n, dtype=np.int64)
+            local = pos - np.maximum.accumulate(np.where(change, pos, 0))
+            if last_key is not None and tuple(kv[0]) == last_key:
+                local[np.cumsum(change) == 1] += seen
+            seen = int(local[-1]) + 1
+            last_key = tuple(kv[-1])
+            pdf[_LOCAL] = local
+            yield pdf
+
+    return run
+
+
+def key_index(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, name: str = "seq") -> DataFrame:
+    """Add ``name`` = 0-based position of each row inside its key, by ``order``.
+
+    Same result as ``row_number() over (partition by keys order by order) - 1``
+    but a hot key is spread over several range partitions instead of one window
+    task: rows are range-partitioned on (keys, order), numbered per key inside
+    each partition, and offset by the rows of the same key in earlier partitions
+    (a small (partition, key) count table).
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    parted = (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn(_PID, F.spark_partition_id())
+    )
+    parted = materialize(parted)
+    schema = T.StructType(parted.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
+    numbered = parted.mapInPandas(_number_per_key(keys), schema)
+    counts = parted.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_bf_n"))
+    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_PID, *keys, F.coalesce(F.sum("_bf_n").over(w), F.lit(0)).alias("_bf_off"))
+    return (
+        numbered.join(offsets, [_PID, *keys])
+        .withColumn(name, F.col("_bf_off") + F.col(_LOCAL))
+        .drop(_PID, _LOCAL, "_bf_off")
+    )
