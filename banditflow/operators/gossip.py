@@ -35,13 +35,21 @@ def _avg_buf(a, b):
     )
 
 
+def cut_degree(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Degree in the complete graph minus ``cuts``: n - 1 - (cut pairs of the node)."""
+    n = nodes.select(F.count(F.lit(1))).scalar()
+    cd = degree(nodes, cuts)
+    return cd.select("user_id", (n - 1 - F.col("degree")).cast("long").alias("degree"))
+
+
 def share(
     agents: DataFrame,
     theta: DataFrame,
     pairs: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     alpha2: float,
     as_written: bool = False,
+    cuts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """one synchronous sharing step; returns (new agent state, pairs to cut).
 
@@ -51,13 +59,19 @@ def share(
     degrees are equal, (cov, b) are averaged, and the buffers too when equally
     long; otherwise nothing changes.  ``as_written`` takes the partner's local
     model on a reset and cuts every gossiped pair.
+
+    The graph is either an explicit ``edges`` table or, for the comparator whose
+    graph starts complete, the complete graph minus ``cuts``.
     """
     nodes = agents.select("user_id")
-    deg = degree(nodes, edges)
+    deg = degree(nodes, edges) if cuts is None else cut_degree(nodes, cuts)
     cols = ["user_id", "cov", "b", "cov_loc", "b_loc", "t", "buf"]
     me = agents.select(*cols).join(theta.select("user_id", "theta"), "user_id").join(deg, "user_id")
     other = me.select(*[F.col(c).alias(f"p_{c}") for c in me.columns])
-    e = edges.select("src", "dst", F.lit(True).alias("edge"))
+    if cuts is None:
+        e = edges.select("src", "dst", F.lit(True).alias("edge"))
+    else:
+        e = cuts.select("src", "dst", F.lit(False).alias("edge"))
     j = (
         me.join(pairs.select(F.col("src").alias("user_id"), F.col("dst").alias("p_user_id")), "user_id")
         .join(other, "p_user_id")
@@ -67,7 +81,10 @@ def share(
             "left",
         )
     )
-    has_edge = F.coalesce(F.col("edge"), F.lit(False))
+    if cuts is None:
+        has_edge = F.coalesce(F.col("edge"), F.lit(False))
+    else:
+        has_edge = F.coalesce(F.col("edge"), F.col("user_id") != F.col("p_user_id"))
     far = L.l2_distance("theta", "p_theta") >= L.cluster_bound("t", "p_t", alpha2)
     reset = has_edge & far
     avg = has_edge & ~far & (F.col("degree") == F.col("p_degree"))

@@ -109,3 +109,39 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def n_clusters(clusters: DataFrame) -> DataFrame:
     """Number of components."""
     return clusters.agg(F.count_distinct("cluster_id").alias("n_clusters"))
+
+
+def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100) -> DataFrame:
+    """G3 on a complete graph minus a set of cut pairs, without listing its edges.
+
+    Min-label propagation where a node's best neighbour label is the smallest
+    label among all nodes except itself and its cut partners: nodes are ranked
+    by (label, node), and for each node the first rank not taken by its
+    excluded set (the "mex" of their ranks) names that neighbour.  Work per
+    iteration is O(nodes + cuts); no pair of nodes is ever enumerated.
+    """
+    from banditflow.operators.ordering import key_index
+
+    und = cuts.select(F.col("src").alias("v"), F.col("dst").alias("u")).unionAll(
+        cuts.select(F.col("dst").alias("v"), F.col("src").alias("u"))
+    )
+    und = materialize(und.distinct())
+    labels = materialize(nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node")))
+    for _ in range(max_iter):
+        ranked = global_index(labels, ["label", "node"], "pos")
+        excl = labels.select(F.col("node").alias("v"), F.col("node").alias("u")).unionAll(und)
+        excl_pos = excl.join(ranked.select(F.col("node").alias("u"), "pos"), "u").select("v", "pos")
+        seq = key_index(excl_pos, "v", "pos", "i")
+        mex = seq.groupBy("v").agg(
+            F.coalesce(F.min(F.when(F.col("pos") != F.col("i"), F.col("i"))), F.count(F.lit(1))).alias("mex")
+        )
+        best = mex.join(ranked.select(F.col("pos").alias("mex"), F.col("label").alias("nb_label")), "mex", "left")
+        new = labels.join(best, labels["node"] == best["v"], "left").select(
+            "node", F.least(F.col("label"), F.coalesce(F.col("nb_label"), F.col("label"))).alias("label")
+        )
+        new = materialize(new)
+        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).count()
+        labels = new
+        if changed == 0:
+            break
+    return dense_cluster_ids(labels.select(F.col("node").alias("user_id"), "label"))
