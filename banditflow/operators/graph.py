@@ -17,6 +17,11 @@ from banditflow.operators.ordering import global_index
 from banditflow.session import materialize
 
 
+def _label_total(labels: DataFrame):
+    """Scalar convergence test of the label loops (exact decimal sum, no overflow)."""
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
 def _bound_ok(dist, bound, strict: bool):
     return dist < bound if strict else dist <= bound
 
@@ -80,6 +85,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) ->
     und = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     und = materialize(und)
     labels = materialize(nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node")))
+    prev = _label_total(labels)
     for _ in range(max_iter):
         nb = und.join(labels, und["dst"] == labels["node"]).select(und["src"].alias("node"), labels["label"])
         cand = labels.unionAll(nb).groupBy("node").agg(F.min("label").alias("label"))
@@ -87,11 +93,12 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) ->
         jumped = a.join(b, F.col("a.label") == F.col("b.node"), "left").select(
             F.col("a.node").alias("node"), F.least(F.col("a.label"), F.coalesce(F.col("b.label"), F.col("a.label"))).alias("label")
         )
-        new = materialize(jumped)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+        labels = materialize(jumped)
+        # labels only decrease, so an unchanged total means no label changed
+        total = _label_total(labels)
+        if total == prev:
             break
+        prev = total
     return labels.select(F.col("node").alias("user_id"), "label")
 
 
@@ -127,6 +134,7 @@ def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100
     )
     und = materialize(und.distinct())
     labels = materialize(nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node")))
+    prev = _label_total(labels)
     for _ in range(max_iter):
         ranked = global_index(labels, ["label", "node"], "pos")
         excl = labels.select(F.col("node").alias("v"), F.col("node").alias("u")).unionAll(und)
@@ -139,9 +147,9 @@ def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100
         new = labels.join(best, labels["node"] == best["v"], "left").select(
             "node", F.least(F.col("label"), F.coalesce(F.col("nb_label"), F.col("label"))).alias("label")
         )
-        new = materialize(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+        labels = materialize(new)
+        total = _label_total(labels)
+        if total == prev:
             break
+        prev = total
     return dense_cluster_ids(labels.select(F.col("node").alias("user_id"), "label"))

@@ -48,11 +48,11 @@ def global_index(df: DataFrame, order: Sequence[str] | str, name: str = "idx") -
         .sortWithinPartitions(*cols)
         .withColumn(_PID, F.spark_partition_id())
     )
-    # Range bounds are sampled; pin one partitioning before counting it twice.
-    parted = materialize(parted)
     schema = T.StructType(parted.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
-    numbered = parted.mapInPandas(_number_within_partition, schema)
-    counts = parted.groupBy(_PID).agg(F.count(F.lit(1)).alias("_bf_n"))
+    # Number inside each range partition, then pin the result: the range bounds
+    # are sampled, so counts and numbers must come from the same run.
+    numbered = materialize(parted.mapInPandas(_number_within_partition, schema))
+    counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("_bf_n"))
     # One row per partition: a single-task window here is bounded by the partition count.
     offsets = counts.select(
         _PID,
@@ -136,10 +136,9 @@ def key_index(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | s
         .sortWithinPartitions(*keys, *order)
         .withColumn(_PID, F.spark_partition_id())
     )
-    parted = materialize(parted)
     schema = T.StructType(parted.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
-    numbered = parted.mapInPandas(_number_per_key(keys), schema)
-    counts = parted.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_bf_n"))
+    numbered = materialize(parted.mapInPandas(_number_per_key(keys), schema))
+    counts = numbered.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_bf_n"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PID, *keys, F.coalesce(F.sum("_bf_n").over(w), F.lit(0)).alias("_bf_off"))
     return (

@@ -71,11 +71,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss).
+    """Cut lineage: write the table under the checkpoint directory and read it back.
 
-    Used between the blocks of the iterative replays and the connected
+    Used between the blocks of the iterative replays, in the connected
     components loop, and for fold outputs that are read twice (decisions and
-    state come out of one fold run).
+    state come out of one fold run).  A written Parquet table survives executor
+    loss like a reliable checkpoint, and -- unlike ``Dataset.checkpoint``, which
+    carries the source plan's size estimate along -- the re-read plan is sized
+    by its files, so size estimates do not compound over iterations.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
