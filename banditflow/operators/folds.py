@@ -84,13 +84,21 @@ class FoldKernel:
     def state_from_rows(self, batch: pa.RecordBatch, rows: np.ndarray, st: dict, dest: np.ndarray) -> None:
         """Fill st[*][dest] from the state rows ``rows`` of ``batch``."""
         for name, shape in {**self.state_shapes, **self.static_shapes}.items():
+            if name not in batch.schema.names:
+                continue
             col = batch.column(name).take(pa.array(rows))
+            valid = ~np.asarray(col.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+            if not valid.any():
+                continue  # NULL state fields keep their defaults
+            col = col.filter(pa.array(valid))
+            target = dest[valid]
             if shape == ():
                 vals = _np(col)
-                st[name][dest] = np.where(np.isnan(vals.astype(np.float64)), st[name][dest], vals) if vals.dtype.kind == "f" else vals
+                if vals.dtype.kind == "f":
+                    vals = np.where(np.isnan(vals), st[name][target], vals)
+                st[name][target] = vals
             else:
-                width = int(np.prod(shape))
-                st[name][dest] = _flat_values(col, 1).reshape((len(rows),) + shape) if width else st[name][dest]
+                st[name][target] = _flat_values(col, 1).reshape((len(target),) + shape)
 
     def state_columns(self, st: dict, idx: np.ndarray) -> dict[str, pa.Array]:
         out = {}
