@@ -312,6 +312,158 @@ sj AS (
 )"""
 
 
+# ------------------------------------------------------------------ shared fold pieces
+def _scores(ai: str, bb: str, t: str, arms: str) -> str:
+    """UCB of the K arms from an inverse ``ai``, vector ``bb`` and count ``t`` (same order as F1)."""
+    d = D
+    theta = [_fold([f"({_m(ai, i, j)} * {_v(bb, j)})" for j in range(d)]) for i in range(d)]
+    out = []
+    for a in range(K):
+        x = f"{arms}[{a + 1}]"
+        mean = _fold([f"({x}[{i + 1}] * {theta[i]})" for i in range(d)])
+        quad = _fold([f"({x}[{i + 1}] * {_fold([f'({_m(ai, i, j)} * {x}[{j + 1}])' for j in range(d)])})" for i in range(d)])
+        beta = f"sqrt({d}.0 * ln(1.0 + ({t})::DOUBLE) * sqrt(({t})::DOUBLE) + 1.0)"
+        out.append(f"({mean} + sqrt(({t})::DOUBLE) * {ALPHA} * sqrt({beta} * {quad}))")
+    return "[" + ", ".join(out) + "]"
+
+
+def _sm(ai: str, x: str) -> str:
+    """Sherman-Morrison: (A + x x^T)^-1 from A^-1 (symmetric)."""
+    d = D
+    u = [_fold([f"({_m(ai, i, j)} * {x}[{j + 1}])" for j in range(d)]) for i in range(d)]
+    den = "(1.0 + " + _fold([f"({x}[{i + 1}] * {u[i]})" for i in range(d)]) + ")"
+    return "[" + ", ".join(f"({_m(ai, i, j)} - ({u[i]}) * ({u[j]}) / {den})" for i in range(d) for j in range(d)) + "]"
+
+
+def _inv4(a: str) -> list[str]:
+    """Row-major inverse of a 4 x 4 ``a`` by cofactors."""
+    d = 4
+
+    def cof(i, j):
+        rows = [r for r in range(d) if r != i]
+        cols = [c for c in range(d) if c != j]
+        minor = [[_m(a, r, c, d) for c in cols] for r in rows]
+        sign = "" if (i + j) % 2 == 0 else "-"
+        return f"({sign}{_det3(minor)})"
+
+    det = "(" + " + ".join(f"({_m(a, 0, j, d)} * {cof(0, j)})" for j in range(d)) + ")"
+    return [f"({cof(j, i)} / {det})" for i in range(d) for j in range(d)]
+
+
+def _agent_cte() -> str:
+    """F5 with persisted t and an empty start buffer; buffered blocks kept as (x, r)."""
+    d = D
+    blk = "STRUCT(x DOUBLE[], r DOUBLE)"
+    return f"""
+seqd5 AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq FROM bandit_log
+),
+agent(user_id, seq, round_id, choice, reward, ai, bb, t, buf) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, {_identity()}, {_zeros()}, 0::BIGINT, []::{blk}[]
+  FROM all_users
+  UNION ALL
+  SELECT y.user_id, y.seq, y.round_id, y.choice, y.rw,
+         CASE WHEN y.pop THEN {_sm("y.ai", "y.nbuf[1].x")} ELSE y.ai END,
+         CASE WHEN y.pop THEN list_transform(list_zip(y.bb, y.nbuf[1].x), lambda q: q[1] + y.nbuf[1].r * q[2]) ELSE y.bb END,
+         y.t + 1,
+         CASE WHEN y.pop THEN y.nbuf[2:] ELSE y.nbuf END
+  FROM (
+    SELECT w.*, list_append(w.buf, {{'x': w.x, 'r': w.rw}}::{blk}) AS nbuf,
+           (len(w.buf) + 1) * {d} > 4.0 * ln(greatest(w.t::DOUBLE, 1.0)) AS pop
+    FROM (
+      SELECT p.*, p.arms[p.choice + 1] AS x, p.rewards[p.choice + 1] AS rw
+      FROM (
+        SELECT c.*, CAST(list_position(c.sc, list_max(c.sc)) - 1 AS INTEGER) AS choice
+        FROM (
+          SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.bb, r.t, r.buf,
+                 {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+          FROM agent r JOIN seqd5 s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+        ) c
+      ) p
+    ) w
+  ) y
+)"""
+
+
+def _cluster_policy_ctes() -> str:
+    """One two-stage iteration over the whole log: F1 on the first half, graph, roll-up, F2 on the rest."""
+    d = D
+    ident = [1.0 if i % (d + 1) == 0 else 0.0 for i in range(d * d)]
+    half = "(SELECT n FROM n_rounds) // 2"
+    theta = "[" + ", ".join(_fold([f"({_m('ai', i, j)} * {_v('bb', j)})" for j in range(d)]) for i in range(d)) + "]"
+    return f"""
+seq1 AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
+  FROM bandit_log WHERE round_id < {half}
+),
+p1(user_id, seq, ai, aa, bb, t) AS (
+  SELECT user_id, 0::BIGINT, {_identity()}, {_identity()}, {_zeros()}, 0::BIGINT FROM all_users
+  UNION ALL
+  SELECT q.user_id, q.seq, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.aa, {_outer("q.x")}), lambda v: v[1] + v[2]),
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1
+  FROM (
+    SELECT c.*, c.arms[CAST(list_position(c.sc, list_max(c.sc)) - 1 AS INTEGER) + 1] AS x,
+           c.rewards[CAST(list_position(c.sc, list_max(c.sc)) - 1 AS INTEGER) + 1] AS rw
+    FROM (
+      SELECT r.user_id, s.seq, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t, {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+      FROM p1 r JOIN seq1 s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+    ) c
+  ) q
+),
+st1 AS (SELECT user_id, ai, aa, bb, t FROM p1 WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM p1 GROUP BY user_id)),
+th1 AS (SELECT user_id, {theta} AS theta, t FROM st1),
+e1 AS (
+  SELECT a.user_id AS src, b.user_id AS dst FROM th1 a JOIN th1 b ON a.user_id < b.user_id
+  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}
+),
+u1 AS (SELECT src AS a, dst AS b FROM e1 UNION ALL SELECT dst AS a, src AS b FROM e1),
+reach1(node, lbl) AS (
+  SELECT user_id, user_id FROM all_users
+  UNION
+  SELECT r.node, u.b FROM reach1 r JOIN u1 u ON r.lbl = u.a
+),
+cl1 AS (SELECT node AS user_id, min(lbl) AS cluster_id FROM reach1 GROUP BY node),
+roll1 AS (
+  SELECT c.cluster_id,
+         [{", ".join(f"(sum(s.aa[{i + 1}] - {ident[i]}) + {ident[i]})" for i in range(d * d))}] AS ca,
+         [{", ".join(f"sum(s.bb[{i + 1}])" for i in range(d))}] AS cb,
+         sum(s.t) / count(*) AS ct
+  FROM st1 s JOIN cl1 c USING (user_id) GROUP BY c.cluster_id
+),
+cst AS (
+  SELECT s.user_id, s.ai, s.bb, s.t, [{", ".join(_inv4("r.ca"))}] AS cai, r.cb AS cbb, r.ct
+  FROM st1 s JOIN cl1 c USING (user_id) JOIN roll1 r USING (cluster_id)
+),
+seq2 AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
+  FROM bandit_log WHERE round_id >= {half}
+),
+p2(user_id, seq, round_id, choice, reward, used, ai, bb, t, cai, cbb, ct) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, NULL::BOOLEAN, ai, bb, t, cai, cbb, ct FROM cst
+  UNION ALL
+  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, q.used, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1, q.cai, q.cbb, q.ct
+  FROM (
+    SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
+    FROM (
+      SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
+      FROM (
+        SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.bb, r.t, r.cai, r.cbb, r.ct,
+               NOT (r.t::DOUBLE > r.ct) AS used,
+               CASE WHEN r.t::DOUBLE > r.ct THEN {_scores("r.ai", "r.bb", "r.t", "s.arms")}
+                    ELSE {_scores("r.cai", "r.cbb", "r.t", "s.arms")} END AS sc
+        FROM p2 r JOIN seq2 s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+      ) g
+    ) c
+  ) q
+)"""
+
+
+def _outer(x: str) -> str:
+    return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
+
+
 def _build() -> dict[str, str]:
     d, k = D, K
     o: dict[str, str] = {}
@@ -485,6 +637,10 @@ def _build() -> dict[str, str]:
         "has_edge AND far AS reset, has_edge AND NOT far AND same_deg AS averaged FROM sj",
         _static_agents(),
     )
+    o["agent_policy"] = _with("SELECT round_id, user_id, choice, reward FROM agent WHERE seq > 0", _agent_cte())
+    o["cluster_policy"] = _with(
+        "SELECT round_id, user_id, choice, reward, used AS cluster_used FROM p2 WHERE seq > 0", _cluster_policy_ctes()
+    )
     return o
 
 

@@ -394,7 +394,9 @@ def _cfg_two_stage():
 def q_cluster_policy(spark, sf):
     from banditflow.plans.two_stage import two_stage_replay
 
-    r = two_stage_replay(_log(spark, sf), _cfg_two_stage().with_(iteration_length=10**12), K, D)
+    log = _log(spark, sf)
+    n = log.count()  # one iteration over the whole log: first half per user, second half clustered
+    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=n), K, D, n_rounds=n)
     return r.decisions.where(F.col("stage") == "cluster").select("round_id", "user_id", "choice", "reward", "cluster_used")
 
 
