@@ -387,6 +387,11 @@ agent(user_id, seq, round_id, choice, reward, ai, bb, t, buf) AS (
 
 def _cluster_policy_ctes() -> str:
     """One two-stage iteration over the whole log: F1 on the first half, graph, roll-up, F2 on the rest."""
+    return _stage_one("bandit_log", "sum(s.t) / count(*)") + "," + _cluster_stage_two()
+
+
+def _stage_one(src: str, ct_expr: str) -> str:
+    """F1 over the first half of ``src``, user vectors, graph at alpha2, components, roll-up (ct_expr)."""
     d = D
     ident = [1.0 if i % (d + 1) == 0 else 0.0 for i in range(d * d)]
     half = "(SELECT n FROM n_rounds) // 2"
@@ -394,7 +399,7 @@ def _cluster_policy_ctes() -> str:
     return f"""
 seq1 AS (
   SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
-  FROM bandit_log WHERE round_id < {half}
+  FROM {src} WHERE round_id < {half}
 ),
 p1(user_id, seq, ai, aa, bb, t) AS (
   SELECT user_id, 0::BIGINT, {_identity()}, {_identity()}, {_zeros()}, 0::BIGINT FROM all_users
@@ -428,9 +433,14 @@ roll1 AS (
   SELECT c.cluster_id,
          [{", ".join(f"(sum(s.aa[{i + 1}] - {ident[i]}) + {ident[i]})" for i in range(d * d))}] AS ca,
          [{", ".join(f"sum(s.bb[{i + 1}])" for i in range(d))}] AS cb,
-         sum(s.t) / count(*) AS ct
+         {ct_expr} AS ct
   FROM st1 s JOIN cl1 c USING (user_id) GROUP BY c.cluster_id
-),
+)"""
+
+
+def _cluster_stage_two() -> str:
+    half = "(SELECT n FROM n_rounds) // 2"
+    return f"""
 cst AS (
   SELECT s.user_id, s.ai, s.bb, s.t, [{", ".join(_inv4("r.ca"))}] AS cai, r.cb AS cbb, r.ct
   FROM st1 s JOIN cl1 c USING (user_id) JOIN roll1 r USING (cluster_id)
@@ -460,6 +470,40 @@ p2(user_id, seq, round_id, choice, reward, used, ai, bb, t, cai, cbb, ct) AS (
 )"""
 
 
+def _lazy_ctes(chunk: int) -> str:
+    """Lazy replay with one block: F1 warm-up on the first half (replay order), then F3 per (cluster, chunk)."""
+    half = "(SELECT n FROM n_rounds) // 2"
+    return f"""
+rlog AS (
+  SELECT o.pos AS round_id, l.user_id, l.arms, l.rewards FROM replay_order o JOIN bandit_log l ON l.round_id = o.row_id - 1
+),""" + _stage_one("rlog", "CAST(sum(s.t) AS DOUBLE)") + f""",
+blk AS (
+  SELECT r.round_id, r.user_id, r.arms, r.rewards, c.cluster_id,
+         (row_number() OVER (PARTITION BY c.cluster_id ORDER BY r.round_id) - 1) // {chunk} AS chunk
+  FROM rlog r JOIN cl1 c USING (user_id) WHERE r.round_id >= {half}
+),
+bseq AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, chunk ORDER BY round_id) AS seq FROM blk),
+p3(cluster_id, chunk, seq, round_id, user_id, choice, reward, ai, bb, t) AS (
+  SELECT k.cluster_id, k.chunk, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE,
+         [{", ".join(_inv4("r.ca"))}], r.cb, CAST(r.ct AS BIGINT)
+  FROM (SELECT DISTINCT cluster_id, chunk FROM blk) k JOIN roll1 r USING (cluster_id)
+  UNION ALL
+  SELECT q.cluster_id, q.chunk, q.seq, q.round_id, q.user_id, q.choice, q.rw, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1
+  FROM (
+    SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
+    FROM (
+      SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
+      FROM (
+        SELECT r.cluster_id, r.chunk, s.seq, s.round_id, s.user_id, s.arms, s.rewards, r.ai, r.bb, r.t,
+               {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+        FROM p3 r JOIN bseq s ON s.cluster_id = r.cluster_id AND s.chunk = r.chunk AND s.seq = r.seq + 1
+      ) g
+    ) c
+  ) q
+)"""
+
+
 def _outer(x: str) -> str:
     return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
 
@@ -641,6 +685,8 @@ def _build() -> dict[str, str]:
     o["cluster_policy"] = _with(
         "SELECT round_id, user_id, choice, reward, used AS cluster_used FROM p2 WHERE seq > 0", _cluster_policy_ctes()
     )
+    o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
+    o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o
 
 

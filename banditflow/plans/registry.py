@@ -416,10 +416,13 @@ def q_lazy_replay(spark, sf):
 
 
 def q_lazy_cluster_policy(spark, sf):
+    """Lazy replay with one cluster block: warm-up = first half (replay order), F3 chunks of 200 on the rest."""
     from banditflow.plans.lazy import lazy_replay
 
-    cfg = ReplayConfig(warmup_rounds=2000, block_length=2000, chunk_limit=200)
-    r = lazy_replay(_log(spark, sf), fx.replay_order(spark, sf), cfg, K, D)
+    log = _log(spark, sf)
+    half = log.count() // 2
+    cfg = ReplayConfig(warmup_rounds=half, block_length=10**18, chunk_limit=200)
+    r = lazy_replay(log, fx.replay_order(spark, sf), cfg, K, D)
     return r.decisions.where(F.col("stage") == "cluster").select("round_id", "user_id", "choice", "reward")
 
 
