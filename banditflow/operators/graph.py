@@ -37,7 +37,8 @@ def similar_users(theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, s
     dist < cb instead of <= (the comparator's rule).
     """
     g = max(1, min(grid_dims, d))
-    base = theta.select("user_id", "theta", "t")
+    # read three times (both join sides and the cell width): write it once
+    base = materialize(theta.select("user_id", "theta", "t"))
     t_min = base.select(F.min("t")).scalar()
     width = F.lit(2.0 * alpha2) * L.confidence_radius(t_min)
     cells = [F.floor(F.element_at("theta", i + 1) / width).cast("long") for i in range(g)]

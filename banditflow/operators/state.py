@@ -78,6 +78,17 @@ def moment(df: DataFrame, key: str | Sequence[str], x: str, r: str, d: int) -> D
     return out.select(*keys, F.array(*[F.col(f"_b{i}") for i in range(d)]).alias("b"), "t")
 
 
+def gram_moment(df: DataFrame, key: str | Sequence[str], x: str, r: str, d: int) -> DataFrame:
+    """A5-A7 in one aggregation pass: A = I + sum x x^T, b = sum r x, t = count."""
+    keys = _keys(key)
+    if d * d > _GENERATED_MAX:
+        return gram(df, keys, x, d).join(moment(df, keys, x, r, d), keys)
+    out = deltas(df.withColumnRenamed(x, "x").withColumnRenamed(r, "reward") if (x, r) != ("x", "reward") else df, keys, d)
+    diag = {i * d + i for i in range(d)}
+    a = F.array(*[F.element_at("dA", i + 1) + F.lit(1.0) if i in diag else F.element_at("dA", i + 1) for i in range(d * d)])
+    return out.select(*keys, a.alias("A"), F.col("db").alias("b"), F.col("dt").alias("t"))
+
+
 def deltas(decisions: DataFrame, key: str | Sequence[str], d: int) -> DataFrame:
     """A10: per-key sums of the emitted updates: dA = sum x x^T, db = sum r x, dt = count."""
     keys = _keys(key)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from banditflow.config import ReplayConfig
 from banditflow.functions import linalg as L
@@ -107,8 +106,8 @@ def static_agents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = fx.D
     a0 = log.select("user_id", F.element_at("arms", 1).alias("x"), F.element_at("rewards", 1).alias("r"))
     a1 = log.select("user_id", F.element_at("arms", 2).alias("x"), F.element_at("rewards", 2).alias("r"))
-    s0 = S.gram(a0, "user_id", "x", d).join(S.moment(a0, "user_id", "x", "r", d), "user_id")
-    s1 = S.gram(a1, "user_id", "x", d).join(S.moment(a1, "user_id", "x", "r", d), "user_id")
+    s0 = S.gram_moment(a0, "user_id", "x", "r", d)
+    s1 = S.gram_moment(a1, "user_id", "x", "r", d)
     j = s0.join(s1.select("user_id", F.col("A").alias("cov_loc"), F.col("b").alias("b_loc")), "user_id")
     blk_loc = F.struct(F.col("cov_loc").alias("A"), F.col("b_loc").alias("b"))
     blk_dec = F.struct(F.col("A").alias("A"), F.col("b").alias("b"))

@@ -71,7 +71,7 @@ def arm0_state(log: DataFrame) -> DataFrame:
 
 def arm_state(log: DataFrame, arm: int) -> DataFrame:
     x = log.select("user_id", F.element_at("arms", arm + 1).alias("x"), F.element_at("rewards", arm + 1).alias("r"))
-    return S.gram(x, "user_id", "x", D).join(S.moment(x, "user_id", "x", "r", D), "user_id")
+    return S.gram_moment(x, "user_id", "x", "r", D)
 
 
 def ridge_vec(spark, sf, arm: int = 0) -> DataFrame:
