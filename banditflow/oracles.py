@@ -504,6 +504,112 @@ p3(cluster_id, chunk, seq, round_id, user_id, choice, reward, ai, bb, t) AS (
 )"""
 
 
+def _user_stage(i: int, prev: str, lo: str, hi: str) -> str:
+    """F1 over rounds [lo, hi) starting from state table ``prev`` (user_id, ai, aa, bb, t)."""
+    return f"""
+us{i} AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
+  FROM bandit_log WHERE round_id >= {lo} AND round_id < {hi}
+),
+pu{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, ai, aa, bb, t FROM {prev}
+  UNION ALL
+  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.aa, {_outer("q.x")}), lambda v: v[1] + v[2]),
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1
+  FROM (
+    SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
+    FROM (
+      SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
+      FROM (
+        SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t,
+               {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+        FROM pu{i} r JOIN us{i} s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+      ) g
+    ) c
+  ) q
+),
+su{i} AS (SELECT user_id, ai, aa, bb, t FROM pu{i} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM pu{i} GROUP BY user_id))"""
+
+
+def _graph_stage(i: int) -> str:
+    """theta, edges (J8 the first time, J9 after), components, members-mean roll-up, F2 inputs."""
+    d = D
+    ident = [1.0 if j % (d + 1) == 0 else 0.0 for j in range(d * d)]
+    theta = "[" + ", ".join(_fold([f"({_m('ai', a, b)} * {_v('bb', b)})" for b in range(d)]) for a in range(d)) + "]"
+    if i == 0:
+        edges = f"""SELECT a.user_id AS src, b.user_id AS dst FROM th{i} a JOIN th{i} b ON a.user_id < b.user_id
+  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+    else:
+        edges = f"""SELECT e.src, e.dst FROM ed{i - 1} e JOIN th{i} a ON a.user_id = e.src JOIN th{i} b ON b.user_id = e.dst
+  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+    return f"""
+th{i} AS (SELECT user_id, {theta} AS theta, t FROM su{i}),
+ed{i} AS ({edges}),
+un{i} AS (SELECT src AS a, dst AS b FROM ed{i} UNION ALL SELECT dst AS a, src AS b FROM ed{i}),
+rc{i}(node, lbl) AS (
+  SELECT user_id, user_id FROM all_users
+  UNION
+  SELECT r.node, u.b FROM rc{i} r JOIN un{i} u ON r.lbl = u.a
+),
+cl{i} AS (SELECT node AS user_id, min(lbl) AS cluster_id FROM rc{i} GROUP BY node),
+ro{i} AS (
+  SELECT c.cluster_id,
+         [{", ".join(f"(sum(s.aa[{j + 1}] - {ident[j]}) + {ident[j]})" for j in range(d * d))}] AS ca,
+         [{", ".join(f"sum(s.bb[{j + 1}])" for j in range(d))}] AS cb,
+         sum(s.t) / count(*) AS ct
+  FROM su{i} s JOIN cl{i} c USING (user_id) GROUP BY c.cluster_id
+),
+ci{i} AS (
+  SELECT s.user_id, s.ai, s.aa, s.bb, s.t, [{", ".join(_inv4("r.ca"))}] AS cai, r.cb AS cbb, r.ct
+  FROM su{i} s JOIN cl{i} c USING (user_id) JOIN ro{i} r USING (cluster_id)
+)"""
+
+
+def _cluster_stage(i: int, lo: str, hi: str) -> str:
+    """F2 over rounds [lo, hi) from ci{i}; the user's state keeps updating."""
+    return f"""
+cs{i} AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
+  FROM bandit_log WHERE round_id >= {lo} AND round_id < {hi}
+),
+pc{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t, cai, cbb, ct) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, ai, aa, bb, t, cai, cbb, ct FROM ci{i}
+  UNION ALL
+  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.aa, {_outer("q.x")}), lambda v: v[1] + v[2]),
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1, q.cai, q.cbb, q.ct
+  FROM (
+    SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
+    FROM (
+      SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
+      FROM (
+        SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t, r.cai, r.cbb, r.ct,
+               CASE WHEN r.t::DOUBLE > r.ct THEN {_scores("r.ai", "r.bb", "r.t", "s.arms")}
+                    ELSE {_scores("r.cai", "r.cbb", "r.t", "s.arms")} END AS sc
+        FROM pc{i} r JOIN cs{i} s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+      ) g
+    ) c
+  ) q
+),
+sc{i} AS (SELECT user_id, ai, aa, bb, t FROM pc{i} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM pc{i} GROUP BY user_id))"""
+
+
+def _two_stage_ctes() -> str:
+    """R1 with two iterations of L = ceil(N / 2) rounds, control 0.5, members mean."""
+    L = "((SELECT n FROM n_rounds) + 1) // 2"
+    N = "(SELECT n FROM n_rounds)"
+    parts = [f"s_init AS (SELECT user_id, {_identity()} AS ai, {_identity()} AS aa, {_zeros()} AS bb, 0::BIGINT AS t FROM all_users)"]
+    prev = "s_init"
+    for i in range(2):
+        lo, mid, hi = f"({i} * {L})", f"({i} * {L} + {L} // 2)", f"least(({i} + 1) * {L}, {N})"
+        parts.append(_user_stage(i, prev, lo, mid))
+        parts.append(_graph_stage(i))
+        parts.append(_cluster_stage(i, mid, hi))
+        prev = f"sc{i}"
+    return ",".join(parts)
+
+
 def _outer(x: str) -> str:
     return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
 
@@ -685,6 +791,13 @@ def _build() -> dict[str, str]:
     o["cluster_policy"] = _with(
         "SELECT round_id, user_id, choice, reward, used AS cluster_used FROM p2 WHERE seq > 0", _cluster_policy_ctes()
     )
+    o["two_stage_replay"] = _with(
+        " UNION ALL ".join(
+            f"SELECT round_id, user_id, {i} AS block, '{st}' AS stage, choice, reward FROM {t}{i} WHERE seq > 0"
+            for i in range(2) for t, st in (("pu", "user"), ("pc", "cluster"))
+        ),
+        _two_stage_ctes(),
+    )
     o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
     o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o

@@ -403,7 +403,9 @@ def q_cluster_policy(spark, sf):
 def q_two_stage_replay(spark, sf):
     from banditflow.plans.two_stage import two_stage_replay
 
-    r = two_stage_replay(_log(spark, sf), _cfg_two_stage(), K, D)
+    log = _log(spark, sf)
+    n = log.count()  # two iterations of ceil(N / 2) rounds, whatever the table size
+    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=(n + 1) // 2), K, D, n_rounds=n)
     return r.decisions.select("round_id", "user_id", "block", "stage", "choice", "reward")
 
 
