@@ -504,12 +504,12 @@ p3(cluster_id, chunk, seq, round_id, user_id, choice, reward, ai, bb, t) AS (
 )"""
 
 
-def _user_stage(i: int, prev: str, lo: str, hi: str) -> str:
-    """F1 over rounds [lo, hi) starting from state table ``prev`` (user_id, ai, aa, bb, t)."""
+def _user_stage(i: int, prev: str, lo: str, hi: str, src: str = "bandit_log") -> str:
+    """F1 over rounds [lo, hi) of ``src`` starting from state table ``prev`` (user_id, ai, aa, bb, t)."""
     return f"""
 us{i} AS (
   SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
-  FROM bandit_log WHERE round_id >= {lo} AND round_id < {hi}
+  FROM {src} WHERE round_id >= {lo} AND round_id < {hi}
 ),
 pu{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
   SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, ai, aa, bb, t FROM {prev}
@@ -610,6 +610,100 @@ def _two_stage_ctes() -> str:
     return ",".join(parts)
 
 
+def _lazy_graph(j: int, state: str, prev_edges: str | None) -> str:
+    """theta from (aa, bb), J8 or J9, components, roll-up with the cluster's total t."""
+    d = D
+    ident = [1.0 if k % (d + 1) == 0 else 0.0 for k in range(d * d)]
+    if prev_edges is None:
+        edges = f"""SELECT a.user_id AS src, b.user_id AS dst FROM lth{j} a JOIN lth{j} b ON a.user_id < b.user_id
+  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+    else:
+        edges = f"""SELECT e.src, e.dst FROM {prev_edges} e JOIN lth{j} a ON a.user_id = e.src JOIN lth{j} b ON b.user_id = e.dst
+  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+    return f"""
+lth{j} AS (SELECT user_id, [{", ".join(_solve4("aa", "bb"))}] AS theta, t FROM {state}),
+led{j} AS ({edges}),
+lun{j} AS (SELECT src AS a, dst AS b FROM led{j} UNION ALL SELECT dst AS a, src AS b FROM led{j}),
+lrc{j}(node, lbl) AS (
+  SELECT user_id, user_id FROM all_users
+  UNION
+  SELECT r.node, u.b FROM lrc{j} r JOIN lun{j} u ON r.lbl = u.a
+),
+lcl{j} AS (SELECT node AS user_id, min(lbl) AS cluster_id FROM lrc{j} GROUP BY node),
+lro{j} AS (
+  SELECT c.cluster_id,
+         [{", ".join(f"(sum(s.aa[{k + 1}] - {ident[k]}) + {ident[k]})" for k in range(d * d))}] AS ca,
+         [{", ".join(f"sum(s.bb[{k + 1}])" for k in range(d))}] AS cb,
+         CAST(sum(s.t) AS BIGINT) AS ct
+  FROM {state} s JOIN lcl{j} c USING (user_id) GROUP BY c.cluster_id
+)"""
+
+
+def _lazy_block(j: int, lo: str, hi: str, chunk: int, state: str) -> str:
+    """F3 over rlog rounds [lo, hi) per (cluster, chunk); deltas summed per user and merged into ``state``."""
+    d = D
+    return f"""
+bk{j} AS (
+  SELECT r.round_id, r.user_id, r.arms, r.rewards, c.cluster_id,
+         (row_number() OVER (PARTITION BY c.cluster_id ORDER BY r.round_id) - 1) // {chunk} AS chunk
+  FROM rlog r JOIN lcl{j} c USING (user_id) WHERE r.round_id >= {lo} AND r.round_id < {hi}
+),
+bq{j} AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, chunk ORDER BY round_id) AS seq FROM bk{j}),
+f3{j}(cluster_id, chunk, seq, round_id, user_id, choice, reward, x, ai, bb, t) AS (
+  SELECT k.cluster_id, k.chunk, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE[],
+         [{", ".join(_inv4("r.ca"))}], r.cb, r.ct
+  FROM (SELECT DISTINCT cluster_id, chunk FROM bk{j}) k JOIN lro{j} r USING (cluster_id)
+  UNION ALL
+  SELECT q.cluster_id, q.chunk, q.seq, q.round_id, q.user_id, q.choice, q.rw, q.x, {_sm("q.ai", "q.x")},
+         list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1
+  FROM (
+    SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
+    FROM (
+      SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
+      FROM (
+        SELECT r.cluster_id, r.chunk, s.seq, s.round_id, s.user_id, s.arms, s.rewards, r.ai, r.bb, r.t,
+               {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+        FROM f3{j} r JOIN bq{j} s ON s.cluster_id = r.cluster_id AND s.chunk = r.chunk AND s.seq = r.seq + 1
+      ) g
+    ) c
+  ) q
+),
+dl{j} AS (
+  SELECT user_id,
+         [{", ".join(f"sum(x[{min(a, b) + 1}] * x[{max(a, b) + 1}])" for a in range(d) for b in range(d))}] AS da,
+         [{", ".join(f"sum(reward * x[{a + 1}])" for a in range(d))}] AS db,
+         count(*) AS dt
+  FROM f3{j} WHERE seq > 0 GROUP BY user_id
+),
+ms{j} AS (
+  SELECT s.user_id,
+         CASE WHEN q.da IS NULL THEN s.aa ELSE list_transform(list_zip(s.aa, q.da), lambda v: v[1] + v[2]) END AS aa,
+         CASE WHEN q.db IS NULL THEN s.bb ELSE list_transform(list_zip(s.bb, q.db), lambda v: v[1] + v[2]) END AS bb,
+         s.t + coalesce(q.dt, 0) AS t
+  FROM {state} s LEFT JOIN dl{j} q USING (user_id)
+)"""
+
+
+def _lazy_replay_ctes(chunk: int = 200) -> str:
+    """R2: warm-up W = N // 3 rounds per user, then two blocks of (N - W + 1) // 2 rounds (replay order)."""
+    N = "(SELECT n FROM n_rounds)"
+    W = f"({N} // 3)"
+    B = f"(({N} - {W} + 1) // 2)"
+    parts = [
+        """
+rlog AS (
+  SELECT o.pos AS round_id, l.user_id, l.arms, l.rewards FROM replay_order o JOIN bandit_log l ON l.round_id = o.row_id - 1
+)""",
+        f"s_init AS (SELECT user_id, {_identity()} AS ai, {_identity()} AS aa, {_zeros()} AS bb, 0::BIGINT AS t FROM all_users)",
+        _user_stage(9, "s_init", "0", W, src="rlog"),
+        _lazy_graph(0, "su9", None),
+        _lazy_block(0, W, f"({W} + {B})", chunk, "su9"),
+        _lazy_graph(1, "ms0", "led0"),
+        _lazy_block(1, f"({W} + {B})", N, chunk, "ms0"),
+    ]
+    return ",".join(parts)
+
+
 def _outer(x: str) -> str:
     return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
 
@@ -798,6 +892,12 @@ def _build() -> dict[str, str]:
         ),
         _two_stage_ctes(),
     )
+    o["lazy_replay"] = _with(
+        "SELECT round_id, user_id, 0 AS block, 'user' AS stage, choice, reward FROM pu9 WHERE seq > 0 UNION ALL "
+        "SELECT round_id, user_id, 1 AS block, 'cluster' AS stage, choice, reward FROM f30 WHERE seq > 0 UNION ALL "
+        "SELECT round_id, user_id, 2 AS block, 'cluster' AS stage, choice, reward FROM f31 WHERE seq > 0",
+        _lazy_replay_ctes(200),
+    )
     o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
     o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o

@@ -412,8 +412,11 @@ def q_two_stage_replay(spark, sf):
 def q_lazy_replay(spark, sf):
     from banditflow.plans.lazy import lazy_replay
 
-    cfg = ReplayConfig(warmup_rounds=2000, block_length=2000, chunk_limit=200)
-    r = lazy_replay(_log(spark, sf), fx.replay_order(spark, sf), cfg, K, D)
+    log = _log(spark, sf)
+    n = log.count()  # warm-up of N // 3 rounds, then two blocks, whatever the table size
+    w = n // 3
+    cfg = ReplayConfig(warmup_rounds=w, block_length=(n - w + 1) // 2, chunk_limit=200)
+    r = lazy_replay(log, fx.replay_order(spark, sf), cfg, K, D)
     return r.decisions.select("round_id", "user_id", "block", "stage", "choice", "reward")
 
 
