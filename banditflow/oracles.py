@@ -704,6 +704,87 @@ rlog AS (
     return ",".join(parts)
 
 
+_BLK = "STRUCT(A DOUBLE[], b DOUBLE[])"
+
+
+def _agent_block(j: int, prev: str, lo: str, hi: str) -> str:
+    """F5 over rlog rounds [lo, hi) from agent table ``prev`` (user_id, cov, b, cl, bl, t, buf); general inverse per round."""
+    d = D
+    return f"""
+ga{j} AS (
+  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
+  FROM rlog WHERE round_id >= {lo} AND round_id < {hi}
+),
+gp{j}(user_id, seq, round_id, choice, reward, cov, b, cl, bl, t, buf) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, cov, b, cl, bl, t, buf FROM {prev}
+  UNION ALL
+  SELECT y.user_id, y.seq, y.round_id, y.choice, y.rw,
+         CASE WHEN y.pop THEN list_transform(list_zip(y.cov, y.nbuf[1].A), lambda v: v[1] + v[2]) ELSE y.cov END,
+         CASE WHEN y.pop THEN list_transform(list_zip(y.b, y.nbuf[1].b), lambda v: v[1] + v[2]) ELSE y.b END,
+         list_transform(list_zip(y.cl, {_outer("y.x")}), lambda v: v[1] + v[2]),
+         list_transform(list_zip(y.bl, y.x), lambda v: v[1] + y.rw * v[2]),
+         y.t + 1,
+         CASE WHEN y.pop THEN y.nbuf[2:] ELSE y.nbuf END
+  FROM (
+    SELECT w.*, list_append(w.buf, {{'A': {_outer("w.x")}, 'b': list_transform(w.x, lambda v: w.rw * v)}}::{_BLK}) AS nbuf,
+           (len(w.buf) + 1) * {d} > 4.0 * ln(greatest(w.t::DOUBLE, 1.0)) AS pop
+    FROM (
+      SELECT p.*, p.arms[p.choice + 1] AS x, p.rewards[p.choice + 1] AS rw
+      FROM (
+        SELECT c.*, CAST(list_position(c.sc, list_max(c.sc)) - 1 AS INTEGER) AS choice
+        FROM (
+          SELECT v.*, {_scores("v.ai", "v.b", "v.t", "v.arms")} AS sc
+          FROM (
+            SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.cov, r.b, r.cl, r.bl, r.t, r.buf,
+                   [{", ".join(_inv4("r.cov"))}] AS ai
+            FROM gp{j} r JOIN ga{j} s ON s.user_id = r.user_id AND s.seq = r.seq + 1
+          ) v
+        ) c
+      ) p
+    ) w
+  ) y
+),
+gs{j} AS (SELECT user_id, cov, b, cl, bl, t, buf FROM gp{j} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM gp{j} GROUP BY user_id))"""
+
+
+def _gossip_ctes() -> str:
+    """R3 with two blocks of ceil(N / 2) rounds (replay order) and one sharing step between them (no cuts yet)."""
+    N = "(SELECT n FROM n_rounds)"
+    B = f"(({N} + 1) // 2)"
+    avg = "list_transform(list_zip({a}, {b}), lambda v: (v[1] + v[2]) / 2.0)"
+    avg_buf = (
+        "list_transform(list_zip(x.buf, p.buf), lambda q: "
+        "{'A': list_transform(list_zip(q[1].A, q[2].A), lambda v: (v[1] + v[2]) / 2.0), "
+        "'b': list_transform(list_zip(q[1].b, q[2].b), lambda v: (v[1] + v[2]) / 2.0)})"
+    )
+    return ",".join(
+        [
+            """
+rlog AS (
+  SELECT o.pos AS round_id, l.user_id, l.arms, l.rewards FROM replay_order o JOIN bandit_log l ON l.round_id = o.row_id - 1
+)""",
+            f"g_init AS (SELECT user_id, {_identity()} AS cov, {_zeros()} AS b, {_identity()} AS cl, {_zeros()} AS bl, "
+            f"0::BIGINT AS t, []::{_BLK}[] AS buf FROM all_users)",
+            _agent_block(0, "g_init", "0", B),
+            f"""
+gth AS (SELECT user_id, [{", ".join(_solve4("cl", "bl"))}] AS theta, t FROM gs0),
+gsh AS (
+  SELECT x.user_id,
+         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN x.cl
+              WHEN x.user_id <> p.user_id THEN {avg.format(a="x.cov", b="p.cov")} ELSE x.cov END AS cov,
+         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN x.bl
+              WHEN x.user_id <> p.user_id THEN {avg.format(a="x.b", b="p.b")} ELSE x.b END AS b,
+         x.cl, x.bl, x.t,
+         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN []::{_BLK}[]
+              WHEN x.user_id <> p.user_id AND len(x.buf) = len(p.buf) THEN {avg_buf} ELSE x.buf END AS buf
+  FROM gs0 x JOIN pairs pr ON pr.src = x.user_id JOIN gs0 p ON p.user_id = pr.dst
+  JOIN gth tx ON tx.user_id = x.user_id JOIN gth tp ON tp.user_id = p.user_id
+)""",
+            _agent_block(1, "gsh", B, N),
+        ]
+    )
+
+
 def _outer(x: str) -> str:
     return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
 
@@ -898,6 +979,11 @@ def _build() -> dict[str, str]:
         "SELECT round_id, user_id, 2 AS block, 'cluster' AS stage, choice, reward FROM f31 WHERE seq > 0",
         _lazy_replay_ctes(200),
     )
+    o["gossip_replay"] = _with(
+        "SELECT round_id, user_id, 0 AS block, choice, reward FROM gp0 WHERE seq > 0 UNION ALL "
+        "SELECT round_id, user_id, 1 AS block, choice, reward FROM gp1 WHERE seq > 0",
+        _gossip_ctes(),
+    )
     o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
     o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o

@@ -434,8 +434,10 @@ def q_lazy_cluster_policy(spark, sf):
 def q_gossip_replay(spark, sf):
     from banditflow.plans.gossip import gossip_replay
 
-    cfg = ReplayConfig(block_length=STAGE_L, n_shares=1)
-    r = gossip_replay(_log(spark, sf), fx.replay_order(spark, sf), cfg, K, D)
+    log = _log(spark, sf)
+    n = log.count()  # two blocks of ceil(N / 2) rounds with one sharing step between them
+    cfg = ReplayConfig(block_length=(n + 1) // 2, n_shares=1)
+    r = gossip_replay(log, fx.replay_order(spark, sf), cfg, K, D)
     return r.decisions.select("round_id", "user_id", "block", "choice", "reward")
 
 
