@@ -85,8 +85,8 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) ->
     """
     und = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     und = materialize(und)
-    labels = materialize(nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node")))
-    prev = _label_total(labels)
+    labels = nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node"))
+    prev = None
     for _ in range(max_iter):
         nb = und.join(labels, und["dst"] == labels["node"]).select(und["src"].alias("node"), labels["label"])
         cand = labels.unionAll(nb).groupBy("node").agg(F.min("label").alias("label"))
@@ -109,9 +109,16 @@ def dense_cluster_ids(labels: DataFrame) -> DataFrame:
     return labels.join(ids, "label").select("user_id", "cluster_id")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """G3 + G4: (user_id, cluster_id) with cluster ids 0..S-1 ordered by the smallest member."""
-    return dense_cluster_ids(component_labels(nodes, edges))
+def connected_components(nodes: DataFrame, edges: DataFrame, dense: bool = True) -> DataFrame:
+    """G3 + G4: (user_id, cluster_id) with cluster ids 0..S-1 ordered by the smallest member.
+
+    ``dense=False`` keys clusters by their smallest member instead (same partition of
+    the users, no extra global numbering pass) -- what the replay loops use inside.
+    """
+    labels = component_labels(nodes, edges)
+    if dense:
+        return dense_cluster_ids(labels)
+    return labels.select("user_id", F.col("label").alias("cluster_id"))
 
 
 def n_clusters(clusters: DataFrame) -> DataFrame:

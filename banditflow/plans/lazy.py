@@ -58,7 +58,7 @@ def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d:
     counts = [_count_row(0, 0, w, None, users, None)]
 
     edges = materialize(G.similar_users(user_theta(state, d), cfg.alpha2, d))
-    clusters = materialize(G.connected_components(users, edges))
+    clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
     cstate = materialize(S.rollup_clusters(state, clusters, d))
 
     for blk, t1 in enumerate(range(w, n_rounds, cfg.block_length), start=1):
@@ -77,7 +77,7 @@ def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d:
         )
         state = materialize(S.merge_state(state, S.deltas(res.decisions, "user_id", d), d))
         edges = materialize(G.prune_edges(edges, user_theta(state, d), cfg.alpha2))
-        clusters = materialize(G.connected_components(users, edges))
+        clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
         cstate = materialize(S.rollup_clusters(state, clusters, d))
         counts.append(_count_row(blk, t1, t2, clusters, users, edges))
 
@@ -87,4 +87,4 @@ def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d:
     cc = counts[0]
     for c in counts[1:]:
         cc = cc.unionByName(c)
-    return ReplayResult(decisions, state, edges, clusters, cc)
+    return ReplayResult(decisions, state, edges, G.dense_cluster_ids(clusters.withColumnRenamed("cluster_id", "label")), cc)

@@ -91,7 +91,7 @@ def two_stage_replay(log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds
         theta = user_theta(state, d)
         edges = G.similar_users(theta, cfg.alpha2, d) if edges is None else G.prune_edges(edges, theta, cfg.alpha2)
         edges = materialize(edges)
-        clusters = materialize(G.connected_components(users, edges))
+        clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
         counts.append(_counts_row(blk, t1, t2, clusters, edges))
         if t2 > t_mid:
             cstate = S.rollup_clusters(state, clusters, d)
@@ -107,4 +107,4 @@ def two_stage_replay(log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds
     cc = counts[0]
     for c in counts[1:]:
         cc = cc.unionByName(c)
-    return ReplayResult(decisions, state, edges, clusters, cc)
+    return ReplayResult(decisions, state, edges, G.dense_cluster_ids(clusters.withColumnRenamed("cluster_id", "label")), cc)
