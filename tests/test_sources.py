@@ -9,7 +9,23 @@ from banditflow.sources import fixtures as fx
 from conftest import SF001
 
 
-def test_csv_round_trip(spark):
+import pytest
+
+
+@pytest.mark.parametrize("split_bytes", [None, 8192])
+def test_csv_round_trip(spark, split_bytes):
+    """Line order survives files split over several tasks (8 KB splits)."""
+    if split_bytes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        _round_trip(spark)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _round_trip(spark):
     log = fx.bandit_log(spark, SF001).orderBy("round_id").toPandas()
     tmp = tempfile.mkdtemp(prefix="bf-csv-")
     X = np.stack([np.concatenate(a) for a in log["arms"]])
