@@ -26,36 +26,64 @@ def _bound_ok(dist, bound, strict: bool):
     return dist < bound if strict else dist <= bound
 
 
-def similar_users(theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, strict: bool = False) -> DataFrame:
+def similar_users(
+    theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, strict: bool = False, max_tier: int = 12
+) -> DataFrame:
     """Edges (src < dst) between users whose vectors are within the cluster bound.
 
-    Exact grid equi-join instead of a nested loop: cb(t1, t2) <= 2 alpha2 f(t_min)
-    with f decreasing, so cells of that width on up to three theta coordinates,
-    each user matched against its own and the neighbouring cells, find every
-    candidate; the exact test runs after the equi join.  A hot cell is a skewed
-    sort-merge join key, which AQE splits.  ``strict`` keeps pairs with
-    dist < cb instead of <= (the comparator's rule).
+    Exact multi-resolution grid equi-join instead of a nested loop.  Each user
+    has a radius r = alpha2 f(t) (f decreasing), and a pair is an edge only if
+    ||theta_u - theta_v|| <= r_u + r_v.  Users are put in radius tiers
+    (tier i holds radii <= R / 2^i, R the largest radius); a pair whose lower
+    tier is i is within 2 R / 2^i, so it is found by an equi join on cells of
+    that width on up to three theta coordinates, the user of tier i in its own
+    cell against the other user expanded to the neighbouring cells of the
+    tier-i grid.  Users with much history therefore meet only close
+    neighbours, even when a few new users (t = 0) are in the table.  The exact
+    test runs after the equi join; a hot cell is a skewed sort-merge key that
+    AQE splits.  ``strict`` keeps dist < cb instead of <= (the comparator's rule).
     """
     g = max(1, min(grid_dims, d))
-    # read three times (both join sides and the cell width): write it once
-    base = materialize(theta.select("user_id", "theta", "t"))
-    t_min = base.select(F.min("t")).scalar()
-    width = F.lit(2.0 * alpha2) * L.confidence_radius(t_min)
-    cells = [F.floor(F.element_at("theta", i + 1) / width).cast("long") for i in range(g)]
+    # read several times (both join sides and the radius scale): write it once
+    base = materialize(
+        theta.select("user_id", "theta", "t").withColumn("_r", F.lit(alpha2) * L.confidence_radius("t"))
+    )
+    r_max = base.select(F.max("_r")).scalar()
+    # one tier coarser than log2 says, so rounding can never put a radius above its tier's bound
+    tier = F.least(
+        F.lit(max_tier),
+        F.greatest(F.lit(0), F.floor(F.log2(r_max / F.col("_r"))).cast("int") - 1),
+    )
+    base = base.withColumn("_tier", tier)
+
+    def cells(level, prefix):
+        width = F.lit(2.0) * r_max * F.pow(F.lit(0.5), level)
+        return [F.floor(F.element_at("theta", i + 1) / width).cast("long").alias(f"{prefix}{i}") for i in range(g)]
+
     home = base.select(
         F.col("user_id").alias("src"), F.col("theta").alias("theta_s"), F.col("t").alias("t_s"),
-        *[c.alias(f"c{i}") for i, c in enumerate(cells)],
+        F.col("_tier").alias("lvl"), F.col("_tier").alias("tier_s"), *cells(F.col("_tier"), "c"),
     )
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=g)])
-    probe = base.select(
-        F.col("user_id").alias("dst"), F.col("theta").alias("theta_d"), F.col("t").alias("t_d"),
-        *[c.alias(f"h{i}") for i, c in enumerate(cells)],
-        F.explode(offsets).alias("_off"),
-    ).select("dst", "theta_d", "t_d", *[(F.col(f"h{i}") + F.element_at("_off", i + 1)).alias(f"c{i}") for i in range(g)])
-    pairs = home.join(probe, [f"c{i}" for i in range(g)]).where(F.col("src") < F.col("dst"))
+    probe = (
+        base.select("user_id", "theta", "t", "_tier", F.explode(F.sequence(F.lit(0), F.col("_tier"))).alias("lvl"))
+        .select(
+            F.col("user_id").alias("dst"), F.col("theta").alias("theta_d"), F.col("t").alias("t_d"),
+            F.col("_tier").alias("tier_d"), "lvl", *cells(F.col("lvl"), "h"), F.explode(offsets).alias("_off"),
+        )
+        .select(
+            "dst", "theta_d", "t_d", "tier_d", "lvl",
+            *[(F.col(f"h{i}") + F.element_at("_off", i + 1)).alias(f"c{i}") for i in range(g)],
+        )
+    )
+    pairs = home.join(probe, ["lvl", *[f"c{i}" for i in range(g)]])
+    # same tier: both orders meet, keep one; lower tier at home: the only meeting
+    pairs = pairs.where((F.col("tier_d") > F.col("tier_s")) | (F.col("src") < F.col("dst")))
     dist = L.l2_distance("theta_s", "theta_d")
     bound = L.cluster_bound("t_s", "t_d", alpha2)
-    return pairs.where(_bound_ok(dist, bound, strict)).select("src", "dst")
+    return pairs.where(_bound_ok(dist, bound, strict)).select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    )
 
 
 def prune_edges(edges: DataFrame, theta: DataFrame, alpha2: float, strict: bool = False) -> DataFrame:

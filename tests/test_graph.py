@@ -55,3 +55,23 @@ def test_prune_is_monotone(spark):
     e2 = G.prune_edges(e1, Q.ridge_vec(spark, SF01, 1), 0.7)
     assert e2.join(e1, ["src", "dst"], "left_anti").count() == 0
     assert e2.count() <= e1.count()
+
+
+def test_tiered_grid_with_spread_history(spark):
+    """Users with t from 0 to 1e5 fall in different radius tiers; the join still equals all pairs."""
+    rng = np.random.default_rng(5)
+    n = 400
+    t = np.where(rng.random(n) < 0.1, 0, rng.integers(1, 100_000, n))
+    th = rng.normal(scale=0.6, size=(n, 4))
+    rows = [(i, th[i].tolist(), int(t[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, theta array<double>, t long")
+    for alpha2, strict in ((0.7, False), (0.3, True)):
+        got = {(r.src, r.dst) for r in G.similar_users(df, alpha2, 4, strict=strict).collect()}
+        want = set()
+        for a, b in itertools.combinations(range(n), 2):
+            dist = np.linalg.norm(th[a] - th[b])
+            bound = bf.cb(t[a], t[b], alpha2)
+            if (dist < bound) if strict else (dist <= bound):
+                want.add((a, b))
+        assert got == want
+        assert 0 < len(want) < n * (n - 1) // 2
