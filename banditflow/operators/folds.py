@@ -14,7 +14,7 @@ have to fit in memory at once.  Inside a batch all keys advance in lockstep
 across keys (batched inverse / einsum), not a Python loop per row.
 
 The fold emits decision rows (_kind 1) and the final state of every key that
-appeared (_kind 0) in one output; ``run_fold`` checkpoints it once and splits
+appeared (_kind 0) in one output; ``run_fold`` writes it once and splits
 it, so the fold never runs twice.  Keys with state but no rounds pass through
 unchanged, so the output state is the merged (upserted) state table.
 """
@@ -57,14 +57,6 @@ def _list_array(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
 
 
-def _nested_list_array(values: np.ndarray) -> pa.Array:
-    """(n, k, d) -> list<list<double>>."""
-    n, k, d = values.shape
-    inner = _list_array(values.reshape(n * k, d), d)
-    offsets = np.arange(0, n * k + 1, k, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), inner)
-
-
 # ----------------------------------------------------------------------------- kernels
 class FoldKernel:
     """One sequential policy.  Subclasses define state and one vectorised step."""
@@ -499,7 +491,7 @@ def run_fold(
     track_used: bool = False,
     checkpoint: bool = True,
 ) -> FoldResult:
-    """Run the fold once (checkpointed) and split decisions from the new state."""
+    """Run the fold once (written as a table) and split decisions from the new state."""
     out = sequential_fold(rounds, state, kernel, keys, order, payload, track_used)
     if checkpoint:
         out = materialize(out)

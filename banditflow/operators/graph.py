@@ -108,7 +108,7 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
     """label = smallest user_id of the node's component (isolated nodes label themselves).
 
-    Min-label propagation with pointer jumping, one checkpoint per iteration to
+    Min-label propagation with pointer jumping, one written table per iteration to
     cut lineage; stops when no label changes (a scalar count per iteration).
     """
     und = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -6,7 +6,7 @@ and split into connected components (G3), the cluster models are rolled up
 (A8) and the remaining rounds are played with the frozen cluster models (F2).
 
 The driver loop only chains lazy DataFrames; each block's fold output and the
-graph are checkpointed, so lineage stays one block deep and a lost executor
+graph are written as tables, so lineage stays one block deep and a lost executor
 recomputes at most one block.  The only values brought to the driver are the
 table size and per-iteration scalars of the components loop.
 """
