@@ -984,6 +984,19 @@ def _build() -> dict[str, str]:
         "SELECT round_id, user_id, 1 AS block, choice, reward FROM gp1 WHERE seq > 0",
         _gossip_ctes(),
     )
+    L = "((SELECT n FROM n_rounds) + 1) // 2"
+    o["two_stage_cluster_counts"] = _with(
+        " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER) AS block, CAST({i} * {L} AS BIGINT) AS from_round, "
+            f"CAST(least(({i} + 1) * {L}, (SELECT n FROM n_rounds)) AS BIGINT) AS to_round, "
+            f"(SELECT count(DISTINCT cluster_id) FROM cl{i}) AS n_clusters, (SELECT count(*) FROM ed{i}) AS n_edges"
+            for i in range(2)
+        ),
+        _two_stage_ctes(),
+    )
+    o["two_stage_user_state"] = _with(
+        f"SELECT user_id, {_round_list('aa', 4)} AS A, {_round_list('bb', 4)} AS b, t FROM sc1", _two_stage_ctes()
+    )
     o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
     o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o

@@ -409,6 +409,26 @@ def q_two_stage_replay(spark, sf):
     return r.decisions.select("round_id", "user_id", "block", "stage", "choice", "reward")
 
 
+def q_two_stage_cluster_counts(spark, sf):
+    """The cluster-count curve of the two-stage replay, one row per iteration."""
+    from banditflow.plans.two_stage import two_stage_replay
+
+    log = _log(spark, sf)
+    n = log.count()
+    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=(n + 1) // 2), K, D, n_rounds=n)
+    return r.cluster_counts.select("block", "from_round", "to_round", "n_clusters", "n_edges")
+
+
+def q_two_stage_user_state(spark, sf):
+    """user_state after the two-stage replay (A, b rounded to 4 decimals)."""
+    from banditflow.plans.two_stage import two_stage_replay
+
+    log = _log(spark, sf)
+    n = log.count()
+    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=(n + 1) // 2), K, D, n_rounds=n)
+    return r.state.select("user_id", _ra("A", 4).alias("A"), _ra("b", 4).alias("b"), "t")
+
+
 def q_lazy_replay(spark, sf):
     from banditflow.plans.lazy import lazy_replay
 
