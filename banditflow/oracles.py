@@ -203,48 +203,14 @@ def _with(body: str, extra: str = "") -> str:
 
 # ------------------------------------------------------------------ F1 as a recursive CTE
 def _f1_cte() -> str:
-    d, k = D, K
-    theta = [_fold([f"({_m('r.ai', i, j)} * {_v('r.bb', j)})" for j in range(d)]) for i in range(d)]
-    scores = []
-    for a in range(k):
-        x = f"s.arms[{a + 1}]"
-        mean = _fold([f"({x}[{i + 1}] * {theta[i]})" for i in range(d)])
-        quad = _fold(
-            [f"({x}[{i + 1}] * {_fold([f'({_m(chr(114) + '.ai', i, j)} * {x}[{j + 1}])' for j in range(d)])})" for i in range(d)]
-        )
-        beta = f"sqrt({d}.0 * ln(1.0 + r.t::DOUBLE) * sqrt(r.t::DOUBLE) + 1.0)"
-        scores.append(f"({mean} + sqrt(r.t::DOUBLE) * {ALPHA} * sqrt({beta} * {quad}))")
-    u = "[" + ", ".join(_fold([f"({_m('q.ai', i, j)} * q.x[{j + 1}])" for j in range(d)]) for i in range(d)) + "]"
-    new_ai = "[" + ", ".join(
-        f"(z.ai[{i * d + j + 1}] - z.u[{i + 1}] * z.u[{j + 1}] / z.den)" for i in range(d) for j in range(d)
-    ) + "]"
-    new_aa = "[" + ", ".join(f"(z.aa[{i * d + j + 1}] + z.x[{i + 1}] * z.x[{j + 1}])" for i in range(d) for j in range(d)) + "]"
-    new_bb = "[" + ", ".join(f"(z.bb[{i + 1}] + z.rw * z.x[{i + 1}])" for i in range(d)) + "]"
-    return f"""
-seqd AS (
-  SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq FROM bandit_log
-),
-play(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
-  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, {_identity()}, {_identity()}, {_zeros()}, 0::BIGINT
-  FROM all_users
-  UNION ALL
-  SELECT z.user_id, z.seq, z.round_id, z.choice, z.rw, {new_ai}, {new_aa}, {new_bb}, z.t + 1
-  FROM (
-    SELECT q.*, {u} AS u, 1.0 + {_fold([f"(q.x[{i + 1}] * {_fold([f'({_m(chr(113) + '.ai', i, j)} * q.x[{j + 1}])' for j in range(d)])})" for i in range(d)])} AS den
-    FROM (
-      SELECT p.*, p.arms[p.choice + 1] AS x, p.rewards[p.choice + 1] AS rw
-      FROM (
-        SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t,
-               CAST(list_position(sc, list_max(sc)) - 1 AS INTEGER) AS choice
-        FROM (
-          SELECT r.*, s.seq AS s_seq, [{", ".join(scores)}] AS sc
-          FROM play r JOIN seqd s ON s.user_id = r.user_id AND s.seq = r.seq + 1
-        ) r JOIN seqd s ON s.user_id = r.user_id AND s.seq = r.s_seq
-      ) p
-    ) q
-  ) z
-),
+    """F1 over the whole log from the identity state: ``play`` (every step) and ``pol`` (decisions)."""
+    return (
+        f"s_init AS (SELECT user_id, {_identity()} AS ai, {_identity()} AS aa, {_zeros()} AS bb, 0::BIGINT AS t FROM all_users),"
+        + _user_stage(99, "s_init", "0", "(SELECT n FROM n_rounds)")
+        + """,
+play AS (SELECT * FROM pu99),
 pol AS (SELECT round_id, user_id, choice, reward FROM play WHERE seq > 0)"""
+    )
 
 
 def _curve_ctes() -> str:
