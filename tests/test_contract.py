@@ -10,3 +10,13 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     assert set(se.oracle_sql()) <= set(se.queries())
     assert "complete_edges" not in se.queries()  # the complete graph is never materialised
+
+
+def test_every_oracle_plans_in_duckdb():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("events", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    for name, sql in se.oracle_sql().items():
+        con.execute("EXPLAIN " + sql)
