@@ -118,9 +118,11 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) ->
     for _ in range(max_iter):
         nb = und.join(labels, und["dst"] == labels["node"]).select(und["src"].alias("node"), labels["label"])
         cand = labels.unionAll(nb).groupBy("node").agg(F.min("label").alias("label"))
-        a, b = cand.alias("a"), cand.alias("b")
-        jumped = a.join(b, F.col("a.label") == F.col("b.node"), "left").select(
-            F.col("a.node").alias("node"), F.least(F.col("a.label"), F.coalesce(F.col("b.label"), F.col("a.label"))).alias("label")
+        # pointer jump through the previous (written) labels: a label always names a node of
+        # the same component, so label(label(v)) is valid, and the edge work runs only once
+        prev_labels = labels.select(F.col("node").alias("_via"), F.col("label").alias("_via_label"))
+        jumped = cand.join(prev_labels, cand["label"] == prev_labels["_via"], "left").select(
+            "node", F.least(F.col("label"), F.coalesce(F.col("_via_label"), F.col("label"))).alias("label")
         )
         labels = materialize(jumped)
         # labels only decrease, so an unchanged total means no label changed
