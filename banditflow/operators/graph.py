@@ -167,6 +167,13 @@ def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100
     """
     from banditflow.operators.ordering import key_index
 
+    # A split (S, rest) of K_n minus the cuts needs every crossing pair cut, at least
+    # |S| (n - |S|) >= n - 1 cuts; with fewer the graph is connected: one cluster.
+    n_nodes = nodes.select("user_id").distinct().count()
+    n_cuts = cuts.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().count()
+    if n_cuts < n_nodes - 1:
+        return nodes.select("user_id").distinct().withColumn("cluster_id", F.lit(0).cast("long"))
+
     und = cuts.select(F.col("src").alias("v"), F.col("dst").alias("u")).unionAll(
         cuts.select(F.col("dst").alias("v"), F.col("src").alias("u"))
     )

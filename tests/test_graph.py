@@ -75,3 +75,14 @@ def test_tiered_grid_with_spread_history(spark):
                 want.add((a, b))
         assert got == want
         assert 0 < len(want) < n * (n - 1) // 2
+
+
+def test_complement_components_few_cuts_is_connected(spark):
+    nodes = spark.createDataFrame([(n,) for n in range(6)], "user_id long")
+    cuts = spark.createDataFrame([(0, 1), (2, 3), (1, 4)], "src long, dst long")
+    got = {r.user_id: r.cluster_id for r in G.complement_components(nodes, cuts).collect()}
+    assert got == {n: 0 for n in range(6)}
+    # five cuts isolate node 5 exactly: n - 1 cuts are enough to disconnect
+    iso = spark.createDataFrame([(j, 5) for j in range(5)], "src long, dst long")
+    got = {r.user_id: r.cluster_id for r in G.complement_components(nodes, iso).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
