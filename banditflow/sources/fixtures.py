@@ -57,9 +57,9 @@ def bandit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = _scaled_vectors(spark, sf_dir)
     df = ev
     for a in range(K):
-        df = df.withColumn(f"_v{a}", _vec_id(a)).join(
-            vecs.select(F.col("vec_id").alias(f"_v{a}"), F.col("vec").alias(f"_x{a}")), f"_v{a}"
-        )
+        # the same dimension plan each time, so one broadcast (or shuffle) of it is reused
+        v = vecs.alias(f"v{a}")
+        df = df.join(v, _vec_id(a) == F.col(f"v{a}.vec_id")).select(*df.columns, F.col(f"v{a}.vec").alias(f"_x{a}"))
     arms = F.array(*[F.col(f"_x{a}") for a in range(K)])
     return df.select(
         F.col("event_id").alias("round_id"),
