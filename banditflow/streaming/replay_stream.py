@@ -28,37 +28,34 @@ STATE_SCHEMA = "A array<double>, b array<double>, t long"
 
 
 def _user_fold(d: int, alpha: float):
+    """Per-user state update for one micro-batch, with the same kernel as the batch fold."""
+    from banditflow.operators.folds import UserUCB
+
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("round_id", kind="stable")
+        n = len(pdf)
+        arms = np.stack([np.stack([np.asarray(a, dtype=np.float64) for a in r]) for r in pdf["arms"]])
+        rows = {"rewards": np.stack([np.asarray(r, dtype=np.float64) for r in pdf["rewards"]])}
+        kernel = UserUCB(d, arms.shape[1], alpha)
+        st = kernel.default_state(1)
         if state.exists:
             a_flat, b_vec, t = state.get
-            A = np.asarray(a_flat, dtype=np.float64).reshape(d, d)
-            b = np.asarray(b_vec, dtype=np.float64)
-        else:
-            A, b, t = np.eye(d), np.zeros(d), 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("round_id")
-        out_choice, out_reward = [], []
-        for arms, rewards in zip(pdf["arms"], pdf["rewards"]):
-            X = np.stack([np.asarray(a, dtype=np.float64) for a in arms])
-            a_inv = np.linalg.inv(A)
-            theta = a_inv @ b
-            beta = np.sqrt(d * np.log1p(t) * np.sqrt(t) + 1.0)
-            quad = np.einsum("kd,de,ke->k", X, a_inv, X)
-            ucb = X @ theta + np.sqrt(t) * alpha * np.sqrt(beta * quad)
-            c = int(np.argmax(ucb))
-            x = X[c]
-            r = float(rewards[c])
-            A = A + np.outer(x, x)
-            b = b + r * x
-            t += 1
-            out_choice.append(c)
-            out_reward.append(r)
-        state.update((A.reshape(-1).tolist(), b.tolist(), int(t)))
+            st["A"][0] = np.asarray(a_flat, dtype=np.float64).reshape(d, d)
+            st["b"][0] = np.asarray(b_vec, dtype=np.float64)
+            st["t"][0] = t
+        choice = np.zeros(n, dtype="int32")
+        reward = np.zeros(n)
+        key0 = np.zeros(1, dtype=np.int64)
+        for i in range(n):  # the rounds of one user are sequential
+            c, r, _ = kernel.step(st, key0, arms[i : i + 1], rows, np.array([i]))
+            choice[i], reward[i] = c[0], r[0]
+        state.update((st["A"][0].reshape(-1).tolist(), st["b"][0].tolist(), int(st["t"][0])))
         yield pd.DataFrame(
             {
                 "round_id": pdf["round_id"].astype("int64").to_numpy(),
-                "user_id": np.full(len(pdf), key[0], dtype="int64"),
-                "choice": np.asarray(out_choice, dtype="int32"),
-                "reward": np.asarray(out_reward, dtype="float64"),
+                "user_id": np.full(n, key[0], dtype="int64"),
+                "choice": choice,
+                "reward": reward,
             }
         )
 
