@@ -27,17 +27,21 @@ def user_policy(rows, d, alpha=0.03, state=None):
     return out, state
 
 
-def buffered_agents(rows, d, alpha=0.03):
-    """F5 with persisted t and an initially empty buffer."""
+def buffered_agents(rows, d, alpha=0.03, as_written=False):
+    """F5 with persisted t and an initially empty buffer; ``as_written``: one zero block to
+    start with, dropped (with the buffer's first block) at t = 0."""
     st = {}
     out = {}
+    start_buf = [(np.zeros((d, d)), np.zeros(d))] if as_written else []
     for rid, uid, arms, rewards in sorted(rows, key=lambda r: r[0]):
-        cov, b, cl, bl, t, buf = st.get(uid, (np.eye(d), np.zeros(d), np.eye(d), np.zeros(d), 0, []))
+        cov, b, cl, bl, t, buf = st.get(uid, (np.eye(d), np.zeros(d), np.eye(d), np.zeros(d), 0, list(start_buf)))
         X = np.asarray([np.asarray(a, dtype=float) for a in arms])
         c = ucb_choice(cov, b, t, X, alpha, d)
         x, r = X[c], float(rewards[c])
         buf = buf + [(np.outer(x, x), r * x)]
         cl, bl = cl + np.outer(x, x), bl + r * x
+        if as_written and t == 0:
+            buf = buf[1:]
         if len(buf) * d > 4 * np.log(max(t, 1)):
             cov, b = cov + buf[0][0], b + buf[0][1]
             buf = buf[1:]

@@ -70,3 +70,18 @@ def test_label_reward_fold(spark):
     dec = res.decisions.join(log.select("round_id", "arms", "label"), "round_id").collect()
     for r in dec:
         assert r.reward == (1.0 if r.arms[r.choice][0] == r.label else 0.0)
+
+
+def test_buffered_agent_as_written_start(spark):
+    """Q10 as written: the buffer starts with a zero block, dropped at t = 0."""
+    from banditflow.plans.gossip import init_agents
+
+    log = fx.bandit_log(spark, SF001)
+    agents = init_agents(log.select("user_id"), fx.D, zero_block=True)
+    res = run_fold(log, agents, BufferedAgent(fx.D, fx.K, 0.03, drop_first_at_t0=True))
+    got = {r.round_id: (r.choice, r.reward) for r in res.decisions.collect()}
+    want, st = bf.buffered_agents(_rows(log), fx.D, as_written=True)
+    assert got == want
+    rows = {r.user_id: r for r in res.state.collect()}
+    for uid, (cov, b, cl, bl, t, buf) in st.items():
+        assert len(rows[uid].buf) == len(buf)
