@@ -37,3 +37,15 @@ def test_partner_pairs_is_permutation(spark):
     p = GS.partner_pairs(users, seed=3).collect()
     assert sorted(r.src for r in p) == list(range(40))
     assert sorted(r.dst for r in p) == list(range(40))
+
+
+def test_share_as_written(spark):
+    """Q11 as written: a reset takes the partner's local model; every gossiped pair is cut."""
+    agents, theta = _agents(spark, [(0, 0.0, 100, 1), (1, 0.01, 100, 1), (2, 0.0, 100, 2), (3, 5.0, 100, 1)])
+    agents = agents.withColumn("cov_loc", F.transform(L.identity(2), lambda v: v * (F.col("user_id") + 10)))
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 2)], "src long, dst long")
+    cuts = spark.createDataFrame([], "src long, dst long")
+    new, cut = GS.share(agents, theta, pairs, None, 0.7, as_written=True, cuts=cuts)
+    rows = {r.user_id: r for r in new.collect()}
+    assert rows[2].reset and rows[2].cov == [13.0, 0.0, 0.0, 13.0]  # partner 3's local model
+    assert {(min(r.src, r.dst), max(r.src, r.dst)) for r in cut.collect()} == {(0, 1), (2, 3)}
