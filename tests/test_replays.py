@@ -56,3 +56,16 @@ def test_stream_equals_batch(spark):
     streamed = {(r.round_id, r.choice, r.reward) for r in run_stream(spark, log, fx.D, 0.03, block_length=250).collect()}
     batch = {(r.round_id, r.choice, r.reward) for r in run_fold(log, None, UserUCB(fx.D, fx.K, 0.03)).decisions.collect()}
     assert streamed == batch
+
+
+def test_two_stage_on_cold_log(spark):
+    """Recorded runs on cold_log (L = 2000): late users meet existing cluster models."""
+    log = fx.cold_log(spark, SF01)
+    for mode, total, uses in (("interactions", 4380, [0, 0, 0, 53, 0]), ("members", 4306, [69, 86, 36, 224, 0])):
+        r = two_stage_replay(log, ReplayConfig(iteration_length=2000, mean_over=mode), fx.K, fx.D)
+        assert r.decisions.agg(F.sum("reward")).first()[0] == total
+        got = dict(
+            r.decisions.where(F.col("stage") == "cluster")
+            .groupBy("block").agg(F.sum(F.col("cluster_used").cast("int")).alias("u")).collect()
+        )
+        assert [got.get(b, 0) for b in range(5)] == uses
