@@ -69,3 +69,12 @@ def test_two_stage_on_cold_log(spark):
             .groupBy("block").agg(F.sum(F.col("cluster_used").cast("int")).alias("u")).collect()
         )
         assert [got.get(b, 0) for b in range(5)] == uses
+
+
+def test_two_stage_four_iterations(spark):
+    """Recorded run at sf0.01: L = 2500, members mode, four iterations."""
+    log = fx.bandit_log(spark, SF01)
+    total, used, counts = _summary(two_stage_replay(log, ReplayConfig(iteration_length=2500, mean_over="members"), fx.K, fx.D))
+    assert total == 5104
+    assert [c[1:] for c in counts] == [(1, 6825), (1, 2499), (4, 2450), (4, 2440)]
+    assert [used[(b, "cluster")] for b in range(4)] == [224, 371, 387, 432]
