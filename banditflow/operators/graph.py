@@ -17,11 +17,6 @@ from banditflow.operators.ordering import global_index
 from banditflow.session import materialize
 
 
-def _label_total(labels: DataFrame):
-    """Scalar convergence test of the label loops (exact decimal sum, no overflow)."""
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-
-
 def _bound_ok(dist, bound, strict: bool):
     return dist < bound if strict else dist <= bound
 
@@ -105,32 +100,56 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
-    """label = smallest user_id of the node's component (isolated nodes label themselves).
+def _stars(parent: DataFrame) -> DataFrame:
+    """Pointer jumping: (root, parent) with parent <= root, until every parent is its own parent.
 
-    Min-label propagation with pointer jumping, one written table per iteration to
-    cut lineage; stops when no label changes (a scalar count per iteration).
+    The depth at least halves with each written table, so a chain of n takes log2(n) of them.
+    """
+    parent = materialize(parent)
+    while True:
+        up = parent.select(F.col("root").alias("parent"), F.col("parent").alias("up"))
+        parent = materialize(parent.select("root", "parent").join(up, "parent").select(
+            "root", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")
+        ))
+        if not parent.agg(F.max("moved")).first()[0]:
+            return parent.select("root", "parent")
+
+
+def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, label): the smallest node of its component, for every node that has an edge.
+
+    Each round hooks every root to its smallest neighbouring root, flattens the trees by pointer
+    jumping and replaces the edges by those left between roots.  A root outlives two rounds only if
+    it is the smallest within two steps, and then it takes all its neighbours: the roots halve every
+    two rounds whatever the shape, and the loop ends when no edge is left.
     """
-    und = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = materialize(und)
-    labels = nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node"))
-    prev = None
-    for _ in range(max_iter):
-        nb = und.join(labels, und["dst"] == labels["node"]).select(und["src"].alias("node"), labels["label"])
-        cand = labels.unionAll(nb).groupBy("node").agg(F.min("label").alias("label"))
-        # pointer jump through the previous (written) labels: a label always names a node of
-        # the same component, so label(label(v)) is valid, and the edge work runs only once
-        prev_labels = labels.select(F.col("node").alias("_via"), F.col("label").alias("_via_label"))
-        jumped = cand.join(prev_labels, cand["label"] == prev_labels["_via"], "left").select(
-            "node", F.least(F.col("label"), F.coalesce(F.col("_via_label"), F.col("label"))).alias("label")
+    a, b = F.col(src), F.col(dst)
+    left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooked = ends.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("m"))
+        parent = _stars(hooked.select("root", F.least("root", "m").alias("parent")))
+        if labels is None:
+            labels = parent.select(F.col("root").alias("node"), F.col("parent").alias("label"))
+        else:
+            up = parent.select(F.col("root").alias("label"), "parent")
+            labels = labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
+        pa = parent.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
+        pb = parent.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
+        left = materialize(
+            left.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
+            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         )
-        labels = materialize(jumped)
-        # labels only decrease, so an unchanged total means no label changed
-        total = _label_total(labels)
-        if total == prev:
-            break
-        prev = total
-    return labels.select(F.col("node").alias("user_id"), "label")
+    return materialize(labels)
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """label = smallest user_id of the node's component (isolated nodes label themselves)."""
+    found = edge_components(edges).withColumnRenamed("node", "user_id")
+    return nodes.select("user_id").distinct().join(found, "user_id", "left").select(
+        "user_id", F.coalesce("label", "user_id").alias("label")
+    )
 
 
 def dense_cluster_ids(labels: DataFrame) -> DataFrame:
@@ -156,14 +175,14 @@ def n_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.agg(F.count_distinct("cluster_id").alias("n_clusters"))
 
 
-def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100) -> DataFrame:
+def complement_components(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     """G3 on a complete graph minus a set of cut pairs, without listing its edges.
 
-    Min-label propagation where a node's best neighbour label is the smallest
-    label among all nodes except itself and its cut partners: nodes are ranked
-    by (label, node), and for each node the first rank not taken by its
-    excluded set (the "mex" of their ranks) names that neighbour.  Work per
-    iteration is O(nodes + cuts); no pair of nodes is ever enumerated.
+    A node's best neighbour label is the smallest label among all nodes except itself and its cut
+    partners: nodes are ranked by (label, node), and for each node the first rank not taken by its
+    excluded set (the "mex" of their ranks) names that neighbour.  Every label hooks to the smallest
+    label its nodes see, trees are flattened by pointer jumping, until no label changes.  Work per
+    round is O(nodes + cuts); no pair of nodes is ever enumerated.
     """
     from banditflow.operators.ordering import key_index
 
@@ -179,8 +198,7 @@ def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100
     )
     und = materialize(und.distinct())
     labels = materialize(nodes.select(F.col("user_id").alias("node")).distinct().withColumn("label", F.col("node")))
-    prev = _label_total(labels)
-    for _ in range(max_iter):
+    while True:
         ranked = global_index(labels, ["label", "node"], "pos")
         excl = labels.select(F.col("node").alias("v"), F.col("node").alias("u")).unionAll(und)
         excl_pos = excl.join(ranked.select(F.col("node").alias("u"), "pos"), "u").select("v", "pos")
@@ -188,13 +206,14 @@ def complement_components(nodes: DataFrame, cuts: DataFrame, max_iter: int = 100
         mex = seq.groupBy("v").agg(
             F.coalesce(F.min(F.when(F.col("pos") != F.col("i"), F.col("i"))), F.count(F.lit(1))).alias("mex")
         )
-        best = mex.join(ranked.select(F.col("pos").alias("mex"), F.col("label").alias("nb_label")), "mex", "left")
-        new = labels.join(best, labels["node"] == best["v"], "left").select(
-            "node", F.least(F.col("label"), F.coalesce(F.col("nb_label"), F.col("label"))).alias("label")
+        best = mex.join(ranked.select(F.col("pos").alias("mex"), F.col("label").alias("seen")), "mex")
+        hooked = (
+            labels.join(best.select(F.col("v").alias("node"), "seen"), "node", "left")
+            .groupBy(F.col("label").alias("root"))
+            .agg(F.least(F.col("label"), F.min("seen")).alias("parent"))
         )
-        labels = materialize(new)
-        total = _label_total(labels)
-        if total == prev:
-            break
-        prev = total
-    return dense_cluster_ids(labels.select(F.col("node").alias("user_id"), "label"))
+        parent = _stars(hooked)
+        if parent.where(F.col("parent") != F.col("root")).isEmpty():
+            return dense_cluster_ids(labels.select(F.col("node").alias("user_id"), "label"))
+        up = parent.select(F.col("root").alias("label"), "parent")
+        labels = materialize(labels.join(up, "label").select("node", F.col("parent").alias("label")))
