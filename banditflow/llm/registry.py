@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from banditflow.llm import bpe
+from banditflow.llm import bpe, decontaminate, near_dup, sharding
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,11 +16,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), n_words=4)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded again, with digests of both."""
     docs = _table(spark, sf_dir, "documents")
     return bpe.token_digest(bpe.encode_texts(docs, VOCABULARY, keep=["doc_id"], decoded=True))
 
 
-QUERIES = {"op5_bpe": op5_bpe}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a ten-word window of a benchmark item."""
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination_digest(decontaminate.find_contamination(docs, bench, keep=["doc_id"]))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal weight by rendezvous hashing of doc_id."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
+QUERIES = {"op2_near_dup": op2_near_dup, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}

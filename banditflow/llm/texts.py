@@ -104,7 +104,7 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) < n:
         return np.empty(0, U64)
     m = len(h) - n + 1
-    out = np.zeros(m, U64)
+    out = np.full(m, n, U64)
     for j in range(n):
         out *= U64(0x9E3779B97F4A7C15)
         out += h[j : j + m]
