@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from banditflow.llm import bpe, decontaminate, near_dup, sharding
+from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,10 +33,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.find_contamination(docs, bench, keep=["doc_id"]))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that lie in a 100-byte string seen earlier in the corpus."""
+    docs = _table(spark, sf_dir, "documents")
+    return substring_dedup.repeat_digest(substring_dedup.remove_repeats(docs, keep=["doc_id"]))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal weight by rendezvous hashing of doc_id."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op10_sharding": op10_sharding}
+QUERIES = {"op2_near_dup": op2_near_dup, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
