@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup
+from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup, token_counts, toxicity
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,19 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), n_words=4)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by section, each document encoded once."""
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.section_digest(token_counts.count_tokens(docs, VOCABULARY, keep=["doc_id"]))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a sentence model learnt from document labels."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels)
+    return toxicity.toxicity_digest(toxicity.score_documents(docs, model, keep=["doc_id"]))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded again, with digests of both."""
     docs = _table(spark, sf_dir, "documents")
@@ -44,5 +57,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
