@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup, token_counts, toxicity
+from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup, token_counts, topk, toxicity
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +47,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.find_contamination(docs, bench, keep=["doc_id"]))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector among all others."""
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that lie in a 100-byte string seen earlier in the corpus."""
     docs = _table(spark, sf_dir, "documents")
@@ -57,5 +64,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+ORACLES: dict[str, str] = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+            FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        ) WHERE rank <= 5
+    """,
+}
