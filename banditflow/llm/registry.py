@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditflow.llm import bpe, decontaminate, near_dup, sharding, substring_dedup, token_counts, topk, toxicity
+from banditflow.llm import bpe, decontaminate, lm, near_dup, sharding, substring_dedup, token_counts, topk, toxicity
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(bpe.encode_texts(docs, VOCABULARY, keep=["doc_id"], decoded=True))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a self-attention model and under word counts."""
+    return lm.score_texts(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a ten-word window of a benchmark item."""
     docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -64,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
