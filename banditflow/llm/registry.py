@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditflow.llm import bpe, decontaminate, lm, near_dup, sharding, substring_dedup, token_counts, topk, toxicity
+from banditflow.llm import bpe, decontaminate, lm, near_dup, sharding, substring_dedup, token_counts, tool_calls, topk, toxicity
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all conversations with their results, in topological order, as canonical JSON."""
+    calls, results = tool_calls.conversation_calls(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), n_words=4)
@@ -69,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
