@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from banditflow.functions import linalg as L
 from banditflow.operators.ordering import global_index
-from banditflow.session import materialize
+from banditflow.session import materialize, release
 
 
 def _bound_ok(dist, bound, strict: bool):
@@ -108,11 +108,13 @@ def _stars(parent: DataFrame) -> DataFrame:
     parent = materialize(parent)
     while True:
         up = parent.select(F.col("root").alias("parent"), F.col("parent").alias("up"))
-        parent = materialize(parent.select("root", "parent").join(up, "parent").select(
+        jumped = materialize(parent.select("root", "parent").join(up, "parent").select(
             "root", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")
         ))
+        release(parent)
+        parent = jumped
         if not parent.agg(F.max("moved")).first()[0]:
-            return parent.select("root", "parent")
+            return parent
 
 
 def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -125,7 +127,7 @@ def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     """
     a, b = F.col(src), F.col(dst)
     left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    labels = None
+    labels, used = None, []
     while labels is None or not left.isEmpty():
         ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = ends.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("m"))
@@ -137,11 +139,15 @@ def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
             labels = labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
         pa = parent.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         pb = parent.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
-        left = materialize(
+        fewer = materialize(
             left.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         )
-    return materialize(labels)
+        release(left)
+        left, used = fewer, [*used, parent]
+    out = materialize(labels)
+    release(left, *used)
+    return out
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -86,4 +86,17 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_materialized_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df._materialized_path = None
