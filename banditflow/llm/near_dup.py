@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, window_hashes, word_hashes
 from banditflow.operators.graph import edge_components
-from banditflow.session import materialize
+from banditflow.session import materialize, release
 
 COORDS, TREES, LEAF, DEPTH, SKETCH = 64, 12, 64, 8, 0.5
 
@@ -88,11 +88,11 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([path.view(np.int64), doc[i], n[i]], names=["path", "doc", "n"])
 
 
-def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> DataFrame:
-    """(path, doc, n, m, m_n): the members of every leaf with two or more, m being its smallest id."""
+def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, doc, n, m, m_n): the members of every leaf with two or more, m being its smallest id; its tables."""
     kind = "path long, doc long, n long"
     rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind)
-    out = None
+    out, tables = None, []
     for level in range(1, depth + 1):
         rows = materialize(rows)
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("first"))
@@ -100,13 +100,15 @@ def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> DataFrame:
             "path", "size", F.col("first.doc").alias("m"), F.col("first.n").alias("m_n")
         )
         grown = materialize(rows.join(sizes, "path"))
+        release(rows)
+        tables.append(grown)
         done = (grown if level == depth else grown.where(F.col("size") <= leaf)).drop("size")
         out = done if out is None else out.unionAll(done)
         large = grown.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             break
         rows = large.select("path", "doc").join(sig.select("doc", "n", "tokens"), "doc").mapInArrow(_branch, kind)
-    return out
+    return out, tables
 
 
 def _near(pairs: DataFrame, sig: DataFrame, sketch: float) -> DataFrame:
@@ -147,7 +149,9 @@ def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
     sets = materialize(sets)
     x = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    release(sets)
+    return out
 
 
 def _blocks(leaves: DataFrame, labels: DataFrame, leaf: int, percent: int) -> DataFrame:
@@ -245,7 +249,7 @@ def near_duplicates(
     sig = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "tokens", "sketch")
     reps = body.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
 
-    leaves = _leaves(sig, trees, leaf, depth)
+    leaves, tables = _leaves(sig, trees, leaf, depth)
     small, great = F.least("n", "m_n"), F.greatest("n", "m_n")
     first = leaves.where((F.col("m") != F.col("doc")) & (100 * small >= percent * great))
     first = materialize(_near(first.select(F.col("m").alias("a"), F.col("doc").alias("b")).distinct(), sig, sketch))
@@ -256,6 +260,7 @@ def near_duplicates(
     if not rest.isEmpty():
         links = links.unionAll(_confirm(rest, reps, n_words, percent))
         labels = edge_components(links, "a", "b")
+    release(first, rest, *tables)
     rep_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "s1", "s2", F.coalesce("label", "rep").alias("component")
     )
