@@ -6,21 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banditflow.functions import linalg as L
+from banditflow.functions.draws import uniform_int
 from banditflow.operators.ordering import running_sum
 
-# Fixed values of the seeded arm draw (Park-Miller minimal standard generator):
-#   modulus 2147483647, multiplier 48271, seed stride 7919.
-_PM_MOD = 2147483647
-_PM_MULT = 48271
-_SEED_STRIDE = 7919
-
 
 def random_arm(round_id: Column, n_arms: int | Column, seed: int = 0) -> Column:
-    """Seeded uniform-looking arm per round, by integer arithmetic (same on any engine)."""
-    state = F.pmod(round_id + F.lit(seed * _SEED_STRIDE + 1), F.lit(_PM_MOD))
-    mixed = F.pmod(state * F.lit(_PM_MULT), F.lit(_PM_MOD))
-    k = F.lit(n_arms) if isinstance(n_arms, int) else n_arms
-    return F.pmod(mixed, k).cast("int")
+    """Seeded uniform arm per round (``functions.draws``; the same on any engine)."""
+    return uniform_int(round_id, n_arms, seed)
 
 
 def random_policy(log: DataFrame, seed: int = 0, reward: str = "matrix") -> DataFrame:

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from banditflow.functions import linalg as L
+from banditflow.functions.draws import mixed
 from banditflow.operators.graph import degree
 from banditflow.operators.ordering import global_index
-from banditflow.sources.fixtures import partner_key
 
 
 def partner_pairs(users: DataFrame, seed: int = 0) -> DataFrame:
-    """X pulls from perm(x): the k-th user by id pairs with the k-th user by a seeded key.
+    """X pulls from perm(x): the k-th user by id pairs with the k-th user by a seeded hash.
+
+    The hash mixes id and seed, so each seed gives another random permutation; as in any, an agent may
+    draw itself.
 
     Both orders are distributed dense indexes (``global_index``), joined on k.
     """
     u = users.select("user_id").distinct()
     by_id = global_index(u, "user_id", "k").select("k", F.col("user_id").alias("src"))
-    keyed = u.withColumn("_hk", partner_key(F.col("user_id"), seed))
+    keyed = u.withColumn("_hk", mixed(F.col("user_id").cast("long"), seed))
     by_key = global_index(keyed, ["_hk", "user_id"], "k").select("k", F.col("user_id").alias("dst"))
     return by_id.join(by_key, "k").select("src", "dst")
 

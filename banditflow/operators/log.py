@@ -64,7 +64,7 @@ def assign_stage(df: DataFrame, iteration_length: int, control: float, col: str
     )
 
 
-def limit_rounds(df: DataFrame, n: int, col: str = "round_id") -> DataFrame:
+def limit_rounds(df: DataFrame, n: int | Column, col: str = "round_id") -> DataFrame:
     """Deterministic cap on rounds (round_id < n), unlike ``limit``."""
     return df.where(F.col(col) < n)
 

@@ -10,27 +10,19 @@ K = 5, d = 4 and written in the same association order as the Spark side.
 
 from __future__ import annotations
 
-from banditflow.sources.fixtures import (
-    ARM_OFFSET,
-    ARM_STRIDE,
-    D,
-    K,
-    N_VECS,
-    PARTNER_MOD,
-    PARTNER_MULT,
-    PARTNER_SEED_MULT,
-    REWARD_CUT,
-    SCALE,
-)
+# The fixture rule, written out (FIXTURES.md section 3), not imported: a change on the Spark side shows.
+K, D = 5, 4
+ARM_STRIDE, ARM_OFFSET = 7, 101
+QUARTER = 16
+REWARD_CUT = 0.5
+N_VECS = "(SELECT count(*) FROM embeddings)"
 
 ALPHA, ALPHA2 = 0.03, 0.7
-GRAPH_ALPHA2 = 0.2  # static graph fixture: 27 components at sf0.01
+GRAPH_ALPHA2 = 0.2  # static graph fixture
 ACTIVE_MIN = 70
 STAGE_L = 5000
 CHUNK = 20
-CAP = 80000
 R = 6
-PM_MOD, PM_MULT, SEED_STRIDE = 2147483647, 48271, 7919
 
 
 # ------------------------------------------------------------------ expression helpers
@@ -103,14 +95,23 @@ def _zeros(d: int = D) -> str:
     return "[" + ", ".join(["0.0::DOUBLE"] * d) + "]"
 
 
+def _mixed(key: str, seed: int = 0) -> str:
+    """The seeded 31-bit hash, by lambda steps so that each value is written once."""
+    p = 2147483647
+    x = f"((({key}) % {p}) * 48271 + ((({key}) // {p}) % {p}) * 40014 + {seed * 69621 + 7919}) % {p}"
+    for shift, times in ((15, 1664525), (13, 22695477)):
+        x = f"list_transform([{x}], lambda h: (xor(h, h >> {shift}) * {times}) % {p})[1]"
+    return f"list_transform([{x}], lambda h: xor(h, h >> 16))[1]"
+
+
 def _random_arm(round_id: str, k: str | int = K, seed: int = 0) -> str:
-    s = f"(({round_id} + {seed * SEED_STRIDE + 1}) % {PM_MOD})"
-    return f"CAST(((({s} * {PM_MULT}) % {PM_MOD}) % {k}) AS INTEGER)"
+    return f"CAST((({_mixed(round_id, seed)}) * {k}) >> 31 AS INTEGER)"
 
 
 # ------------------------------------------------------------------ fixtures
 def _vec_expr() -> str:
-    return "[" + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {SCALE}" for i in range(D)) + "]"
+    quarters = [range(i * QUARTER + 1, (i + 1) * QUARTER + 1) for i in range(D)]
+    return "[" + ", ".join(_fold([f"CAST(embedding[{j}] AS DOUBLE)" for j in q]) for q in quarters) + "]"
 
 
 FIXTURES = f"""
@@ -143,12 +144,6 @@ user_vec AS (
          count(*) AS t
   FROM bandit_log GROUP BY user_id
 ),
-user_vec1 AS (
-  SELECT user_id,
-         [{", ".join(f"sum(rewards[2] * arms[2][{i + 1}]) / count(*)" for i in range(D))}] AS theta,
-         count(*) AS t
-  FROM bandit_log GROUP BY user_id
-),
 arm0_state AS (
   SELECT user_id,
          [{", ".join(
@@ -184,7 +179,7 @@ labels AS (SELECT node AS user_id, min(lbl) AS label FROM reach GROUP BY node),
 clusters AS (SELECT user_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS cluster_id FROM labels),
 by_id AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS k FROM all_users),
 by_key AS (
-  SELECT user_id, row_number() OVER (ORDER BY (user_id * {PARTNER_MULT} + {0 * PARTNER_SEED_MULT}) % {PARTNER_MOD}, user_id) AS k
+  SELECT user_id, row_number() OVER (ORDER BY {_mixed('user_id', 0)}, user_id) AS k
   FROM all_users
 ),
 pairs AS (SELECT a.user_id AS src, b.user_id AS dst FROM by_id a JOIN by_key b USING (k)),
@@ -789,7 +784,7 @@ def _build() -> dict[str, str]:
         f"SELECT round_id, CAST(round_id // {STAGE_L} AS INTEGER) AS block, "
         f"CASE WHEN round_id % {STAGE_L} < {int(0.5 * STAGE_L)} THEN 'user' ELSE 'cluster' END AS stage FROM bandit_log"
     )
-    o["round_cap"] = _with(f"SELECT round_id, user_id FROM bandit_log WHERE round_id < {CAP}")
+    o["round_cap"] = _with("SELECT round_id, user_id FROM bandit_log WHERE round_id < (SELECT n FROM n_rounds) * 4 // 5")
     o["active_users"] = _with(
         f"SELECT user_id, count(*) AS n_rounds FROM bandit_log GROUP BY user_id HAVING count(*) >= {ACTIVE_MIN}"
     )

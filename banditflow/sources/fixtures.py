@@ -16,33 +16,39 @@ from banditflow.operators.ordering import global_index
 from banditflow.sources.testdata import read_table
 
 # Fixed values of the fixture rule (FIXTURES.md section 3):
-#   K = 5 arms, d = 4 features, arm a uses embedding vec_id = (event_id*7 + a*101) % 500,
-#   features = first 4 embedding components * 4, reward of an arm = 1 when its
-#   component (user_id % 4) exceeds 0.5; label log: label = (event_id*7 + (user_id%5)*101) % 500;
-#   cold users: user_id % 5 = 0 keep rounds with round_id >= N*3/4;
-#   partner order key: (user_id*7919 + seed*104729) % 1000003.
+#   K = 5 arms, d = 4 features, arm a uses embedding vec_id = (event_id*7 + a*101) % (rows of embeddings),
+#   feature i = sum of the 16 components 16i+1 .. 16i+16 of that embedding, in order; reward of an arm = 1
+#   when its component (user_id % 4) exceeds 0.5; label log: label = (event_id*7 + (user_id%5)*101) %
+#   (rows of embeddings); cold users: user_id % 5 = 0 keep rounds with round_id >= N*3/4.
 K = 5
 D = 4
 ARM_STRIDE = 7
 ARM_OFFSET = 101
-N_VECS = 500
-SCALE = 4.0
+QUARTER = 16
 REWARD_CUT = 0.5
-PARTNER_MULT = 7919
-PARTNER_SEED_MULT = 104729
-PARTNER_MOD = 1000003
+
+
+def _n_vecs(spark: SparkSession, sf_dir: str) -> Column:
+    return read_table(spark, sf_dir, "embeddings").select(F.count(F.lit(1))).scalar()
 
 
 def _vec_id(a: int) -> Column:
-    return (F.col("event_id") * ARM_STRIDE + a * ARM_OFFSET) % N_VECS
+    return (F.col("event_id") * ARM_STRIDE + a * ARM_OFFSET) % F.col("_n_vecs")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    return ev.withColumn("_n_vecs", _n_vecs(spark, sf_dir))
 
 
-def _scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole embedding as D features, one for each quarter."""
     emb = read_table(spark, sf_dir, "embeddings")
-    return emb.select(
-        "vec_id",
-        F.transform(F.slice("embedding", 1, D), lambda v: v.cast("double") * SCALE).alias("vec"),
-    )
+    quarters = [
+        F.aggregate(F.slice("embedding", i * QUARTER + 1, QUARTER), F.lit(0.0), lambda s, v: s + v.cast("double"))
+        for i in range(D)
+    ]
+    return emb.select("vec_id", F.array(*quarters).alias("vec"))
 
 
 def arm_rewards(arms: Column, user_id: Column) -> Column:
@@ -53,9 +59,8 @@ def arm_rewards(arms: Column, user_id: Column) -> Column:
 
 def bandit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """round_id, user_id, arms array<array<double>> (K x d), rewards array<double> (K)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
-    vecs = _scaled_vectors(spark, sf_dir)
-    df = ev
+    vecs = _feature_vectors(spark, sf_dir)
+    df = _events(spark, sf_dir)
     for a in range(K):
         # the same dimension plan each time, so one broadcast (or shuffle) of it is reused
         v = vecs.alias(f"v{a}")
@@ -71,9 +76,9 @@ def bandit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """round_id, user_id, arms (K x 1, the vec_id), label: the rewarded arm's value."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = _events(spark, sf_dir)
     arms = F.array(*[F.array(_vec_id(a).cast("double")) for a in range(K)])
-    label = ((F.col("event_id") * ARM_STRIDE + F.pmod("user_id", F.lit(K)) * ARM_OFFSET) % N_VECS).cast("double")
+    label = ((F.col("event_id") * ARM_STRIDE + F.pmod("user_id", F.lit(K)) * ARM_OFFSET) % F.col("_n_vecs")).cast("double")
     return ev.select(F.col("event_id").alias("round_id"), "user_id", arms.alias("arms"), label.alias("label"))
 
 
@@ -111,7 +116,3 @@ def replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("pos"),
         (F.lit(1) + F.pmod(F.col("event_id") * ARM_STRIDE, n_rounds)).cast("long").alias("row_id"),
     )
-
-
-def partner_key(user_id: Column, seed: int) -> Column:
-    return F.pmod(user_id * PARTNER_MULT + F.lit(seed * PARTNER_SEED_MULT), F.lit(PARTNER_MOD))
