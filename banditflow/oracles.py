@@ -19,6 +19,7 @@ N_VECS = "(SELECT count(*) FROM embeddings)"
 
 ALPHA, ALPHA2 = 0.03, 0.7
 GRAPH_ALPHA2 = 0.2  # static graph fixture
+SHARE_ALPHA2 = 0.45  # static sharing fixture
 ACTIVE_MIN = 70
 STAGE_L = 5000
 CHUNK = 20
@@ -257,19 +258,25 @@ agents AS (
          [{", ".join(th)}] AS theta
   FROM ag0
 ),
+cuts0 AS (
+  SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
+    SELECT src AS a, dst AS b FROM pairs WHERE src % 4 = 0 AND src <> dst
+    UNION ALL SELECT user_id, user_id + 1 FROM all_users WHERE user_id % 5 = 0
+  ) WHERE greatest(a, b) IN (SELECT user_id FROM all_users)
+),
 deg AS (
-  SELECT u.user_id, CAST(coalesce(c.n, 0) AS BIGINT) AS degree FROM all_users u
-  LEFT JOIN (SELECT a AS user_id, count(*) AS n FROM und GROUP BY a) c USING (user_id)
+  SELECT u.user_id, (SELECT count(*) FROM all_users) - 1 - count(c.src) AS degree FROM all_users u
+  LEFT JOIN cuts0 c ON u.user_id = c.src OR u.user_id = c.dst GROUP BY u.user_id
 ),
 sj AS (
   SELECT x.user_id, x.cov, x.b, x.cov_loc, x.b_loc, x.buf_len, p.cov AS p_cov, p.b AS p_b, p.buf_len AS p_buf_len,
-         (e.src IS NOT NULL) AS has_edge,
-         {_l2("x.theta", "p.theta")} >= {_cb("x.t", "p.t")} AS far,
+         (x.user_id <> p.user_id AND e.src IS NULL) AS has_edge,
+         {_l2("x.theta", "p.theta")} >= {_cb("x.t", "p.t", SHARE_ALPHA2)} AS far,
          dx.degree = dp.degree AS same_deg
   FROM agents x JOIN pairs pr ON pr.src = x.user_id
   JOIN agents p ON p.user_id = pr.dst
   JOIN deg dx ON dx.user_id = x.user_id JOIN deg dp ON dp.user_id = p.user_id
-  LEFT JOIN edges e ON e.src = least(x.user_id, p.user_id) AND e.dst = greatest(x.user_id, p.user_id)
+  LEFT JOIN cuts0 e ON e.src = least(x.user_id, p.user_id) AND e.dst = greatest(x.user_id, p.user_id)
 )"""
 
 
@@ -923,6 +930,11 @@ def _build() -> dict[str, str]:
         "has_edge AND far AS reset, has_edge AND NOT far AND same_deg AS averaged FROM sj",
         _static_agents(),
     )
+    o["long_chain_components"] = _with(
+        "SELECT user_id, dense_rank() OVER (ORDER BY low) - 1 AS cluster_id FROM ("
+        "SELECT user_id, min(user_id) OVER (PARTITION BY k // 70) AS low FROM ("
+        f"SELECT user_id, row_number() OVER (ORDER BY {_mixed('user_id', 3)}, user_id) - 1 AS k FROM all_users))"
+    )
     o["agent_policy"] = _with("SELECT round_id, user_id, choice, reward FROM agent WHERE seq > 0", _agent_cte())
     o["cluster_policy"] = _with(
         "SELECT round_id, user_id, choice, reward, used AS cluster_used FROM p2 WHERE seq > 0", _cluster_policy_ctes()

@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 
 from banditflow.config import ReplayConfig
 from banditflow.functions import linalg as L
+from banditflow.functions.draws import mixed
 from banditflow.operators import evaluate as E
 from banditflow.operators import graph as G
 from banditflow.operators import gossip as GS
 from banditflow.operators import log as LG
 from banditflow.operators import state as S
 from banditflow.operators.folds import BufferedAgent, UserUCB, run_fold
+from banditflow.operators.ordering import global_index
 from banditflow.sources import fixtures as fx
 from banditflow.sources.testdata import read_table
 
 K, D = fx.K, fx.D
 ALPHA, ALPHA2 = 0.03, 0.7
-GRAPH_ALPHA2 = 0.2  # static graph fixture: 27 components at sf0.01
+GRAPH_ALPHA2 = 0.2  # static graph fixture
+SHARE_ALPHA2 = 0.45  # static sharing fixture: near and far partners both occur
 ACTIVE_MIN = 70  # makes the active-user filter a real filter at sf0.01
 STAGE_L = 5000
 CHUNK = 20
@@ -376,12 +379,29 @@ def q_agent_policy(spark, sf):
     return res.decisions.select("round_id", "user_id", "choice", "reward")
 
 
+def q_long_chain_components(spark, sf):
+    """G3 on long chains: users in hash order, each linked to the next unless the hash parts them."""
+    users = _log(spark, sf).select("user_id").distinct()
+    at = global_index(users.withColumn("_hk", mixed(F.col("user_id"), 3)), ["_hk", "user_id"], "k").select("user_id", "k")
+    after = at.select(F.col("user_id").alias("dst"), (F.col("k") - 1).alias("k"))
+    edges = at.join(after, "k").where(F.pmod("k", F.lit(70)) != 69).select(F.col("user_id").alias("src"), "dst")
+    return G.connected_components(users, edges)
+
+
 def q_share_step(spark, sf):
     from banditflow.plans.gossip import static_agents
 
     agents, theta = static_agents(spark, sf)
-    pairs = GS.partner_pairs(_log(spark, sf).select("user_id"), 0)
-    new, cut = GS.share(agents, theta, pairs, _edges(spark, sf), ALPHA2)
+    users = _log(spark, sf).select("user_id").distinct()
+    pairs = GS.partner_pairs(users, 0)
+    # cut already: every fourth user's own pair (no edge), and the pair with the next user of every
+    # fifth (unequal degrees)
+    cuts = pairs.where((F.pmod("src", F.lit(4)) == 0) & (F.col("src") != F.col("dst"))).unionAll(
+        users.where(F.pmod("user_id", F.lit(5)) == 0).select("user_id", F.col("user_id") + 1)
+    )
+    cuts = cuts.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    cuts = cuts.join(users, cuts["dst"] == users["user_id"], "left_semi")
+    new, cut = GS.share(agents, theta, pairs, None, SHARE_ALPHA2, cuts=cuts)
     return new.select(
         "user_id", _ra("cov").alias("cov"), _ra("b").alias("b"), F.size("buf").alias("buf_len"), "reset", "averaged"
     )

@@ -8,6 +8,7 @@ session has none (``spark.checkpoint.dir`` unset), which is the test case.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint directory.
 
     Reads ``spark.checkpoint.dir`` (the shared folder a cluster names); only
-    when it is unset -- local tests -- a fresh private folder is created.
+    when it is unset and the master is local -- tests -- a fresh private folder
+    is created.  (``local-cluster`` counts as a cluster.)
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises on some versions
             configured = None
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="banditflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

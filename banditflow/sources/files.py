@@ -20,7 +20,7 @@ from banditflow.operators.ordering import global_index
 
 def _read_positional(spark: SparkSession, path: str, n_cols: int, typ: T.DataType) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", typ, True) for i in range(n_cols)])
-    df = spark.read.schema(schema).option("header", "false").csv(path)
+    df = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST").csv(path)
     # Line order = (file, split start, increasing id inside the split): unique and ordered.
     keyed = df.select(
         "*",
