@@ -14,6 +14,6 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from banditflow.session import local_session
 
-    s = local_session(cpus="*", shuffle_partitions=8)
+    s = local_session(cpus=os.environ.get("TEST_CPUS", "*"), shuffle_partitions=8)
     yield s
     s.stop()
