@@ -208,7 +208,7 @@ def _classes(texts: list[np.ndarray], begins: np.ndarray, size: int, rng: np.ran
     flat = np.concatenate(texts)
     common = np.argsort(-np.bincount(flat, minlength=size), kind="stable")[:64]
     column = np.full(size, -1)
-    column[common] = np.arange(64)
+    column[common] = np.arange(len(common))
     company = np.zeros((size, 64))
     for d in (1, 2, 3, 5, 8):
         for a, b in ((flat[:-d], flat[d:]), (flat[d:], flat[:-d])):
