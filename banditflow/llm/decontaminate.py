@@ -150,10 +150,10 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, n: int, keep: list[str] | Non
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("n_hit"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
-    k, h = row_key()
-    base = docs.withColumns({"_k": k, "_h": h, "n_words": F.size(_word_array(F.coalesce(F.col("text"), F.lit(""))))})
+    n_words = F.size(_word_array(F.coalesce(F.col("text"), F.lit("")))).alias("n_words")
+    base = docs.select(*row_key(), n_words, *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(kept)])
     return base.join(found, ["_k", "_h"], "left").select(
-        *kept,
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)],
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce(found["n_hit"], F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(found["items"], F.array().cast("array<string>")).alias("items"),
