@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,8 @@ from banditflow.llm.texts import U64, mix64, row_key
 from banditflow.session import materialize
 
 LENGTH, GRAM = 100, 32
-_CHUNK = 1 << 22  # bytes hashed at once
+_CHUNK = 1 << 20  # bytes hashed at once
+_SHARE = 1 << 23  # bytes of texts settled at once
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 #: One row a name: trigger g, content c, document (k, h), and place = lo << 16 | (anchor - lo) << 8 |
@@ -206,9 +208,20 @@ def _texts(b: pa.RecordBatch, name: str = "body") -> list[bytes]:
     return b.column(name).to_pylist()
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about _SHARE bytes of texts, so that what is held beside them is bounded."""
+    for b in batches:
+        size = pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False).astype(np.int64)
+        share = np.cumsum(size) // _SHARE
+        edge = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(share)]
+        for lo, hi in zip(edge, edge[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
 def _scan(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _shares(batches):
             yield from _settle(_phrases(_texts(b), length), _column(b, "_k"), _column(b, "_h"))
 
     return run
@@ -216,7 +229,7 @@ def _scan(length: int) -> Callable:
 
 def _take_apart(length: int, cut: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _shares(batches):
             open_ = [
                 np.array([[r["lo"], r["hi"], r["anchor"]] for r in rows], np.int64).reshape(-1, 3)
                 for rows in b.column("open").to_pylist()
@@ -341,7 +354,7 @@ def remove_repeats(
     place = [f"__{i}" if c != "text" else "body" for i, c in enumerate(kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _shares(batches):
             out: dict = {c: [] for c in new}
             for t, los, his in zip(_texts(b), b.column("los").to_pylist(), b.column("his").to_pylist()):
                 gone = np.zeros(len(t) + 1, np.int32)
