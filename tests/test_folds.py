@@ -17,7 +17,7 @@ def test_user_policy_matches_numpy_loop(spark):
     got = {r.round_id: (r.choice, r.reward) for r in res.decisions.collect()}
     want, state = bf.user_policy(_rows(log), fx.D)
     assert got == want
-    assert sum(r for _, r in got.values()) == 566  # recorded total at sf0.001
+    assert sum(r for _, r in got.values()) == 513  # the numpy loop's total at sf0.001
     st = {r.user_id: r for r in res.state.collect()}
     for uid, (A, b, t) in state.items():
         assert st[uid].t == t
@@ -26,7 +26,7 @@ def test_user_policy_matches_numpy_loop(spark):
 
 def test_user_policy_total_sf001(spark):
     res = run_fold(fx.bandit_log(spark, SF01), None, UserUCB(fx.D, fx.K, 0.03))
-    assert res.decisions.agg(F.sum("reward")).first()[0] == 5207
+    assert res.decisions.agg(F.sum("reward")).first()[0] == 5235  # the numpy loop's total
 
 
 def test_small_batches_carry_state(spark):

@@ -34,7 +34,7 @@ def test_components_match_union_find(spark):
     got = {r.user_id: r.cluster_id for r in G.connected_components(users, edges).collect()}
     want = bf.components([r.user_id for r in users.collect()], [(r.src, r.dst) for r in edges.collect()])
     assert got == want
-    assert len(set(got.values())) == 27
+    assert len(set(got.values())) == 31
 
 
 def test_complement_components(spark):
@@ -86,3 +86,49 @@ def test_complement_components_few_cuts_is_connected(spark):
     iso = spark.createDataFrame([(j, 5) for j in range(5)], "src long, dst long")
     got = {r.user_id: r.cluster_id for r in G.complement_components(nodes, iso).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def _components(spark, n, pairs):
+    edges = spark.createDataFrame(pairs or [(0, 0)], "src long, dst long")
+    users = spark.range(n).withColumnRenamed("id", "user_id")
+    got = {r.user_id: r.cluster_id for r in G.connected_components(users, edges).collect()}
+    assert got == bf.components(list(range(n)), pairs)
+
+
+def test_components_of_any_shape(spark):
+    """Paths in an order that label propagation walks step by step, stars, grids, forests: no cap on rounds."""
+    import random
+
+    rng = random.Random(3)
+    path = [0, *range(149, 0, -1)]
+    _components(spark, 150, list(zip(path, path[1:])))
+    _components(spark, 200, [(199, i) for i in range(199)])
+    grid = [(i * 12 + j, i * 12 + j + 1) for i in range(12) for j in range(11)] + [(i * 12 + j, i * 12 + 12 + j) for i in range(11) for j in range(12)]
+    _components(spark, 144, grid)
+    _components(spark, 300, [(rng.randrange(300), rng.randrange(300)) for _ in range(200)])
+
+
+def test_long_path_takes_few_tables(spark, monkeypatch):
+    import random
+
+    nodes = list(range(2000))
+    random.Random(5).shuffle(nodes)
+    written = []
+    keep = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df: written.append(1) or keep(df))
+    got = G.edge_components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "src long, dst long"))
+    assert got.select("label").distinct().collect() == [(0,)] and got.count() == 2000
+    assert len(written) < 40
+
+
+def test_complement_of_dense_cuts(spark):
+    """Two groups with every pair between them cut, and a path whose other pairs are all cut."""
+    n = 24
+    cuts = [(i, j) for i in range(12) for j in range(12, n)]
+    users = spark.range(n).withColumnRenamed("id", "user_id")
+    got = {r.user_id: r.cluster_id for r in G.complement_components(users, spark.createDataFrame(cuts, "src long, dst long")).collect()}
+    assert got == {i: int(i >= 12) for i in range(n)}
+    path = {(i, i + 1) for i in range(n - 1)}
+    cuts = [(i, j) for i in range(n) for j in range(i + 1, n) if (i, j) not in path]
+    got = G.complement_components(users, spark.createDataFrame(cuts, "src long, dst long")).collect()
+    assert {r.cluster_id for r in got} == {0}

@@ -57,3 +57,33 @@ def test_curve_sinks(spark):
     back = spark.read.parquet(os.path.join(tmp, "curve"))
     assert back.count() == 1000
     assert set(back.columns) == {"round_id", "cum_reward", "cum_random", "ratio"}
+
+
+def test_malformed_numbers_fail(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "u.csv").write_text("1\n1.0\n3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_users(spark, str(tmp_path / "u.csv")).collect()
+
+
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    from banditflow.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+        class getConf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
