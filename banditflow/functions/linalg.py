@@ -35,11 +35,6 @@ def sub(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
-def scale(a: ColumnOrName, s: ColumnOrName | float) -> Column:
-    s = F.lit(s) if isinstance(s, (int, float)) else _c(s)
-    return F.transform(_c(a), lambda x: x * s)
-
-
 def average(a: ColumnOrName, b: ColumnOrName) -> Column:
     """(a + b) / 2 elementwise."""
     return F.zip_with(_c(a), _c(b), lambda x, y: (x + y) / 2.0)

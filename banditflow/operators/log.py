@@ -22,14 +22,6 @@ def log_shape(log: DataFrame) -> DataFrame:
     )
 
 
-def infer_shape(log: DataFrame) -> tuple[int, int]:
-    """(K, d) as Python ints; raises when the log is ragged."""
-    row = log_shape(log).first()
-    if row is None or row["k_min"] != row["k_max"] or row["d_min"] != row["d_max"]:
-        raise ValueError(f"arms are not a constant K x d shape: {row}")
-    return int(row["k_min"]), int(row["d_min"])
-
-
 def reshape_arms(flat: Column | str, k: int, d: int) -> Column:
     """Flat arm-major row (K*d values) -> K x d array of arms."""
     flat = F.col(flat) if isinstance(flat, str) else flat

@@ -79,10 +79,10 @@ def running_sum(
 
     Rows are grouped into key ranges of ``block`` keys; each range is one window
     partition (bounded by ``block`` rows), and the totals of earlier ranges --
-    one row per range -- are added back through a broadcast join.
+    one row per range -- are added back by a join.
     """
     blk = F.floor(F.col(order) / F.lit(block)).cast("long")
-    with_blk = df.withColumn("_bf_blk", blk)
+    with_blk = materialize(df.withColumn("_bf_blk", blk))  # read twice
     w = Window.partitionBy("_bf_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = with_blk.select("*", *[F.sum(v).over(w).alias(f"_bf_loc_{v}") for v in values])
     totals = with_blk.groupBy("_bf_blk").agg(*[F.sum(v).alias(f"_bf_tot_{v}") for v in values])
@@ -91,7 +91,7 @@ def running_sum(
         "_bf_blk",
         *[F.coalesce(F.sum(f"_bf_tot_{v}").over(wo), F.lit(0)).alias(f"_bf_off_{v}") for v in values],
     )
-    out = local.join(F.broadcast(offsets), "_bf_blk")
+    out = local.join(offsets, "_bf_blk")
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_bf_loc_{v}") + F.col(f"_bf_off_{v}"))
     return out.drop("_bf_blk", *[f"_bf_loc_{v}" for v in values], *[f"_bf_off_{v}" for v in values])
@@ -140,9 +140,10 @@ def key_index(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | s
     numbered = materialize(parted.mapInPandas(_number_per_key(keys), schema))
     counts = numbered.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_bf_n"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, *keys, F.coalesce(F.sum("_bf_n").over(w), F.lit(0)).alias("_bf_off"))
+    # only a partition's first key can have rows in an earlier one: at most one offset a partition
+    offsets = counts.select(_PID, *keys, F.sum("_bf_n").over(w).alias("_bf_off")).where("_bf_off > 0")
     return (
-        numbered.join(offsets, [_PID, *keys])
-        .withColumn(name, F.col("_bf_off") + F.col(_LOCAL))
+        numbered.join(F.broadcast(offsets), [_PID, *keys], "left")
+        .withColumn(name, F.coalesce("_bf_off", F.lit(0)) + F.col(_LOCAL))
         .drop(_PID, _LOCAL, "_bf_off")
     )

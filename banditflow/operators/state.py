@@ -175,6 +175,9 @@ def cluster_mean_t(cluster_state: DataFrame, block_counts: DataFrame | None, mea
     return j.withColumn("mean_t", F.col("t") / F.col("block_rounds"))
 
 
-def cluster_block_counts(rounds_with_cluster: DataFrame) -> DataFrame:
-    """A3: rounds per cluster in the block."""
-    return rounds_with_cluster.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("block_rounds"))
+def cluster_block_counts(rounds: DataFrame, clusters: DataFrame) -> DataFrame:
+    """A3: rounds per cluster in the block; counted per user first, so one row a user meets the labels."""
+    per_user = rounds.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_user.join(clusters.select("user_id", "cluster_id"), "user_id").groupBy("cluster_id").agg(
+        F.sum("n").alias("block_rounds")
+    )

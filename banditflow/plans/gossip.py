@@ -47,7 +47,7 @@ def local_theta(agents: DataFrame, d: int) -> DataFrame:
 
 
 def gossip_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d: int) -> ReplayResult:
-    rounds = materialize(replay(log, order))
+    rounds = materialize(replay(log, order), by="round_id")
     n_rounds = int(rounds.agg(F.max("round_id")).first()[0]) + 1
     users = materialize(rounds.select("user_id").distinct())
     spark = log.sparkSession

@@ -45,8 +45,7 @@ def _count_row(blk: int, t1: int, t2: int, clusters: DataFrame | None, users: Da
 
 
 def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d: int) -> ReplayResult:
-    rounds = replay(log, order)
-    rounds = materialize(rounds)
+    rounds = materialize(replay(log, order), by="round_id")
     n_rounds = int(rounds.agg(F.max("round_id")).first()[0]) + 1
     users = materialize(rounds.select("user_id").distinct())
     state = materialize(S.init_state(users, d))

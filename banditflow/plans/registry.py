@@ -239,14 +239,14 @@ def q_round_cluster(spark, sf):
 
 
 def q_cluster_block_counts(spark, sf):
-    return S.cluster_block_counts(LG.with_cluster(_log(spark, sf).select("round_id", "user_id"), _clusters(spark, sf)))
+    return S.cluster_block_counts(_log(spark, sf), _clusters(spark, sf))
 
 
 def q_cluster_rollup(spark, sf):
     log = _log(spark, sf)
     clusters = _clusters(spark, sf)
     cs = S.rollup_clusters(arm0_state(log), clusters, D)
-    bc = S.cluster_block_counts(LG.with_cluster(log.select("round_id", "user_id"), clusters))
+    bc = S.cluster_block_counts(log, clusters)
     cm = S.cluster_mean_t(cs, bc, "interactions")
     return cm.select("cluster_id", _ra("A").alias("A"), _ra("b").alias("b"), "t", "members", _r(F.col("mean_t")).alias("mean_t"))
 

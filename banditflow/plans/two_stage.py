@@ -23,7 +23,7 @@ from banditflow.functions import linalg as L
 from banditflow.operators import graph as G
 from banditflow.operators import state as S
 from banditflow.operators.folds import ClusterUCB, UserUCB, run_fold
-from banditflow.operators.log import block, with_cluster
+from banditflow.operators.log import block
 from banditflow.session import materialize
 
 
@@ -71,7 +71,12 @@ def cluster_inputs(state: DataFrame, clusters: DataFrame, cstate: DataFrame, cou
 
 
 def two_stage_replay(log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds: int | None = None) -> ReplayResult:
-    """Run R1 over a log with dense round ids 0..n-1."""
+    """Run R1 over a log with dense round ids 0..n-1.
+
+    The log is written once, clustered by round: each block reads its own rounds, also when round_id is
+    computed (after a filter and renumbering, say).
+    """
+    log = materialize(log, by="round_id")
     if n_rounds is None:
         n_rounds = int(log.agg(F.max("round_id")).first()[0]) + 1
     users = materialize(log.select("user_id").distinct())
@@ -96,7 +101,7 @@ def two_stage_replay(log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds
         if t2 > t_mid:
             cstate = S.rollup_clusters(state, clusters, d)
             rounds = block(log, t_mid, t2)
-            bc = S.cluster_block_counts(with_cluster(rounds, clusters))
+            bc = S.cluster_block_counts(rounds, clusters)
             st2 = cluster_inputs(state, clusters, cstate, bc, cfg.mean_over, d)
             res = run_fold(rounds, st2, ClusterUCB(d, k, cfg.alpha, cfg.reward), track_used=True)
             state = res.state

@@ -74,7 +74,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage: write the table under the checkpoint directory and read it back.
 
     Used between the blocks of the iterative replays, in the connected
@@ -82,13 +82,17 @@ def materialize(df: DataFrame) -> DataFrame:
     state come out of one fold run).  A written Parquet table survives executor
     loss like a reliable checkpoint, and -- unlike ``Dataset.checkpoint``, which
     carries the source plan's size estimate along -- the re-read plan is sized
-    by its files, so size estimates do not compound over iterations.
+    by its files, so size estimates do not compound over iterations.  ``by``
+    clusters the table by ranges of a column, so that a later range filter on it
+    reads only the files and row groups it needs.
     """
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
+    if by is not None:
+        df = df.repartitionByRange(by).sortWithinPartitions(by)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_path = path

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from banditflow.operators.log import build_log, filter_active_users, limit_rounds, renumber_rounds
 from banditflow.operators.ordering import global_index
 
 
@@ -55,6 +56,39 @@ def read_order(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("row_id").alias("pos"), F.col("c0").alias("row_id"))
 
 
+def _n_columns(spark: SparkSession, path: str) -> int:
+    """Columns of a headerless CSV input, from its first line."""
+    return len(spark.read.option("header", "false").csv(path).columns)
+
+
+def load_log(
+    spark: SparkSession,
+    features_path: str,
+    users_path: str,
+    rewards_path: str,
+    label: bool = False,
+    min_rounds: int = 0,
+    max_rounds: int | None = None,
+) -> DataFrame:
+    """The load job: a log ready for the replays (round_id 0..n-1, user_id, arms, rewards or label).
+
+    K is the number of reward columns (with ``label``: of feature columns, d being 1) and d the feature
+    columns divided by K.  Rounds of users with fewer than ``min_rounds`` go, the rest is renumbered in
+    file order, and of those the first ``max_rounds`` stay.
+    """
+    width = _n_columns(spark, features_path)
+    k = width if label else _n_columns(spark, rewards_path)
+    if not k or width % k:
+        raise ValueError(f"{width} feature columns are no multiple of {k} arms")
+    d = width // k
+    rewards = read_rewards(spark, rewards_path, k, "label" if label else "matrix")
+    log = build_log(read_features(spark, features_path, k, d), read_users(spark, users_path), rewards, k, d, label)
+    if min_rounds > 1:
+        log = filter_active_users(log, min_rounds)
+    log = renumber_rounds(log, "row_id", "round_id").drop("row_id")
+    return log if max_rounds is None else limit_rounds(log, max_rounds)
+
+
 def write_curve(curve: DataFrame, path: str) -> None:
     """The normalised reward curve (round_id, cum_reward, cum_random, ratio)."""
     curve.write.mode("overwrite").parquet(path)
@@ -63,8 +97,3 @@ def write_curve(curve: DataFrame, path: str) -> None:
 def write_clusters(cluster_counts: DataFrame, path: str) -> None:
     """The cluster-count curve (block, from_round, to_round, n_clusters, n_edges)."""
     cluster_counts.write.mode("overwrite").parquet(path)
-
-
-def repartition_by_key(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """Spread keyed work; without ``n`` the shuffle partition count (and AQE) decides."""
-    return df.repartition(n, key) if n else df.repartition(key)

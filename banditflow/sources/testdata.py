@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

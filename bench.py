@@ -78,6 +78,8 @@ def main() -> None:
     def two_stage():
         cfg = ReplayConfig(iteration_length=half, control=0.5, mean_over="members")
         r = two_stage_replay(log, cfg, k, d, n_rounds=n_rounds)
+        for out in (r.decisions, r.state, r.cluster_counts):
+            _run(out)
         extra["two_stage_reward"] = r.decisions.agg(F.sum("reward")).first()[0]
 
     timed("two_stage_replay", two_stage)
@@ -85,6 +87,8 @@ def main() -> None:
     def lazy():
         cfg = ReplayConfig(warmup_rounds=fifth, block_length=fifth, chunk_limit=max(1, fifth // 25))
         r = lazy_replay(log, order, cfg, k, d)
+        for out in (r.decisions, r.state, r.cluster_counts):
+            _run(out)
         extra["lazy_reward"] = r.decisions.agg(F.sum("reward")).first()[0]
 
     timed("lazy_replay", lazy)
@@ -92,6 +96,8 @@ def main() -> None:
     def gossip():
         cfg = ReplayConfig(block_length=half, n_shares=1)
         r = gossip_replay(log, order, cfg, k, d)
+        for out in (r.decisions, r.state, r.cluster_counts):
+            _run(out)
         extra["gossip_reward"] = r.decisions.agg(F.sum("reward")).first()[0]
 
     timed("gossip_replay", gossip)

@@ -87,3 +87,33 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_load_log(spark, tmp_path):
+    """Files to a replay-ready log: K and d from the files, users with few rounds left out, rounds renumbered."""
+    rows = [(i, u) for i, u in enumerate([7, 8, 7, 9, 7, 8, 7, 9])]
+    (tmp_path / "x.csv").write_text("".join(",".join(str(i * 10 + j) for j in range(6)) + "\n" for i, _ in rows))
+    (tmp_path / "u.csv").write_text("".join(f"{u}\n" for _, u in rows))
+    (tmp_path / "r.csv").write_text("".join(f"{i % 2},0,{i}\n" for i, _ in rows))
+    (tmp_path / "l.csv").write_text("".join(f"{i * 10 + 2}\n" for i, _ in rows))
+    x, u, r, label = (str(tmp_path / f"{n}.csv") for n in "xurl")
+    got = files.load_log(spark, x, u, r, min_rounds=3).orderBy("round_id").collect()
+    assert [(g.round_id, g.user_id) for g in got] == [(0, 7), (1, 7), (2, 7), (3, 7)]
+    assert got[1].arms == [[20.0, 21.0], [22.0, 23.0], [24.0, 25.0]] and got[1].rewards == [0.0, 0.0, 2.0]
+    few = files.load_log(spark, x, u, label, label=True, max_rounds=5).orderBy("round_id").collect()
+    assert len(few) == 5 and few[3].arms == [[float(30 + j)] for j in range(6)] and few[3].label == 32.0
+
+
+def test_blocks_read_their_own_rounds(spark):
+    """A replay's log is clustered by its computed round_id: ranges of files are disjoint and pushed down."""
+    from banditflow.operators.log import block, filter_active_users, renumber_rounds
+    from banditflow.session import materialize
+    from pyspark.sql import functions as F
+
+    log = filter_active_users(fx.bandit_log(spark, SF001), 55).withColumnRenamed("round_id", "row_id")
+    log = materialize(renumber_rounds(log, "row_id", "round_id"), by="round_id")
+    ranges = log.groupBy(F.input_file_name().alias("f")).agg(F.min("round_id").alias("a"), F.max("round_id").alias("z"))
+    ranges = sorted((r.a, r.z) for r in ranges.collect())
+    assert all(z < a for (_, z), (a, _) in zip(ranges, ranges[1:]))
+    plan = block(log, 100, 200)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(round_id,100)" in plan and "LessThan(round_id,200)" in plan
