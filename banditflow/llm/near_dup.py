@@ -4,17 +4,18 @@
 2. Chosen paths.  In each of ``trees`` independent trees a node picks one or two of the ``coords``
    minwise functions (by a hash of its path, 1.25 on average, so a pair at the threshold has one
    common child on average or more) and hands every document down to the child named by its minwise
-   token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``.
+   token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``;
+   what is then still large is mostly one group of copies, and the next step takes leaves of any size.
 3. Leaves are compared exhaustively, in two steps.  First every member with the leaf's smallest: one
    pair a row, never all pairs, so a group of thousands of copies stays linear.  Then, between
    members that the links found so far have not yet joined: all pairs, in cells of at most about
    ``leaf`` x ``leaf`` documents.
-4. Pairs whose sizes or one-byte minwise sketches rule the threshold out go (a sketch share of
-   ``sketch`` is six standard deviations below 0.8); the others are decided on full sets.
+4. Pairs whose sizes or one-byte minwise sketches rule the threshold out go (a share of ``sketch`` equal
+   bytes out of 256 is 4.4 standard deviations below 0.8); the others are decided on full sets.
 5. Connected components of the confirmed links.
 
-A pair at similarity 0.8 is parted in one tree with probability 0.16 at depth 1, 0.36 at depth 3, 0.5
-at depth 6, so 12 trees miss it with probability below 1e-9, 1e-5 and 3e-4.
+A pair at similarity 0.8 is parted in one tree with probability 0.16 at depth 1, 0.27 at depth 2, 0.42
+at depth 4, so 12 trees miss it with probability below 1e-9, 2e-7 and 4e-5.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, window_h
 from banditflow.operators.graph import edge_components
 from banditflow.session import materialize, release
 
-COORDS, TREES, LEAF, DEPTH, SKETCH = 64, 12, 64, 8, 0.5
+COORDS, SKETCHES, TREES, LEAF, DEPTH, SKETCH = 64, 256, 12, 128, 4, 0.69
 
-_SEED = mix64(np.arange(1, 2 * COORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_XOR, _ODD = _SEED[:COORDS], _SEED[COORDS:] | U64(1)
+_SEED = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_XOR, _ODD = _SEED[:SKETCHES], _SEED[SKETCHES:] | U64(1)
 _NO_ID = -(2**63)
 
 
@@ -44,10 +45,10 @@ def shingle_set(text: bytes, n: int, ids: WordIds) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The minwise token of a non-empty set under each of the COORDS functions (uint32)."""
-    low = np.full(COORDS, 2**64 - 1, U64)
-    for i in range(0, len(s), 2048):
-        np.minimum(low, ((s[i : i + 2048, None] ^ _XOR) * _ODD).min(0), out=low)
+    """The minwise token of a non-empty set under each of the SKETCHES functions (uint32)."""
+    low = np.full(SKETCHES, 2**64 - 1, U64)
+    for i in range(0, len(s), 512):
+        np.minimum(low, ((s[i : i + 512, None] ^ _XOR) * _ODD).min(0), out=low)
     return (low >> U64(32)).astype("<u4")
 
 
@@ -116,7 +117,7 @@ def _near(pairs: DataFrame, sig: DataFrame, sketch: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCHES) for c in ("x", "y"))
             ok = (x == y).mean(1) >= sketch
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
@@ -154,29 +155,36 @@ def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
-def _blocks(leaves: DataFrame, labels: DataFrame, leaf: int, percent: int) -> DataFrame:
-    """All pairs inside leaves between documents that are not yet joined, cell by cell."""
+def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, percent: int, sketch: float) -> DataFrame:
+    """All pairs inside leaves between documents that are not yet joined, cell by cell.
+
+    Of these, the pairs (a, b) whose sizes and sketches do not rule the threshold out.
+    """
     at = leaves.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
         "path", "doc", "n", F.coalesce("label", "doc").alias("label")
     )
     mixed = at.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("main"), F.max("label").alias("other"))
-    at = at.join(mixed.where(F.col("main") != F.col("other")), "path")
+    at = at.join(mixed.where(F.col("main") != F.col("other")), "path").join(sig.select("doc", "sketch"), "doc")
     # the leaf's smallest label is mostly that of the largest group; only the others meet all members
     cells = F.ceil(F.col("size") / leaf).cast("int")
     own = F.pmod(F.xxhash64("doc", "path"), cells).cast("int")
     all_cells = F.sequence(F.lit(0), cells - 1)
     left = at.where(F.col("label") != F.col("main")).select(
-        "path", "doc", "n", "label", own.alias("i"), F.explode(all_cells).alias("j"), F.lit(True).alias("one")
+        "path", "doc", "n", "label", "sketch", own.alias("i"), F.explode(all_cells).alias("j"), F.lit(True).alias("one")
+    )
+    right = at.select(
+        "path", "doc", "n", "label", "sketch", F.explode(all_cells).alias("i"), own.alias("j"), F.lit(False).alias("one")
     )
-    right = at.select("path", "doc", "n", "label", F.explode(all_cells).alias("i"), own.alias("j"), F.lit(False).alias("one"))
     dealt = left.unionAll(right).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "one")
 
     def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, label, one = rows
+        doc, n, label, one, sketches = rows
         x, y = np.flatnonzero(one), np.flatnonzero(~one)
-        far = (label[x][:, None] != label[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
-        i, j = np.nonzero(far)
-        a, b = doc[x[i]], doc[y[j]]
+        low, high = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+        i, j = np.nonzero((label[x][:, None] != label[y]) & (100 * low >= percent * high))
+        i, j = x[i], y[j]
+        near = (sketches[i] == sketches[j]).mean(1) >= sketch
+        a, b = doc[i[near]], doc[j[near]]
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +199,7 @@ def _blocks(leaves: DataFrame, labels: DataFrame, leaf: int, percent: int) -> Da
                 continue
             key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("path", "i", "j")], 1)
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCHES))
             edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for lo, hi in zip(edge, edge[1:]):
                 part = [c[lo:hi] for c in cols]
@@ -232,7 +241,7 @@ def near_duplicates(
                 out["s1"].append(int(name[0].view(np.int64)))
                 out["s2"].append(int(name[1].view(np.int64)))
                 tokens = minwise(s) if len(s) else None
-                out["tokens"].append(None if tokens is None else tokens.tobytes())
+                out["tokens"].append(None if tokens is None else tokens[:COORDS].tobytes())
                 out["sketch"].append(None if tokens is None else tokens.astype(np.uint8).tobytes())
             return out
 
@@ -255,8 +264,8 @@ def near_duplicates(
     first = materialize(_near(first.select(F.col("m").alias("a"), F.col("doc").alias("b")).distinct(), sig, sketch))
     links = _confirm(first, reps, n_words, percent)
     labels = edge_components(links, "a", "b")
-    rest = _blocks(leaves, labels, leaf, percent)
-    rest = materialize(_near(rest.join(first, ["a", "b"], "left_anti"), sig, sketch))
+    rest = _blocks(leaves, labels, sig, leaf, percent, sketch)
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(_confirm(rest, reps, n_words, percent))
         labels = edge_components(links, "a", "b")
