@@ -42,6 +42,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def _strings(text: bytes) -> list[str]:
+    """The words of a text as strings (decoded in one go; no word holds a line end)."""
+    words = words_of(text)
+    return b"\n".join(words).decode("utf-8", "replace").split("\n") if words else []
+
+
+class _Counts(dict):
+    """word -> count, 0 for any other word."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows never learnt from: crc32 of the id as text, modulo 7, is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -128,22 +141,30 @@ _REACH = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)  # distance of
 _SEEN = _REACH >= 0
 
 
-def _attend(m: Model, q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class log probabilities after each query place; q: (n, BLOCK) classes, k: (n, 2 * BLOCK)."""
-    scores = (m.query @ m.key.T).astype(np.float32)
-    weight = np.exp(scores)  # both factors are exponentiated as small tables
+def _tables(m: Model) -> tuple[np.ndarray, ...]:
+    """The attention's factors, exponentiated while they are small tables; values, rest, out and bias in single precision."""
+    weight = np.exp((m.query @ m.key.T).astype(np.float32))
     weight[:, m.blank] = 0.0
     weight[m.blank, m.blank] = 1e-9
     near = np.where(_SEEN, np.exp(m.near)[np.maximum(_REACH, 0)], 0).astype(np.float32)
-    w = weight.ravel()[q[:, :, None] * len(weight) + k[:, None, :]]
+    return weight, near, *(x.astype(np.float32) for x in (m.value, m.rest, m.out, m.bias))
+
+
+def _attend(tables: tuple[np.ndarray, ...], q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class scores after each query place, attention weights and their sums, hidden states.
+
+    q: (n, BLOCK) classes, k: (n, 2 * BLOCK).
+    """
+    weight, near, value, rest, out, bias = tables
+    w = weight.ravel().take(q[:, :, None] * len(weight) + k[:, None, :])
     w *= near
-    w /= w.sum(2, keepdims=True) + 1e-12
-    context = np.matmul(w, m.value.astype(np.float32)[k])
-    h = context + m.rest.astype(np.float32)[q]
-    z = h @ m.out.astype(np.float32) + m.bias.astype(np.float32)
-    z -= z.max(2, keepdims=True)
-    z -= np.log(np.exp(z).sum(2, keepdims=True))
-    return z, w, h
+    total = w.sum(2, keepdims=True) + np.float32(1e-12)
+    h = np.matmul(w, value[k])
+    h /= total
+    h += rest[q]
+    z = h @ out
+    z += bias
+    return z, w, total, h
 
 
 def _layout(m_blank: int, cls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +176,7 @@ def _layout(m_blank: int, cls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     for c in cls:
         n = len(c)  # the start and all classes but the last are read
         size = -(-n // BLOCK) * BLOCK + BLOCK
-        row = np.full(size, m_blank, np.int32)
+        row = np.full(size, m_blank, np.int64)
         row[BLOCK] = m_blank + 1
         row[BLOCK + 1 : BLOCK + n] = c[:-1]
         pieces.append(row)
@@ -177,12 +198,18 @@ def predict(m: Model, texts: list[np.ndarray], chunk: int = 2048) -> list[tuple[
     p = np.empty(blocks.shape, np.float32)
     s = np.empty(blocks.shape, np.float32)
     p[0] = s[0] = 0
+    tables = _tables(m)
     for i in range(1, len(blocks), chunk):
         q = blocks[i : i + chunk]
         k = np.concatenate((blocks[i - 1 : i - 1 + len(q)], q), 1)
-        z = _attend(m, q, k)[0]
-        p[i : i + chunk] = np.take_along_axis(z, follow[i : i + chunk, :, None], 2)[:, :, 0]
-        s[i : i + chunk] = np.log(np.exp(z[:, :, :STARTS]).sum(2))
+        z = _attend(tables, q, k)[0]
+        z -= z.max()  # scores lie close enough together for one shift
+        own = np.take_along_axis(z, follow[i : i + chunk, :, None], 2)[:, :, 0]
+        np.exp(z, out=z)
+        begin = z[:, :, :STARTS].sum(2)
+        whole = begin + z[:, :, STARTS:].sum(2)
+        p[i : i + chunk] = own - np.log(whole)
+        s[i : i + chunk] = np.log(begin / whole)
     p, s = p.ravel(), s.ravel()
     out = []
     for t, at in zip(texts, first):
@@ -266,7 +293,10 @@ def fit(
     for step in range(1, steps + 1):
         i = rng.choice(rows, batch)
         q, k, y = blocks[i], np.concatenate((blocks[i - 1], blocks[i]), 1), follow[i]
-        z, w, h = _attend(m, q, k)
+        z, w, total, h = _attend(_tables(m), q, k)
+        w = w / total
+        z -= z.max(2, keepdims=True)
+        z -= np.log(np.exp(z).sum(2, keepdims=True))
         real = ((q != n) & (y < n)).astype(float)
         dz = np.exp(z).astype(float)
         np.put_along_axis(dz, np.minimum(y, n - 1)[:, :, None], np.take_along_axis(dz, np.minimum(y, n - 1)[:, :, None], 2) - 1, 2)
@@ -338,7 +368,7 @@ def score_texts(
     texts = docs.where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(picked), "doc_id")
     rows = texts.select("doc_id", "text").limit(2 * sample).collect()
     _, encode = loaded(vocabulary)
-    given = [[w.decode("utf-8", "replace") for w in words_of(r.text.encode())] for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    given = [_strings(r.text.encode()) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
     coded = [_encoded(encode, ws) for ws in given]
     inputs = [np.append(i, size - 1) for i, _ in coded]
     of_subword = count_subwords(words, vocabulary, size)
@@ -353,6 +383,7 @@ def score_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
+        known = _Counts(known)
         _, code = loaded(vocabulary)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -393,7 +424,7 @@ def score_texts(
 
 def _scored(m: Model, known: dict, code: Encoder, base: int, part: pa.RecordBatch) -> pa.RecordBatch:
     """One batch of texts: the sums over common words, and the rare words with their probabilities."""
-    given = [[w.decode("utf-8", "replace") for w in words_of(t)] for t in part.column("body").to_pylist()]
+    given = [_strings(t) for t in part.column("body").to_pylist()]
     ids, lens = _encoded(code, [w for ws in given for w in ws])
     n_words = np.array([len(ws) for ws in given])
     word_at = np.concatenate(([0], np.cumsum(n_words)))
@@ -405,7 +436,7 @@ def _scored(m: Model, known: dict, code: Encoder, base: int, part: pa.RecordBatc
     for j, (ws, got) in enumerate(zip(given, predict(m, inputs))):
         p = word_scores(m, inputs[j][:-1], lens[word_at[j] : word_at[j + 1]], got)
         ws = [*ws, END]
-        n = np.fromiter((known.get(w, 0) for w in ws), np.float64, len(ws))
+        n = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
         common = n > 0
         counted = np.log((n + 1) / base)
         out["n_tokens"].append(len(ws))
