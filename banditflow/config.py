@@ -7,8 +7,8 @@ from dataclasses import dataclass, replace
 # Fixed values the results depend on (the published run settings):
 #   exploration weight alpha = 0.03, cluster-bound weight alpha2 = 0.7,
 #   skew chunk limit of the lazy replay = 5000 rounds,
-#   minimum rounds per user: 50 (MovieLens two-stage and comparator),
-#   100 (Yahoo), 15 (lazy replay).
+#   minimum rounds per user (``load_log(min_rounds=...)``): 50 with a reward matrix, 100 with
+#   logged labels, 15 in the lazy replay.
 ALPHA = 0.03
 ALPHA2 = 0.7
 CHUNK_LIMIT = 5000
