@@ -139,24 +139,25 @@ def levels(calls: DataFrame) -> DataFrame:
     ``calls``: conv_id, call_id, needs (array of call ids; ids the conversation does not have, nulls and the
     call itself do not count).  Calls on a cycle, or behind one, are left out.  One job a level.
     """
-    nodes = materialize(calls.select("conv_id", "call_id").distinct())
+    key = ["conv_id", "call_id"]
+    nodes = materialize(calls.select(*key).distinct())
     edges = calls.select("conv_id", F.col("call_id").alias("to"), F.explode("needs").alias("call_id")).where(F.col("to") != F.col("call_id"))
-    edges = materialize(edges.distinct().join(nodes, ["conv_id", "call_id"]).withColumnRenamed("call_id", "from"))
-    waits = edges.select("conv_id", F.col("to").alias("call_id")).distinct()
-    level, done = 0, materialize(nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    out = done
-    while not edges.isEmpty():
-        ready = done.select("conv_id", F.col("call_id").alias("from"))
-        left = materialize(edges.join(ready, ["conv_id", "from"], "left_anti"))
-        freed = edges.select("conv_id", F.col("to").alias("call_id")).distinct().join(
-            left.select("conv_id", F.col("to").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_anti"
+    edges = materialize(edges.distinct().join(nodes, key).withColumnRenamed("call_id", "from"))
+    degree = edges.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count(F.lit(1)).alias("waits"))
+    state = materialize(nodes.join(degree, key, "left").select(*key, F.coalesce("waits", F.lit(0)).alias("waits")))
+    level, out = 0, None
+    while True:
+        done = state.where("waits = 0").select(*key, F.lit(level).alias("level"))
+        out = done if out is None else out.unionAll(done)
+        # what the level's calls free: the counts of those that wait for them fall
+        freed = edges.join(done.select("conv_id", F.col("call_id").alias("from")), ["conv_id", "from"])
+        freed = freed.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count(F.lit(1)).alias("n"))
+        state = materialize(
+            state.where("waits > 0").join(freed, key, "left").select(*key, (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"))
         )
+        if state.where("waits = 0").isEmpty():  # nothing left, or it waits for itself
+            return out
         level += 1
-        done = materialize(freed.withColumn("level", F.lit(level)))
-        if done.isEmpty():  # what is left waits for itself
-            break
-        out, edges = out.unionAll(done), left
-    return out
 
 
 def _positions(calls: DataFrame, chunk: int = 256) -> DataFrame:
