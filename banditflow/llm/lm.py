@@ -7,9 +7,16 @@ counts in the whole training corpus.  Classes keep subwords that begin a word (a
 from those that go on with one, so the model gives each whole word a probability; this is mixed with the
 word's share in the training corpus.  The mixture is a proper distribution over words.
 
-The corpus statistics (word counts, and subword counts derived from them) cover all training texts.  Classes
-and attention weights are fitted on a bounded sample of training texts (``sample`` texts of at most
-``sample_bytes`` bytes, taken by a hash of the id).
+Everything is learnt from all training texts, whole; what comes to the driver is bounded by the vocabulary
+or the number of parameters.
+* Word counts, and subword counts derived from them.
+* Classes: k-means on company counts (vocabulary x COMPANY cells, summed over the corpus).
+* Attention weights: texts are cut into pieces of PIECE places, which a hash deals to groups of about GROUP
+  places, as many as the corpus needs, and to ROUNDS rounds.  In a round each group goes by Adam over its pieces
+  of the round, all from the same weights, and the mean of the groups' weights, by blocks, starts the next
+  round.  Each block is used once; small corpora go over their blocks again until STEPS steps are made.
+* The mixture's share: EM over the words of the one text in KEPT that is kept out of classes and weights.  The EM
+  needs only how often each difference of the two log probabilities occurs, counted in steps of 1 / FINE.
 
 Scoring cuts a text's subwords into blocks of BLOCK; each block attends, masked, to itself and
 the block before, so windows overlap and every token is scored once with BLOCK to 2 * BLOCK - 1
@@ -21,7 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banditflow.llm.bpe import Encoder, loaded
-from banditflow.llm.texts import LOWER, row_key
-from banditflow.session import materialize
+from banditflow.llm.texts import LOWER, U64, mix64, row_key
+from banditflow.session import materialize, release
 
 BLOCK, STARTS, INNERS, WIDTH = 16, 24, 24, 16
-HEAD, SAMPLE, SAMPLE_BYTES = 1 << 18, 1200, 1 << 15
+HEAD, COMPANY = 1 << 18, 64
+PIECE, GROUP, ROUNDS, STEPS, BATCH, RATE = 64 * BLOCK, 1 << 20, 8, 300, 96, 0.02
+KEPT, FINE = 16, 64
 
 END = "\n"  # the end token among the words: no word holds a line end
 
@@ -227,21 +236,41 @@ def word_scores(m: Model, ids: np.ndarray, lens: np.ndarray, got: tuple[np.ndarr
     return out
 
 
-def _classes(texts: list[np.ndarray], begins: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+def _columns(counts: np.ndarray) -> np.ndarray:
+    """Number of each subword among the COMPANY commonest, -1 for the others; one place more for gaps between texts."""
+    out = np.full(len(counts) + 1, -1)
+    common = np.argsort(-counts, kind="stable")[:COMPANY]
+    out[common] = np.arange(len(common))
+    return out
+
+
+def _company(texts: list[np.ndarray], column: np.ndarray, window: int = 1 << 19) -> np.ndarray:
+    """How often each subword of the texts stands 1, 2, 3, 5 or 8 places from each of the commonest ones (cells, flat)."""
+    size = len(column) - 1
+    gap = np.full(8, size)
+    flat = np.concatenate([x for t in texts for x in (t, gap)])
+    total = np.zeros(size * COMPANY, np.int64)
+    for lo in range(0, len(flat), window):
+        own = flat[lo : lo + window + 8]
+        of, n = column[own], min(window, len(own))
+        cells = []
+        for d in (1, 2, 3, 5, 8):
+            e = min(n, len(own) - d)  # the pairs that begin in this window
+            for i, j in ((0, d), (d, 0)):
+                at = np.flatnonzero((of[j : j + e] >= 0) & (own[i : i + e] < size))
+                cells.append(own[i : i + e][at] * COMPANY + of[j : j + e][at])
+        total += np.bincount(np.concatenate(cells), minlength=len(total))
+    return total
+
+
+def _classes(company: np.ndarray, counts: np.ndarray, begins: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Classes of subwords by k-means on the company they keep; 0..STARTS-1 begin words.
 
-    Subwords not in the sample share the last class of their kind; the end has class 0 to itself.
+    Subwords without company share the last class of their kind; the end has class 0 to itself.
     """
-    flat = np.concatenate(texts)
-    common = np.argsort(-np.bincount(flat, minlength=size), kind="stable")[:64]
-    column = np.full(size, -1)
-    column[common] = np.arange(len(common))
-    company = np.zeros((size, 64))
-    for d in (1, 2, 3, 5, 8):
-        for a, b in ((flat[:-d], flat[d:]), (flat[d:], flat[:-d])):
-            ok = column[b] >= 0
-            company += np.bincount(a[ok] * 64 + column[b[ok]], minlength=size * 64).reshape(size, 64)
-    seen = np.bincount(flat, minlength=size)
+    size = len(begins)
+    company = company.reshape(size, COMPANY).astype(float)
+    seen = np.where(company.any(1), np.maximum(counts, 1), 0)
     company = np.sqrt(company / np.maximum(company.sum(1, keepdims=True), 1))
     cls = np.where(begins, STARTS - 1, STARTS + INNERS - 1)
     cls[-1] = 0
@@ -255,89 +284,279 @@ def _classes(texts: list[np.ndarray], begins: np.ndarray, size: int, rng: np.ran
         for _ in range(12):
             near = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
             total = np.bincount(near, weight, len(centre))
-            moved = np.stack([np.bincount(near, weight * x[:, j], len(centre)) for j in range(64)], 1)
+            moved = np.stack([np.bincount(near, weight * x[:, j], len(centre)) for j in range(COMPANY)], 1)
             centre = np.where(total[:, None] > 0, moved / np.maximum(total, 1e-9)[:, None], centre)
         cls[own] = lo + near
     return cls
 
 
-def fit(
-    texts: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, steps: int = 300, batch: int = 96, rate: float = 0.02
-) -> Model:
-    """Classes from the sample's texts (subword ids, the end last), their contents from the corpus counts, and
-    the attention weights by Adam on the sample's blocks."""
+def start(company: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> Model:
+    """Classes from the company counts, their contents from the corpus counts, attention weights before any training."""
     rng = np.random.default_rng(7)
-    size, n = len(begins), STARTS + INNERS
-    cls = _classes(texts, begins, size, rng) if texts else np.where(begins, STARTS - 1, n - 1)
-    cls[-1] = 0
+    n = STARTS + INNERS
+    cls = _classes(company, counts, begins, rng)
     within = np.bincount(cls, counts + 1, n)
     inside = np.log((counts + 1) / within[cls])
     share = np.log(np.maximum(np.bincount(cls, counts, n), 1) / max(counts.sum(), 1))
     small = lambda *shape: rng.normal(0, 0.1, shape)
-    m = Model(
+    return Model(
         cls, inside, small(n + 2, 8), small(n + 2, 8), -0.05 * np.arange(2 * BLOCK, dtype=float),
         small(n + 2, WIDTH), small(n + 2, WIDTH), small(WIDTH, n), share, 0.5,
     )
-    if not texts:
-        return m
-    blocks, first = _layout(n, [cls[t] for t in texts])
-    follow = np.append(blocks.ravel()[1:], n)
-    for t, at in zip(texts, first):
-        follow[at + BLOCK + len(t) - 1] = 0  # the end
-    follow = follow.reshape(-1, BLOCK)
-    rows = np.flatnonzero((blocks != n).any(1))  # not the blank ones before the texts
-    names = ("query", "key", "near", "value", "rest", "out", "bias")
-    first_m = {x: np.zeros_like(getattr(m, x)) for x in names}
-    second = {x: np.zeros_like(getattr(m, x)) for x in names}
-    far = np.broadcast_to(np.maximum(_REACH, 0), (batch, *_REACH.shape))
+
+
+_NAMES = ("query", "key", "near", "value", "rest", "out", "bias")
+
+
+def _weights(m: Model) -> np.ndarray:
+    return np.concatenate([getattr(m, x).ravel() for x in _NAMES])
+
+
+def _with_weights(m: Model, flat: np.ndarray) -> Model:
+    cut = np.split(flat, np.cumsum([getattr(m, x).size for x in _NAMES])[:-1])
+    return replace(m, **{x: c.reshape(getattr(m, x).shape) for x, c in zip(_NAMES, cut)})
+
+
+def pieces_of(text: np.ndarray, size: int) -> list[np.ndarray]:
+    """A text's subwords (the end last) cut for training: PIECE places, the block before them, and what follows the last.
+
+    ``size`` stands for no subword, ``size + 1`` for the text's start.
+    """
+    row = np.concatenate((np.full(BLOCK, size), [size + 1], text))
+    return [row[lo : lo + PIECE + BLOCK + 1] for lo in range(0, len(text), PIECE)]
+
+
+def descend(
+    m: Model, pieces: list[np.ndarray], least: int, batch: int = BATCH, rate: float = RATE, seed: int = 7, done: float = 0.0,
+    share: float = 1.0,
+) -> tuple[Model, int]:
+    """The model after Adam steps over all blocks of the pieces, in random order, and the number of blocks.
+
+    ``least`` steps at least (then over the blocks again); these steps are ``share`` of all, ``done`` lies behind.
+    """
+    rng = np.random.default_rng(seed)
+    n = m.blank
+    cls = np.append(m.cls, (n, n + 1))
+    blocks, follow = [], []
+    for piece in pieces:
+        c = cls[piece]
+        places = len(c) - BLOCK - 1
+        pad = np.full(-places % BLOCK, n)
+        blocks.append(np.concatenate((c[:-1], pad)))
+        follow.append(np.concatenate((np.full(BLOCK, n), c[BLOCK + 1 :], pad)))
+    rows = np.concatenate([np.arange(BLOCK, len(b), BLOCK) // BLOCK + at for b, at in zip(blocks, _starts(blocks))])
+    blocks, follow = np.concatenate(blocks).reshape(-1, BLOCK), np.concatenate(follow).reshape(-1, BLOCK)
+    order = rng.permutation(rows)
+    steps = max(-(-len(rows) // batch), least)
+    first_m = {x: np.zeros_like(getattr(m, x)) for x in _NAMES}
+    second = {x: np.zeros_like(getattr(m, x)) for x in _NAMES}
+    m = replace(m)
+    one = np.eye(n + 2, dtype=np.float32)
+    at = 0
     for step in range(1, steps + 1):
-        i = rng.choice(rows, batch)
-        q, k, y = blocks[i], np.concatenate((blocks[i - 1], blocks[i]), 1), follow[i]
-        z, w, total, h = _attend(_tables(m), q, k)
-        w = w / total
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        real = ((q != n) & (y < n)).astype(float)
-        dz = np.exp(z).astype(float)
-        np.put_along_axis(dz, np.minimum(y, n - 1)[:, :, None], np.take_along_axis(dz, np.minimum(y, n - 1)[:, :, None], 2) - 1, 2)
-        dz *= (real / max(real.sum(), 1))[:, :, None]
-        dh = dz @ m.out.T
-        v = m.value[k]
-        dw = np.matmul(dh, v.transpose(0, 2, 1))
-        da = w * (dw - (w * dw).sum(2, keepdims=True))
+        if at >= len(order):
+            order, at = rng.permutation(rows), 0
+        i = order[at : at + batch]
+        at += batch
+        q, k, y = blocks[i], np.concatenate((blocks[i - 1], blocks[i]), 1), follow[i].ravel()
+        tables = _tables(m)
+        z, w, total, h = _attend(tables, q, k)
+        w /= total
+        dz = z.reshape(-1, n)
+        dz -= dz.max(1, keepdims=True)
+        np.exp(dz, out=dz)
+        dz /= dz.sum(1, keepdims=True)
+        real = np.flatnonzero(y < n)
+        dz[real, y[real]] -= 1
+        dz *= ((y < n) / np.float32(max(len(real), 1))).astype(np.float32)[:, None]
+        dh = (dz @ tables[4].T).reshape(h.shape)
+        dw = np.matmul(dh, tables[2][k].transpose(0, 2, 1))
+        dw -= (w * dw).sum(2, keepdims=True)
+        dw *= w
         pair = q[:, :, None] * (n + 2) + k[:, None, :]
-        table = np.bincount(pair.ravel(), da.ravel(), (n + 2) ** 2).reshape(n + 2, n + 2)
-        one = np.eye(n + 2)
+        table = np.bincount(pair.ravel(), dw.ravel(), (n + 2) ** 2).reshape(n + 2, n + 2)
+        flat = h.reshape(-1, WIDTH)
         g = {
             "query": table @ m.key,
             "key": table.T @ m.query,
-            "near": np.bincount(far.ravel(), (da * _SEEN).ravel(), 2 * BLOCK),
+            "near": np.bincount(np.maximum(_REACH, 0).ravel(), dw.sum(0).ravel(), 2 * BLOCK),
             "value": one[k.ravel()].T @ np.matmul(w.transpose(0, 2, 1), dh).reshape(-1, WIDTH),
             "rest": one[q.ravel()].T @ dh.reshape(-1, WIDTH),
-            "out": h.reshape(-1, WIDTH).T @ dz.reshape(-1, n),
-            "bias": dz.sum((0, 1)),
+            "out": flat.T @ dz,
+            "bias": dz.sum(0),
         }
-        for x in names:
+        pace = rate * min(1.0, 2 * (1 - done - share * step / (steps + 1)))
+        for x in _NAMES:
             first_m[x] = 0.9 * first_m[x] + 0.1 * g[x]
             second[x] = 0.99 * second[x] + 0.01 * g[x] ** 2
-            pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             change = pace * (first_m[x] / (1 - 0.9**step)) / (np.sqrt(second[x] / (1 - 0.99**step)) + 1e-8)
             setattr(m, x, getattr(m, x) - change)
+    return m, len(rows)
+
+
+def _starts(blocks: list[np.ndarray]) -> np.ndarray:
+    """Number of the first block of each piece."""
+    return np.cumsum([0, *(len(b) // BLOCK for b in blocks[:-1])])
+
+
+def fit(
+    texts: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE
+) -> Model:
+    """The model of texts that are in memory (subword ids, the end last): one group, one round, ``steps`` steps or more."""
+    column = _columns(np.bincount(np.concatenate(texts), minlength=len(begins)) if texts else counts)
+    company = _company(texts, column) if texts else np.zeros(len(begins) * COMPANY, np.int64)
+    m = start(company, begins, counts)
+    return descend(m, [p for t in texts for p in pieces_of(t, len(begins))], steps, batch, rate)[0] if texts else m
+
+
+def kept_out(text: str = "text") -> Column:
+    """Training rows that classes and weights never see; the mixture's share is fitted on them (copies of a text stay together)."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))), F.lit(KEPT)) == 0
+
+
+def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
+    """All texts of ``docs`` as rows (deal, ids), one a piece, and rows (cell, n) of their company counts."""
+    size = len(column) - 1
+    kind = "<u2" if size + 2 <= 1 << 16 else "<u4"
+    names = ["deal", "ids", "cell", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, encode = loaded(vocabulary)
+        total = np.zeros(size * COMPANY, np.int64)
+        waiting: list[np.ndarray] = []
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                texts, _ = _inputs(encode, [_strings(t) for t in part.column("body").to_pylist()], size - 1)
+                keys = mix64(part.column("_k").to_numpy().view(U64) * U64(3) + part.column("_h").to_numpy().view(U64))
+                deal, ids = [], []
+                for key, t in zip(keys, texts):
+                    own = pieces_of(t, size)
+                    deal.append(mix64(key + np.arange(len(own), dtype=U64) * U64(0x9E3779B97F4A7C15)))
+                    ids += [x.astype(kind).tobytes() for x in own]
+                deal = pa.array(np.concatenate(deal).view(np.int64)) if deal else pa.array([], pa.int64())
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([deal, pa.array(ids, pa.binary()), none, none], names=names)
+                waiting += texts
+                if sum(map(len, waiting)) >= 1 << 19:
+                    total += _company(waiting, column)
+                    waiting = []
+        if waiting:
+            total += _company(waiting, column)
+        cells = np.flatnonzero(total)
+        for lo in range(0, len(cells), 100_000):
+            at = cells[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(total[at])], names=names
+            )
+
+    body = docs.select(*row_key(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    return body.mapInArrow(run, "deal long, ids binary, cell long, n long")
+
+
+def _trained(m: Model, pieces: DataFrame, places: int) -> Model:
+    """The model trained on all pieces, round by round: each group from the same weights, then their mean by blocks."""
+    size = len(m.cls)
+    kind = "<u2" if size + 2 <= 1 << 16 else "<u4"
+    groups = max(1, -(-places // GROUP))
+    rounds = ROUNDS if groups > 1 else 1
+    deal = pieces.select(
+        F.pmod("deal", F.lit(groups)).alias("g"), F.pmod(F.shiftright("deal", 40), F.lit(rounds)).alias("r"), "deal", "ids"
+    )
+    for r in range(rounds):
+        shared = pieces.sparkSession.sparkContext.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(_weights(shared.value)) + 1)
+            group, own = None, []
+
+            def learn() -> None:
+                got, blocks = descend(shared.value, own, -(-STEPS // rounds), seed=r, done=r / rounds, share=1 / rounds)
+                total[:-1] += blocks * _weights(got)
+                total[-1] += blocks
+
+            for b in batches:
+                for g, ids in zip(b.column("g").to_pylist(), b.column("ids").to_pylist()):
+                    if g != group and own:
+                        learn()
+                        own = []
+                    group = g
+                    own.append(np.frombuffer(ids, kind))
+            if own:
+                learn()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
+
+        part = deal.where(F.col("r") == r).repartition(groups, "g").sortWithinPartitions("g", "deal").select("g", "ids")
+        sums = part.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        if sums:  # a row for each parameter, the number of blocks last
+            flat = np.array([x for _, x in sorted(map(tuple, sums))])
+            m = _with_weights(m, flat[:-1] / flat[-1])
     return m
 
 
-def fit_mix(attention: np.ndarray, counted: np.ndarray, rounds: int = 20) -> float:
-    """Share of the word counts in the mixture, by EM (both: log probabilities of the same words)."""
+def fit_mix(apart: np.ndarray, times: np.ndarray, rounds: int = 20) -> float:
+    """Share of the word counts in the mixture, by EM; ``apart``: log probability by counts less that by attention."""
     share = 0.5
-    for _ in range(rounds if len(attention) else 0):
-        a = np.log(share) + counted
-        share = float(np.clip(np.exp(a - np.logaddexp(a, np.log1p(-share) + attention)).mean(), 0.02, 0.98))
+    for _ in range(rounds if len(apart) else 0):
+        a = np.log(share) + apart
+        share = float(np.clip(np.average(np.exp(a - np.logaddexp(a, np.log1p(-share))), weights=times), 0.02, 0.98))
     return share
 
 
-def score_texts(
-    docs: DataFrame, vocabulary: str, head: int = HEAD, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
-) -> DataFrame:
+def _mix(docs: DataFrame, words: DataFrame, m: Model, counts: dict, vocabulary: str, base: int) -> float:
+    """The mixture's share from all words of ``docs``, whose own occurrence is taken off their counts."""
+    shared = docs.sparkSession.sparkContext.broadcast((m, counts))
+    names = ["word", "p", "cell", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value
+        known = _Counts(known)
+        _, code = loaded(vocabulary)
+        total: Counter = Counter()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                given = [_strings(t) for t in b.column("body").slice(lo, 256).to_pylist()]
+                inputs, lens = _inputs(code, given, len(own.cls) - 1)
+                rare: list[tuple[str, float]] = []
+                for ws, t, n, got in zip(given, inputs, lens, predict(own, inputs)):
+                    p = word_scores(own, t[:-1], n, got)
+                    ws = [*ws, END]
+                    c = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
+                    common = c > 0
+                    cells = np.floor((np.log(c[common] / base) - p[common]) * FINE).astype(int)
+                    total.update(dict(zip(*(x.tolist() for x in np.unique(cells, return_counts=True)))))
+                    rare += [(ws[i], float(p[i])) for i in np.flatnonzero(~common)]
+                none = pa.nulls(len(rare), pa.int64())
+                word, p = pa.array([w for w, _ in rare], pa.string()), pa.array([x for _, x in rare], pa.float64())
+                yield pa.RecordBatch.from_arrays([word, p, none, none], names=names)
+        none = pa.nulls(len(total))
+        cells = [pa.array(list(x), pa.int64()) for x in (total.keys(), total.values())]
+        yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.float64()), *cells], names=names)
+
+    body = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    found = materialize(body.mapInArrow(run, "word string, p double, cell long, n long"))
+    apart = F.floor((F.log(F.col("c") / base) - F.col("p")) * FINE)
+    joined = found.where("word is not null").drop("n", "cell").join(words.withColumnRenamed("n", "c"), "word")
+    rare = joined.select(apart.alias("cell"), F.lit(1).cast("long").alias("n"))
+    cells = found.where("word is null").select("cell", "n").unionAll(rare).groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = sorted(map(tuple, cells.collect()))  # a few thousand differences
+    release(found)
+    apart, times = np.array(rows, float).reshape(-1, 2).T
+    return fit_mix((apart + 0.5) / FINE, times)
+
+
+def _inputs(code: Encoder, given: list[list[str]], end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text its subword ids, the end last, and the number of each word's ids."""
+    ids, lens = _encoded(code, [w for ws in given for w in ws])
+    word_at = np.concatenate(([0], np.cumsum([len(ws) for ws in given], dtype=np.int64)))
+    id_at = np.concatenate(([0], np.cumsum(lens)))[word_at]
+    return (
+        [np.append(ids[a:z], end) for a, z in zip(id_at, id_at[1:])],
+        [lens[a:z] for a, z in zip(word_at, word_at[1:])],
+    )
+
+
+def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document row.
 
     Tokens: the words and one end.  base_score: sum of log10((c + 1) / (N + V + 1)), c the token's count in
@@ -363,22 +582,22 @@ def score_texts(
     table = common.toArrow()
     counts = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
 
-    ids = docs.where(~held_out() & F.octet_length("text").between(1, sample_bytes)).select("doc_id")
-    picked = ids.where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(picked), "doc_id")
-    rows = texts.select("doc_id", "text").limit(2 * sample).collect()
-    _, encode = loaded(vocabulary)
-    given = [_strings(r.text.encode()) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
-    coded = [_encoded(encode, ws) for ws in given]
-    inputs = [np.append(i, size - 1) for i, _ in coded]
     of_subword = count_subwords(words, vocabulary, size)
     of_subword[-1] = counts.get(END, 0)
-    model = fit(inputs, begins, of_subword)
-    if inputs:
-        own = np.concatenate([word_scores(model, i, n, got) for (i, n), got in zip(coded, predict(model, inputs))])
-        tail = (n_all - sum(counts.values())) / max(int(total[1]) - len(counts), 1)
-        c = np.array([counts.get(w, tail) for ws in given for w in [*ws, END]])
-        model.mix = fit_mix(own, np.log((c + 1) / base))
+    column = _columns(of_subword)
+    training = docs.where(~held_out())
+    learnt, kept = training.where(~kept_out()), training.where(kept_out())
+    if learnt.isEmpty() or kept.isEmpty():  # too few texts to keep any out
+        learnt = kept = training
+    dealt = materialize(_dealt(learnt, vocabulary, column))
+    cells = dealt.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    company = np.zeros(size * COMPANY, np.int64)  # at most so many rows
+    company[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    del cells
+    model = start(company, begins, of_subword)
+    model = _trained(model, dealt.where("cell is null"), int(of_subword.sum()))
+    release(dealt)
+    model.mix = _mix(kept, words, model, counts, vocabulary, base)
     shared = spark.sparkContext.broadcast((model, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,16 +644,11 @@ def score_texts(
 def _scored(m: Model, known: dict, code: Encoder, base: int, part: pa.RecordBatch) -> pa.RecordBatch:
     """One batch of texts: the sums over common words, and the rare words with their probabilities."""
     given = [_strings(t) for t in part.column("body").to_pylist()]
-    ids, lens = _encoded(code, [w for ws in given for w in ws])
-    n_words = np.array([len(ws) for ws in given])
-    word_at = np.concatenate(([0], np.cumsum(n_words)))
-    id_at = np.concatenate(([0], np.cumsum(lens)))[word_at]
-    end = len(m.cls) - 1
-    inputs = [np.append(ids[a:z], end) for a, z in zip(id_at, id_at[1:])]
+    inputs, lens = _inputs(code, given, len(m.cls) - 1)
     out: dict = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "rare": []}
     log_mix, log_rest, per = np.log(m.mix), np.log1p(-m.mix), np.log(10)
     for j, (ws, got) in enumerate(zip(given, predict(m, inputs))):
-        p = word_scores(m, inputs[j][:-1], lens[word_at[j] : word_at[j + 1]], got)
+        p = word_scores(m, inputs[j][:-1], lens[j], got)
         ws = [*ws, END]
         n = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
         common = n > 0

@@ -139,6 +139,45 @@ def test_model_beats_counts_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def _cycles(n, length):
+    """Texts that walk round a circle of 40 words, each from its own place."""
+    words = [f"{a}{b}" for a in ("ba", "do", "ki", "mu", "ne") for b in ("la", "ro", "si", "te", "vu", "fa", "go", "hi")]
+    return [(d, " ".join(words[(7 * d + i) % 40] for i in range(length))) for d in range(n)]
+
+
+def test_long_texts_teach_the_attention_model(spark):
+    df = spark.createDataFrame(_cycles(14, 9000), "doc_id long, text string")  # all over 32 KB
+    rows = lm.score_texts(df, PATH).collect()
+    assert any(r.held_out for r in rows)
+    for r in rows:
+        assert r.score > 0.8 * r.base_score
+
+
+def test_every_place_of_every_training_text_is_dealt_once(spark, monkeypatch):
+    texts = _cycles(30, 700) + [(100, "x"), (101, ""), (102, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    _, encode = lm.loaded(PATH)
+    size = len(lm.loaded(PATH)[0].bytes) + 1
+    whole = [lm._inputs(encode, [lm._strings((t or "").encode())], size - 1)[0][0] for _, t in texts]
+    column = lm._columns(np.bincount(np.concatenate(whole), minlength=size))
+    rows = lm._dealt(df, PATH, column).collect()
+    pieces = [np.frombuffer(r.ids, "<u2") for r in rows if r.ids is not None]
+    assert len(pieces) == sum(-(-len(t) // lm.PIECE) for t in whole)
+    assert Counter(np.concatenate([p[lm.BLOCK + 1 :] for p in pieces]).tolist()) == Counter(np.concatenate(whole).tolist())
+    company = np.zeros(size * lm.COMPANY, int)
+    for r in rows:
+        if r.cell is not None:
+            company[r.cell] += r.n
+    assert (company == sum(lm._company([t], column, window=100) for t in whole)).all()
+
+    # several groups and rounds
+    monkeypatch.setattr(lm, "GROUP", 5000)
+    m = lm.start(company, np.array([t[:1] == b" " for t in lm.loaded(PATH)[0].bytes] + [True]), np.ones(size))
+    trained = lm._trained(m, spark.createDataFrame([r for r in rows if r.ids is not None], lm._dealt(df, PATH, column).schema), 20_000)
+    loss = [-np.mean(np.concatenate([p for p, _ in lm.predict(x, whole)])) for x in (m, trained)]
+    assert loss[1] < loss[0] - 0.5
+
+
 # op7 ------------------------------------------------------------------------------------------------
 def _hits(texts, items, n=10):
     ok = lambda b: b >= 128 or chr(b).isalnum()
