@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from banditflow.llm import near_dup, substring_dedup
 from banditflow.llm.texts import LOWER
 
@@ -64,6 +67,34 @@ def test_chains_and_a_large_group(spark):
     assert got == components(texts, 4)
 
 
+def missed(pairs, depth, seed=0):
+    """Pairs of ideal minwise tokens, alike in each function with probability 0.8, that no leaf at ``depth`` holds together."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2**32, (pairs, near_dup.COORDS), dtype=np.uint32)
+    other = rng.integers(0, 2**32, x.shape, dtype=np.uint32)
+    both = np.concatenate((x, np.where(rng.random(x.shape) < 0.8, x, other))).astype("<u4")
+    doc = pa.array(np.arange(2 * pairs))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in both]), doc, doc], names=["tokens", "doc", "n"])
+    joined = np.zeros(pairs, bool)
+    for rows in near_dup._roots(near_dup.TREES)(iter([batch])):
+        for level in range(1, depth + 1):
+            path, doc = rows.column("path").to_numpy(), rows.column("doc").to_numpy()
+            order = np.lexsort((doc, doc % pairs, path))  # only nodes that both documents reach go on
+            path, doc = path[order], doc[order]
+            pair = np.flatnonzero((path[1:] == path[:-1]) & (doc[1:] == doc[:-1] + pairs))
+            if level == depth:
+                joined[doc[pair]] = True
+                break
+            at = np.concatenate((pair, pair + 1))
+            columns = [pa.array(path[at]), pa.array(doc[at]), pa.array(doc[at]), pa.array([both[d].tobytes() for d in doc[at]])]
+            rows = pa.concat_batches(list(near_dup._branch(iter([pa.RecordBatch.from_arrays(columns, names=["path", "doc", "n", "tokens"])]))))
+    return int((~joined).sum())
+
+
+def test_recall_of_crowded_nodes():
+    assert missed(20_000, 4) <= 1
+
+
 def repeats(texts, length):
     key = lambda r: (-(2**63) if r[0] is None else r[0])
     seen, out = set(), []
