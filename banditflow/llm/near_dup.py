@@ -10,8 +10,9 @@
    pair a row, never all pairs, so a group of thousands of copies stays linear.  Then, between
    members that the links found so far have not yet joined: all pairs, in cells of at most about
    ``leaf`` x ``leaf`` documents.
-4. Pairs whose sizes or one-byte minwise sketches rule the threshold out go (a share of ``sketch`` equal
-   bytes out of 256 is 4.4 standard deviations below 0.8); the others are decided on full sets.
+4. Pairs whose sizes or one-byte minwise sketches rule the threshold out go: those with fewer equal bytes out
+   of 256 than ``sketch_bound`` allows, which a pair at the threshold has with probability at most ``miss``
+   (1e-6).  The others are decided on full sets.
 5. Connected components of the confirmed links.
 
 The trees share the 256 functions, so their misses are not independent.  Simulated with the code below, pairs
@@ -22,6 +23,7 @@ was parted in all 12 trees at each of the depths 1 to 3, and none of 100,000 at
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, window_h
 from banditflow.operators.graph import edge_components
 from banditflow.session import materialize, release
 
-COORDS, SKETCHES, TREES, LEAF, DEPTH, SKETCH = 256, 256, 12, 128, 4, 0.69
+COORDS, SKETCHES, TREES, LEAF, DEPTH, MISS = 256, 256, 12, 128, 4, 1e-6
 
 _SEED = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEED[:SKETCHES], _SEED[SKETCHES:] | U64(1)
@@ -53,6 +55,19 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype("<u4")
 
 
+def sketch_bound(percent: int, miss: float = MISS) -> int:
+    """The most equal bytes that a pair at ``percent`` falls short of with probability at most ``miss``.
+
+    Equal bytes are counted as binomial with the similarity alone; chance agreement of unequal tokens only adds to them.
+    """
+    p, below = min(max(percent / 100, 0.0), 1.0), 0.0
+    for k in range(SKETCHES + 1):
+        below += comb(SKETCHES, k) * p**k * (1 - p) ** (SKETCHES - k)
+        if below > miss:
+            return k
+    return SKETCHES
+
+
 def _children(path: np.ndarray, tokens: np.ndarray, two: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For documents at nodes ``path``: row numbers and paths of the children they go to.
 
@@ -117,13 +132,13 @@ def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFram
     return out, tables
 
 
-def _near(pairs: DataFrame, sig: DataFrame, sketch: float) -> DataFrame:
+def _near(pairs: DataFrame, sig: DataFrame, sketch: int) -> DataFrame:
     """The pairs (a, b) whose sketches do not rule the threshold out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCHES) for c in ("x", "y"))
-            ok = (x == y).mean(1) >= sketch
+            ok = (x == y).sum(1) >= sketch
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     x = sig.select(F.col("doc").alias("a"), F.col("sketch").alias("x"))
@@ -160,7 +175,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
-def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, percent: int, sketch: float) -> DataFrame:
+def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, percent: int, sketch: int) -> DataFrame:
     """All pairs inside leaves between documents that are not yet joined, cell by cell.
 
     Of these, the pairs (a, b) whose sizes and sketches do not rule the threshold out.
@@ -188,7 +203,7 @@ def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, per
         low, high = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
         i, j = np.nonzero((label[x][:, None] != label[y]) & (100 * low >= percent * high))
         i, j = x[i], y[j]
-        near = (sketches[i] == sketches[j]).mean(1) >= sketch
+        near = (sketches[i] == sketches[j]).sum(1) >= sketch
         a, b = doc[i[near]], doc[j[near]]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -222,7 +237,7 @@ def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, per
 
 def near_duplicates(
     docs: DataFrame, n_words: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
-    sketch: float = SKETCH,
+    miss: float = MISS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document row.
 
@@ -230,8 +245,10 @@ def near_duplicates(
     ``n_words``-word shingles (A-Z lower-cased, words split at ASCII white space; fewer words make one
     shingle).  Null, empty and blank texts have an empty set and no link.  component_id is the
     smallest doc_id reachable.  Rows that share a doc_id are one node; a null doc_id is the smallest
-    id.  Repeated rows are returned as often as they come; other columns are not read.
+    id.  Repeated rows are returned as often as they come; other columns are not read.  ``miss``: with what
+    probability the sketches may drop a pair right at the threshold.
     """
+    sketch = sketch_bound(percent, miss)
 
     def start() -> Callable[[list], dict]:
         ids = WordIds()

@@ -95,6 +95,21 @@ def test_recall_of_crowded_nodes():
     assert missed(20_000, 4) <= 1
 
 
+def test_sketches_follow_the_threshold(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(60):  # pairs of one-word shingle sets at 75 of 105, right above 70 percent
+        words = [f"p{i}w{j}" for j in range(105)]
+        texts += [(2 * i, " ".join(words[:90])), (2 * i + 1, " ".join(rng.sample(words[15:], 90)))]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4)
+    rows = near_dup.near_duplicates(df, n_words=1, percent=70, trees=24).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in rows)
+    for percent in (50, 70, 80, 95):
+        k = near_dup.sketch_bound(percent)
+        equal = np.random.default_rng(percent).binomial(256, percent / 100, 10**6)
+        assert (equal < k).mean() <= 1e-5 and (equal < k + 8).mean() > 1e-6
+
+
 def repeats(texts, length):
     key = lambda r: (-(2**63) if r[0] is None else r[0])
     seen, out = set(), []
