@@ -13,6 +13,7 @@ hash of the id); every text is scored whole.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -141,19 +142,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on labelled rows that are not held out: at most ``max_each`` ids of each label.
+    """Fit on labelled rows that are not held out: at most ``max_each`` ids of each label that have a text to learn from.
 
     An id with several labels is toxic when one of them says so; rows without an id or label teach nothing.
+    Warns when the labels are of both kinds but the texts to learn from are not: every score is then 0.
     """
     known = (
         labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_each) for y in (0, 1)]
-    picked = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * max_each ids
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes))
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    picked = [usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_each) for y in (0, 1)]
+    picked = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * max_each ids
     rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").limit(4 * max_each).collect()
+    if len({r.toxic for r in rows}) < 2 and known.select("toxic").distinct().count() == 2:
+        warnings.warn("toxicity: labels of both kinds, but texts to learn from of one at most; all scores will be 0", stacklevel=2)
     return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from banditflow.llm import decontaminate, lm, sharding, topk, toxicity
@@ -65,6 +66,18 @@ def test_scores(spark, nasty, texts, nothing):
     assert toxicity.train(nothing, labels.limit(0)).bias is None
 
 
+def test_labels_without_a_short_text_take_no_place_in_the_sample(spark):
+    rng = random.Random(2)
+    rows = [(i, text, toxic) for i, (text, toxic, _) in enumerate(_bags(rng, 300))]
+    rows += [(i, "long " * 20_000, i % 2) for i in range(300, 320)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = [(i, y) for i, _, y in rows] + [(i, i % 2) for i in range(10_000, 14_000)]  # most have no document here
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, max_each=60).word("nastyly") > 1
+    with pytest.warns(UserWarning, match="both kinds"):
+        assert toxicity.train(docs.where("doc_id % 3 > 0 and doc_id < 300"), labels).bias is None
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_digest(toxicity.score_documents(docs, toxicity.train(docs, labels), keep=["doc_id"]))
