@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditflow.llm import bpe, decontaminate, lm, near_dup, sharding, structure_repair, substring_dedup, token_counts, tool_calls, topk, toxicity
+from banditflow.llm import bpe, decontaminate, lm, near_dup, pii, sharding, structure_repair, substring_dedup, token_counts, tool_calls, topk, toxicity
 from banditflow.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,13 +76,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, plain and disguised, at offsets of the source text."""
+    return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation, with its edit letters and a digest of what is left."""
     table = _table(spark, sf_dir, "conversations")
     return structure_repair.repair_summary(structure_repair.damaged(table), table)
 
 
-QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding, "op13_structure_repair": op13_structure_repair}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding, "op11_pii": op11_pii, "op13_structure_repair": op13_structure_repair}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op8_topk": """
