@@ -337,9 +337,8 @@ def _listed(spans: Column) -> Column:
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts and a digest of the base spans, all spans as text, and the number of disguised ones."""
     base = F.filter("pii", lambda s: ~s["disguised"])
-    counts = [
-        F.size(F.filter("pii", lambda s, k=k: ~s["disguised"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS
-    ]
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda s: s == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         *[c for c in found.columns if c != "pii"], *counts,
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"),
