@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditflow.llm import bpe, decontaminate, lm, near_dup, pii, sharding, structure_repair, substring_dedup, token_counts, tool_calls, topk, toxicity
-from banditflow.session import ensure_checkpoint_dir
+from banditflow.llm import bpe, conversation_trie, decontaminate, lm, near_dup, pii, sharding, structure_repair, substring_dedup, token_counts, tool_calls, topk, toxicity
+from banditflow.session import ensure_checkpoint_dir, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,13 +81,19 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt so that groups share their openings."""
+    turns = materialize(conversation_trie.ordered_turns(_table(spark, sf_dir, "conversations")))
+    return conversation_trie.prefix_nodes(materialize(conversation_trie.with_shared_openings(turns)), turns)
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation, with its edit letters and a digest of what is left."""
     table = _table(spark, sf_dir, "conversations")
     return structure_repair.repair_summary(structure_repair.damaged(table), table)
 
 
-QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding, "op11_pii": op11_pii, "op13_structure_repair": op13_structure_repair}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_near_dup": op2_near_dup, "op3_token_counts": op3_token_counts, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_decontaminate": op7_decontaminate, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup, "op10_sharding": op10_sharding, "op11_pii": op11_pii, "op12_prefix_trie": op12_prefix_trie, "op13_structure_repair": op13_structure_repair}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op8_topk": """
@@ -103,4 +109,43 @@ ORACLES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
         ) WHERE rank <= 5
     """,
+    # a prefix is the list of the digests of its turns; crc32 is computed bit by bit
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT DISTINCT c, ((c % 100) + 100) % 100 AS off,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                       lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))),
+                       4294967295) % 6 AS h
+            FROM t
+        ), rebuilt AS (
+            SELECT i.c, 0 AS part, b.pos, b.role, b.text FROM ids i JOIN t b ON b.c = i.c - i.off AND b.pos <= i.h
+            UNION ALL
+            SELECT i.c, 1, t.pos, t.role, t.text FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h
+        ), turns AS (
+            SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, length(text) AS chars,
+                   md5(length(role) || ':' || role || text) AS t
+            FROM rebuilt
+        ), steps AS (
+            SELECT c, d, chars, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS key FROM turns
+        ), places AS (
+            SELECT c, d, chars, key, left(key, 32 * (d::INT - 1)) AS up, max(d) OVER (PARTITION BY c) = d AS last FROM steps
+            UNION ALL
+            SELECT c, 0, 0, '', NULL, c NOT IN (SELECT c FROM steps) FROM ids
+        ), nodes AS (
+            SELECT key, min(d) AS d, min(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * min(chars) AS saved,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+            FROM places GROUP BY key
+        ), kids AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+        ), below AS (
+            SELECT p.key, sum((k.n IS NULL)::INT) AS leaves, sum(n.saved) AS saved
+            FROM nodes n LEFT JOIN kids k ON k.key = n.key JOIN places p ON p.c = n.c AND p.d <= n.d GROUP BY p.key
+        )
+        SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+               b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+        FROM nodes n LEFT JOIN nodes u ON u.key = n.up LEFT JOIN kids k ON k.key = n.key JOIN below b ON b.key = n.key
+    """,
 }
