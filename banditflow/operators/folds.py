@@ -11,7 +11,9 @@ The runner keeps only the open key's state between batches, so memory is
 bounded by the batch size whatever the size of a key; a key's rounds never
 have to fit in memory at once.  Inside a batch all keys advance in lockstep
 (round s of every key at once), so the per-round numpy work is vectorised
-across keys (batched inverse / einsum), not a Python loop per row.
+across keys (matrix products over keys x arms), not a Python loop per row.  A^-1
+is solved when a state is loaded and then carried beside A by rank-1 updates
+(O(d^2) a round); an error test and a periodic fresh solve keep it exact.
 
 The fold emits decision rows (_kind 1) and the final state of every key that
 appeared (_kind 0) in one output; ``run_fold`` writes it once and splits
@@ -58,6 +60,12 @@ def _list_array(values: np.ndarray, width: int) -> pa.Array:
 
 
 # ----------------------------------------------------------------------------- kernels
+#: Updates after which a carried inverse is tested, and after which it is solved afresh in any case.
+TEST_EVERY, SOLVE_EVERY = 16, 512
+#: Greatest residual of A (A^-1 x) - x, relative to x, that a carried inverse may show.
+RESIDUAL = 1e-10
+
+
 class FoldKernel:
     """One sequential policy.  Subclasses define state and one vectorised step."""
 
@@ -65,6 +73,10 @@ class FoldKernel:
     state_shapes: dict[str, tuple[int, ...]] = {}
     #: read-only per-key fields joined onto the state row (not emitted)
     static_shapes: dict[str, tuple[int, ...]] = {}
+    #: matrix field -> its inverse, kept in memory beside it and never emitted
+    inverses: dict[str, str] = {}
+    #: the inverse that rank-1 updates move along, and its matrix
+    moving = ("A", "Ai")
 
     def __init__(self, d: int, k: int, alpha: float, reward: str = "matrix"):
         self.d, self.k, self.alpha, self.reward = d, k, alpha, reward
@@ -92,6 +104,46 @@ class FoldKernel:
             else:
                 st[name][target] = _flat_values(col, 1).reshape((len(target),) + shape)
 
+    # inverses ---------------------------------------------------------------
+    def with_inverses(self, st: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+        """Adds the inverses of a default state (identity matrices) and the age of the moving one."""
+        for inverse in self.inverses.values():
+            st[inverse] = np.repeat(np.eye(self.d)[None], n, axis=0)
+        st["age"] = np.zeros(n, dtype=np.int64)
+        return st
+
+    def solve(self, st: dict, dest: np.ndarray) -> None:
+        """Fresh inverses of the keys ``dest``: after their state was loaded."""
+        for matrix, inverse in self.inverses.items():
+            st[inverse][dest] = np.linalg.inv(st[matrix][dest])
+        st["age"][dest] = 0
+
+    def rank_one(self, st: dict, ki: np.ndarray, x: np.ndarray) -> None:
+        """The moving matrix has gained x x^T: its inverse follows (Sherman-Morrison).
+
+        Every ``TEST_EVERY`` updates the new inverse has to take A^-1 x back to x; keys that fail, and keys
+        with ``SOLVE_EVERY`` updates since their last solve, are solved afresh.
+        """
+        matrix, inverse = self.moving
+        inv = st[inverse][ki]
+        u = np.matmul(inv, x[:, :, None])[:, :, 0]
+        gain = 1.0 + np.einsum("ni,ni->n", x, u)
+        inv = inv - u[:, :, None] * (u / gain[:, None])[:, None, :]
+        st[inverse][ki] = inv
+        age = st["age"][ki] + 1
+        st["age"][ki] = age
+        due = age % TEST_EVERY == 0
+        if due.any():
+            rows = np.flatnonzero(due)
+            v = x[rows][:, :, None]
+            left = np.matmul(st[matrix][ki[rows]], np.matmul(inv[rows], v)) - v
+            size = np.abs(v).max(axis=(1, 2), initial=0.0)
+            stale = (np.abs(left).max(axis=(1, 2)) > RESIDUAL * np.maximum(size, 1.0)) | (age[rows] >= SOLVE_EVERY)
+            if stale.any():
+                again = ki[rows[stale]]
+                st[inverse][again] = np.linalg.inv(st[matrix][again])
+                st["age"][again] = 0
+
     def state_columns(self, st: dict, idx: np.ndarray) -> dict[str, pa.Array]:
         out = {}
         for name, shape in self.state_shapes.items():
@@ -112,9 +164,9 @@ class FoldKernel:
     # decisions ------------------------------------------------------------
     def scores(self, a_inv: np.ndarray, b: np.ndarray, t: np.ndarray, X: np.ndarray) -> np.ndarray:
         """UCB of all K arms for n keys at once: x^T theta + sqrt(t) a sqrt(beta x^T A^-1 x)."""
-        theta = np.einsum("nij,nj->ni", a_inv, b)
-        mean = np.einsum("nkd,nd->nk", X, theta)
-        quad = np.einsum("nkd,nde,nke->nk", X, a_inv, X)
+        theta = np.matmul(a_inv, b[:, :, None])
+        mean = np.matmul(X, theta)[:, :, 0]
+        quad = (np.matmul(X, a_inv) * X).sum(axis=2)
         tf = t.astype(np.float64)
         beta = np.sqrt(self.d * np.log1p(tf) * np.sqrt(tf) + 1.0)
         width = (np.sqrt(tf) * self.alpha)[:, None] * np.sqrt(beta[:, None] * quad)
@@ -140,20 +192,24 @@ class UserUCB(FoldKernel):
     def __init__(self, d, k, alpha, reward="matrix"):
         super().__init__(d, k, alpha, reward)
         self.state_shapes = {"A": (d, d), "b": (d,), "t": ()}
+        self.inverses = {"A": "Ai"}
 
     def default_state(self, n):
-        return {
+        return self.with_inverses({
             "A": np.repeat(np.eye(self.d)[None], n, axis=0),
             "b": np.zeros((n, self.d)),
             "t": np.zeros(n, dtype=np.int64),
-        }
+        }, n)
+
+    def learn(self, st, ki, reward, x):
+        st["A"][ki] += x[:, :, None] * x[:, None, :]
+        st["b"][ki] += reward[:, None] * x
+        st["t"][ki] += 1
+        self.rank_one(st, ki, x)
 
     def step(self, st, ki, X, rows, ri):
-        A, b, t = st["A"][ki], st["b"][ki], st["t"][ki]
-        choice, reward, x = self.choose(self.scores(np.linalg.inv(A), b, t, X), X, rows, ri)
-        st["A"][ki] = A + x[:, :, None] * x[:, None, :]
-        st["b"][ki] = b + reward[:, None] * x
-        st["t"][ki] = t + 1
+        choice, reward, x = self.choose(self.scores(st["Ai"][ki], st["b"][ki], st["t"][ki], X), X, rows, ri)
+        self.learn(st, ki, reward, x)
         return choice, reward, x
 
 
@@ -167,6 +223,7 @@ class ClusterUCB(UserUCB):
     def __init__(self, d, k, alpha, reward="matrix"):
         super().__init__(d, k, alpha, reward)
         self.static_shapes = {"cA": (d, d), "cb": (d,), "ct": ()}
+        self.inverses = {"A": "Ai", "cA": "cAi"}
 
     def default_state(self, n):
         st = super().default_state(n)
@@ -176,14 +233,12 @@ class ClusterUCB(UserUCB):
         return st
 
     def step(self, st, ki, X, rows, ri):
-        A, b, t = st["A"][ki], st["b"][ki], st["t"][ki]
+        t = st["t"][ki]
         own = t.astype(np.float64) > st["ct"][ki]
-        dec_A = np.where(own[:, None, None], A, st["cA"][ki])
-        dec_b = np.where(own[:, None], b, st["cb"][ki])
-        choice, reward, x = self.choose(self.scores(np.linalg.inv(dec_A), dec_b, t, X), X, rows, ri)
-        st["A"][ki] = A + x[:, :, None] * x[:, None, :]
-        st["b"][ki] = b + reward[:, None] * x
-        st["t"][ki] = t + 1
+        inv = np.where(own[:, None, None], st["Ai"][ki], st["cAi"][ki])
+        b = np.where(own[:, None], st["b"][ki], st["cb"][ki])
+        choice, reward, x = self.choose(self.scores(inv, b, t, X), X, rows, ri)
+        self.learn(st, ki, reward, x)
         self.last_used = ~own
         return choice, reward, x
 
@@ -208,6 +263,8 @@ class BufferedAgent(FoldKernel):
         super().__init__(d, k, alpha, reward)
         self.drop_first_at_t0 = drop_first_at_t0
         self.state_shapes = {"cov": (d, d), "b": (d,), "cov_loc": (d, d), "b_loc": (d,), "t": ()}
+        self.inverses = {"cov": "covi"}
+        self.moving = ("cov", "covi")
 
     def default_state(self, n):
         d = self.d
@@ -224,7 +281,7 @@ class BufferedAgent(FoldKernel):
         }
         if self.drop_first_at_t0:
             st["blen"][:] = 1  # one zero block to start with
-        return st
+        return self.with_inverses(st, n)
 
     def state_from_rows(self, batch, rows, st, dest):
         super().state_from_rows(batch, rows, st, dest)
@@ -259,6 +316,20 @@ class BufferedAgent(FoldKernel):
     def state_spark_fields(self):
         return super().state_spark_fields() + [T.StructField("buf", BUF_TYPE, True)]
 
+    def _follow(self, st, sel, block):
+        """The inverse follows a block that joins cov: a rank-1 update where the block is some x x^T, a solve
+        where it is not (the average of two blocks)."""
+        n = np.arange(len(sel))
+        top = np.einsum("nii->ni", block).argmax(axis=1)
+        size = np.sqrt(np.maximum(block[n, top, top], 0.0))
+        x = np.where(size[:, None] > 0, block[n, top] / np.where(size > 0, size, 1.0)[:, None], 0.0)
+        rest = np.abs(block - x[:, :, None] * x[:, None, :]).max(axis=(1, 2))
+        plain = rest <= 1e-14 * np.maximum(size * size, 1e-300)
+        if plain.any():
+            self.rank_one(st, sel[plain], x[plain])
+        if not plain.all():
+            self.solve(st, sel[~plain])
+
     @staticmethod
     def _ensure_cap(st, need):
         cap = st["bufA"].shape[1]
@@ -271,8 +342,8 @@ class BufferedAgent(FoldKernel):
 
     def step(self, st, ki, X, rows, ri):
         d = self.d
-        cov, b, t = st["cov"][ki], st["b"][ki], st["t"][ki]
-        choice, reward, x = self.choose(self.scores(np.linalg.inv(cov), b, t, X), X, rows, ri)
+        t = st["t"][ki]
+        choice, reward, x = self.choose(self.scores(st["covi"][ki], st["b"][ki], t, X), X, rows, ri)
         xx = x[:, :, None] * x[:, None, :]
         rx = reward[:, None] * x
         blen = st["blen"][ki]
@@ -293,8 +364,10 @@ class BufferedAgent(FoldKernel):
         pop = blen * d > thresh
         if pop.any():
             sel = ki[pop]
-            st["cov"][sel] += st["bufA"][sel, 0]
+            block = st["bufA"][sel, 0]
+            st["cov"][sel] += block
             st["b"][sel] += st["bufb"][sel, 0]
+            self._follow(st, sel, block)
             st["bufA"][sel, :-1] = st["bufA"][sel, 1:]
             st["bufb"][sel, :-1] = st["bufb"][sel, 1:]
             blen = np.where(pop, blen - 1, blen)
@@ -350,6 +423,7 @@ def _runner(spec: _FoldSpec):
             srows = np.flatnonzero(kind == 0)
             if len(srows):
                 kernel.state_from_rows(batch, srows, st, run_id[srows])
+                kernel.solve(st, run_id[srows])
 
             rrows = np.flatnonzero(kind == 1)
             if len(rrows):

@@ -43,6 +43,7 @@ def _user_fold(d: int, alpha: float):
             st["A"][0] = np.asarray(a_flat, dtype=np.float64).reshape(d, d)
             st["b"][0] = np.asarray(b_vec, dtype=np.float64)
             st["t"][0] = t
+            kernel.solve(st, np.zeros(1, dtype=np.int64))
         choice = np.zeros(n, dtype="int32")
         reward = np.zeros(n)
         key0 = np.zeros(1, dtype=np.int64)

@@ -85,3 +85,62 @@ def test_buffered_agent_as_written_start(spark):
     rows = {r.user_id: r for r in res.state.collect()}
     for uid, (cov, b, cl, bl, t, buf) in st.items():
         assert len(rows[uid].buf) == len(buf)
+
+
+def _steps(kernel, n, rounds, seed=0, scale=1.0):
+    """Play random rounds on n keys, each decision checked against a fresh inverse; (state, inverses solved)."""
+    rng = np.random.default_rng(seed)
+    st, ki, solved = kernel.default_state(n), np.arange(n), 0
+    keep = np.linalg.inv
+
+    def counted(a):
+        nonlocal solved
+        solved += len(a)
+        return keep(a)
+
+    np.linalg.inv = counted
+    try:
+        for _ in range(rounds):
+            X = rng.normal(scale=scale, size=(n, kernel.k, kernel.d))
+            fresh = kernel.scores(keep(st[kernel.moving[0]]), st["b"], st["t"], X)
+            rows = {"rewards": rng.integers(0, 2, (n, kernel.k)).astype(float)}
+            choice, _, _ = kernel.step(st, ki, X, rows, ki)
+            np.testing.assert_array_equal(choice, np.argmax(fresh, axis=1))
+    finally:
+        np.linalg.inv = keep
+    return st, solved
+
+
+def test_carried_inverse_equals_fresh_inverse():
+    """Rank-1 updates: the same decisions as a solve a round, and no solve before one is due."""
+    from banditflow.operators import folds
+
+    for kernel, rounds in ((UserUCB(4, 5, 0.03), 700), (UserUCB(64, 5, 0.03), 200), (BufferedAgent(4, 5, 0.03), 300)):
+        st, solved = _steps(kernel, 6, rounds)
+        matrix, inverse = kernel.moving
+        np.testing.assert_allclose(st[inverse], np.linalg.inv(st[matrix]), rtol=1e-7, atol=1e-11)
+        assert solved <= 6 * (rounds // folds.SOLVE_EVERY)
+
+
+def test_carried_inverse_is_solved_when_it_drifts(monkeypatch):
+    from banditflow.operators import folds
+
+    kernel = UserUCB(6, 4, 0.03)
+    st, _ = _steps(kernel, 3, 40, scale=1e6)  # badly scaled contexts
+    np.testing.assert_allclose(st["Ai"] @ st["A"], np.repeat(np.eye(6)[None], 3, axis=0), atol=1e-3)
+    st["Ai"][1] *= 1.5  # a wrong inverse is found by the next test
+    monkeypatch.setattr(folds, "TEST_EVERY", 1)
+    X = np.random.default_rng(1).normal(size=(3, 4, 6))
+    kernel.step(st, np.arange(3), X, {"rewards": np.ones((3, 4))}, np.arange(3))
+    np.testing.assert_allclose(st["Ai"][1], np.linalg.inv(st["A"][1]), rtol=1e-12)
+
+
+def test_averaged_blocks_are_solved():
+    """A buffered block that is no x x^T (an average of two) joins cov: its key is solved afresh."""
+    kernel = BufferedAgent(3, 2, 0.03)
+    st = kernel.default_state(2)
+    a, b = np.array([1.0, 2.0, 0.5]), np.array([0.3, -1.0, 2.0])
+    blocks = np.stack([(np.outer(a, a) + np.outer(b, b)) / 2, np.outer(a, a)])
+    st["cov"] += blocks
+    kernel._follow(st, np.arange(2), blocks)
+    np.testing.assert_allclose(st["covi"], np.linalg.inv(st["cov"]), rtol=1e-12, atol=1e-14)
