@@ -569,11 +569,21 @@ def run_fold(
     out = sequential_fold(rounds, state, kernel, keys, order, payload, track_used)
     if checkpoint:
         out = materialize(out)
+    return fold_parts(out, kernel, keys, order, payload, track_used)
+
+
+def fold_parts(
+    out: DataFrame,
+    kernel: FoldKernel,
+    keys: Sequence[str] = ("user_id",),
+    order: str = "round_id",
+    payload: Sequence[str] = (),
+    track_used: bool = False,
+) -> FoldResult:
+    """Decisions and new state of a written fold output."""
     keys = list(keys)
     dec_cols = keys + [order] + [p for p in payload if p not in keys and p != order] + ["choice", "reward", "x"]
     if track_used:
         dec_cols.append("cluster_used")
-    decisions = out.where(F.col("_kind") == 1).select(*dec_cols)
     st_cols = keys + [f.name for f in kernel.state_spark_fields()]
-    new_state = out.where(F.col("_kind") == 0).select(*st_cols)
-    return FoldResult(decisions, new_state)
+    return FoldResult(out.where(F.col("_kind") == 1).select(*dec_cols), out.where(F.col("_kind") == 0).select(*st_cols))

@@ -8,52 +8,75 @@ first prune *is* the distance join (an edge survives iff ||theta_u - theta_v||
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from banditflow.functions import linalg as L
 from banditflow.operators.ordering import global_index
-from banditflow.session import materialize, release
+from banditflow.session import materialize, materialize_counted, release
+
+#: Above this dimension a grid uses distances to pivots instead of the first coordinates.
+PIVOTS_ABOVE = 8
+#: So many edges between roots are joined by one task; more go round by round.
+FINISH = 1 << 17
 
 
 def _bound_ok(dist, bound, strict: bool):
     return dist < bound if strict else dist <= bound
 
 
-def similar_users(
-    theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, strict: bool = False, max_tier: int = 12
-) -> DataFrame:
-    """Edges (src < dst) between users whose vectors are within the cluster bound.
+def coordinates(base: DataFrame, theta: Column, d: int) -> DataFrame:
+    """Adds ``_co``: three coordinates that never differ by more than the vectors are apart.
+
+    The first three of a short vector.  A few coordinates of a long one say little; there they are its
+    distances to three pivots far from each other (triangle inequality), found by three aggregates.
+    """
+    if d <= PIVOTS_ABOVE:
+        return base.withColumn("_co", F.array(*[F.element_at(theta, i + 1) if i < d else F.lit(0.0) for i in range(3)]))
+    far, co = L.l2_distance(theta, L.zeros(d)), []
+    for _ in range(3):
+        pivot = base.agg(F.max_by(theta, far)).first()[0] or [0.0] * d
+        dist = L.l2_distance(theta, F.array(*[F.lit(float(v)) for v in pivot]))
+        far = F.least(far, dist) if co else dist
+        co.append(dist)
+    return base.withColumn("_co", F.array(*co))
+
 
-    Exact multi-resolution grid equi-join instead of a nested loop.  Each user
-    has a radius r = alpha2 f(t) (f decreasing), and a pair is an edge only if
+def radius_tier(r_max: Column, r: Column, max_tier: int = 12) -> Column:
+    """Tier i holds radii <= r_max / 2^i; one coarser than log2 says, so rounding never breaks that."""
+    return F.least(F.lit(max_tier), F.greatest(F.lit(0), F.floor(F.log2(r_max / r)).cast("int") - 1))
+
+
+def candidate_pairs(theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, max_tier: int = 12) -> DataFrame:
+    """Pairs of users (src, theta_s, t_s, dst, theta_d, t_d) that a grid join cannot rule out, each once.
+
+    Each user has a radius r = alpha2 f(t) (f decreasing), and a pair is an edge only if
     ||theta_u - theta_v|| <= r_u + r_v.  Users are put in radius tiers
     (tier i holds radii <= R / 2^i, R the largest radius); a pair whose lower
     tier is i is within 2 R / 2^i, so it is found by an equi join on cells of
-    that width on up to three theta coordinates, the user of tier i in its own
+    that width on up to three coordinates, the user of tier i in its own
     cell against the other user expanded to the neighbouring cells of the
     tier-i grid.  Users with much history therefore meet only close
-    neighbours, even when a few new users (t = 0) are in the table.  The exact
-    test runs after the equi join; a hot cell is a skewed sort-merge key that
-    AQE splits.  ``strict`` keeps dist < cb instead of <= (the comparator's rule).
+    neighbours, even when a few new users (t = 0) are in the table.  A hot cell is a skewed
+    sort-merge key that AQE splits.
     """
-    g = max(1, min(grid_dims, d))
+    g = max(1, min(grid_dims, d, 3))
     # read several times (both join sides and the radius scale): write it once
-    base = materialize(
-        theta.select("user_id", "theta", "t").withColumn("_r", F.lit(alpha2) * L.confidence_radius("t"))
-    )
+    base = theta.select("user_id", "theta", "t").withColumn("_r", F.lit(alpha2) * L.confidence_radius("t"))
+    base = materialize(base if d <= PIVOTS_ABOVE else coordinates(materialize(base), F.col("theta"), d))
+    if d <= PIVOTS_ABOVE:
+        base = coordinates(base, F.col("theta"), d)
     r_max = base.select(F.max("_r")).scalar()
-    # one tier coarser than log2 says, so rounding can never put a radius above its tier's bound
-    tier = F.least(
-        F.lit(max_tier),
-        F.greatest(F.lit(0), F.floor(F.log2(r_max / F.col("_r"))).cast("int") - 1),
-    )
-    base = base.withColumn("_tier", tier)
+    base = base.withColumn("_tier", radius_tier(r_max, F.col("_r"), max_tier))
 
     def cells(level, prefix):
         width = F.lit(2.0) * r_max * F.pow(F.lit(0.5), level)
-        return [F.floor(F.element_at("theta", i + 1) / width).cast("long").alias(f"{prefix}{i}") for i in range(g)]
+        return [F.floor(F.element_at("_co", i + 1) / width).cast("long").alias(f"{prefix}{i}") for i in range(g)]
 
     home = base.select(
         F.col("user_id").alias("src"), F.col("theta").alias("theta_s"), F.col("t").alias("t_s"),
@@ -61,7 +84,7 @@ def similar_users(
     )
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=g)])
     probe = (
-        base.select("user_id", "theta", "t", "_tier", F.explode(F.sequence(F.lit(0), F.col("_tier"))).alias("lvl"))
+        base.select("user_id", "theta", "t", "_tier", "_co", F.explode(F.sequence(F.lit(0), F.col("_tier"))).alias("lvl"))
         .select(
             F.col("user_id").alias("dst"), F.col("theta").alias("theta_d"), F.col("t").alias("t_d"),
             F.col("_tier").alias("tier_d"), "lvl", *cells(F.col("lvl"), "h"), F.explode(offsets).alias("_off"),
@@ -73,7 +96,19 @@ def similar_users(
     )
     pairs = home.join(probe, ["lvl", *[f"c{i}" for i in range(g)]])
     # same tier: both orders meet, keep one; lower tier at home: the only meeting
-    pairs = pairs.where((F.col("tier_d") > F.col("tier_s")) | (F.col("src") < F.col("dst")))
+    return pairs.where((F.col("tier_d") > F.col("tier_s")) | (F.col("src") < F.col("dst")))
+
+
+def similar_users(
+    theta: DataFrame, alpha2: float, d: int, grid_dims: int = 3, strict: bool = False, max_tier: int = 12
+) -> DataFrame:
+    """Edges (src < dst) between users whose vectors are within the cluster bound.
+
+    An exact test of ``candidate_pairs`` (a multi-resolution grid equi-join, no nested loop).  This lists
+    every edge, a quadratic number where groups are dense; components alone come from
+    ``operators.user_graph``.  ``strict`` keeps dist < cb instead of <= (the comparator's rule).
+    """
+    pairs = candidate_pairs(theta, alpha2, d, grid_dims, max_tier)
     dist = L.l2_distance("theta_s", "theta_d")
     bound = L.cluster_bound("t_s", "t_d", alpha2)
     return pairs.where(_bound_ok(dist, bound, strict)).select(
@@ -117,37 +152,99 @@ def _stars(parent: DataFrame) -> DataFrame:
             return parent
 
 
-def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, label): the smallest node of its component, for every node that has an edge.
+@dataclass
+class Forest:
+    labels: DataFrame  # node, label: the smallest node of its component, for every node that has an edge
+    forest: DataFrame  # the edges of a spanning forest, as they came
+    tables: list[DataFrame]  # written tables behind both: release them when both are used
+
+
+def _union_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join, then every node with its root, by union-find over at most ``FINISH`` edges."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    kind = None
+    for batch in batches:
+        kind, joins = batch.column("edge").type, []
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                joins.append(i)
+        none = pa.nulls(len(joins), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, batch.column("edge").take(pa.array(joins, pa.int64()))], names=["root", "parent", "edge"])
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64()), pa.nulls(len(nodes), kind)],
+            names=["root", "parent", "edge"],
+        )
 
-    Each round hooks every root to its smallest neighbouring root, flattens the trees by pointer
-    jumping and replaces the edges by those left between roots.  A root outlives two rounds only if
-    it is the smallest within two steps, and then it takes all its neighbours: the roots halve every
-    two rounds whatever the shape, and the loop ends when no edge is left.
+
+def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", carry: tuple[str, ...] = ()) -> Forest:
+    """Components and a spanning forest of undirected edges; forest edges keep the columns ``carry``.
+
+    Each round hooks every root to its smallest neighbouring root by one of the edges between them, flattens the
+    trees by pointer jumping and replaces the edges by those left between roots.  A root outlives two rounds only
+    if it is the smallest within two steps, and then it takes all its neighbours: the roots halve every two
+    rounds whatever the shape.  When at most ``FINISH`` edges are left, one task joins them.
     """
     a, b = F.col(src), F.col(dst)
-    left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    labels, used = None, []
-    while labels is None or not left.isEmpty():
-        ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = ends.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("m"))
-        parent = _stars(hooked.select("root", F.least("root", "m").alias("parent")))
+    edge = F.struct(*[F.col(c) for c in dict.fromkeys((src, dst, *carry))]).alias("edge")
+    pair = edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), edge)
+    left, n = materialize_counted(pair.groupBy("a", "b").agg(F.min("edge").alias("edge")))
+    kind = left.schema["edge"].dataType
+    labels, picked, used = None, [], [left]
+    while n:
+        if n <= FINISH:
+            schema = T.StructType([T.StructField("root", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("edge", kind)])
+            rest = materialize(left.repartition(1).mapInArrow(_union_rest, schema))
+            parent = rest.where("root is not null").select("root", "parent")
+            picked.append(rest.where("root is null").select("edge.*"))
+            used.append(rest)
+        else:
+            ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge"))
+            hooked = materialize(ends.groupBy(F.col("a").alias("root")).agg(F.min(F.struct("b", "edge")).alias("m")))
+            picked.append(hooked.where(F.col("m.b") < F.col("root")).select("m.edge.*"))
+            parent = _stars(hooked.select("root", F.least("root", "m.b").alias("parent")))
+            used += [hooked, parent]
         if labels is None:
             labels = parent.select(F.col("root").alias("node"), F.col("parent").alias("label"))
         else:
             up = parent.select(F.col("root").alias("label"), "parent")
             labels = labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
-        pa = parent.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
-        pb = parent.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
-        fewer = materialize(
-            left.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        )
-        release(left)
-        left, used = fewer, [*used, parent]
-    out = materialize(labels)
-    release(left, *used)
-    return out
+        if n <= FINISH:
+            break
+        pa_ = parent.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
+        pb_ = parent.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
+        fewer = left.join(pa_, "a").join(pb_, "b").where(F.col("pa") != F.col("pb"))
+        fewer = fewer.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.min("edge").alias("edge"))
+        left, n = materialize_counted(fewer)
+        used.append(left)
+    if labels is None:  # no edges: the empty table has the right columns
+        none = left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return Forest(none, left.select("edge.*"), used)
+    if len(picked) > 1:
+        labels = materialize(labels)
+        used.append(labels)
+    forest = picked[0]
+    for p in picked[1:]:
+        forest = forest.unionByName(p)
+    return Forest(labels, forest, used)
+
+
+def edge_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, label): the smallest node of its component, for every node that has an edge."""
+    found = spanning_forest(edges, src, dst)
+    labels = materialize(found.labels)
+    release(*found.tables)
+    return labels
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

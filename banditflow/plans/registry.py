@@ -435,7 +435,7 @@ def q_two_stage_cluster_counts(spark, sf):
 
     log = _log(spark, sf)
     n = log.count()
-    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=(n + 1) // 2), K, D, n_rounds=n)
+    r = two_stage_replay(log, _cfg_two_stage().with_(iteration_length=(n + 1) // 2, list_edges=True), K, D, n_rounds=n)
     return r.cluster_counts.select("block", "from_round", "to_round", "n_clusters", "n_edges")
 
 

@@ -5,10 +5,12 @@ user vectors are solved (M7), the graph is pruned (J8 the first time, J9 after)
 and split into connected components (G3), the cluster models are rolled up
 (A8) and the remaining rounds are played with the frozen cluster models (F2).
 
-The driver loop only chains lazy DataFrames; each block's fold output and the
-graph are written as tables, so lineage stays one block deep and a lost executor
-recomputes at most one block.  The only values brought to the driver are the
-table size and per-iteration scalars of the components loop.
+The driver loop only chains DataFrames; what a block leaves is written as tables with a
+manifest (``plans.blocks``), so lineage stays one block deep, a lost executor
+recomputes at most one block, and a replay that was killed goes on after its last finished
+block.  The graph is kept as history, forest and labels (``operators.user_graph``); its edges are
+listed beside that only on demand.  The values brought to the driver are totals of a block
+and counts of the components loop.
 """
 
 from __future__ import annotations
@@ -22,18 +24,24 @@ from banditflow.config import ReplayConfig
 from banditflow.functions import linalg as L
 from banditflow.operators import graph as G
 from banditflow.operators import state as S
-from banditflow.operators.folds import ClusterUCB, UserUCB, run_fold
+from banditflow.operators.folds import ClusterUCB, UserUCB, fold_parts, sequential_fold
 from banditflow.operators.log import block
-from banditflow.session import materialize
+from banditflow.operators.user_graph import UserGraph, refresh
+from banditflow.plans.blocks import BlockTables, Totals
 
 
 @dataclass
 class ReplayResult:
     decisions: DataFrame  # round_id, user_id, block, stage, choice, reward, x (+ cluster_used)
     state: DataFrame  # user_state
-    edges: DataFrame
+    edges: DataFrame | None  # src, dst; only where the replay was asked to list them
     clusters: DataFrame
-    cluster_counts: DataFrame  # block, from_round, to_round, n_clusters, n_edges
+    cluster_counts: DataFrame  # block, from_round, to_round, n_clusters, n_edges (null where not listed)
+    tables: BlockTables | None = None  # its manifest has rounds and reward by block and stage
+
+
+COUNTS = "block int, from_round long, to_round long, n_clusters long, n_edges long"
+GRAPH = ("history", "forest", "labels")
 
 
 def user_theta(state: DataFrame, d: int) -> DataFrame:
@@ -41,19 +49,15 @@ def user_theta(state: DataFrame, d: int) -> DataFrame:
     return S.grouped_ridge(state, d, keep=["t"])
 
 
-def _stage(dec: DataFrame, blk: int, stage: str) -> DataFrame:
-    return dec.withColumn("block", F.lit(blk)).withColumn("stage", F.lit(stage))
-
-
-def _counts_row(blk: int, t1: int, t2: int, clusters: DataFrame, edges: DataFrame) -> DataFrame:
+def counts_row(blk: int, t1: int, t2: int, clusters: DataFrame, edges: DataFrame | None) -> DataFrame:
     """One cluster_counts row (Q14: filled per block)."""
-    n_edges = edges.select(F.count(F.lit(1))).scalar()
+    n_edges = F.lit(None).cast("long") if edges is None else edges.select(F.count(F.lit(1))).scalar()
     return clusters.agg(F.count_distinct("cluster_id").alias("n_clusters")).select(
         F.lit(blk).alias("block"),
         F.lit(t1).cast("long").alias("from_round"),
         F.lit(t2).cast("long").alias("to_round"),
-        "n_clusters",
-        n_edges.alias("n_edges"),
+        F.col("n_clusters").cast("long").alias("n_clusters"),
+        n_edges.cast("long").alias("n_edges"),
     )
 
 
@@ -70,46 +74,122 @@ def cluster_inputs(state: DataFrame, clusters: DataFrame, cstate: DataFrame, cou
     )
 
 
-def two_stage_replay(log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds: int | None = None) -> ReplayResult:
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def prune(tables: BlockTables, blk: int, state: DataFrame, cfg: ReplayConfig, d: int) -> tuple[UserGraph, DataFrame | None]:
+    """The graph after this block from the one before, written for the next; edges only on demand."""
+    before, edges = None, None
+    if blk and tables.latest("labels", blk - 1) is not None:
+        before = UserGraph(*[tables.load(name, tables.latest(name, blk - 1)) for name in GRAPH])
+    theta = user_theta(state, d)
+    graph = refresh(before, theta, cfg.alpha2, d, write=lambda name, df: tables.write(name, df, blk))
+    if cfg.list_edges:
+        now = G.similar_users(theta, cfg.alpha2, d) if before is None else G.prune_edges(tables.load("edges", blk - 1), theta, cfg.alpha2)
+        edges = tables.write("edges", now, blk)
+    return graph, edges
+
+
+def drop_graph(tables: BlockTables, blk: int) -> None:
+    """Graph tables that a later one replaces."""
+    for name in (*GRAPH, "edges"):
+        last = tables.latest(name, blk)
+        old = None if not last else tables.latest(name, last - 1)
+        if old is not None:
+            tables.drop(name, old)
+
+
+def play_block(
+    tables: BlockTables, blk: int, t1: int, t2: int, state: DataFrame, user_rounds: DataFrame | None,
+    cluster_rounds: DataFrame | None, cfg: ReplayConfig, k: int, d: int,
+) -> DataFrame:
+    """One iteration from the state before it; everything it leaves is in ``tables``.  Returns the state after it."""
+    totals = []
+    last = None
+    if user_rounds is not None:
+        seen = Totals()
+        out = seen.watch(sequential_fold(user_rounds, state, UserUCB(d, k, cfg.alpha, cfg.reward)))
+        state = fold_parts(tables.write("user", out, blk, ("_kind",)), UserUCB(d, k, cfg.alpha, cfg.reward)).state
+        totals.append(seen.row("user"))
+        last = "user"
+    graph, edges = prune(tables, blk, state, cfg, d)
+    tables.write("counts", counts_row(blk, t1, t2, graph.clusters, edges), blk)
+    if cluster_rounds is not None:
+        kernel = ClusterUCB(d, k, cfg.alpha, cfg.reward)
+        cstate = S.rollup_clusters(state, graph.clusters, d)
+        bc = S.cluster_block_counts(cluster_rounds, graph.clusters)
+        st2 = cluster_inputs(state, graph.clusters, cstate, bc, cfg.mean_over, d)
+        seen = Totals()
+        out = seen.watch(sequential_fold(cluster_rounds, st2, kernel, track_used=True))
+        state = fold_parts(tables.write("cluster", out, blk, ("_kind",)), kernel, track_used=True).state
+        totals.append(seen.row("cluster"))
+        last = "cluster"
+    tables.finish(blk, totals)
+    # what the next block does not need: the state inside this block, state and graph of the one before
+    if last == "cluster" and user_rounds is not None:
+        tables.drop("user", f"{blk}/_kind=0")
+    if blk:
+        drop_graph(tables, blk)
+        for name in ("user", "cluster"):
+            tables.drop(name, f"{blk - 1}/_kind=0")
+    return state
+
+
+def state_after(tables: BlockTables, blk: int, cfg: ReplayConfig, k: int, d: int) -> DataFrame:
+    """The state that block ``blk`` left."""
+    for name, kernel in (("cluster", ClusterUCB(d, k, cfg.alpha, cfg.reward)), ("user", UserUCB(d, k, cfg.alpha, cfg.reward))):
+        if tables.has(name, blk):
+            return fold_parts(tables.load(name, blk), kernel).state
+    raise ValueError(f"block {blk} has no state")
+
+
+def replayed(tables: BlockTables, n_blocks: int, cfg: ReplayConfig, k: int, d: int) -> ReplayResult:
+    """What the blocks 0 .. n_blocks - 1 left, as one result."""
+    parts, counts = [], []
+    for blk in range(n_blocks):
+        for name, kernel in (("user", UserUCB(d, k, cfg.alpha, cfg.reward)), ("cluster", ClusterUCB(d, k, cfg.alpha, cfg.reward))):
+            if tables.has(name, blk):
+                used = name == "cluster"
+                dec = fold_parts(tables.load(name, blk), kernel, track_used=used).decisions
+                dec = dec if used else dec.withColumn("cluster_used", F.lit(False))
+                parts.append(dec.withColumn("block", F.lit(blk)).withColumn("stage", F.lit(name)))
+        counts.append(tables.read("counts", COUNTS, blk))
+    last = n_blocks - 1
+    labels = tables.load("labels", tables.latest("labels", last))
+    return ReplayResult(
+        all_of(parts), state_after(tables, last, cfg, k, d), tables.load("edges", last) if cfg.list_edges else None,
+        G.dense_cluster_ids(labels), all_of(counts), tables,
+    )
+
+
+def two_stage_replay(
+    log: DataFrame, cfg: ReplayConfig, k: int, d: int, n_rounds: int | None = None, folder: str | None = None
+) -> ReplayResult:
     """Run R1 over a log with dense round ids 0..n-1.
 
     The log is written once, clustered by round: each block reads its own rounds, also when round_id is
-    computed (after a filter and renumbering, say).
+    computed (after a filter and renumbering, say).  With ``folder`` the replay can be resumed: called
+    again with the same log and settings, it goes on after the last finished block there.
     """
-    log = materialize(log, by="round_id")
+    tables = BlockTables(log.sparkSession, folder)
+    if not tables.has("log"):
+        tables.write("log", log.repartitionByRange("round_id").sortWithinPartitions("round_id"))
+    log = tables.load("log")
     if n_rounds is None:
         n_rounds = int(log.agg(F.max("round_id")).first()[0]) + 1
-    users = materialize(log.select("user_id").distinct())
-    state = materialize(S.init_state(users, d))
-    edges = None
-    clusters = None
-    parts: list[DataFrame] = []
-    counts: list[DataFrame] = []
-    L_ = cfg.iteration_length
-    for blk, t1 in enumerate(range(0, n_rounds, L_)):
-        t_mid = min(t1 + cfg.user_rounds, n_rounds)
-        t2 = min(t1 + L_, n_rounds)
-        if t_mid > t1:
-            res = run_fold(block(log, t1, t_mid), state, UserUCB(d, k, cfg.alpha, cfg.reward))
-            state = res.state
-            parts.append(_stage(res.decisions.withColumn("cluster_used", F.lit(False)), blk, "user"))
-        theta = user_theta(state, d)
-        edges = G.similar_users(theta, cfg.alpha2, d) if edges is None else G.prune_edges(edges, theta, cfg.alpha2)
-        edges = materialize(edges)
-        clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
-        counts.append(_counts_row(blk, t1, t2, clusters, edges))
-        if t2 > t_mid:
-            cstate = S.rollup_clusters(state, clusters, d)
-            rounds = block(log, t_mid, t2)
-            bc = S.cluster_block_counts(rounds, clusters)
-            st2 = cluster_inputs(state, clusters, cstate, bc, cfg.mean_over, d)
-            res = run_fold(rounds, st2, ClusterUCB(d, k, cfg.alpha, cfg.reward), track_used=True)
-            state = res.state
-            parts.append(_stage(res.decisions, blk, "cluster"))
-    decisions = parts[0]
-    for p in parts[1:]:
-        decisions = decisions.unionByName(p)
-    cc = counts[0]
-    for c in counts[1:]:
-        cc = cc.unionByName(c)
-    return ReplayResult(decisions, state, edges, G.dense_cluster_ids(clusters.withColumnRenamed("cluster_id", "label")), cc)
+    length = cfg.iteration_length
+    done = tables.finished()
+    n_blocks = -(-n_rounds // length)
+    state = state_after(tables, done, cfg, k, d) if done >= 0 else S.init_state(log.select("user_id").distinct(), d)
+    for blk in range(done + 1, n_blocks):
+        t1 = blk * length
+        t_mid, t2 = min(t1 + cfg.user_rounds, n_rounds), min(t1 + length, n_rounds)
+        state = play_block(
+            tables, blk, t1, t2, state, block(log, t1, t_mid) if t_mid > t1 else None,
+            block(log, t_mid, t2) if t2 > t_mid else None, cfg, k, d,
+        )
+    return replayed(tables, n_blocks, cfg, k, d)

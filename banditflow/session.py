@@ -99,6 +99,12 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A materialized table and its number of rows (read from the footers of its files)."""
+    out = materialize(df)
+    return out, out.count()
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for df in tables:

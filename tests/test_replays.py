@@ -18,12 +18,12 @@ def _summary(r):
 def test_two_stage_recorded_runs(spark):
     """Recorded runs of this library at sf0.01: L = 5000, control 0.5, alpha2 = 0.7."""
     log = fx.bandit_log(spark, SF01)
-    total, used, counts = _summary(two_stage_replay(log, ReplayConfig(iteration_length=5000, mean_over="members"), fx.K, fx.D))
+    total, used, counts = _summary(two_stage_replay(log, ReplayConfig(iteration_length=5000, mean_over="members", list_edges=True), fx.K, fx.D))
     assert total == 5168
     assert [c[1:] for c in counts] == [(1, 2812), (4, 2461)]
     assert used[(0, "cluster")] == 281 and used[(1, "cluster")] == 505
     total, used, counts = _summary(
-        two_stage_replay(log, ReplayConfig(iteration_length=5000, mean_over="interactions"), fx.K, fx.D)
+        two_stage_replay(log, ReplayConfig(iteration_length=5000, mean_over="interactions", list_edges=True), fx.K, fx.D)
     )
     assert total == 5235
     assert [c[1:] for c in counts] == [(1, 2812), (4, 2461)]
@@ -74,7 +74,7 @@ def test_two_stage_on_cold_log(spark):
 def test_two_stage_four_iterations(spark):
     """Recorded run at sf0.01: L = 2500, members mode, four iterations."""
     log = fx.bandit_log(spark, SF01)
-    total, used, counts = _summary(two_stage_replay(log, ReplayConfig(iteration_length=2500, mean_over="members"), fx.K, fx.D))
+    total, used, counts = _summary(two_stage_replay(log, ReplayConfig(iteration_length=2500, mean_over="members", list_edges=True), fx.K, fx.D))
     assert total == 5126
     assert [c[1:] for c in counts] == [(1, 6904), (1, 2505), (4, 2439), (4, 2426)]
     assert [used[(b, "cluster")] for b in range(4)] == [224, 371, 387, 432]
