@@ -384,6 +384,7 @@ class _FoldSpec:
     payload: list[str]  # carried from round rows to decisions (e.g. user_id)
     kernel: FoldKernel
     track_used: bool = False
+    emit_state: bool = True
 
 
 def _runner(spec: _FoldSpec):
@@ -416,7 +417,7 @@ def _runner(spec: _FoldSpec):
                         st[name][0, : v.shape[1]] = v[0]
                     else:
                         st[name][0] = v[0]
-            elif carry_key is not None:
+            elif carry_key is not None and spec.emit_state:
                 yield _state_batch(spec, [carry_key], carry_state, np.array([0]))
             carry_key = carry_state = None
 
@@ -465,12 +466,12 @@ def _runner(spec: _FoldSpec):
                 yield _decision_batch(spec, cols)
 
             # every run but the last is complete in this batch
-            if n_runs > 1:
+            if n_runs > 1 and spec.emit_state:
                 yield _state_batch(spec, run_keys[:-1], st, np.arange(n_runs - 1))
             last = n_runs - 1
             carry_key = run_keys[last]
             carry_state = {name: v[last : last + 1].copy() for name, v in st.items()}
-        if carry_key is not None:
+        if carry_key is not None and spec.emit_state:
             yield _state_batch(spec, [carry_key], carry_state, np.array([0]))
 
     return run
@@ -522,13 +523,14 @@ def sequential_fold(
     order: str = "round_id",
     payload: Sequence[str] = (),
     track_used: bool = False,
+    emit_state: bool = True,
 ) -> DataFrame:
-    """Lazy fold output: decision rows (_kind 1) and final state rows (_kind 0)."""
+    """Lazy fold output: decision rows (_kind 1) and, unless not wanted, final state rows (_kind 0)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     keys = list(keys)
     payload = [p for p in payload if p not in keys and p != order]
-    spec = _FoldSpec(keys, order, payload, kernel, track_used)
+    spec = _FoldSpec(keys, order, payload, kernel, track_used, emit_state)
     value_cols = ["arms", "label" if kernel.reward == "label" else "rewards"]
     state_cols = list(kernel.state_shapes) + list(kernel.static_shapes)
     if isinstance(kernel, BufferedAgent):

@@ -2,20 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from banditflow.operators.ordering import key_index
+from banditflow.session import materialize, release
+
+
+@dataclass
+class ChunkNumbers:
+    """Where the chunks of the hot keys lie; None: no key has more than ``max_limit`` rows, all chunks are 0."""
+
+    bucket: int
+    spans: DataFrame | None = None  # key, bucket, chunk, first, last order number: at most two rows a (key, bucket)
+    chunks: DataFrame | None = None  # key, n_chunks, of the hot keys
+
+    def release(self) -> None:
+        release(self.spans, self.chunks)
+
+
+def chunk_numbers(narrow: DataFrame, key: str, order: str, max_limit: int) -> ChunkNumbers:
+    """Chunk limits of hot keys from (key, order) alone; ``order`` is a number, unique within a key.
+
+    Only keys with more than ``max_limit`` rows are numbered (``key_index``: a hot key spreads over range
+    partitions).  A chunk's span of order numbers is spread over buckets of a quarter of ``max_limit`` numbers, so a
+    bucket of a key holds fewer rows than a chunk and meets two chunks at most.
+    """
+    bucket = max(1, max_limit // 4)
+    narrow = narrow.select(key, order)
+    sizes = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_limit)
+    sizes = materialize(sizes.select(key, F.ceil(F.col("n") / max_limit).cast("long").alias("n_chunks")))
+    if sizes.isEmpty():
+        release(sizes)
+        return ChunkNumbers(bucket)
+    numbered = key_index(narrow.join(sizes.select(key), key, "left_semi"), key, order, "_pos")
+    firsts = numbered.where(F.col("_pos") % max_limit == 0).select(
+        key, (F.col("_pos") / max_limit).cast("long").alias("chunk"), F.col(order).alias("first")
+    )
+    ends = numbered.groupBy(key).agg(F.max(order).alias("end"))
+    upto = F.lead("first").over(Window.partitionBy(key).orderBy("first")) - 1
+    spans = firsts.join(ends, key).select(key, "chunk", "first", F.coalesce(upto, "end").alias("last"))
+    low, high = (F.floor(F.col(c) / bucket).cast("long") for c in ("first", "last"))
+    spans = materialize(spans.withColumn("bucket", F.explode(F.sequence(low, high))))
+    return ChunkNumbers(bucket, spans, sizes)
+
+
+def with_chunks(df: DataFrame, numbers: ChunkNumbers, key: str, order: str) -> DataFrame:
+    """Adds ``chunk``: an equi join with the spans on (key, bucket), which Spark broadcasts when they are small;
+    no sort and no table of ``df`` itself."""
+    if numbers.spans is None:
+        return df.withColumn("chunk", F.lit(0).cast("long"))
+    spans = numbers.spans.select(F.col(key).alias("_k"), F.col("bucket").alias("_b"), F.col("chunk").alias("_chunk"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    at = F.floor(F.col(order) / numbers.bucket).cast("long")
+    met = (F.col(key) == F.col("_k")) & (at == F.col("_b")) & F.col(order).between(F.col("_first"), F.col("_last"))
+    return df.join(spans, met, "left").withColumn("chunk", F.coalesce("_chunk", F.lit(0).cast("long"))).drop(
+        "_k", "_b", "_chunk", "_first", "_last"
+    )
 
 
 def split_hot(df: DataFrame, key: str, order: str, max_limit: int) -> DataFrame:
     """Add ``chunk`` = floor(position of the row inside its key / max_limit).
 
-    Each (key, chunk) then holds at most ``max_limit`` rows.  The position comes
-    from the skew-safe ``key_index`` (no single window task per hot key).
+    Each (key, chunk) then holds at most ``max_limit`` rows.
     """
-    return (
-        key_index(df, key, order, "_pos")
-        .withColumn("chunk", F.floor(F.col("_pos") / F.lit(max_limit)).cast("long"))
-        .drop("_pos")
-    )
+    return with_chunks(df, chunk_numbers(df, key, order, max_limit), key, order)

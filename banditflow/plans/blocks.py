@@ -79,8 +79,11 @@ class BlockTables:
         return int(self.manifest().agg(F.max("block")).first()[0])
 
     def finish(self, block: int, totals: list[tuple[str, int, float]]) -> None:
-        rows = [(block, stage, rounds, reward) for stage, rounds, reward in totals]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(self._path("manifest", block))
+        row = F.explode(F.array(*[
+            F.struct(F.lit(block).alias("block"), F.lit(stage).alias("stage"), F.lit(rounds).cast("long").alias("rounds"), F.lit(reward).alias("reward"))
+            for stage, rounds, reward in totals
+        ]))
+        self.spark.range(1).select(row.alias("r")).select("r.*").coalesce(1).write.mode("overwrite").parquet(self._path("manifest", block))
 
     def manifest(self) -> DataFrame:
         """block, stage, rounds, reward of the finished blocks."""

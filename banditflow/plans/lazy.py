@@ -6,7 +6,9 @@ block of rounds is keyed by cluster, hot clusters are cut into chunks of at
 most ``chunk_limit`` rounds (W5; every chunk starts from the same cluster
 model), each chunk is played sequentially with a running copy of its cluster
 model (F3), the per-user updates are summed (A10) and upserted (J12), and the
-graph is pruned again (J9) and re-clustered.
+graph is pruned again (J9) and re-clustered.  Rounds travel with their arms once a block, to the
+fold: chunks are numbered on (cluster, round) alone.  Every block is written with a manifest
+(``plans.blocks``), so a replay that was killed goes on after its last finished block.
 
 Fixed here as intended (see README quirk ledger): the listed rounds are played
 (Q5), the updates reach the user state (Q6) and results are keyed by user (Q7);
@@ -21,69 +23,94 @@ from pyspark.sql import functions as F
 from banditflow.config import ReplayConfig
 from banditflow.operators import graph as G
 from banditflow.operators import state as S
-from banditflow.operators.folds import ClusterSequentialUCB, UserUCB, run_fold
+from banditflow.operators.folds import ClusterSequentialUCB, UserUCB, fold_parts, sequential_fold
 from banditflow.operators.log import block, replay, with_cluster
-from banditflow.operators.skew import split_hot
-from banditflow.plans.two_stage import ReplayResult, user_theta
-from banditflow.session import materialize
-
-
-def _count_row(blk: int, t1: int, t2: int, clusters: DataFrame | None, users: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if clusters is None:  # the complete start graph: one component
-        nc = users.agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("n_clusters"))
-        ne = users.select(F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).scalar()
-    else:
-        nc = clusters.agg(F.count_distinct("cluster_id").alias("n_clusters"))
-        ne = edges.select(F.count(F.lit(1))).scalar()
-    return nc.select(
-        F.lit(blk).alias("block"),
-        F.lit(t1).cast("long").alias("from_round"),
-        F.lit(t2).cast("long").alias("to_round"),
-        F.col("n_clusters").cast("long").alias("n_clusters"),
-        ne.cast("long").alias("n_edges"),
+from banditflow.operators.skew import chunk_numbers, with_chunks
+from banditflow.plans.blocks import BlockTables, Totals
+from banditflow.plans.two_stage import COUNTS, ReplayResult, all_of, counts_row, drop_graph, prune
+
+KEYS = ("cluster_id", "chunk")
+
+
+def _start_counts(t2: int, users: DataFrame) -> DataFrame:
+    """The complete start graph: one component, all pairs."""
+    n = F.count(F.lit(1))
+    return users.agg(F.least(n, F.lit(1)).alias("c"), (n * (n - 1) / 2).cast("long").alias("e")).select(
+        F.lit(0).alias("block"), F.lit(0).cast("long").alias("from_round"), F.lit(t2).cast("long").alias("to_round"),
+        F.col("c").cast("long").alias("n_clusters"), F.col("e").alias("n_edges"),
     )
 
 
-def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d: int) -> ReplayResult:
-    rounds = materialize(replay(log, order), by="round_id")
+def _regroup(tables: BlockTables, blk: int, state: DataFrame, cfg: ReplayConfig, d: int) -> None:
+    """Graph and cluster models after block ``blk``."""
+    graph, edges = prune(tables, blk, state, cfg, d)
+    tables.write("models", S.rollup_clusters(state, graph.clusters, d), blk)
+    t1 = cfg.warmup_rounds + (blk - 1) * cfg.block_length
+    if blk:
+        tables.write("counts", counts_row(blk, t1, t1 + cfg.block_length, graph.clusters, edges), blk)
+
+
+def play_lazy_block(tables: BlockTables, blk: int, rounds: DataFrame, cfg: ReplayConfig, k: int, d: int) -> None:
+    """One block by clusters, from what block ``blk - 1`` left; everything it leaves is in ``tables``."""
+    before = blk - 1
+    labels = tables.load("labels", tables.latest("labels", before))
+    clusters = labels.select("user_id", F.col("label").alias("cluster_id"))
+    models = tables.load("models", before)
+    state = tables.load("state", before)
+    numbers = chunk_numbers(with_cluster(rounds.select("round_id", "user_id"), clusters), "cluster_id", "round_id", cfg.chunk_limit)
+    chunked = with_chunks(with_cluster(rounds, clusters), numbers, "cluster_id", "round_id")
+    # every (cluster, chunk) starts from its cluster's model
+    chunks = models.join(numbers.chunks, "cluster_id", "left") if numbers.chunks is not None else models.withColumn("n_chunks", F.lit(None).cast("long"))
+    start = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n_chunks", F.lit(1).cast("long")) - 1)))
+    kernel = ClusterSequentialUCB(d, k, cfg.alpha, cfg.reward)
+    seen = Totals()
+    out = seen.watch(sequential_fold(chunked, start.select(*KEYS, "A", "b", "t"), kernel, keys=KEYS, payload=("user_id",), emit_state=False))
+    played = fold_parts(tables.write("cluster", out, blk), kernel, KEYS, payload=("user_id",)).decisions
+    numbers.release()
+    after = tables.write("state", S.merge_state(state, S.deltas(played, "user_id", d), d), blk)
+    _regroup(tables, blk, after, cfg, d)
+    tables.finish(blk, [seen.row("cluster")])
+    drop_graph(tables, blk)
+    for name in ("state", "models"):
+        tables.drop(name, before)
+
+
+def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d: int, folder: str | None = None) -> ReplayResult:
+    """Run R2 over ``log`` in the order of ``order``; with ``folder`` the replay can be resumed there."""
+    tables = BlockTables(log.sparkSession, folder)
+    if not tables.has("log"):
+        tables.write("log", replay(log, order).repartitionByRange("round_id").sortWithinPartitions("round_id"))
+    rounds = tables.load("log")
     n_rounds = int(rounds.agg(F.max("round_id")).first()[0]) + 1
-    users = materialize(rounds.select("user_id").distinct())
-    state = materialize(S.init_state(users, d))
     w = min(cfg.warmup_rounds, n_rounds)
+    kernel = UserUCB(d, k, cfg.alpha, cfg.reward)
+    n_blocks = 1 + -(-(n_rounds - w) // cfg.block_length)
+    if tables.finished() < 0:
+        users = rounds.select("user_id").distinct()
+        seen = Totals()
+        out = seen.watch(sequential_fold(block(rounds, 0, w), S.init_state(users, d), kernel))
+        first = fold_parts(tables.write("user", out, 0, ("_kind",)), kernel).state
+        state = tables.write("state", first, 0)
+        tables.write("counts", _start_counts(w, state), 0)
+        _regroup(tables, 0, state, cfg, d)
+        tables.finish(0, [seen.row("user")])
+        tables.drop("user", "0/_kind=0")
+    for blk in range(tables.finished() + 1, n_blocks):
+        t1 = w + (blk - 1) * cfg.block_length
+        play_lazy_block(tables, blk, block(rounds, t1, min(t1 + cfg.block_length, n_rounds)), cfg.with_(warmup_rounds=w), k, d)
+
+    columns = ["round_id", "user_id", "choice", "reward", "x"]
+    parts = [fold_parts(tables.load("user", 0), kernel).decisions.select(columns).withColumn("block", F.lit(0)).withColumn("stage", F.lit("user"))]
+    for blk in range(1, n_blocks):
+        dec = fold_parts(tables.load("cluster", blk), kernel, KEYS, payload=("user_id",)).decisions
+        parts.append(dec.select(columns).withColumn("block", F.lit(blk)).withColumn("stage", F.lit("cluster")))
+    counts = all_of([tables.read("counts", COUNTS, b) for b in range(n_blocks)])
+    last = n_blocks - 1
+    return ReplayResult(
+        all_of(parts), tables.load("state", last), tables.load("edges", last) if cfg.list_edges else None,
+        G.dense_cluster_ids(tables.load("labels", tables.latest("labels", last))),
+        counts.withColumn("to_round", F.least("to_round", F.lit(n_rounds).cast("long"))), tables,
+    )
+
+
 
-    res = run_fold(block(rounds, 0, w), state, UserUCB(d, k, cfg.alpha, cfg.reward))
-    state = res.state
-    parts = [res.decisions.withColumn("block", F.lit(0)).withColumn("stage", F.lit("user"))]
-    counts = [_count_row(0, 0, w, None, users, None)]
-
-    edges = materialize(G.similar_users(user_theta(state, d), cfg.alpha2, d))
-    clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
-    cstate = materialize(S.rollup_clusters(state, clusters, d))
-
-    for blk, t1 in enumerate(range(w, n_rounds, cfg.block_length), start=1):
-        t2 = min(t1 + cfg.block_length, n_rounds)
-        keyed = with_cluster(block(rounds, t1, t2), clusters)
-        chunked = split_hot(keyed, "cluster_id", "round_id", cfg.chunk_limit)
-        chunk_keys = chunked.select("cluster_id", "chunk").distinct()
-        start = chunk_keys.join(cstate.select("cluster_id", "A", "b", "t"), "cluster_id")
-        res = run_fold(
-            chunked, start, ClusterSequentialUCB(d, k, cfg.alpha, cfg.reward),
-            keys=("cluster_id", "chunk"), payload=("user_id",),
-        )
-        parts.append(
-            res.decisions.select("round_id", "user_id", "choice", "reward", "x")
-            .withColumn("block", F.lit(blk)).withColumn("stage", F.lit("cluster"))
-        )
-        state = materialize(S.merge_state(state, S.deltas(res.decisions, "user_id", d), d))
-        edges = materialize(G.prune_edges(edges, user_theta(state, d), cfg.alpha2))
-        clusters = G.connected_components(users, edges, dense=False)  # already written per iteration
-        cstate = materialize(S.rollup_clusters(state, clusters, d))
-        counts.append(_count_row(blk, t1, t2, clusters, users, edges))
-
-    decisions = parts[0].select("round_id", "user_id", "choice", "reward", "x", "block", "stage")
-    for p in parts[1:]:
-        decisions = decisions.unionByName(p)
-    cc = counts[0]
-    for c in counts[1:]:
-        cc = cc.unionByName(c)
-    return ReplayResult(decisions, state, edges, G.dense_cluster_ids(clusters.withColumnRenamed("cluster_id", "label")), cc)
