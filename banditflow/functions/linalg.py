@@ -18,11 +18,15 @@ def _c(x: ColumnOrName) -> Column:
 
 def identity(d: int) -> Column:
     """Row-major d x d identity."""
+    if d > 16:
+        return F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), lambda i: F.when(i % (d + 1) == 0, 1.0).otherwise(0.0))
     return F.array(*[F.lit(1.0 if i % (d + 1) == 0 else 0.0) for i in range(d * d)])
 
 
 def zeros(d: int) -> Column:
     """Zero vector."""
+    if d > 256:
+        return F.array_repeat(F.lit(0.0), d)
     return F.array(*[F.lit(0.0) for _ in range(d)])
 
 

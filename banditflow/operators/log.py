@@ -110,6 +110,57 @@ def rounds_by_user(df: DataFrame) -> DataFrame:
     )
 
 
+def _chunked_lists(key: str, order: str, size: int):
+    """Stream of (key, order) in order -> (key, chunk number inside the partition, list, piece of the key's rows)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def flush(done):
+            keys, firsts, lists = zip(*done)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=[key, "seq", order + "s"]
+            )
+
+        held_key, held_chunk, held, seq0 = None, None, [], 0
+        for batch in batches:
+            done = []
+            keys, orders = np.asarray(batch.column(key)), np.asarray(batch.column(order))
+            pos = np.asarray(batch.column("_pos"))
+            chunk = pos // size
+            cut = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (chunk[1:] != chunk[:-1])])
+            for start, end in zip(cut, np.r_[cut[1:], len(keys)]):
+                if held and (held_key, held_chunk) != (keys[start], chunk[start]):
+                    done.append((held_key, seq0, held))
+                    held = []
+                if not held:
+                    held_key, held_chunk, seq0 = int(keys[start]), int(chunk[start]), int(pos[start])
+                held = [*held, *orders[start:end].tolist()]
+            if done:
+                yield flush(done)
+        if held:
+            yield flush([(held_key, seq0, held)])
+
+    return run
+
+
+def round_lists(df: DataFrame, size: int = 1000, key: str = "user_id", order: str = "round_id") -> DataFrame:
+    """A2: (user_id, chunk, round_ids): the rounds of each user in order, ``size`` of them a row.
+
+    (key, order) pairs go into range partitions and are sorted there, so a hot user spreads over tasks and a
+    chunk is built while its rows stream by; only a chunk that meets a partition's end comes out in pieces, put
+    together by a grouping of at most ``size`` numbers.
+    """
+    placed = key_index(df.select(key, order), key, order, "_pos")
+    sorted_ = placed.repartitionByRange(key, "_pos").sortWithinPartitions(key, "_pos")
+    pieces = sorted_.mapInArrow(_chunked_lists(key, order, size), f"{key} long, seq long, {order}s array<long>")
+    whole = pieces.groupBy(key, F.floor(F.col("seq") / size).cast("long").alias("chunk")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", order + "s"))), lambda p: p[order + "s"])).alias(order + "s")
+    )
+    return whole.select(key, "chunk", order + "s")
+
+
 # ------------------------------------------------------------------ J3 / J6
 def replay(log: DataFrame, order: DataFrame) -> DataFrame:
     """Re-sequence rounds by a 1-based replay order: round_id := pos for row_id = M - 1."""

@@ -3,7 +3,9 @@
 State at rest is one row per key with row-major ``A`` (d*d), ``b`` (d) and ``t``.
 Array sums are generated per element (``sum(a[i])`` columns: partial
 aggregation + codegen, map-side combined so a hot key costs one row per task
-before the shuffle); for wide arrays they switch to an exploded (key, pos) sum.
+before the shuffle).  Wide contexts are summed in blocks instead: rows sorted by
+key stream through Arrow and each run of a key adds X^T X and X^T r, one matrix
+product a run.
 """
 
 from __future__ import annotations
@@ -52,6 +54,95 @@ def sum_arrays(df: DataFrame, key: str | Sequence[str], arrays: dict[str, int],
     return out
 
 
+#: Rows of one key that a task takes at most; a key with more is split over tasks and its parts are added up.
+KEY_ROWS = 1 << 16
+#: Bytes of sums that one output batch holds.
+_BATCH_BYTES = 16 << 20
+
+
+def _block_sums(keys: list[str], d: int, arrays: bool):
+    """Stream sorted by ``keys`` -> one row a key: (keys, A, b, t).
+
+    ``arrays``: the input has A, b and t already (parts of a key), else x and r of single rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "A", "b", "t"]
+        open_key, sums = None, None
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*[k for k, _ in done]), key_types)]
+            flat = [np.concatenate([np.asarray(s[i], dtype=np.float64).reshape(-1) for _, s in done]) for i in range(2)]
+            for v, width in zip(flat, (d * d, d)):
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, width, dtype=np.int32)), pa.array(v)))
+            cols.append(pa.array([s[2] for _, s in done], pa.int64()))
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key_types = [batch.column(k).type for k in keys]
+            values = [batch.column(k).to_pylist() for k in keys]
+            cut = [0] + [i for i in range(1, n) if any(v[i] != v[i - 1] for v in values)] + [n]
+            flat = [np.asarray(batch.column(c).flatten(), dtype=np.float64) for c in (("A", "b") if arrays else ("x",))]
+            last = np.asarray(batch.column("t" if arrays else "r"))
+            for start, end in zip(cut, cut[1:]):
+                here = tuple(v[start] for v in values)
+                if arrays:
+                    part = [flat[0].reshape(n, -1)[start:end].sum(axis=0), flat[1].reshape(n, -1)[start:end].sum(axis=0), int(last[start:end].sum())]
+                else:
+                    x = flat[0].reshape(n, d)[start:end]
+                    part = [(x.T @ x).reshape(-1), x.T @ last[start:end].astype(np.float64), end - start]
+                if sums is not None and here == open_key:
+                    sums = [a + b for a, b in zip(sums, part)]
+                    continue
+                if sums is not None:
+                    done.append((open_key, sums))
+                open_key, sums = here, part
+                if len(done) * d * d * 8 >= _BATCH_BYTES:
+                    yield flush()
+                    done.clear()
+        if sums is not None:
+            done.append((open_key, sums))
+            yield flush()
+
+    return run
+
+
+def block_sums(df: DataFrame, key: str | Sequence[str], x: str, r: Column | str, d: int) -> DataFrame:
+    """Per key A = sum x x^T (row-major), b = sum r x, t = count, by matrix products over the rows of a key.
+
+    Rows travel once, d numbers each.  A key with more than ``KEY_ROWS`` rows is dealt over several tasks
+    whose sums are added up; which keys those are comes from a count on the key alone.
+    """
+    keys = _keys(key)
+    value = F.col(r) if isinstance(r, str) else r
+    rows = df.select(*keys, F.col(x).alias("x"), value.cast("double").alias("r"))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > KEY_ROWS)
+    hot = hot.select(*[F.col(k).alias("_h" + k) for k in keys], F.ceil(F.col("_n") / KEY_ROWS).cast("int").alias("_parts"))
+    same = [F.col(k).eqNullSafe(F.col("_h" + k)) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    # at most one hot key in KEY_ROWS rows: Spark broadcasts them while they are small
+    dealt = rows.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("x", "r"), F.col("_parts")).cast("int"), F.lit(0)))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [
+        T.StructField("A", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType())), T.StructField("t", T.LongType())
+    ])
+    part = T.StructType([*schema.fields[: len(keys)], T.StructField("_part", T.IntegerType()), *schema.fields[len(keys) :]])
+    by = [*keys, "_part"]
+    first = dealt.select(*by, "x", "r").repartition(*by).sortWithinPartitions(*by).mapInArrow(_block_sums(by, d, False), part)
+    return first.select(*keys, "A", "b", "t").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_sums(keys, d, True), schema)
+
+
+def _plus_identity(a: str, d: int) -> Column:
+    """A + I without an expression an element."""
+    return F.transform(a, lambda v, i: F.when(i % (d + 1) == 0, v + 1.0).otherwise(v))
+
+
 def gram(df: DataFrame, key: str | Sequence[str], x: str, d: int, with_identity: bool = True) -> DataFrame:
     """A5: A = I + sum x x^T per key (upper triangle generated, mirrored)."""
     keys = _keys(key)
@@ -65,14 +156,15 @@ def gram(df: DataFrame, key: str | Sequence[str], x: str, d: int, with_identity:
                 c = F.col(f"_g{min(i, j)}_{max(i, j)}")
                 cells.append(c + F.lit(1.0) if (i == j and with_identity) else c)
         return out.select(*keys, F.array(*cells).alias("A"))
-    out = sum_arrays(df.withColumn("_xx", L.outer(x)), keys, {"_xx": d * d})
-    a = L.add("_xx", L.identity(d)) if with_identity else F.col("_xx")
-    return out.select(*keys, a.alias("A"))
+    out = block_sums(df, keys, x, F.lit(0.0), d)
+    return out.select(*keys, (_plus_identity("A", d) if with_identity else F.col("A")).alias("A"))
 
 
 def moment(df: DataFrame, key: str | Sequence[str], x: str, r: str, d: int) -> DataFrame:
     """A6 + A7: b = sum r x and t = count per key."""
     keys = _keys(key)
+    if d > _GENERATED_MAX:
+        return block_sums(df, keys, x, r, d).select(*keys, "b", "t")
     aggs = [F.sum(F.col(r) * F.element_at(x, i + 1)).alias(f"_b{i}") for i in range(d)]
     out = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("t"))
     return out.select(*keys, F.array(*[F.col(f"_b{i}") for i in range(d)]).alias("b"), "t")
@@ -82,7 +174,7 @@ def gram_moment(df: DataFrame, key: str | Sequence[str], x: str, r: str, d: int)
     """A5-A7 in one aggregation pass: A = I + sum x x^T, b = sum r x, t = count."""
     keys = _keys(key)
     if d * d > _GENERATED_MAX:
-        return gram(df, keys, x, d).join(moment(df, keys, x, r, d), keys)
+        return block_sums(df, keys, x, r, d).select(*keys, _plus_identity("A", d).alias("A"), "b", "t")
     out = deltas(df.withColumnRenamed(x, "x").withColumnRenamed(r, "reward") if (x, r) != ("x", "reward") else df, keys, d)
     diag = {i * d + i for i in range(d)}
     a = F.array(*[F.element_at("dA", i + 1) + F.lit(1.0) if i in diag else F.element_at("dA", i + 1) for i in range(d * d)])
@@ -92,6 +184,8 @@ def gram_moment(df: DataFrame, key: str | Sequence[str], x: str, r: str, d: int)
 def deltas(decisions: DataFrame, key: str | Sequence[str], d: int) -> DataFrame:
     """A10: per-key sums of the emitted updates: dA = sum x x^T, db = sum r x, dt = count."""
     keys = _keys(key)
+    if d * d > _GENERATED_MAX:
+        return block_sums(decisions, keys, "x", "reward", d).toDF(*keys, "dA", "db", "dt")
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     aggs = [F.sum(F.element_at("x", i + 1) * F.element_at("x", j + 1)).alias(f"_g{i}_{j}") for i, j in pairs]
     aggs += [F.sum(F.col("reward") * F.element_at("x", i + 1)).alias(f"_b{i}") for i in range(d)]

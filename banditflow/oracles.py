@@ -23,6 +23,7 @@ SHARE_ALPHA2 = 0.45  # static sharing fixture
 ACTIVE_MIN = 70
 STAGE_L = 5000
 CHUNK = 20
+LIST_CHUNK = 25
 R = 6
 
 
@@ -813,6 +814,15 @@ def _build() -> dict[str, str]:
     o["rounds_by_user"] = _with(
         "SELECT user_id, count(*) AS n_rounds, min(round_id) AS first_round, max(round_id) AS last_round FROM bandit_log GROUP BY user_id"
     )
+    o["round_lists"] = _with(
+        "SELECT user_id, chunk, list(round_id ORDER BY round_id) AS round_ids FROM ("
+        f"SELECT round_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY round_id) - 1) // {LIST_CHUNK} AS chunk FROM bandit_log"
+        ") GROUP BY user_id, chunk"
+    )
+    o["csv_log_load"] = _with(
+        "SELECT row_number() OVER (ORDER BY round_id) - 1 AS round_id, user_id, arms, rewards "
+        f"FROM bandit_log WHERE user_id IN (SELECT user_id FROM bandit_log GROUP BY user_id HAVING count(*) >= {ACTIVE_MIN})"
+    )
     o["skew_split"] = _with(
         f"SELECT round_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY round_id) - 1) // {CHUNK} AS chunk FROM bandit_log"
     )
@@ -832,6 +842,16 @@ def _build() -> dict[str, str]:
         return f"SELECT user_id, [{a}] AS A, [{b}] AS b, count(*) AS t FROM bandit_log WHERE {cond} GROUP BY user_id"
 
     half = "(SELECT n FROM n_rounds) // 2"
+    o["wide_state"] = _with(
+        "SELECT a.user_id, a.A, b.b, b.t FROM (SELECT user_id, list(v ORDER BY i, j) AS A FROM ("
+        "SELECT user_id, i, j, round(sum(x[i] * x[j]) + (CASE WHEN i = j THEN 1.0 ELSE 0.0 END), 4) AS v "
+        "FROM wide, range(1, 65) p(i), range(1, 65) q(j) GROUP BY user_id, i, j) GROUP BY user_id) a JOIN ("
+        "SELECT user_id, list(v ORDER BY i) AS b, any_value(t) AS t FROM ("
+        "SELECT user_id, i, round(sum(r * x[i]), 4) AS v, count(*) AS t FROM wide, range(1, 65) p(i) GROUP BY user_id, i) GROUP BY user_id) b "
+        "USING (user_id)",
+        f"wide AS (SELECT l.user_id, l.rewards[1] AS r, list_transform(e.embedding, lambda v: v::DOUBLE) AS x "
+        f"FROM bandit_log l JOIN embeddings e ON e.vec_id = (l.round_id * {ARM_STRIDE}) % {N_VECS})",
+    )
     o["merge_state"] = _with(
         "SELECT coalesce(s.user_id, q.user_id) AS user_id, "
         f"{_round_list(f'CASE WHEN q.A IS NULL THEN coalesce(s.A, {_identity()}) ELSE list_transform(list_zip(coalesce(s.A, {_identity()}), q.A), lambda p: p[1] + p[2]) END')} AS A, "
@@ -971,6 +991,7 @@ def _build() -> dict[str, str]:
         f"SELECT user_id, {_round_list('aa', 4)} AS A, {_round_list('bb', 4)} AS b, t FROM sc1", _two_stage_ctes()
     )
     o["stream_replay"] = o["user_policy"]  # the streamed block loop equals the batch fold
+    o["stream_two_stage"] = o["two_stage_replay"]  # the same two iterations, fed by a stream
     o["lazy_cluster_policy"] = _with("SELECT round_id, user_id, choice, reward FROM p3 WHERE seq > 0", _lazy_ctes(200))
     return o
 

@@ -173,6 +173,34 @@ def q_rounds_by_user(spark, sf):
     return LG.rounds_by_user(_log(spark, sf))
 
 
+LIST_CHUNK = 25
+
+
+def q_round_lists(spark, sf):
+    return LG.round_lists(_log(spark, sf).select("round_id", "user_id"), LIST_CHUNK)
+
+
+def q_csv_log_load(spark, sf):
+    """The log written as headerless CSV files and loaded again, rounds of frequent users renumbered."""
+    import uuid
+
+    from banditflow.session import ensure_checkpoint_dir
+    from banditflow.sources.files import load_log
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    log = _log(spark, sf)
+    flat = F.flatten("arms")
+    inputs = {
+        "x": [F.element_at(flat, i + 1) for i in range(K * D)], "u": [F.col("user_id")],
+        "r": [F.element_at("rewards", a + 1) for a in range(K)],
+    }
+    for name, cols in inputs.items():
+        named = [c.alias(f"c{i}") for i, c in enumerate(cols)]
+        rows = log.repartitionByRange("round_id").sortWithinPartitions("round_id").select(*named)
+        rows.write.mode("overwrite").option("header", "false").csv(f"{base}/{name}")
+    return load_log(spark, f"{base}/x", f"{base}/u", f"{base}/r", min_rounds=ACTIVE_MIN)
+
+
 def q_skew_split(spark, sf):
     from banditflow.operators.skew import split_hot
 
@@ -195,6 +223,20 @@ def q_reward_moment(spark, sf):
     return st.select("user_id", _ra("b").alias("b"), "t")
 
 
+def wide_rounds(spark, sf) -> DataFrame:
+    """user_id, x (the whole embedding of the first arm), r (its reward)."""
+    emb = read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    n = read_table(spark, sf, "embeddings").select(F.count(F.lit(1))).scalar()
+    rounds = _log(spark, sf).select("user_id", F.pmod(F.col("round_id") * fx.ARM_STRIDE, n).alias("vec_id"), F.element_at("rewards", 1).alias("r"))
+    return rounds.join(emb, "vec_id").select("user_id", "x", "r")
+
+
+def q_wide_state(spark, sf):
+    """A5-A7 with 64 features: 4,096 sums a user."""
+    st = S.gram_moment(wide_rounds(spark, sf), "user_id", "x", "r", 64)
+    return st.select("user_id", _ra("A", 4).alias("A"), _ra("b", 4).alias("b"), "t")
+
+
 def q_merge_state(spark, sf):
     log = _log(spark, sf)
     n = _n(spark, sf)
@@ -482,9 +524,21 @@ def q_gossip_replay(spark, sf):
 
 
 def q_stream_replay(spark, sf):
-    from banditflow.streaming.replay_stream import stream_user_policy
+    """The per-user fold as a stream, blocks of STAGE_L rounds."""
+    from banditflow.streaming.replay_stream import run_stream
+
+    cfg = ReplayConfig(iteration_length=STAGE_L)
+    return run_stream(spark, _log(spark, sf), cfg, K, D, clusters=False).decisions.select("round_id", "user_id", "choice", "reward")
 
-    return stream_user_policy(spark, sf, block_length=STAGE_L)
+
+def q_stream_two_stage(spark, sf):
+    """R6 with clusters: the two-stage replay fed by a stream (two iterations of ceil(N / 2) rounds)."""
+    from banditflow.streaming.replay_stream import run_stream
+
+    log = _log(spark, sf)
+    cfg = _cfg_two_stage().with_(iteration_length=(log.count() + 1) // 2)
+    r = run_stream(spark, log, cfg, K, D)
+    return r.decisions.select("round_id", "user_id", "block", "stage", "choice", "reward")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -35,8 +35,8 @@ class ReplayResult:
     decisions: DataFrame  # round_id, user_id, block, stage, choice, reward, x (+ cluster_used)
     state: DataFrame  # user_state
     edges: DataFrame | None  # src, dst; only where the replay was asked to list them
-    clusters: DataFrame
-    cluster_counts: DataFrame  # block, from_round, to_round, n_clusters, n_edges (null where not listed)
+    clusters: DataFrame | None
+    cluster_counts: DataFrame | None  # block, from_round, to_round, n_clusters, n_edges (null where not listed)
     tables: BlockTables | None = None  # its manifest has rounds and reward by block and stage
 
 
@@ -105,9 +105,12 @@ def drop_graph(tables: BlockTables, blk: int) -> None:
 
 def play_block(
     tables: BlockTables, blk: int, t1: int, t2: int, state: DataFrame, user_rounds: DataFrame | None,
-    cluster_rounds: DataFrame | None, cfg: ReplayConfig, k: int, d: int,
+    cluster_rounds: DataFrame | None, cfg: ReplayConfig, k: int, d: int, clusters: bool = True,
 ) -> DataFrame:
-    """One iteration from the state before it; everything it leaves is in ``tables``.  Returns the state after it."""
+    """One iteration from the state before it; everything it leaves is in ``tables``.  Returns the state after it.
+
+    ``clusters=False``: no graph is kept (all rounds are played by user).
+    """
     totals = []
     last = None
     if user_rounds is not None:
@@ -116,8 +119,9 @@ def play_block(
         state = fold_parts(tables.write("user", out, blk, ("_kind",)), UserUCB(d, k, cfg.alpha, cfg.reward)).state
         totals.append(seen.row("user"))
         last = "user"
-    graph, edges = prune(tables, blk, state, cfg, d)
-    tables.write("counts", counts_row(blk, t1, t2, graph.clusters, edges), blk)
+    if clusters:
+        graph, edges = prune(tables, blk, state, cfg, d)
+        tables.write("counts", counts_row(blk, t1, t2, graph.clusters, edges), blk)
     if cluster_rounds is not None:
         kernel = ClusterUCB(d, k, cfg.alpha, cfg.reward)
         cstate = S.rollup_clusters(state, graph.clusters, d)
@@ -147,7 +151,7 @@ def state_after(tables: BlockTables, blk: int, cfg: ReplayConfig, k: int, d: int
     raise ValueError(f"block {blk} has no state")
 
 
-def replayed(tables: BlockTables, n_blocks: int, cfg: ReplayConfig, k: int, d: int) -> ReplayResult:
+def replayed(tables: BlockTables, n_blocks: int, cfg: ReplayConfig, k: int, d: int, clusters: bool = True) -> ReplayResult:
     """What the blocks 0 .. n_blocks - 1 left, as one result."""
     parts, counts = [], []
     for blk in range(n_blocks):
@@ -157,8 +161,11 @@ def replayed(tables: BlockTables, n_blocks: int, cfg: ReplayConfig, k: int, d: i
                 dec = fold_parts(tables.load(name, blk), kernel, track_used=used).decisions
                 dec = dec if used else dec.withColumn("cluster_used", F.lit(False))
                 parts.append(dec.withColumn("block", F.lit(blk)).withColumn("stage", F.lit(name)))
-        counts.append(tables.read("counts", COUNTS, blk))
+        if clusters:
+            counts.append(tables.read("counts", COUNTS, blk))
     last = n_blocks - 1
+    if not clusters:
+        return ReplayResult(all_of(parts), state_after(tables, last, cfg, k, d), None, None, None, tables)
     labels = tables.load("labels", tables.latest("labels", last))
     return ReplayResult(
         all_of(parts), state_after(tables, last, cfg, k, d), tables.load("edges", last) if cfg.list_edges else None,

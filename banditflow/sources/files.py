@@ -3,33 +3,45 @@
 The logged data comes as separate positional files: candidate vectors (K*d
 columns, arm-major), the user column, the reward matrix (K columns) or the
 logged label (1 column), and a 1-based replay order.  Files carry no key, so
-each reader adds ``row_id`` = the line position, ordered by (file path,
-start offset of the split, row inside the split) and made dense by the
-distributed ``global_index``; large files still split across tasks.
-Production inputs should rather be Parquet with an explicit ``row_id``.
+each reader adds ``row_id`` = the line position over all files, by path.  One narrow
+pass (no column is parsed) counts the rows of every split; the rows themselves are read in place and get
+the offset of their split plus their place in it: no sort and no exchange of wide rows, and large
+files still split across tasks.  Production inputs should rather be Parquet with an explicit ``row_id``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from banditflow.operators.log import build_log, filter_active_users, limit_rounds, renumber_rounds
-from banditflow.operators.ordering import global_index
+from banditflow.session import materialize_counted
+
+#: Up to so many splits (a row of about 200 bytes each) are broadcast to the rows.
+BROADCAST_SPLITS = 500_000
 
 
 def _read_positional(spark: SparkSession, path: str, n_cols: int, typ: T.DataType) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", typ, True) for i in range(n_cols)])
     df = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST").csv(path)
-    # Line order = (file, split start, increasing id inside the split): unique and ordered.
-    keyed = df.select(
+    # a row's number inside its task; a task reads whole splits one after the other, both times the same ones
+    placed = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_pos"),
     )
-    return global_index(keyed, ["_file", "_start", "_pos"], "row_id").drop("_file", "_start", "_pos")
+    splits = placed.groupBy("_file", "_start").agg(F.min("_pos").alias("_base"), F.count(F.lit(1)).alias("_n"))
+    # one row a split: the running sum over them is as small as the number of splits
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets, n = materialize_counted(splits.withColumn("_off", F.coalesce(before, F.lit(0))))
+    joined = placed.join(F.broadcast(offsets) if n <= BROADCAST_SPLITS else offsets, ["_file", "_start"])
+    at = F.col("_pos") - F.col("_base")
+    row_id = F.when((at >= 0) & (at < F.col("_n")), F.col("_off") + at).otherwise(
+        F.raise_error(F.lit("the splits of a CSV input changed between two passes")).cast("long")
+    )
+    return joined.withColumn("row_id", row_id).drop("_file", "_start", "_pos", "_base", "_n", "_off")
 
 
 def read_features(spark: SparkSession, path: str, k: int, d: int) -> DataFrame:

@@ -1,97 +1,113 @@
-"""The per-user block loop as a Structured Streaming query.
-
-Rounds arrive block by block on ``readStream`` (one file per block, one file
-per trigger so blocks are consumed in order).  The per-user fold is a
-``applyInPandasWithState`` operator keyed by user: its state (A, b, t) lives in
-the state store, so it survives restarts through the query checkpoint, and
-each micro-batch plays only that batch's rounds of the user (bounded by the
-block length).  Decisions are appended to a Parquet sink.  The result equals
-the batch fold over the whole log (checked in tests).
+"""The replays as a Structured Streaming query.
+
+Rounds arrive in any order and in any micro-batches.  ``foreachBatch`` puts a micro-batch into an inbox,
+partitioned by block; a block whose rounds are all there is played with the batch replay's own block step
+(``plans.two_stage.play_block``: users in lockstep, graph refresh, cluster fold), starting from the state the
+block before left.  The user state is in tables and not in a stateful operator, because the cluster
+fold of a block updates the same state after the graph was refreshed.
+
+Restart: the query's checkpoint replays an unfinished micro-batch under the same id, its inbox folder is
+overwritten, and the manifest of blocks says which block comes next.  A round that is delivered twice
+counts once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from banditflow.config import ReplayConfig
+from banditflow.operators import state as S
+from banditflow.plans.blocks import BlockTables
+from banditflow.plans.two_stage import ReplayResult, play_block, replayed, state_after
 from banditflow.session import ensure_checkpoint_dir
 
-OUTPUT_SCHEMA = "round_id long, user_id long, choice int, reward double"
-STATE_SCHEMA = "A array<double>, b array<double>, t long"
-
-
-def _user_fold(d: int, alpha: float):
-    """Per-user state update for one micro-batch, with the same kernel as the batch fold."""
-    from banditflow.operators.folds import UserUCB
-
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("round_id", kind="stable")
-        n = len(pdf)
-        arms = np.stack([np.stack([np.asarray(a, dtype=np.float64) for a in r]) for r in pdf["arms"]])
-        rows = {"rewards": np.stack([np.asarray(r, dtype=np.float64) for r in pdf["rewards"]])}
-        kernel = UserUCB(d, arms.shape[1], alpha)
-        st = kernel.default_state(1)
-        if state.exists:
-            a_flat, b_vec, t = state.get
-            st["A"][0] = np.asarray(a_flat, dtype=np.float64).reshape(d, d)
-            st["b"][0] = np.asarray(b_vec, dtype=np.float64)
-            st["t"][0] = t
-            kernel.solve(st, np.zeros(1, dtype=np.int64))
-        choice = np.zeros(n, dtype="int32")
-        reward = np.zeros(n)
-        key0 = np.zeros(1, dtype=np.int64)
-        for i in range(n):  # the rounds of one user are sequential
-            c, r, _ = kernel.step(st, key0, arms[i : i + 1], rows, np.array([i]))
-            choice[i], reward[i] = c[0], r[0]
-        state.update((st["A"][0].reshape(-1).tolist(), st["b"][0].tolist(), int(st["t"][0])))
-        yield pd.DataFrame(
-            {
-                "round_id": pdf["round_id"].astype("int64").to_numpy(),
-                "user_id": np.full(n, key[0], dtype="int64"),
-                "choice": choice,
-                "reward": reward,
-            }
-        )
+COLUMNS = ("round_id", "user_id", "arms")
 
-    return fold
-
-
-def stage_blocks(log: DataFrame, folder: str, block_length: int) -> int:
-    """Write the log as one file per block, in round order (the stream's input)."""
-    n_rounds = int(log.agg(F.max("round_id")).first()[0]) + 1
-    n_blocks = 0
-    for t1 in range(0, n_rounds, block_length):
-        part = log.where((F.col("round_id") >= t1) & (F.col("round_id") < t1 + block_length))
-        part.coalesce(1).write.mode("append").parquet(folder)
-        n_blocks += 1
-    return n_blocks
-
-
-def run_stream(spark: SparkSession, log: DataFrame, d: int, alpha: float, block_length: int, base: str | None = None) -> DataFrame:
-    base = base or os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
-    stage_blocks(log.select("round_id", "user_id", "arms", "rewards"), src, block_length)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    decisions = stream.groupBy("user_id").applyInPandasWithState(
-        _user_fold(d, alpha), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-    q = decisions.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append").start(sink)
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.read.schema(OUTPUT_SCHEMA).parquet(sink)
 
+class ReplayStream:
+    """A replay fed by a stream; ``folder`` holds its inbox, tables and offsets, and is where it starts again.
+
+    ``users`` (user_id) is the initial state: everybody starts from (I, 0, 0) and the graph from complete.
+    ``clusters=False`` plays all rounds by user (F1 alone).
+    """
 
-def stream_user_policy(spark: SparkSession, sf_dir: str, block_length: int = 5000) -> DataFrame:
-    from banditflow.sources import fixtures as fx
+    def __init__(self, spark: SparkSession, folder: str, cfg: ReplayConfig, k: int, d: int, users: DataFrame | None = None, clusters: bool = True):
+        self.spark, self.folder, self.cfg, self.k, self.d, self.clusters = spark, folder.rstrip("/"), cfg, k, d, clusters
+        self.tables = BlockTables(spark, f"{self.folder}/tables")
+        if not self.tables.has("users"):
+            self.tables.write("users", S.init_state(users, d))
 
-    return run_stream(spark, fx.bandit_log(spark, sf_dir), fx.D, 0.03, block_length)
+    # stream ------------------------------------------------------------------
+    def start(self, rounds: DataFrame) -> StreamingQuery:
+        """``rounds``: a streaming table of round_id (dense from 0), user_id, arms, rewards (or label)."""
+        value = "label" if self.cfg.reward == "label" else "rewards"
+        return (
+            rounds.select(*COLUMNS, value).writeStream.foreachBatch(self._arrived)
+            .option("checkpointLocation", f"{self.folder}/offsets").start()
+        )
+
+    def _arrived(self, batch: DataFrame, batch_id: int) -> None:
+        block = F.floor(F.col("round_id") / self.cfg.iteration_length).cast("int")
+        batch.withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(f"{self.folder}/inbox/batch={batch_id}")
+        self._play_ready()
+
+    def _block(self, blk: int) -> DataFrame | None:
+        fs, where = self.tables._at(f"{self.folder}/inbox/batch=*/block={blk}")
+        if not fs.globStatus(where):
+            return None
+        return self.spark.read.parquet(f"{self.folder}/inbox/batch=*/block={blk}")
+
+    def _play_ready(self, n_rounds: int | None = None) -> None:
+        """Play blocks as long as the next one is whole (``n_rounds``: the stream has ended after so many)."""
+        length = self.cfg.iteration_length
+        while n_rounds is None or (self.tables.finished() + 1) * length < n_rounds:
+            blk = self.tables.finished() + 1
+            rounds = self._block(blk)
+            if rounds is None:
+                return
+            t1, t2 = blk * length, (blk + 1) * length if n_rounds is None else min((blk + 1) * length, n_rounds)
+            rows, there = rounds.agg(F.count(F.lit(1)), F.count_distinct("round_id")).first()
+            if there < t2 - t1:
+                return
+            self._play(blk, t1, t2, rounds.dropDuplicates(["round_id"]) if rows > there else rounds)
+
+    def _play(self, blk: int, t1: int, t2: int, rounds: DataFrame) -> None:
+        state = state_after(self.tables, blk - 1, self.cfg, self.k, self.d) if blk else self.tables.load("users")
+        mid = t2 if not self.clusters else min(t1 + self.cfg.user_rounds, t2)
+        first, second = rounds.where(F.col("round_id") < mid), rounds.where(F.col("round_id") >= mid)
+        play_block(
+            self.tables, blk, t1, t2, state, first if mid > t1 else None, second if t2 > mid else None,
+            self.cfg, self.k, self.d, clusters=self.clusters,
+        )
+
+    # result ------------------------------------------------------------------
+    def finish(self, n_rounds: int) -> ReplayResult:
+        """The stream has ended: play what is left, a last short block too."""
+        self._play_ready(n_rounds)
+        n_blocks = -(-n_rounds // self.cfg.iteration_length)
+        if self.tables.finished() + 1 < n_blocks:
+            raise ValueError(f"rounds of block {self.tables.finished() + 1} are missing")
+        return replayed(self.tables, n_blocks, self.cfg, self.k, self.d, clusters=self.clusters)
+
+
+def run_stream(
+    spark: SparkSession, log: DataFrame, cfg: ReplayConfig, k: int, d: int, clusters: bool = True,
+    files: int = 16, files_a_batch: int = 4, folder: str | None = None,
+) -> ReplayResult:
+    """Feed a log through ``ReplayStream``: written once as ``files`` files, ``files_a_batch`` a micro-batch."""
+    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    source = f"{folder}/source"
+    value = "label" if cfg.reward == "label" else "rewards"
+    log.select(*COLUMNS, value).repartitionByRange(files, "round_id").write.mode("overwrite").parquet(source)
+    written = spark.read.parquet(source)
+    stream = ReplayStream(spark, folder, cfg, k, d, written.select("user_id").distinct(), clusters)
+    query = stream.start(spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return stream.finish(int(written.agg(F.max("round_id")).first()[0]) + 1)

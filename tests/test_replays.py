@@ -48,16 +48,6 @@ def test_cold_log_size(spark):
     assert fx.cold_log(spark, SF01).count() == 8490
 
 
-def test_stream_equals_batch(spark):
-    from banditflow.operators.folds import UserUCB, run_fold
-    from banditflow.streaming.replay_stream import run_stream
-
-    log = fx.bandit_log(spark, SF001)
-    streamed = {(r.round_id, r.choice, r.reward) for r in run_stream(spark, log, fx.D, 0.03, block_length=250).collect()}
-    batch = {(r.round_id, r.choice, r.reward) for r in run_fold(log, None, UserUCB(fx.D, fx.K, 0.03)).decisions.collect()}
-    assert streamed == batch
-
-
 def test_two_stage_on_cold_log(spark):
     """Recorded runs on cold_log (L = 2000): late users meet existing cluster models."""
     log = fx.cold_log(spark, SF01)
