@@ -282,26 +282,28 @@ sj AS (
 
 
 # ------------------------------------------------------------------ shared fold pieces
-def _scores(ai: str, bb: str, t: str, arms: str) -> str:
+def _scores(ai: str, bb: str, t: str, arms: str, d: int = D) -> str:
     """UCB of the K arms from an inverse ``ai``, vector ``bb`` and count ``t`` (same order as F1)."""
-    d = D
-    theta = [_fold([f"({_m(ai, i, j)} * {_v(bb, j)})" for j in range(d)]) for i in range(d)]
+    theta = [_fold([f"({_m(ai, i, j, d)} * {_v(bb, j)})" for j in range(d)]) for i in range(d)]
     out = []
     for a in range(K):
         x = f"{arms}[{a + 1}]"
         mean = _fold([f"({x}[{i + 1}] * {theta[i]})" for i in range(d)])
-        quad = _fold([f"({x}[{i + 1}] * {_fold([f'({_m(ai, i, j)} * {x}[{j + 1}])' for j in range(d)])})" for i in range(d)])
+        quad = _fold([f"({x}[{i + 1}] * {_fold([f'({_m(ai, i, j, d)} * {x}[{j + 1}])' for j in range(d)])})" for i in range(d)])
         beta = f"sqrt({d}.0 * ln(1.0 + ({t})::DOUBLE) * sqrt(({t})::DOUBLE) + 1.0)"
         out.append(f"({mean} + sqrt(({t})::DOUBLE) * {ALPHA} * sqrt({beta} * {quad}))")
     return "[" + ", ".join(out) + "]"
 
 
-def _sm(ai: str, x: str) -> str:
+def _sm(ai: str, x: str, d: int = D) -> str:
     """Sherman-Morrison: (A + x x^T)^-1 from A^-1 (symmetric)."""
-    d = D
-    u = [_fold([f"({_m(ai, i, j)} * {x}[{j + 1}])" for j in range(d)]) for i in range(d)]
+    u = [_fold([f"({_m(ai, i, j, d)} * {x}[{j + 1}])" for j in range(d)]) for i in range(d)]
     den = "(1.0 + " + _fold([f"({x}[{i + 1}] * {u[i]})" for i in range(d)]) + ")"
-    return "[" + ", ".join(f"({_m(ai, i, j)} - ({u[i]}) * ({u[j]}) / {den})" for i in range(d) for j in range(d)) + "]"
+    return "[" + ", ".join(f"({_m(ai, i, j, d)} - ({u[i]}) * ({u[j]}) / {den})" for i in range(d) for j in range(d)) + "]"
+
+
+def _inverse(a: str, d: int) -> list[str]:
+    return _inv4(a) if d == 4 else [f"(1.0 / {a}[1])"]  # the fixtures have 4 features or 1
 
 
 def _inv4(a: str) -> list[str]:
@@ -473,7 +475,7 @@ p3(cluster_id, chunk, seq, round_id, user_id, choice, reward, ai, bb, t) AS (
 )"""
 
 
-def _user_stage(i: int, prev: str, lo: str, hi: str, src: str = "bandit_log") -> str:
+def _user_stage(i: int, prev: str, lo: str, hi: str, src: str = "bandit_log", d: int = D) -> str:
     """F1 over rounds [lo, hi) of ``src`` starting from state table ``prev`` (user_id, ai, aa, bb, t)."""
     return f"""
 us{i} AS (
@@ -483,8 +485,8 @@ us{i} AS (
 pu{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
   SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, ai, aa, bb, t FROM {prev}
   UNION ALL
-  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x")},
-         list_transform(list_zip(q.aa, {_outer("q.x")}), lambda v: v[1] + v[2]),
+  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x", d)},
+         list_transform(list_zip(q.aa, {_outer("q.x", d)}), lambda v: v[1] + v[2]),
          list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1
   FROM (
     SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
@@ -492,7 +494,7 @@ pu{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
       SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
       FROM (
         SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t,
-               {_scores("r.ai", "r.bb", "r.t", "s.arms")} AS sc
+               {_scores("r.ai", "r.bb", "r.t", "s.arms", d)} AS sc
         FROM pu{i} r JOIN us{i} s ON s.user_id = r.user_id AND s.seq = r.seq + 1
       ) g
     ) c
@@ -501,23 +503,28 @@ pu{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t) AS (
 su{i} AS (SELECT user_id, ai, aa, bb, t FROM pu{i} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM pu{i} GROUP BY user_id))"""
 
 
-def _graph_stage(i: int) -> str:
-    """theta, edges (J8 the first time, J9 after), components, members-mean roll-up, F2 inputs."""
-    d = D
+def _graph_stage(i: int, users: str = "all_users", rounds: str | None = None, d: int = D) -> str:
+    """theta, edges (J8 the first time, J9 after), components, roll-up, F2 inputs.
+
+    The mean t of a cluster is over its members, or over its rounds among ``rounds`` (a FROM ... WHERE text).
+    """
+    mean = "sum(s.t) / count(*)"
+    if rounds is not None:
+        mean = f"sum(s.t) / (SELECT count(*) FROM {rounds} AND user_id IN (SELECT user_id FROM cl{i} k WHERE k.cluster_id = c.cluster_id))"
     ident = [1.0 if j % (d + 1) == 0 else 0.0 for j in range(d * d)]
-    theta = "[" + ", ".join(_fold([f"({_m('ai', a, b)} * {_v('bb', b)})" for b in range(d)]) for a in range(d)) + "]"
+    theta = "[" + ", ".join(_fold([f"({_m('ai', a, b, d)} * {_v('bb', b)})" for b in range(d)]) for a in range(d)) + "]"
     if i == 0:
         edges = f"""SELECT a.user_id AS src, b.user_id AS dst FROM th{i} a JOIN th{i} b ON a.user_id < b.user_id
-  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+  WHERE {_l2("a.theta", "b.theta", d)} <= {_cb("a.t", "b.t")}"""
     else:
         edges = f"""SELECT e.src, e.dst FROM ed{i - 1} e JOIN th{i} a ON a.user_id = e.src JOIN th{i} b ON b.user_id = e.dst
-  WHERE {_l2("a.theta", "b.theta")} <= {_cb("a.t", "b.t")}"""
+  WHERE {_l2("a.theta", "b.theta", d)} <= {_cb("a.t", "b.t")}"""
     return f"""
 th{i} AS (SELECT user_id, {theta} AS theta, t FROM su{i}),
 ed{i} AS ({edges}),
 un{i} AS (SELECT src AS a, dst AS b FROM ed{i} UNION ALL SELECT dst AS a, src AS b FROM ed{i}),
 rc{i}(node, lbl) AS (
-  SELECT user_id, user_id FROM all_users
+  SELECT user_id, user_id FROM {users}
   UNION
   SELECT r.node, u.b FROM rc{i} r JOIN un{i} u ON r.lbl = u.a
 ),
@@ -526,27 +533,27 @@ ro{i} AS (
   SELECT c.cluster_id,
          [{", ".join(f"(sum(s.aa[{j + 1}] - {ident[j]}) + {ident[j]})" for j in range(d * d))}] AS ca,
          [{", ".join(f"sum(s.bb[{j + 1}])" for j in range(d))}] AS cb,
-         sum(s.t) / count(*) AS ct
+         {mean} AS ct
   FROM su{i} s JOIN cl{i} c USING (user_id) GROUP BY c.cluster_id
 ),
 ci{i} AS (
-  SELECT s.user_id, s.ai, s.aa, s.bb, s.t, [{", ".join(_inv4("r.ca"))}] AS cai, r.cb AS cbb, r.ct
+  SELECT s.user_id, s.ai, s.aa, s.bb, s.t, [{", ".join(_inverse("r.ca", d))}] AS cai, r.cb AS cbb, r.ct
   FROM su{i} s JOIN cl{i} c USING (user_id) JOIN ro{i} r USING (cluster_id)
 )"""
 
 
-def _cluster_stage(i: int, lo: str, hi: str) -> str:
+def _cluster_stage(i: int, lo: str, hi: str, src: str = "bandit_log", d: int = D) -> str:
     """F2 over rounds [lo, hi) from ci{i}; the user's state keeps updating."""
     return f"""
 cs{i} AS (
   SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
-  FROM bandit_log WHERE round_id >= {lo} AND round_id < {hi}
+  FROM {src} WHERE round_id >= {lo} AND round_id < {hi}
 ),
 pc{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t, cai, cbb, ct) AS (
   SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, ai, aa, bb, t, cai, cbb, ct FROM ci{i}
   UNION ALL
-  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x")},
-         list_transform(list_zip(q.aa, {_outer("q.x")}), lambda v: v[1] + v[2]),
+  SELECT q.user_id, q.seq, q.round_id, q.choice, q.rw, {_sm("q.ai", "q.x", d)},
+         list_transform(list_zip(q.aa, {_outer("q.x", d)}), lambda v: v[1] + v[2]),
          list_transform(list_zip(q.bb, q.x), lambda v: v[1] + q.rw * v[2]), q.t + 1, q.cai, q.cbb, q.ct
   FROM (
     SELECT c.*, c.arms[c.choice + 1] AS x, c.rewards[c.choice + 1] AS rw
@@ -554,8 +561,8 @@ pc{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t, cai, cbb, ct) AS (
       SELECT g.*, CAST(list_position(g.sc, list_max(g.sc)) - 1 AS INTEGER) AS choice
       FROM (
         SELECT r.user_id, s.seq, s.round_id, s.arms, s.rewards, r.ai, r.aa, r.bb, r.t, r.cai, r.cbb, r.ct,
-               CASE WHEN r.t::DOUBLE > r.ct THEN {_scores("r.ai", "r.bb", "r.t", "s.arms")}
-                    ELSE {_scores("r.cai", "r.cbb", "r.t", "s.arms")} END AS sc
+               CASE WHEN r.t::DOUBLE > r.ct THEN {_scores("r.ai", "r.bb", "r.t", "s.arms", d)}
+                    ELSE {_scores("r.cai", "r.cbb", "r.t", "s.arms", d)} END AS sc
         FROM pc{i} r JOIN cs{i} s ON s.user_id = r.user_id AND s.seq = r.seq + 1
       ) g
     ) c
@@ -564,21 +571,42 @@ pc{i}(user_id, seq, round_id, choice, reward, ai, aa, bb, t, cai, cbb, ct) AS (
 sc{i} AS (SELECT user_id, ai, aa, bb, t FROM pc{i} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM pc{i} GROUP BY user_id))"""
 
 
-def _two_stage_ctes() -> str:
-    """R1 with two iterations of L = ceil(N / 2) rounds, control 0.5, members mean."""
-    L = "((SELECT n FROM n_rounds) + 1) // 2"
-    N = "(SELECT n FROM n_rounds)"
-    parts = [f"s_init AS (SELECT user_id, {_identity()} AS ai, {_identity()} AS aa, {_zeros()} AS bb, 0::BIGINT AS t FROM all_users)"]
+def _two_stage_ctes(src: str = "bandit_log", mean_over: str = "members", d: int = D) -> str:
+    """R1 with two iterations of L = ceil(N / 2) rounds of ``src``, control 0.5."""
+    N = f"(SELECT count(*) FROM {src})"
+    L = f"(({N} + 1) // 2)"
+    parts = [
+        f"players AS (SELECT DISTINCT user_id FROM {src})",
+        f"s_init AS (SELECT user_id, {_identity(d)} AS ai, {_identity(d)} AS aa, {_zeros(d)} AS bb, 0::BIGINT AS t FROM players)",
+    ]
     prev = "s_init"
     for i in range(2):
         lo, mid, hi = f"({i} * {L})", f"({i} * {L} + {L} // 2)", f"least(({i} + 1) * {L}, {N})"
-        parts.append(_user_stage(i, prev, lo, mid))
-        parts.append(_graph_stage(i))
-        parts.append(_cluster_stage(i, mid, hi))
+        rounds = f"{src} WHERE round_id >= {mid} AND round_id < {hi}" if mean_over == "interactions" else None
+        parts.append(_user_stage(i, prev, lo, mid, src, d))
+        parts.append(_graph_stage(i, "players", rounds, d))
+        parts.append(_cluster_stage(i, mid, hi, src, d))
         prev = f"sc{i}"
     return ",".join(parts)
 
 
+def _two_stage_decisions(columns: str = "round_id, user_id, {i} AS block, '{st}' AS stage, choice, reward") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {columns.format(i=i, st=st)} FROM {t}{i} WHERE seq > 0" for i in range(2) for t, st in (("pu", "user"), ("pc", "cluster"))
+    )
+
+
+def _curve_of(decisions: str, rounds: str) -> str:
+    """Normalised curve of decisions (round_id, reward) over the log ``rounds``."""
+    over = "OVER (ORDER BY round_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    arm = _random_arm("l.round_id")
+    return (
+        f"SELECT round_id, cum_reward, cum_random, CASE WHEN cum_random <> 0 THEN round(cum_reward / cum_random, {R}) END AS ratio FROM ("
+        f"SELECT round_id, sum(r_policy) {over} AS cum_reward, sum(r_random) {over} AS cum_random FROM ("
+        f"SELECT l.round_id, p.reward AS r_policy, l.rewards[{arm} + 1] AS r_random FROM {rounds} l JOIN ({decisions}) p USING (round_id)))"
+    )
+
+
 def _lazy_graph(j: int, state: str, prev_edges: str | None) -> str:
     """theta from (aa, bb), J8 or J9, components, roll-up with the cluster's total t."""
     d = D
@@ -716,16 +744,46 @@ gp{j}(user_id, seq, round_id, choice, reward, cov, b, cl, bl, t, buf) AS (
 gs{j} AS (SELECT user_id, cov, b, cl, bl, t, buf FROM gp{j} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM gp{j} GROUP BY user_id))"""
 
 
-def _gossip_ctes() -> str:
-    """R3 with two blocks of ceil(N / 2) rounds (replay order) and one sharing step between them (no cuts yet)."""
-    N = "(SELECT n FROM n_rounds)"
-    B = f"(({N} + 1) // 2)"
+def _share_ctes(i: int, agents: str, cuts: str | None) -> str:
+    """Sharing step ``i`` from ``agents``: gsh{i} (the new agents) and cut{i} (all pairs cut so far)."""
     avg = "list_transform(list_zip({a}, {b}), lambda v: (v[1] + v[2]) / 2.0)"
     avg_buf = (
         "list_transform(list_zip(x.buf, p.buf), lambda q: "
         "{'A': list_transform(list_zip(q[1].A, q[2].A), lambda v: (v[1] + v[2]) / 2.0), "
         "'b': list_transform(list_zip(q[1].b, q[2].b), lambda v: (v[1] + v[2]) / 2.0)})"
     )
+    cut = "" if cuts is None else f"""
+  AND NOT EXISTS (SELECT 1 FROM {cuts} c WHERE c.src = least(x.user_id, p.user_id) AND c.dst = greatest(x.user_id, p.user_id))"""
+    deg = "0" if cuts is None else f"(SELECT count(*) FROM {cuts} c WHERE c.src = {{u}}.user_id OR c.dst = {{u}}.user_id)"
+    earlier = "" if cuts is None else f" UNION SELECT src, dst FROM {cuts}"
+    return f"""
+by_key{i} AS (SELECT user_id, row_number() OVER (ORDER BY {_mixed('user_id', i)}, user_id) AS k FROM all_users),
+met{i} AS (
+  SELECT x.user_id, p.user_id AS p_id, x.user_id <> p.user_id{cut} AS edge,
+         {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} AS far, {deg.format(u="x")} = {deg.format(u="p")} AS equal
+  FROM {agents} x JOIN by_id i ON i.user_id = x.user_id JOIN by_key{i} q ON q.k = i.k JOIN {agents} p ON p.user_id = q.user_id
+  JOIN gth tx ON tx.user_id = x.user_id JOIN gth tp ON tp.user_id = p.user_id
+),
+gsh{i} AS (
+  SELECT x.user_id,
+         CASE WHEN m.edge AND m.far THEN x.cl WHEN m.edge AND m.equal THEN {avg.format(a="x.cov", b="p.cov")} ELSE x.cov END AS cov,
+         CASE WHEN m.edge AND m.far THEN x.bl WHEN m.edge AND m.equal THEN {avg.format(a="x.b", b="p.b")} ELSE x.b END AS b,
+         x.cl, x.bl, x.t,
+         CASE WHEN m.edge AND m.far THEN []::{_BLK}[]
+              WHEN m.edge AND m.equal AND len(x.buf) = len(p.buf) THEN {avg_buf} ELSE x.buf END AS buf
+  FROM met{i} m JOIN {agents} x ON x.user_id = m.user_id JOIN {agents} p ON p.user_id = m.p_id
+),
+cut{i} AS (SELECT least(user_id, p_id) AS src, greatest(user_id, p_id) AS dst FROM met{i} WHERE edge AND far{earlier})"""
+
+
+def _gossip_ctes(n_shares: int = 1) -> str:
+    """R3 with two blocks of ceil(N / 2) rounds (replay order) and sharing steps between them (no cuts before)."""
+    N = "(SELECT n FROM n_rounds)"
+    B = f"(({N} + 1) // 2)"
+    shares, agents, cuts = [], "gs0", None
+    for i in range(n_shares):
+        shares.append(_share_ctes(i, agents, cuts))
+        agents, cuts = f"gsh{i}", f"cut{i}"
     return ",".join(
         [
             """
@@ -735,27 +793,15 @@ rlog AS (
             f"g_init AS (SELECT user_id, {_identity()} AS cov, {_zeros()} AS b, {_identity()} AS cl, {_zeros()} AS bl, "
             f"0::BIGINT AS t, []::{_BLK}[] AS buf FROM all_users)",
             _agent_block(0, "g_init", "0", B),
-            f"""
-gth AS (SELECT user_id, [{", ".join(_solve4("cl", "bl"))}] AS theta, t FROM gs0),
-gsh AS (
-  SELECT x.user_id,
-         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN x.cl
-              WHEN x.user_id <> p.user_id THEN {avg.format(a="x.cov", b="p.cov")} ELSE x.cov END AS cov,
-         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN x.bl
-              WHEN x.user_id <> p.user_id THEN {avg.format(a="x.b", b="p.b")} ELSE x.b END AS b,
-         x.cl, x.bl, x.t,
-         CASE WHEN x.user_id <> p.user_id AND {_l2("tx.theta", "tp.theta")} >= {_cb("x.t", "p.t")} THEN []::{_BLK}[]
-              WHEN x.user_id <> p.user_id AND len(x.buf) = len(p.buf) THEN {avg_buf} ELSE x.buf END AS buf
-  FROM gs0 x JOIN pairs pr ON pr.src = x.user_id JOIN gs0 p ON p.user_id = pr.dst
-  JOIN gth tx ON tx.user_id = x.user_id JOIN gth tp ON tp.user_id = p.user_id
-)""",
-            _agent_block(1, "gsh", B, N),
+            f"gth AS (SELECT user_id, [{', '.join(_solve4('cl', 'bl'))}] AS theta, t FROM gs0)",
+            *shares,
+            _agent_block(1, agents, B, N),
         ]
     )
 
 
-def _outer(x: str) -> str:
-    return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(D) for j in range(D)) + "]"
+def _outer(x: str, d: int = D) -> str:
+    return "[" + ", ".join(f"{x}[{i + 1}] * {x}[{j + 1}]" for i in range(d) for j in range(d)) + "]"
 
 
 def _build() -> dict[str, str]:
@@ -959,12 +1005,42 @@ def _build() -> dict[str, str]:
     o["cluster_policy"] = _with(
         "SELECT round_id, user_id, choice, reward, used AS cluster_used FROM p2 WHERE seq > 0", _cluster_policy_ctes()
     )
-    o["two_stage_replay"] = _with(
-        " UNION ALL ".join(
-            f"SELECT round_id, user_id, {i} AS block, '{st}' AS stage, choice, reward FROM {t}{i} WHERE seq > 0"
-            for i in range(2) for t, st in (("pu", "user"), ("pc", "cluster"))
-        ),
-        _two_stage_ctes(),
+    o["two_stage_replay"] = _with(_two_stage_decisions(), _two_stage_ctes())
+    used = "round_id, user_id, {i} AS block, '{st}' AS stage, choice, reward"
+    cold = (
+        "cold AS (SELECT row_number() OVER (ORDER BY round_id) - 1 AS round_id, user_id, arms, rewards FROM bandit_log "
+        "WHERE user_id % 5 <> 0 OR round_id >= (SELECT n FROM n_rounds) * 3 // 4),"
+    )
+    o["two_stage_interactions"] = _with(_two_stage_decisions(used), cold + _two_stage_ctes("cold", "interactions"))
+    labelled = (
+        "labelled AS (SELECT round_id, user_id, arms, list_transform(arms, lambda x: CASE WHEN x[1] = label THEN 1.0::DOUBLE "
+        "ELSE 0.0::DOUBLE END) AS rewards FROM label_log),"
+    )
+    o["two_stage_label"] = _with(_two_stage_decisions(used), labelled + _two_stage_ctes("labelled", "members", 1))
+    o["two_stage_curve"] = _with(_curve_of(_two_stage_decisions("round_id, reward"), "bandit_log"), _two_stage_ctes())
+    lazy = " UNION ALL ".join(f"SELECT round_id, reward FROM {t} WHERE seq > 0" for t in ("pu9", "f30", "f31"))
+    o["lazy_curve"] = _with(_curve_of(lazy, "rlog"), _lazy_replay_ctes(200))
+    gossip = " UNION ALL ".join(f"SELECT round_id, reward FROM gp{i} WHERE seq > 0" for i in range(2))
+    o["gossip_curve"] = _with(_curve_of(gossip, "rlog"), _gossip_ctes())
+    o["gossip_two_shares"] = _with(
+        "SELECT round_id, user_id, 0 AS block, choice, reward FROM gp0 WHERE seq > 0 UNION ALL "
+        "SELECT round_id, user_id, 1 AS block, choice, reward FROM gp1 WHERE seq > 0",
+        _gossip_ctes(2),
+    )
+    B, all_pairs = "((SELECT n FROM n_rounds) + 1) // 2", "((SELECT count(*) FROM all_users) * ((SELECT count(*) FROM all_users) - 1) // 2)"
+    o["gossip_cluster_counts"] = _with(
+        f"SELECT 0 AS block, 0::BIGINT AS from_round, CAST({B} AS BIGINT) AS to_round, 1::BIGINT AS n_clusters, CAST({all_pairs} AS BIGINT) AS n_edges "
+        f"UNION ALL SELECT 1, CAST({B} AS BIGINT), (SELECT n FROM n_rounds), (SELECT count(DISTINCT label) FROM glab), "
+        f"CAST({all_pairs} - (SELECT count(*) FROM cut1) AS BIGINT)",
+        _gossip_ctes(2) + """,
+gund AS (
+  SELECT x.user_id AS a, y.user_id AS b FROM all_users x JOIN all_users y ON x.user_id <> y.user_id
+  WHERE NOT EXISTS (SELECT 1 FROM cut1 c WHERE c.src = least(x.user_id, y.user_id) AND c.dst = greatest(x.user_id, y.user_id))
+),
+greach(node, lbl) AS (
+  SELECT user_id, user_id FROM all_users UNION SELECT r.node, u.b FROM greach r JOIN gund u ON r.lbl = u.a
+),
+glab AS (SELECT node, min(lbl) AS label FROM greach GROUP BY node)""",
     )
     o["lazy_replay"] = _with(
         "SELECT round_id, user_id, 0 AS block, 'user' AS stage, choice, reward FROM pu9 WHERE seq > 0 UNION ALL "

@@ -491,14 +491,53 @@ def q_two_stage_user_state(spark, sf):
     return r.state.select("user_id", _ra("A", 4).alias("A"), _ra("b", 4).alias("b"), "t")
 
 
-def q_lazy_replay(spark, sf):
+def _halves(log: DataFrame, cfg: ReplayConfig, k: int, d: int) -> DataFrame:
+    """Decisions of the two-stage replay in two iterations of ceil(N / 2) rounds."""
+    from banditflow.plans.two_stage import two_stage_replay
+
+    n = log.count()
+    return two_stage_replay(log, cfg.with_(iteration_length=(n + 1) // 2), k, d, n_rounds=n).decisions
+
+
+def q_two_stage_interactions(spark, sf):
+    """R1 with the default mean over the cluster's rounds, on the log with late users (Q1)."""
+    dec = _halves(fx.cold_log(spark, sf), ReplayConfig(), K, D)
+    return dec.select("round_id", "user_id", "block", "stage", "choice", "reward")
+
+
+def q_two_stage_label(spark, sf):
+    """R1 on logged labels: an arm is rewarded when it is the label; one feature an arm."""
+    dec = _halves(fx.label_log(spark, sf), ReplayConfig(mean_over="members", reward="label"), K, 1)
+    return dec.select("round_id", "user_id", "block", "stage", "choice", "reward")
+
+
+def _curve_of(decisions: DataFrame, log: DataFrame) -> DataFrame:
+    c = E.normalised_curve(decisions, E.random_policy(log))
+    return c.select("round_id", "cum_reward", "cum_random", _r(F.col("ratio")).alias("ratio"))
+
+
+def q_two_stage_curve(spark, sf):
+    """R4 on R1: its reward against the random policy, round by round."""
+    return _curve_of(_halves(_log(spark, sf), _cfg_two_stage(), K, D), _log(spark, sf))
+
+
+def _lazy(spark, sf):
     from banditflow.plans.lazy import lazy_replay
 
     log = _log(spark, sf)
     n = log.count()  # warm-up of N // 3 rounds, then two blocks, whatever the table size
     w = n // 3
     cfg = ReplayConfig(warmup_rounds=w, block_length=(n - w + 1) // 2, chunk_limit=200)
-    r = lazy_replay(log, fx.replay_order(spark, sf), cfg, K, D)
+    return lazy_replay(log, fx.replay_order(spark, sf), cfg, K, D)
+
+
+def q_lazy_curve(spark, sf):
+    """R4 on R2, both policies over the rounds in replay order."""
+    return _curve_of(_lazy(spark, sf).decisions, LG.replay(_log(spark, sf), fx.replay_order(spark, sf)))
+
+
+def q_lazy_replay(spark, sf):
+    r = _lazy(spark, sf)
     return r.decisions.select("round_id", "user_id", "block", "stage", "choice", "reward")
 
 
@@ -513,14 +552,31 @@ def q_lazy_cluster_policy(spark, sf):
     return r.decisions.where(F.col("stage") == "cluster").select("round_id", "user_id", "choice", "reward")
 
 
-def q_gossip_replay(spark, sf):
+def _gossip(spark, sf, n_shares: int = 1):
     from banditflow.plans.gossip import gossip_replay
 
     log = _log(spark, sf)
-    n = log.count()  # two blocks of ceil(N / 2) rounds with one sharing step between them
-    cfg = ReplayConfig(block_length=(n + 1) // 2, n_shares=1)
-    r = gossip_replay(log, fx.replay_order(spark, sf), cfg, K, D)
-    return r.decisions.select("round_id", "user_id", "block", "choice", "reward")
+    n = log.count()  # two blocks of ceil(N / 2) rounds with sharing steps between them
+    return gossip_replay(log, fx.replay_order(spark, sf), ReplayConfig(block_length=(n + 1) // 2, n_shares=n_shares), K, D)
+
+
+def q_gossip_replay(spark, sf):
+    return _gossip(spark, sf).decisions.select("round_id", "user_id", "block", "choice", "reward")
+
+
+def q_gossip_two_shares(spark, sf):
+    """R3 with two sharing steps: the second reads what the first left, and its cuts."""
+    return _gossip(spark, sf, 2).decisions.select("round_id", "user_id", "block", "choice", "reward")
+
+
+def q_gossip_cluster_counts(spark, sf):
+    """The comparator's cluster-count curve, with two sharing steps a block."""
+    return _gossip(spark, sf, 2).cluster_counts
+
+
+def q_gossip_curve(spark, sf):
+    """R4 on R3, both policies over the rounds in replay order."""
+    return _curve_of(_gossip(spark, sf).decisions, LG.replay(_log(spark, sf), fx.replay_order(spark, sf)))
 
 
 def q_stream_replay(spark, sf):
