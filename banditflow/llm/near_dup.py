@@ -4,20 +4,23 @@
 2. Chosen paths.  In each of ``trees`` trees a node picks one or two of the 256 minwise functions (by a
    hash of its path; two at every fourth root and at half of the crowded nodes below, so a pair at the
    threshold has 1.2 common children there on average) and hands every document down to the child named by its
-   minwise token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``;
-   what is then still large is mostly one group of copies, and the next step takes leaves of any size.
+   minwise token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``, and on to
+   ``DEEPEST`` as long as a child has at most ``SHRINK`` of its parent.  What is then still large is mostly one
+   group of copies, and stays a leaf of any size.
 3. Leaves are compared exhaustively, in two steps.  First every member with the leaf's smallest: one
-   pair a row, never all pairs, so a group of thousands of copies stays linear.  Then, between
-   members that the links found so far have not yet joined: all pairs, in cells of at most about
-   ``leaf`` x ``leaf`` documents.
-4. Pairs whose sizes or one-byte minwise sketches rule the threshold out go: those with fewer equal bytes out
-   of 256 than ``sketch_bound`` allows, which a pair at the threshold has with probability at most ``miss``
-   (1e-6).  The others are decided on full sets.
-5. Connected components of the confirmed links.
+   pair a row, never all pairs, so a group of thousands of copies stays linear.  Then the
+   members that the links found so far have not yet joined:
+   small leaves give the pairs that sizes and one-byte minwise sketches do not rule out (fewer equal bytes
+   out of 256 than ``sketch_bound`` allows, which a pair at the threshold has with probability at most ``miss``), and
+   those are decided on full sets; large leaves with common members (the same copies in several trees) are put
+   together to a crowd, whose members meet once, with their full sets, in blocks of ``HELD`` documents inside
+   tasks: what comes out are confirmed links that join two parts, never candidates.
+4. Connected components of the confirmed links, and of the classes that rows of one id belong to.
 
 The trees share the 256 functions, so their misses are not independent.  Simulated with the code below, pairs
 of ideal minwise tokens that agree in each function with probability 0.8: none of 200,000
-was parted in all 12 trees at each of the depths 1 to 3, and none of 100,000 at depth 4.
+was parted in all 12 trees at each of the depths 1 to 3, and none of 100,000 at depth 4.  Deeper nodes are
+reached only through children that lost two fifths of their parent or more: pairs below the threshold.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ from banditflow.operators.graph import edge_components
 from banditflow.session import materialize, release
 
 COORDS, SKETCHES, TREES, LEAF, DEPTH, MISS = 256, 256, 12, 128, 4, 1e-6
+#: Nodes below ``depth`` branch again down to DEEPEST while they have at most SHRINK of their parent's members.
+DEEPEST, SHRINK = 8, 0.6
+#: Documents of a crowd that a task holds, at most, and bytes of their sets; the others of the crowd stream by.
+HELD, HELD_BYTES = 1024, 64 << 20
 
 _SEED = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEED[:SKETCHES], _SEED[SKETCHES:] | U64(1)
@@ -106,29 +113,38 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             doc, n = b.column("doc").to_numpy(), b.column("n").to_numpy()
             i, path = _children(b.column("path").to_numpy().astype(np.int64).view(U64), _tokens(b.column("tokens")))
-            yield pa.RecordBatch.from_arrays([path.view(np.int64), doc[i], n[i]], names=["path", "doc", "n"])
+            up = b.column("size").to_numpy()
+            yield pa.RecordBatch.from_arrays([path.view(np.int64), doc[i], n[i], up[i]], names=["path", "doc", "n", "up"])
 
 
 def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(path, doc, n, m, m_n): the members of every leaf with two or more, m being its smallest id; its tables."""
+    """(path, doc, n, m, m_n, size): the members of every leaf with two or more, m being its smallest id; its tables."""
     kind = "path long, doc long, n long"
-    rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind)
+    rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind).withColumn("up", F.lit(None).cast("long"))
     out, tables = None, []
-    for level in range(1, depth + 1):
+    for level in range(1, DEEPEST + 1):
         rows = materialize(rows)
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("first"))
+        sizes = rows.groupBy("path").agg(
+            F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("first"), F.first("up").alias("up")
+        )
         sizes = sizes.where(F.col("size") > 1).select(
-            "path", "size", F.col("first.doc").alias("m"), F.col("first.n").alias("m_n")
+            "path", "size", F.col("first.doc").alias("m"), F.col("first.n").alias("m_n"), "up"
         )
-        grown = materialize(rows.join(sizes, "path"))
+        grown = materialize(rows.drop("up").join(sizes, "path"))
         release(rows)
         tables.append(grown)
-        done = (grown if level == depth else grown.where(F.col("size") <= leaf)).drop("size")
+        on = F.col("size") > leaf
+        if level >= depth:
+            on = on & (F.col("size") <= SHRINK * F.col("up")) if level < DEEPEST else F.lit(False)
+        on = F.coalesce(on, F.lit(False))
+        done = grown.where(~on).drop("up")
         out = done if out is None else out.unionAll(done)
-        large = grown.where(F.col("size") > leaf)
-        if level == depth or large.isEmpty():
+        large = grown.where(on)
+        if level == DEEPEST or large.isEmpty():
             break
-        rows = large.select("path", "doc").join(sig.select("doc", "n", "tokens"), "doc").mapInArrow(_branch, kind)
+        # a child carries the size of its parent
+        go = large.select("path", "doc", "size").join(sig.select("doc", "n", "tokens"), "doc")
+        rows = go.mapInArrow(_branch, kind + ", up long")
     return out, tables
 
 
@@ -146,28 +162,34 @@ def _near(pairs: DataFrame, sig: DataFrame, sketch: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+def _sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(doc, elements): full shingle sets of the documents ``docs`` (doc), as sorted 64-bit hashes."""
 
     def start() -> Callable[[list], dict]:
         ids = WordIds()
         return lambda texts: {"elements": [shingle_set(t, n, ids).astype("<u8").tobytes() for t in texts]}
 
-    sets = map_texts(reps.join(ends, "doc", "left_semi"), start, [("elements", "binary")], keep=["doc"])
+    return map_texts(reps.join(docs, "doc", "left_semi"), start, [("elements", "binary")], keep=["doc"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+    common = int((x[at] == y).sum()) if len(x) and len(y) else 0
+    return 100 * common >= percent * (len(x) + len(y) - common) > 0
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-                common = int((x[at] == y).sum()) if len(x) and len(y) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
-            ok = pa.array(keep, pa.bool_())
+            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
+            ok = pa.array([_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
-    sets = materialize(sets)
+    sets = materialize(_sets(ends, reps, n))
     x = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
     out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -175,66 +197,131 @@ def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
-def _blocks(leaves: DataFrame, labels: DataFrame, sig: DataFrame, leaf: int, percent: int, sketch: int) -> DataFrame:
-    """All pairs inside leaves between documents that are not yet joined, cell by cell.
-
-    Of these, the pairs (a, b) whose sizes and sketches do not rule the threshold out.
-    """
+def _mixed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(path, doc, n, size, label): the members of leaves that the links so far do not join, with their labels."""
     at = leaves.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "path", "doc", "n", F.coalesce("label", "doc").alias("label")
-    )
-    mixed = at.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("main"), F.max("label").alias("other"))
-    at = at.join(mixed.where(F.col("main") != F.col("other")), "path").join(sig.select("doc", "sketch"), "doc")
-    # the leaf's smallest label is mostly that of the largest group; only the others meet all members
-    cells = F.ceil(F.col("size") / leaf).cast("int")
-    own = F.pmod(F.xxhash64("doc", "path"), cells).cast("int")
-    all_cells = F.sequence(F.lit(0), cells - 1)
-    left = at.where(F.col("label") != F.col("main")).select(
-        "path", "doc", "n", "label", "sketch", own.alias("i"), F.explode(all_cells).alias("j"), F.lit(True).alias("one")
-    )
-    right = at.select(
-        "path", "doc", "n", "label", "sketch", F.explode(all_cells).alias("i"), own.alias("j"), F.lit(False).alias("one")
+        "path", "doc", "n", "size", F.coalesce("label", "doc").alias("label")
     )
-    dealt = left.unionAll(right).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "one")
-
-    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, label, one, sketches = rows
-        x, y = np.flatnonzero(one), np.flatnonzero(~one)
-        low, high = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
-        i, j = np.nonzero((label[x][:, None] != label[y]) & (100 * low >= percent * high))
-        i, j = x[i], y[j]
+    mixed = at.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return at.join(mixed.select("path"), "path", "left_semi")
+
+
+def _pairs(small: DataFrame, sig: DataFrame, percent: int, sketch: int) -> DataFrame:
+    """Pairs inside small leaves, not yet joined, that sizes and sketches do not rule out."""
+    dealt = small.select("path", "doc", "n", "label").join(sig.select("doc", "sketch"), "doc").repartition("path").sortWithinPartitions("path")
+
+    def pairs(doc: np.ndarray, n: np.ndarray, label: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.triu_indices(len(doc), 1)
+        ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
         near = (sketches[i] == sketches[j]).sum(1) >= sketch
         a, b = doc[i[near]], doc[j[near]]
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list | None = None
-        names = ("doc", "n", "label", "one")
-
-        def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(rows)], names=["a", "b"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("path", "i", "j")], 1)
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            path = b.column("path").to_numpy()
+            cols = [b.column(c).to_numpy() for c in ("doc", "n", "label")]
             cols.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCHES))
-            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            edge = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
             for lo, hi in zip(edge, edge[1:]):
                 part = [c[lo:hi] for c in cols]
-                if open_ is not None and (open_[0] == key[lo]).all():
+                if open_ is not None and open_[0] == path[lo]:
                     open_[1] = [np.concatenate(p) for p in zip(open_[1], part)]
                 else:
                     if open_ is not None:
-                        yield emit(open_[1])
-                    open_ = [key[lo], part]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(*open_[1])], names=["a", "b"])
+                    open_ = [path[lo], part]
         if open_ is not None:
-            yield emit(open_[1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(*open_[1])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+class _Joined:
+    """Labels joined by the links of one block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        return labels if not self.up else np.array([self.find(int(x)) for x in labels], np.int64)
+
+
+def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int, percent: int, sketch: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Confirmed links between members of large leaves that are not yet joined; at most one less a block than
+    the block has labels.
+
+    Leaves with common members form a crowd.  Its documents are dealt into blocks of at most ``HELD`` by
+    a hash; the block's documents are held by a task while all documents of the crowd stream by.
+    """
+    member = large.groupBy("path").agg(F.min("doc").alias("first")).join(large.select("path", "doc"), "path")
+    crowd = edge_components(member.select("first", "doc").distinct(), "first", "doc").select(F.col("node").alias("doc"), F.col("label").alias("crowd"))
+    docs = large.groupBy("doc").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(crowd, "doc")
+    docs = materialize(docs.join(sig.select("doc", "sketch"), "doc"))
+    sets = materialize(_sets(docs.select("doc"), reps, n_words))
+    sizes = docs.groupBy("crowd").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("size") / HELD), F.ceil(F.col("elements") * 8 / HELD_BYTES)).cast("int")
+    full = docs.join(sizes.select("crowd", blocks.alias("blocks")), "crowd").join(sets, "doc")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    cols = ["crowd", "block", "side", "doc", "n", "label", "sketch", "elements"]
+    held = full.withColumn("block", own).withColumn("side", F.lit(0)).select(cols)
+    stream = full.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(cols)
+    dealt = held.unionAll(stream).repartition("crowd", "block").sortWithinPartitions("crowd", "block", "side")
+
+    def rows_of(b: pa.RecordBatch, lo: int, hi: int) -> list:
+        part = b.slice(lo, hi - lo)
+        sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCHES)
+        elements = [np.frombuffer(e, "<u8") for e in part.column("elements").to_pylist()]
+        return [*(part.column(c).to_numpy() for c in ("doc", "n", "label")), sketches, elements]
+
+    def meet(x: list, y: list, joined: _Joined, out: list) -> None:
+        for at in range(0, len(y[0]), 32):
+            d, n, label, sk = (c[at : at + 32] for c in y[:4])
+            mine, theirs = joined.roots(x[2]), joined.roots(label)
+            low, high = np.minimum(x[1][:, None], n), np.maximum(x[1][:, None], n)
+            i, j = np.nonzero((mine[:, None] != theirs) & (x[0][:, None] < d) & (100 * low >= percent * high))
+            near = (x[3][i] == sk[j]).sum(1) >= sketch
+            for p, q in zip(i[near].tolist(), j[near].tolist()):
+                a, b = joined.find(int(mine[p])), joined.find(int(theirs[q]))
+                if a != b and _linked(x[4][p], y[4][at + q], percent):
+                    joined.up[max(a, b)] = min(a, b)
+                    out.append((int(x[0][p]), int(d[q])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x, joined = None, None, _Joined()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("crowd", "block", "side")], 1)
+            edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(edge, edge[1:]):
+                if key is None or (keys[lo, :2] != key).any():
+                    key, x, joined = keys[lo, :2], None, _Joined()
+                part = rows_of(b, lo, hi)
+                if keys[lo, 2] == 1:
+                    if x is not None:
+                        meet(x, part, joined, out)
+                elif x is None:
+                    x = part
+                else:
+                    x = [*(np.concatenate(c) for c in zip(x[:4], part[:4])), x[4] + part[4]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return materialize(dealt.mapInArrow(run, "a long, b long")), [docs, sets]
+
+
 def near_duplicates(
     docs: DataFrame, n_words: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
     miss: float = MISS,
@@ -280,23 +367,39 @@ def near_duplicates(
     sig = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "tokens", "sketch")
     reps = body.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
 
+    # rows of one id are one node: the classes that an id's rows belong to are joined
+    name = F.struct("n_shingles", "s1", "s2")
+    several = base.where("n_shingles > 0").groupBy("doc").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low < high")
+    several = base.where("n_shingles > 0").join(several.select("doc"), "doc", "left_semi").select("doc", "n_shingles", "s1", "s2")
+    same_id = several.join(classes.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"])
+    same_id = materialize(same_id.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
+
     leaves, tables = _leaves(sig, trees, leaf, depth)
     small, great = F.least("n", "m_n"), F.greatest("n", "m_n")
     first = leaves.where((F.col("m") != F.col("doc")) & (100 * small >= percent * great))
     first = materialize(_near(first.select(F.col("m").alias("a"), F.col("doc").alias("b")).distinct(), sig, sketch))
-    links = _confirm(first, reps, n_words, percent)
+    links = _confirm(first, reps, n_words, percent).unionAll(same_id)
     labels = edge_components(links, "a", "b")
-    rest = _blocks(leaves, labels, sig, leaf, percent, sketch)
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"))
+    mixed = materialize(_mixed(leaves, labels))
+    large = mixed.where(F.col("size") > leaf)
+    if not large.isEmpty():
+        found, used = _crowd_links(large, sig, reps, n_words, percent, sketch)
+        links = links.unionAll(found)
+        tables += used
+    rest = materialize(_pairs(mixed.where(F.col("size") <= leaf), sig, percent, sketch).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(_confirm(rest, reps, n_words, percent))
-        labels = edge_components(links, "a", "b")
-    release(first, rest, *tables)
+    labels = edge_components(links, "a", "b")
+    release(first, rest, mixed, *tables)
     rep_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "s1", "s2", F.coalesce("label", "rep").alias("component")
     )
-    out = base.join(rep_label, ["n_shingles", "s1", "s2"], "left")
-    component = F.coalesce("component", "doc")
+    # a row without words goes with the other rows of its id
+    empty = base.where("n_shingles = 0").select("doc").distinct()
+    by_id = base.where("n_shingles > 0").join(empty, "doc", "left_semi").join(rep_label, ["n_shingles", "s1", "s2"])
+    by_id = by_id.groupBy("doc").agg(F.min("component").alias("id_component"))
+    out = base.join(rep_label, ["n_shingles", "s1", "s2"], "left").join(by_id, "doc", "left")
+    component = F.coalesce("component", "id_component", "doc")
     real = lambda c: F.when(c != _NO_ID, c)
     return out.select(
         real(F.col("doc")).alias("doc_id"),

@@ -67,6 +67,38 @@ def test_chains_and_a_large_group(spark):
     assert got == components(texts, 4)
 
 
+def test_rows_of_one_id_join_its_classes(spark):
+    """Ids whose rows lie in several classes, none of them the class's smallest id, or without words."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    texts = [(2, b), (5, a), (5, b), (9, a), (7, ""), (7, a + " x"), (12, None), (12, "alone with four words"), (13, ""), (None, b), (None, "")]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    got = Counter(map(tuple, near_dup.near_duplicates(df, n_words=4).collect()))
+    assert got == components(texts, 4)
+    assert {r[2] for r in got if r[0] in (2, 5, 9)} == {None}  # the null id has text b, too
+
+
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    """Copies between 0.5 and 1 of one text, some of them near each other only, in crowds dealt into several blocks."""
+    monkeypatch.setattr(near_dup, "HELD", 40)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 3, 6, 9))):
+            words[at] = f"e{i}x{at}"
+        texts.append((10 * i + 3, " ".join(words)))
+        if i % 8 == 0:  # a copy near this one, not near the text
+            words[rng.randrange(150)] = f"f{i}"
+            texts.append((10 * i + 4, " ".join(words)))
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4)
+    seen = []
+    keep = near_dup._crowd_links
+    monkeypatch.setattr(near_dup, "_crowd_links", lambda *a: seen.append(1) or keep(*a))
+    got = Counter(map(tuple, near_dup.near_duplicates(df, n_words=4, leaf=16).collect()))
+    assert seen and got == components(texts, 4)
+
+
 def missed(pairs, depth, seed=0):
     """Pairs of ideal minwise tokens, alike in each function with probability 0.8, that no leaf at ``depth`` holds together."""
     rng = np.random.default_rng(seed)
@@ -86,8 +118,8 @@ def missed(pairs, depth, seed=0):
                 joined[doc[pair]] = True
                 break
             at = np.concatenate((pair, pair + 1))
-            columns = [pa.array(path[at]), pa.array(doc[at]), pa.array(doc[at]), pa.array([both[d].tobytes() for d in doc[at]])]
-            rows = pa.concat_batches(list(near_dup._branch(iter([pa.RecordBatch.from_arrays(columns, names=["path", "doc", "n", "tokens"])]))))
+            columns = [pa.array(path[at]), pa.array(doc[at]), pa.array(doc[at]), pa.array([both[d].tobytes() for d in doc[at]]), pa.array(doc[at])]
+            rows = pa.concat_batches(list(near_dup._branch(iter([pa.RecordBatch.from_arrays(columns, names=["path", "doc", "n", "tokens", "size"])]))))
     return int((~joined).sum())
 
 
