@@ -85,7 +85,8 @@ def count_tokens(
 ) -> DataFrame:
     """Add n_tokens and sections (array of kind, start, end, tokens; bytes) to each row.
 
-    ``sections`` cuts a text (UTF-8 bytes) into (kind, end) pieces that cover it in order.  Null and
+    ``sections`` cuts a text (UTF-8 bytes) into (kind, end) pieces that cover it in order.  Bytes that are
+    no UTF-8 count as U+FFFD, in the tokens and in the places.  Null and
     empty texts have no token and no section.  Rows repeat as they come; columns of ``docs`` named like
     a new one are replaced.
     """
@@ -97,8 +98,9 @@ def count_tokens(
         v, encode = loaded(vocabulary)
 
         def rows(texts: list) -> Iterator[tuple[int, list]]:
-            for t, ids in zip(texts, encode.many([t.decode("utf-8", "replace") for t in texts])):
-                cut = sections(t)
+            valid = [t.decode("utf-8", "replace") for t in texts]
+            for t, ids in zip(valid, encode.many(valid)):
+                cut = sections(t.encode())
                 if not cut:
                     yield 0, []
                     continue

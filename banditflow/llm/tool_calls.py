@@ -1,8 +1,8 @@
 """Tool-call linking: calls and results of conversations matched by identifier, ordered and serialised.
 
 Calls and results are two tables joined by hash on (conv_id, call_id).  Calls of a conversation are
-ordered topologically by their dependencies (Kahn's levels, one written table a level), then by turn
-and index.  Arguments are checked against the tool's JSON schema and serialised as canonical JSON:
+ordered topologically by their dependencies (Kahn's levels: inside a task for a conversation of up to ``HELD``
+calls and dependencies, by one join a level beyond), then by turn and index.  Arguments are checked against the tool's JSON schema and serialised as canonical JSON:
 sorted keys, no spaces, shortest numbers, UTF-8.
 """
 
@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from banditflow.session import materialize
+from banditflow.session import materialize, release
+
+#: Calls and dependencies of a conversation that one task orders.
+HELD = 1 << 18
 
 #: The tools of the conversations' calls, as JSON schemas of their arguments.
 SCHEMAS: dict[str, dict] = {
@@ -65,7 +68,7 @@ def problem(value: Any, schema: dict, at: str = "$") -> str | None:
     kinds = schema.get("type")
     if kinds is not None and not any(_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: type"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: enum"
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
@@ -91,12 +94,22 @@ def problem(value: Any, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+#: Whole numbers below this are written as digits, as a float or not.
+_DIGITS = 10**21
+
+
 def canonical(value: Any) -> str:
-    """Canonical JSON: keys sorted by code point, no spaces, whole numbers without a fraction."""
+    """Canonical JSON: keys sorted by code point, no spaces, one text for each number.
+
+    Whole numbers below 10^21 are digits without a fraction; greater ones that a float holds exactly are that float's
+    shortest text, the others digits.
+    """
 
     def plain(x: Any) -> Any:
-        if isinstance(x, float) and x.is_integer() and abs(x) < 2**53:
+        if isinstance(x, float) and x.is_integer() and abs(x) < _DIGITS:
             return int(x)
+        if isinstance(x, int) and not isinstance(x, bool) and _DIGITS <= abs(x) < 2**1023 and int(float(x)) == x:
+            return float(x)
         if isinstance(x, dict):
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
@@ -105,10 +118,13 @@ def canonical(value: Any) -> str:
 
 
 def _check(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str | None, str | None]:
-    """(canonical arguments, problem) of one call."""
+    """(canonical arguments, problem) of one call; a lone surrogate is no text that could be written."""
     try:
         value = json.loads(arguments) if arguments is not None else None
         text = canonical(value)
+        text.encode()
+    except UnicodeEncodeError:
+        return None, "not Unicode"
     except (ValueError, RecursionError):
         return None, "not JSON"
     if name not in schemas:
@@ -133,29 +149,98 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return src.mapInArrow(run, f"{fields}, canonical string, problem string")
 
 
+def _kahn(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Levels of one conversation's calls; calls on a cycle, or behind one, have none."""
+    waits, after = dict.fromkeys(nodes, 0), {}
+    for source, to in edges:
+        if source in waits and to in waits:
+            waits[to] += 1
+            after.setdefault(source, []).append(to)
+    level = {n: 0 for n, w in waits.items() if not w}
+    ready = list(level)
+    for n in ready:  # grows as calls become ready
+        for to in after.get(n, ()):
+            waits[to] -= 1
+            if not waits[to]:
+                level[to] = level[n] + 1  # the last of the calls it waits for is on the highest level
+                ready.append(to)
+    return level
+
+
+def _held_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, from, to) sorted by conversation, a call itself having no from -> levels."""
+    conv, nodes, edges, first = None, [], [], True
+    for b in batches:
+        out: list[tuple] = []
+
+        def close() -> None:
+            out.extend((conv, c, n) for c, n in _kahn(nodes, edges).items())
+            nodes.clear()
+            edges.clear()
+
+        kind = b.column("conv_id").type
+        for c, source, to in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if not first and c != conv:
+                close()
+            conv, first = c, False
+            if source is None:
+                nodes.append(to)
+            else:
+                edges.append((source, to))
+        if out:
+            yield _levels_batch(out, kind)
+    if nodes:
+        yield _levels_batch([(conv, c, n) for c, n in _kahn(nodes, edges).items()], kind)
+
+
+def _levels_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    convs, calls, level = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(convs, kind), pa.array(calls, pa.string()), pa.array(level, pa.int32())], names=["conv_id", "call_id", "level"])
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies, else one more than the highest among them.
 
     ``calls``: conv_id, call_id, needs (array of call ids; ids the conversation does not have, nulls and the
-    call itself do not count).  Calls on a cycle, or behind one, are left out.  One job a level.
+    call itself do not count).  Calls on a cycle, or behind one, are left out.  Conversations of up to ``HELD``
+    calls and dependencies are ordered inside tasks, one after the other; greater ones level by level.
     """
     key = ["conv_id", "call_id"]
-    nodes = materialize(calls.select(*key).distinct())
-    edges = calls.select("conv_id", F.col("call_id").alias("to"), F.explode("needs").alias("call_id")).where(F.col("to") != F.col("call_id"))
-    edges = materialize(edges.distinct().join(nodes, key).withColumnRenamed("call_id", "from"))
+    nodes = calls.select(*key).distinct()
+    edges = calls.select("conv_id", F.explode("needs").alias("from"), F.col("call_id").alias("to"))
+    edges = edges.where("from is not null and from <> to").distinct()
+    rows = materialize(nodes.select("conv_id", F.lit(None).cast("string").alias("from"), F.col("call_id").alias("to")).unionByName(edges))
+    great = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HELD).select("conv_id")
+    great = materialize(great)
+    kind = f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, call_id string, level int"
+    if great.isEmpty():
+        return rows.repartition("conv_id").sortWithinPartitions("conv_id", "from").mapInArrow(_held_levels, kind)
+    small = rows.join(great, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id", "from")
+    return small.mapInArrow(_held_levels, kind).unionAll(_levels_by_joins(rows.join(great, "conv_id", "left_semi")))
+
+
+def _levels_by_joins(rows: DataFrame) -> DataFrame:
+    """The same, one join a level; a level's counts are kept until the next ones are written."""
+    key = ["conv_id", "call_id"]
+    nodes = rows.where("from is null").select("conv_id", F.col("to").alias("call_id"))
+    edges = rows.where("from is not null").join(nodes.withColumnRenamed("call_id", "from"), ["conv_id", "from"])
+    edges = materialize(edges)
     degree = edges.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count(F.lit(1)).alias("waits"))
     state = materialize(nodes.join(degree, key, "left").select(*key, F.coalesce("waits", F.lit(0)).alias("waits")))
     level, out = 0, None
     while True:
-        done = state.where("waits = 0").select(*key, F.lit(level).alias("level"))
+        done = materialize(state.where("waits = 0").select(*key, F.lit(level).alias("level")))
         out = done if out is None else out.unionAll(done)
         # what the level's calls free: the counts of those that wait for them fall
         freed = edges.join(done.select("conv_id", F.col("call_id").alias("from")), ["conv_id", "from"])
         freed = freed.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count(F.lit(1)).alias("n"))
-        state = materialize(
+        left = materialize(
             state.where("waits > 0").join(freed, key, "left").select(*key, (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"))
         )
+        release(state)
+        state = left
         if state.where("waits = 0").isEmpty():  # nothing left, or it waits for itself
+            release(edges, state)
             return out
         level += 1
 

@@ -156,12 +156,21 @@ def train(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_byte
     usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     picked = [usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_each) for y in (0, 1)]
     picked = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * max_each ids
-    rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").limit(4 * max_each).collect()
+    # of ids that come with many texts, the first in order of id and text hash: the same rows in every run
+    rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(4 * max_each).collect()
     if len({r.toxic for r in rows}) < 2 and known.select("toxic").distinct().count() == 2:
         warnings.warn("toxicity: labels of both kinds, but texts to learn from of one at most; all scores will be 0", stacklevel=2)
     return fit([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 
+def _places(text: str, low: str) -> Callable[[int], int]:
+    """From places in the lower-cased text to places in the text: lower-casing may lengthen it."""
+    if len(low) == len(text):
+        return int
+    begin = np.cumsum([0, *(len(c.lower()) for c in text)])
+    return lambda i: int(np.searchsorted(begin, i))
+
+
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, offending: float = 0.5) -> DataFrame:
     """Add score (0 to 1) and offending (sentences of probability ``offending`` or more) to each row.
 
@@ -183,11 +192,10 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
                 found = sentences(low) if m.bias is not None else []
                 z = np.array([m.bias + sum(map(weight.__getitem__, ws)) for _, _, ws in found])
                 scores.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if found else 0.0)
-                # lower-casing may lengthen a text; its places are given only while they hold
-                same = len(low) == len(s)
+                at = _places(s, low)
                 spans.append([
-                    {"start": found[i][0], "end": found[i][1], "score": float(1 / (1 + np.exp(-z[i])))}
-                    for i in np.flatnonzero(z >= limit) if same
+                    {"start": at(found[i][0]), "end": at(found[i][1]), "score": float(1 / (1 + np.exp(-z[i])))}
+                    for i in np.flatnonzero(z >= limit)
                 ])
             return {"score": scores, "offending": spans}
 

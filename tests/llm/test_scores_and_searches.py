@@ -279,3 +279,20 @@ def test_weights_and_moves(spark):
     assert sorted(r.slot for r in slots) == list(range(20000))
 
 
+
+
+def test_offending_places_hold_when_lower_casing_lengthens_a_text(spark):
+    """Places are those of the text, not of its lower-cased form, and the score is the noisy-or of its sentences."""
+    model = toxicity.Model({"=bad": 6.0, "=word": -2.0}, -3.0)
+    texts = ["İİİ is fine. A BAD thing here! İ BAD BAD word.", "A bad thing.", "Iİ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    for d, text in enumerate(texts):
+        spans = [(text[s.start : s.end], s.score) for s in rows[d].offending]
+        assert all("bad" in t.lower() for t, _ in spans)
+        stay = 1.0
+        for _, _, words in toxicity.sentences(text.lower()):
+            z = model.bias + sum(model.word(w) for w in words)
+            stay *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(rows[d].score - (1 - stay)) < 1e-9 if text else rows[d].score == 0
+    assert [texts[0][s.start : s.end].strip() for s in rows[0].offending] == ["A BAD thing here", "İ BAD BAD word"]

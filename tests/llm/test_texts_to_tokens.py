@@ -97,3 +97,16 @@ def test_fields(nasty, texts, nothing):
     total = sum(r.n_tokens for r in rows)
     assert total == sum(len(LIBRARY.encode("src0\n" + (t or ""), add_special_tokens=False).ids) for _, t in texts)
     assert token_counts.count_fields(nothing, PATH, ["source", "text"]).count() == 0
+
+
+def test_sections_of_invalid_bytes(spark):
+    """Bytes that are no UTF-8 count as U+FFFD, in the tokens as in the places."""
+    docs = spark.createDataFrame([(1, bytearray(b"ab \xff")), (2, bytearray(b"\xe2\x82\nx\n\nlast \xf0\x9f")), (3, None)], "doc_id long, text binary")
+    for rule in token_counts.RULES:
+        rows = {r.doc_id: r for r in token_counts.count_tokens(docs, PATH, rule=rule).collect()}
+        assert rows[3].sections == []
+        for i, raw in ((1, b"ab \xff"), (2, b"\xe2\x82\nx\n\nlast \xf0\x9f")):
+            text = raw.decode("utf-8", "replace")
+            assert rows[i].sections[-1].end == len(text.encode())
+            assert rows[i].n_tokens == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+            assert abs(sum(s.tokens for s in rows[i].sections) - rows[i].n_tokens) < 1e-6

@@ -50,6 +50,36 @@ def test_linking_order_and_status(spark):
     assert by[2, "a", 1].problem == "unknown tool" and by[2, "a", 1].n_results == 1
 
 
+def test_a_long_chain_takes_few_tables(spark, monkeypatch):
+    """2,000 calls, each needing the one before, and a cycle beside them: ordered by tasks and, beyond HELD, by joins alike."""
+    rows = [(1, f"c{i}", [f"c{i - 1}", "none"]) for i in range(2000)] + [(2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["b"]), (2, "d", None)]
+    rows += [(3, f"x{i}", [f"x{i // 2}", f"x{i // 3}", None]) for i in range(60)] + [(None, "n", []), (None, "m", ["n"])]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>").repartition(3)
+    written = []
+    keep = tc.materialize
+    monkeypatch.setattr(tc, "materialize", lambda d: written.append(1) or keep(d))
+    got = {(r.conv_id, r.call_id): r.level for r in tc.levels(df).collect()}
+    assert len(written) < 5
+    assert all(got[1, f"c{i}"] == i for i in range(2000)) and [got.get((2, c)) for c in "abcd"] == [None, None, None, 0]
+    assert (got[None, "n"], got[None, "m"]) == (0, 1) and len(got) == 2063
+    monkeypatch.setattr(tc, "HELD", 8)
+    few = df.where("conv_id <> 1")
+    joined = {(r.conv_id, r.call_id): r.level for r in tc.levels(few).collect()}
+    assert joined == {k: v for k, v in got.items() if k[0] in (2, 3)}
+
+
+def test_lone_surrogates_numbers_and_enums(spark):
+    bad = '{"query":"\\ud800","limit":3}'
+    rows = {r.call_id: r for r in linked(spark, [(1, 1, "a", "search", bad, []), (1, 3, "b", "search", '{"query":"\\ud83d\\ude00","limit":3}', [])], [])}
+    assert rows["a"].status == "invalid" and rows["a"].problem == "not Unicode" and json.loads(rows["a"].record)["arguments"] is None
+    assert json.loads(rows["b"].record)["arguments"]["query"] == "\U0001f600"
+    for one, other in (("1e16", "10000000000000000"), ("1e21", "1" + "0" * 21), ("-0.0", "0"), ("2.50", "2.5"), ("1e300", str(int(1e300)))):
+        assert tc.canonical(json.loads(one)) == tc.canonical(json.loads(other))
+    assert tc.canonical(10**22 + 1) == str(10**22 + 1)
+    assert tc.problem(True, {"enum": [1]}) == "$: enum" and tc.problem(1.0, {"enum": [1]}) is None and tc.problem(1, {"enum": [True]}) == "$: enum"
+    assert tc.problem([1.0], {"enum": [[1]]}) is None
+
+
 def test_nothing(spark):
     a, b = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     assert tc.link_calls(a, b, tc.SCHEMAS).collect() == []
