@@ -296,3 +296,24 @@ def test_offending_places_hold_when_lower_casing_lengthens_a_text(spark):
             stay *= 1 - 1 / (1 + np.exp(-z))
         assert abs(rows[d].score - (1 - stay)) < 1e-9 if text else rows[d].score == 0
     assert [texts[0][s.start : s.end].strip() for s in rows[0].offending] == ["A BAD thing here", "İ BAD BAD word"]
+
+
+def test_benchmark_index_is_small_and_quick():
+    """4 MB of benchmark: built once, unpacked in a worker in seconds and tens of MB, every window found."""
+    import pickle
+    import time
+
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i:x}" for i in range(60_000)]
+    items = [(f"i{k}", " ".join(vocabulary[j] for j in rng.integers(0, 60_000, 700)).encode()) for k in range(1000)]
+    assert sum(len(t) for _, t in items) > 3_900_000
+    start = time.time()
+    packed = decontaminate.build_index(items, 10)
+    size = len(pickle.dumps(packed))
+    built = time.time() - start
+    start = time.time()
+    index = decontaminate.WindowIndex(pickle.loads(pickle.dumps(packed)))
+    assert built < 15 and time.time() - start < 5 and size < 50 << 20
+    words = decontaminate.words_of(items[500][1])
+    hit, found = index.scan([b"other"] * 7 + words[100:130] + [b"w5", b"nothing"])
+    assert found == {"i500"} and hit.tolist() == [False] * 7 + [True] * 30 + [False] * 2
