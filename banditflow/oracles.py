@@ -704,16 +704,25 @@ rlog AS (
 _BLK = "STRUCT(A DOUBLE[], b DOUBLE[])"
 
 
-def _agent_block(j: int, prev: str, lo: str, hi: str) -> str:
-    """F5 over rlog rounds [lo, hi) from agent table ``prev`` (user_id, cov, b, cl, bl, t, buf); general inverse per round."""
+def _agent_block(j: int, prev: str, lo: str, hi: str, as_written: bool = False) -> str:
+    """F5 over rlog rounds [lo, hi) from agent table ``prev`` (user_id, cov, b, cl, bl, t, buf); general inverse per round.
+
+    ``as_written``: t starts again with the block, and at t = 0 the buffer's first block is dropped (Q9, Q10).
+    """
     d = D
+    t = "0::BIGINT" if as_written else "t"
+    pushed = f"list_append(w.buf, {{'A': {_outer('w.x')}, 'b': list_transform(w.x, lambda v: w.rw * v)}}::{_BLK})"
+    size = "(len(w.buf) + 1)"
+    if as_written:
+        pushed = f"CASE WHEN w.t = 0 THEN ({pushed})[2:] ELSE {pushed} END"
+        size = "(len(w.buf) + CASE WHEN w.t = 0 THEN 0 ELSE 1 END)"
     return f"""
 ga{j} AS (
   SELECT round_id, user_id, arms, rewards, row_number() OVER (PARTITION BY user_id ORDER BY round_id) AS seq
   FROM rlog WHERE round_id >= {lo} AND round_id < {hi}
 ),
 gp{j}(user_id, seq, round_id, choice, reward, cov, b, cl, bl, t, buf) AS (
-  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, cov, b, cl, bl, t, buf FROM {prev}
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, cov, b, cl, bl, {t}, buf FROM {prev}
   UNION ALL
   SELECT y.user_id, y.seq, y.round_id, y.choice, y.rw,
          CASE WHEN y.pop THEN list_transform(list_zip(y.cov, y.nbuf[1].A), lambda v: v[1] + v[2]) ELSE y.cov END,
@@ -723,8 +732,8 @@ gp{j}(user_id, seq, round_id, choice, reward, cov, b, cl, bl, t, buf) AS (
          y.t + 1,
          CASE WHEN y.pop THEN y.nbuf[2:] ELSE y.nbuf END
   FROM (
-    SELECT w.*, list_append(w.buf, {{'A': {_outer("w.x")}, 'b': list_transform(w.x, lambda v: w.rw * v)}}::{_BLK}) AS nbuf,
-           (len(w.buf) + 1) * {d} > 4.0 * ln(greatest(w.t::DOUBLE, 1.0)) AS pop
+    SELECT w.*, {pushed} AS nbuf,
+           {size} * {d} > 4.0 * ln(greatest(w.t::DOUBLE, 1.0)) AS pop
     FROM (
       SELECT p.*, p.arms[p.choice + 1] AS x, p.rewards[p.choice + 1] AS rw
       FROM (
@@ -744,8 +753,13 @@ gp{j}(user_id, seq, round_id, choice, reward, cov, b, cl, bl, t, buf) AS (
 gs{j} AS (SELECT user_id, cov, b, cl, bl, t, buf FROM gp{j} WHERE (user_id, seq) IN (SELECT user_id, max(seq) FROM gp{j} GROUP BY user_id))"""
 
 
-def _share_ctes(i: int, agents: str, cuts: str | None) -> str:
-    """Sharing step ``i`` from ``agents``: gsh{i} (the new agents) and cut{i} (all pairs cut so far)."""
+def _share_ctes(i: int, agents: str, cuts: str | None, as_written: bool = False) -> str:
+    """Sharing step ``i`` from ``agents``: gsh{i} (the new agents) and cut{i} (all pairs cut so far).
+
+    ``as_written``: a far partner's local model is taken over, and every pair that met is cut (Q11).
+    """
+    local = "p" if as_written else "x"
+    gone = "user_id <> p_id" if as_written else "edge AND far"
     avg = "list_transform(list_zip({a}, {b}), lambda v: (v[1] + v[2]) / 2.0)"
     avg_buf = (
         "list_transform(list_zip(x.buf, p.buf), lambda q: "
@@ -766,23 +780,24 @@ met{i} AS (
 ),
 gsh{i} AS (
   SELECT x.user_id,
-         CASE WHEN m.edge AND m.far THEN x.cl WHEN m.edge AND m.equal THEN {avg.format(a="x.cov", b="p.cov")} ELSE x.cov END AS cov,
-         CASE WHEN m.edge AND m.far THEN x.bl WHEN m.edge AND m.equal THEN {avg.format(a="x.b", b="p.b")} ELSE x.b END AS b,
+         CASE WHEN m.edge AND m.far THEN {local}.cl WHEN m.edge AND m.equal THEN {avg.format(a="x.cov", b="p.cov")} ELSE x.cov END AS cov,
+         CASE WHEN m.edge AND m.far THEN {local}.bl WHEN m.edge AND m.equal THEN {avg.format(a="x.b", b="p.b")} ELSE x.b END AS b,
          x.cl, x.bl, x.t,
          CASE WHEN m.edge AND m.far THEN []::{_BLK}[]
               WHEN m.edge AND m.equal AND len(x.buf) = len(p.buf) THEN {avg_buf} ELSE x.buf END AS buf
   FROM met{i} m JOIN {agents} x ON x.user_id = m.user_id JOIN {agents} p ON p.user_id = m.p_id
 ),
-cut{i} AS (SELECT least(user_id, p_id) AS src, greatest(user_id, p_id) AS dst FROM met{i} WHERE edge AND far{earlier})"""
+cut{i} AS (SELECT least(user_id, p_id) AS src, greatest(user_id, p_id) AS dst FROM met{i} WHERE {gone}{earlier})"""
 
 
-def _gossip_ctes(n_shares: int = 1) -> str:
+def _gossip_ctes(n_shares: int = 1, as_written: bool = False) -> str:
     """R3 with two blocks of ceil(N / 2) rounds (replay order) and sharing steps between them (no cuts before)."""
     N = "(SELECT n FROM n_rounds)"
     B = f"(({N} + 1) // 2)"
     shares, agents, cuts = [], "gs0", None
+    start = f"[{{'A': {_zeros(D * D)}, 'b': {_zeros()}}}]" if as_written else "[]"
     for i in range(n_shares):
-        shares.append(_share_ctes(i, agents, cuts))
+        shares.append(_share_ctes(i, agents, cuts, as_written))
         agents, cuts = f"gsh{i}", f"cut{i}"
     return ",".join(
         [
@@ -791,11 +806,11 @@ rlog AS (
   SELECT o.pos AS round_id, l.user_id, l.arms, l.rewards FROM replay_order o JOIN bandit_log l ON l.round_id = o.row_id - 1
 )""",
             f"g_init AS (SELECT user_id, {_identity()} AS cov, {_zeros()} AS b, {_identity()} AS cl, {_zeros()} AS bl, "
-            f"0::BIGINT AS t, []::{_BLK}[] AS buf FROM all_users)",
-            _agent_block(0, "g_init", "0", B),
+            f"0::BIGINT AS t, {start}::{_BLK}[] AS buf FROM all_users)",
+            _agent_block(0, "g_init", "0", B, as_written),
             f"gth AS (SELECT user_id, [{', '.join(_solve4('cl', 'bl'))}] AS theta, t FROM gs0)",
             *shares,
-            _agent_block(1, agents, B, N),
+            _agent_block(1, agents, B, N, as_written),
         ]
     )
 
@@ -1027,6 +1042,11 @@ def _build() -> dict[str, str]:
         "SELECT round_id, user_id, 1 AS block, choice, reward FROM gp1 WHERE seq > 0",
         _gossip_ctes(2),
     )
+    o["gossip_as_written"] = _with(
+        "SELECT round_id, user_id, 0 AS block, choice, reward FROM gp0 WHERE seq > 0 UNION ALL "
+        "SELECT round_id, user_id, 1 AS block, choice, reward FROM gp1 WHERE seq > 0",
+        _gossip_ctes(2, True),
+    )
     B, all_pairs = "((SELECT n FROM n_rounds) + 1) // 2", "((SELECT count(*) FROM all_users) * ((SELECT count(*) FROM all_users) - 1) // 2)"
     o["gossip_cluster_counts"] = _with(
         f"SELECT 0 AS block, 0::BIGINT AS from_round, CAST({B} AS BIGINT) AS to_round, 1::BIGINT AS n_clusters, CAST({all_pairs} AS BIGINT) AS n_edges "

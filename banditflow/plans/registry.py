@@ -552,12 +552,14 @@ def q_lazy_cluster_policy(spark, sf):
     return r.decisions.where(F.col("stage") == "cluster").select("round_id", "user_id", "choice", "reward")
 
 
-def _gossip(spark, sf, n_shares: int = 1):
+def _gossip(spark, sf, n_shares: int = 1, as_written: bool = False):
     from banditflow.plans.gossip import gossip_replay
 
     log = _log(spark, sf)
     n = log.count()  # two blocks of ceil(N / 2) rounds with sharing steps between them
-    return gossip_replay(log, fx.replay_order(spark, sf), ReplayConfig(block_length=(n + 1) // 2, n_shares=n_shares), K, D)
+    return gossip_replay(log, fx.replay_order(spark, sf), ReplayConfig(
+        block_length=(n + 1) // 2, n_shares=n_shares, reset_t_per_block=as_written, as_written_share=as_written
+    ), K, D)
 
 
 def q_gossip_replay(spark, sf):
@@ -569,6 +571,11 @@ def q_gossip_two_shares(spark, sf):
     return _gossip(spark, sf, 2).decisions.select("round_id", "user_id", "block", "choice", "reward")
 
 
+def q_gossip_as_written(spark, sf):
+    """R3 with both as-written rules (Q9 to Q11): t restarts with a block, far partners' models are taken, all pairs met are cut."""
+    return _gossip(spark, sf, 2, as_written=True).decisions.select("round_id", "user_id", "block", "choice", "reward")
+
+
 def q_gossip_cluster_counts(spark, sf):
     """The comparator's cluster-count curve, with two sharing steps a block."""
     return _gossip(spark, sf, 2).cluster_counts
