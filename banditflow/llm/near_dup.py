@@ -4,9 +4,8 @@
 2. Chosen paths.  In each of ``trees`` trees a node picks one or two of the 256 minwise functions (by a
    hash of its path; two at every fourth root and at half of the crowded nodes below, so a pair at the
    threshold has 1.2 common children there on average) and hands every document down to the child named by its
-   minwise token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``, and on to
-   ``DEEPEST`` as long as a child has at most ``SHRINK`` of its parent.  What is then still large is mostly one
-   group of copies, and stays a leaf of any size.
+   minwise token.  A node of at most ``leaf`` documents is a leaf, larger ones branch again, to ``depth``;
+   what is then still large is mostly one group of copies, and the next step takes leaves of any size.
 3. Leaves are compared exhaustively, in two steps.  First every member with the leaf's smallest: one
    pair a row, never all pairs, so a group of thousands of copies stays linear.  Then the
    members that the links found so far have not yet joined:
@@ -19,8 +18,7 @@
 
 The trees share the 256 functions, so their misses are not independent.  Simulated with the code below, pairs
 of ideal minwise tokens that agree in each function with probability 0.8: none of 200,000
-was parted in all 12 trees at each of the depths 1 to 3, and none of 100,000 at depth 4.  Deeper nodes are
-reached only through children that lost two fifths of their parent or more: pairs below the threshold.
+was parted in all 12 trees at each of the depths 1 to 3, and none of 100,000 at depth 4.
 """
 
 from __future__ import annotations
@@ -38,8 +36,6 @@ from banditflow.operators.graph import edge_components
 from banditflow.session import materialize, release
 
 COORDS, SKETCHES, TREES, LEAF, DEPTH, MISS = 256, 256, 12, 128, 4, 1e-6
-#: Nodes below ``depth`` branch again down to DEEPEST while they have at most SHRINK of their parent's members.
-DEEPEST, SHRINK = 8, 0.6
 #: Documents of a crowd that a task holds, at most, and bytes of their sets; the others of the crowd stream by.
 HELD, HELD_BYTES = 1024, 64 << 20
 
@@ -113,38 +109,29 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             doc, n = b.column("doc").to_numpy(), b.column("n").to_numpy()
             i, path = _children(b.column("path").to_numpy().astype(np.int64).view(U64), _tokens(b.column("tokens")))
-            up = b.column("size").to_numpy()
-            yield pa.RecordBatch.from_arrays([path.view(np.int64), doc[i], n[i], up[i]], names=["path", "doc", "n", "up"])
+            yield pa.RecordBatch.from_arrays([path.view(np.int64), doc[i], n[i]], names=["path", "doc", "n"])
 
 
 def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """(path, doc, n, m, m_n, size): the members of every leaf with two or more, m being its smallest id; its tables."""
     kind = "path long, doc long, n long"
-    rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind).withColumn("up", F.lit(None).cast("long"))
+    rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind)
     out, tables = None, []
-    for level in range(1, DEEPEST + 1):
+    for level in range(1, depth + 1):
         rows = materialize(rows)
-        sizes = rows.groupBy("path").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("first"), F.first("up").alias("up")
-        )
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("first"))
         sizes = sizes.where(F.col("size") > 1).select(
-            "path", "size", F.col("first.doc").alias("m"), F.col("first.n").alias("m_n"), "up"
+            "path", "size", F.col("first.doc").alias("m"), F.col("first.n").alias("m_n")
         )
-        grown = materialize(rows.drop("up").join(sizes, "path"))
+        grown = materialize(rows.join(sizes, "path"))
         release(rows)
         tables.append(grown)
-        on = F.col("size") > leaf
-        if level >= depth:
-            on = on & (F.col("size") <= SHRINK * F.col("up")) if level < DEEPEST else F.lit(False)
-        on = F.coalesce(on, F.lit(False))
-        done = grown.where(~on).drop("up")
+        done = grown if level == depth else grown.where(F.col("size") <= leaf)
         out = done if out is None else out.unionAll(done)
-        large = grown.where(on)
-        if level == DEEPEST or large.isEmpty():
+        large = grown.where(F.col("size") > leaf)
+        if level == depth or large.isEmpty():
             break
-        # a child carries the size of its parent
-        go = large.select("path", "doc", "size").join(sig.select("doc", "n", "tokens"), "doc")
-        rows = go.mapInArrow(_branch, kind + ", up long")
+        rows = large.select("path", "doc").join(sig.select("doc", "n", "tokens"), "doc").mapInArrow(_branch, kind)
     return out, tables
 
 
@@ -262,7 +249,8 @@ def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int
     the block has labels.
 
     Leaves with common members form a crowd.  Its documents are dealt into blocks of at most ``HELD`` by
-    a hash; the block's documents are held by a task while all documents of the crowd stream by.
+    a hash; a task holds the documents of a block, compares them with each other and then with those of the later
+    blocks of the crowd, which stream by.
     """
     member = large.groupBy("path").agg(F.min("doc").alias("first")).join(large.select("path", "doc"), "path")
     crowd = edge_components(member.select("first", "doc").distinct(), "first", "doc").select(F.col("node").alias("doc"), F.col("label").alias("crowd"))
@@ -275,7 +263,8 @@ def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     cols = ["crowd", "block", "side", "doc", "n", "label", "sketch", "elements"]
     held = full.withColumn("block", own).withColumn("side", F.lit(0)).select(cols)
-    stream = full.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(cols)
+    earlier = F.when(own > 0, F.sequence(F.lit(0), own - 1))
+    stream = full.withColumn("block", F.explode(earlier)).withColumn("side", F.lit(1)).select(cols)
     dealt = held.unionAll(stream).repartition("crowd", "block").sortWithinPartitions("crowd", "block", "side")
 
     def rows_of(b: pa.RecordBatch, lo: int, hi: int) -> list:
@@ -289,7 +278,7 @@ def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int
             d, n, label, sk = (c[at : at + 32] for c in y[:4])
             mine, theirs = joined.roots(x[2]), joined.roots(label)
             low, high = np.minimum(x[1][:, None], n), np.maximum(x[1][:, None], n)
-            i, j = np.nonzero((mine[:, None] != theirs) & (x[0][:, None] < d) & (100 * low >= percent * high))
+            i, j = np.nonzero((mine[:, None] != theirs) & (100 * low >= percent * high))
             near = (x[3][i] == sk[j]).sum(1) >= sketch
             for p, q in zip(i[near].tolist(), j[near].tolist()):
                 a, b = joined.find(int(mine[p])), joined.find(int(theirs[q]))
@@ -312,10 +301,11 @@ def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int
                 if keys[lo, 2] == 1:
                     if x is not None:
                         meet(x, part, joined, out)
-                elif x is None:
-                    x = part
-                else:
-                    x = [*(np.concatenate(c) for c in zip(x[:4], part[:4])), x[4] + part[4]]
+                    continue
+                if x is not None:
+                    meet(x, part, joined, out)
+                meet(part, part, joined, out)
+                x = part if x is None else [*(np.concatenate(c) for c in zip(x[:4], part[:4])), x[4] + part[4]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
