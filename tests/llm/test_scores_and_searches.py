@@ -317,3 +317,31 @@ def test_benchmark_index_is_small_and_quick():
     words = decontaminate.words_of(items[500][1])
     hit, found = index.scan([b"other"] * 7 + words[100:130] + [b"w5", b"nothing"])
     assert found == {"i500"} and hit.tolist() == [False] * 7 + [True] * 30 + [False] * 2
+
+
+def test_shards_recomputed_from_their_hashes(spark):
+    """Weighted rendezvous scores of every key, with the 64-bit hash computed outside Spark."""
+    import math
+    import struct
+
+    import xxhash
+
+    def shard(key, weights):
+        best = (-1.0, 0)
+        for i, w in enumerate(weights):
+            if not w:
+                continue
+            seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), seed=seed)
+            u = ((h >> 11) + 0.5) / 2**53
+            score = w / -math.log(u)
+            if score > best[0]:
+                best = (score, i)
+        return best[1]
+
+    rows = [(k, "x") for k in [*range(-300, 3000), 2**62, -(2**63)]] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for weights in ([1.0] * 16, [3.0, 0.0, 1.0, 0.5]):
+        got = sharding.shard_documents(docs, weights).collect()
+        grown = [*weights, sum(weights) / len(weights)]
+        assert all((r.shard, r.grown_shard) == (shard(r.doc_id, weights), shard(r.doc_id, grown)) for r in got)

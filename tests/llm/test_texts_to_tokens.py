@@ -110,3 +110,42 @@ def test_sections_of_invalid_bytes(spark):
             assert rows[i].sections[-1].end == len(text.encode())
             assert rows[i].n_tokens == len(LIBRARY.encode(text, add_special_tokens=False).ids)
             assert abs(sum(s.tokens for s in rows[i].sections) - rows[i].n_tokens) < 1e-6
+
+
+def _small_vocabulary(rng, letters, n_merges):
+    """A random merge list over single bytes: each merge joins two tokens there are, and makes a new one."""
+    from types import SimpleNamespace
+
+    tokens = [bytes([b]) for b in range(256)]
+    known, merges = set(tokens), []
+    parts = [tokens[ord(c)] for c in letters]
+    while len(merges) < n_merges:
+        a, b = rng.choice(parts), rng.choice(parts)
+        if len(a + b) > 7 or a + b in known:
+            continue
+        merges.append((tokens.index(a), tokens.index(b), len(tokens)))
+        tokens.append(a + b)
+        known.add(a + b)
+        parts.append(a + b)
+    v = SimpleNamespace(
+        bytes=tokens, of_byte=list(range(256)), rank={(a, b): r for r, (a, b, _) in enumerate(merges)}, made=[c for *_, c in merges]
+    )
+    v.lookahead = bpe.sufficient_lookahead(merges, [len(t) for t in tokens])
+    return v
+
+
+def test_lookahead_suffices_for_every_short_string():
+    """Random merge lists: byte by byte, with the computed lookahead only, every string over two letters up to 11 bytes."""
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(25):
+        v = _small_vocabulary(rng, "ab", rng.randint(2, 9))
+        for n in range(1, 12):
+            for s in itertools.product(b"ab", repeat=n):
+                data = bytes(s)
+                run = bpe.RunEncoder(v, block=1)
+                run.block = v.lookahead + 1  # emit as early as the lookahead allows
+                got = [t for b in data for t in run.push(bytes([b]))] + run.finish()
+                assert got == bpe.merge_bytes(v, data), (data, v.rank, v.lookahead)
