@@ -16,7 +16,7 @@ def test_every_oracle_plans_in_duckdb():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("events", "embeddings"):
+    for t in ("events", "embeddings", "documents", "conversations", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in se.oracle_sql().items():
         con.execute("EXPLAIN " + sql)
