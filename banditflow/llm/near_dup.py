@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, window_hashes, word_hashes
 from banditflow.operators.graph import edge_components
-from banditflow.session import materialize, release
+from banditflow.session import materialize, materialize_counted, release
 
 COORDS, SKETCHES, TREES, LEAF, DEPTH, MISS = 256, 256, 12, 128, 4, 1e-6
 #: Documents of a crowd that a task holds, at most, and bytes of their sets; the others of the crowd stream by.
 HELD, HELD_BYTES = 1024, 64 << 20
+#: Ids (8 bytes each) that are broadcast to the texts to pick theirs.
+BROADCAST_IDS = 1_000_000
 
 _SEED = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEED[:SKETCHES], _SEED[SKETCHES:] | U64(1)
@@ -149,14 +151,21 @@ def _near(pairs: DataFrame, sig: DataFrame, sketch: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(doc, elements): full shingle sets of the documents ``docs`` (doc), as sorted 64-bit hashes."""
+def _sets(docs: DataFrame, body: DataFrame, n: int) -> DataFrame:
+    """(doc, elements), written: full shingle sets of the documents ``docs`` (doc), as sorted 64-bit hashes.
+
+    The ids go to the texts, which stay where they are, while there are at most ``BROADCAST_IDS`` of them.
+    """
 
     def start() -> Callable[[list], dict]:
         ids = WordIds()
         return lambda texts: {"elements": [shingle_set(t, n, ids).astype("<u8").tobytes() for t in texts]}
 
-    return map_texts(reps.join(docs, "doc", "left_semi"), start, [("elements", "binary")], keep=["doc"])
+    wanted, k = materialize_counted(docs.select("doc").distinct())
+    picked = body.join(F.broadcast(wanted) if k <= BROADCAST_IDS else wanted, "doc", "left_semi")
+    sets = materialize(map_texts(picked, start, [("elements", "binary")], keep=["doc"]))
+    release(wanted)
+    return sets
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -166,9 +175,9 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common) > 0
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, body: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+    ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +185,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFra
             ok = pa.array([_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
-    sets = materialize(_sets(ends, reps, n))
+    sets = _sets(ends, body, n)
     x = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
     out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -244,7 +253,7 @@ class _Joined:
         return labels if not self.up else np.array([self.find(int(x)) for x in labels], np.int64)
 
 
-def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int, percent: int, sketch: int) -> tuple[DataFrame, list[DataFrame]]:
+def _crowd_links(large: DataFrame, sig: DataFrame, body: DataFrame, n_words: int, percent: int, sketch: int) -> tuple[DataFrame, list[DataFrame]]:
     """Confirmed links between members of large leaves that are not yet joined; at most one less a block than
     the block has labels.
 
@@ -256,7 +265,7 @@ def _crowd_links(large: DataFrame, sig: DataFrame, reps: DataFrame, n_words: int
     crowd = edge_components(member.select("first", "doc").distinct(), "first", "doc").select(F.col("node").alias("doc"), F.col("label").alias("crowd"))
     docs = large.groupBy("doc").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(crowd, "doc")
     docs = materialize(docs.join(sig.select("doc", "sketch"), "doc"))
-    sets = materialize(_sets(docs.select("doc"), reps, n_words))
+    sets = _sets(docs, body, n_words)
     sizes = docs.groupBy("crowd").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
     blocks = F.greatest(F.ceil(F.col("size") / HELD), F.ceil(F.col("elements") * 8 / HELD_BYTES)).cast("int")
     full = docs.join(sizes.select("crowd", blocks.alias("blocks")), "crowd").join(sets, "doc")
@@ -355,7 +364,6 @@ def near_duplicates(
     )
     classes = materialize(classes)
     sig = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "tokens", "sketch")
-    reps = body.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
 
     # rows of one id are one node: the classes that an id's rows belong to are joined
     name = F.struct("n_shingles", "s1", "s2")
@@ -368,17 +376,17 @@ def near_duplicates(
     small, great = F.least("n", "m_n"), F.greatest("n", "m_n")
     first = leaves.where((F.col("m") != F.col("doc")) & (100 * small >= percent * great))
     first = materialize(_near(first.select(F.col("m").alias("a"), F.col("doc").alias("b")).distinct(), sig, sketch))
-    links = _confirm(first, reps, n_words, percent).unionAll(same_id)
+    links = _confirm(first, body, n_words, percent).unionAll(same_id)
     labels = edge_components(links, "a", "b")
     mixed = materialize(_mixed(leaves, labels))
     large = mixed.where(F.col("size") > leaf)
     if not large.isEmpty():
-        found, used = _crowd_links(large, sig, reps, n_words, percent, sketch)
+        found, used = _crowd_links(large, sig, body, n_words, percent, sketch)
         links = links.unionAll(found)
         tables += used
     rest = materialize(_pairs(mixed.where(F.col("size") <= leaf), sig, percent, sketch).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionAll(_confirm(rest, reps, n_words, percent))
+        links = links.unionAll(_confirm(rest, body, n_words, percent))
     labels = edge_components(links, "a", "b")
     release(first, rest, mixed, *tables)
     rep_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
