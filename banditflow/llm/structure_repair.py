@@ -353,14 +353,14 @@ def _events(batches: Iterator[pa.RecordBatch]):
         what, convs = col["_what"].to_pylist(), col["_c"].to_pylist()
         turns, roles, texts = col["_t"].to_pylist(), col["_role"].to_pylist(), col["_text"].to_pylist()
         for i, kind in enumerate(what):
-            if kind == 0:
+            if one is None or kind == 0 or convs[i] != one.conv:
                 if one is not None:
                     yield from ((one, e) for e in one.end())
                     yield one, None
                 one = _Conversation(convs[i])
-            elif kind == 1:
+            if kind == 1:
                 one.header(*(col[n][i].as_py() for n in ("_symbols", "_counts", "_faults", "_end")))
-            else:
+            elif kind == 2:
                 yield from ((one, e) for e in one.row(turns[i], roles[i], texts[i]))
     if one is not None:
         yield from ((one, e) for e in one.end())
@@ -422,7 +422,7 @@ def repaired_turns(
 def repair_summary(
     df: DataFrame, ids: DataFrame | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """One row a conversation of ``ids`` (default: of ``df``) on the repair of ``repaired_turns``:
+    """One row a conversation of ``ids`` and ``df`` on the repair of ``repaired_turns``:
 
     gaps (turn numbers missing between the least and the greatest), blank, duplicate, truncated (rows by
     their first fault), illegal (neighbouring role initials other than su, ua, au), cost, audit (the edit

@@ -120,6 +120,8 @@ def test_nulls_ties_repeats_empty_and_other_columns(spark):
     assert tuple(got[2])[1:] == summary([(1, "user", " "), (2, " ", "Hi.")])
     none = df.where("false")
     assert R.repair_summary(none).count() == 0 and R.repaired_turns(none).count() == 0
+    some = R.repair_summary(df, df.where("conv_id = 2")).collect()  # conversations that ids leave out come, too
+    assert sorted(map(tuple, some), key=str) == sorted((tuple(r) for r in got.values()), key=str)
     alone = R.repair_summary(none, df).collect()
     assert len(alone) == 3 and all(tuple(r)[1:] == summary([]) for r in alone)
 
