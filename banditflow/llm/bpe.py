@@ -231,7 +231,10 @@ class Encoder(dict):
     A text is cut at ``_CUT``; the split pattern always begins a pre-token there.
     """
 
-    def __init__(self, v: Vocabulary, memo: int = 400_000):
+    #: Stretches a generation of the memo may hold: two of them take some 60 MB, and stay with the worker.
+    MEMO = 150_000
+
+    def __init__(self, v: Vocabulary, memo: int = MEMO):
         import regex
 
         super().__init__()
