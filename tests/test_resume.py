@@ -117,3 +117,21 @@ def test_the_lazy_block_moves_its_payload_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 1, plan
+
+
+def test_spans_do_not_grow_with_the_distance_of_numbers(spark):
+    """Chunks of numbers millions apart, and of a burst beside them: a few buckets a chunk, not one in each quarter limit."""
+    rows = [(k, i * 3_000_017 + k) for k in range(5) for i in range(67)] + [(7, i) for i in range(300)] + [(7, 10**12 + i * 10**9) for i in range(90)]
+    rows += [(8, 5)] * 25 + [(8, 9 + i) for i in range(30)] + [(9, None), (None, 4)]
+    df = spark.createDataFrame(rows, "k long, o long")
+    numbers = chunk_numbers(df, "k", "o", 20)
+    chunks = sum(r.n_chunks for r in numbers.chunks.collect())
+    assert numbers.spans.count() <= 5 * chunks
+    got = split_hot(df, "k", "o", 20).collect()
+    assert len(got) == len(rows)
+    for k in (*range(5), 7):
+        ordered = sorted(r.o for r in got if r.k == k)
+        assert {r.o: r.chunk for r in got if r.k == k} == {o: i // 20 for i, o in enumerate(ordered)}
+    # equal numbers stay together, in the last chunk that starts with them
+    assert {r.chunk for r in got if r.k == 8 and r.o == 5} == {1}
+    assert {r.chunk for r in got if r.k is None or r.k == 9} == {0}
