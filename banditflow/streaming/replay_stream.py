@@ -3,7 +3,7 @@
 Rounds arrive in any order and in any micro-batches.  ``foreachBatch`` puts a micro-batch into an inbox,
 partitioned by block; a block whose rounds are all there is played with the batch replay's own block step
 (``plans.two_stage.play_block``: users in lockstep, graph refresh, cluster fold), starting from the state the
-block before left.  The user state is in tables and not in a stateful operator, because the cluster
+block before left.  Without clusters, blocks that became whole with the same micro-batch are played by one fold.  The user state is in tables and not in a stateful operator, because the cluster
 fold of a block updates the same state after the graph was refreshed.
 
 Restart: the query's checkpoint replays an unfinished micro-batch under the same id, its inbox folder is
@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from banditflow.config import ReplayConfig
 from banditflow.operators import state as S
 from banditflow.plans.blocks import BlockTables
-from banditflow.plans.two_stage import ReplayResult, play_block, replayed, state_after
+from banditflow.plans.two_stage import ReplayResult, play_block, play_user_blocks, replayed, state_after
 from banditflow.session import ensure_checkpoint_dir
 
 COLUMNS = ("round_id", "user_id", "arms")
@@ -55,33 +55,61 @@ class ReplayStream:
         batch.withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(f"{self.folder}/inbox/batch={batch_id}")
         self._play_ready()
 
-    def _block(self, blk: int) -> DataFrame | None:
-        fs, where = self.tables._at(f"{self.folder}/inbox/batch=*/block={blk}")
+    def _inbox(self) -> DataFrame | None:
+        """Rounds that arrived and are not played, of all blocks."""
+        fs, where = self.tables._at(f"{self.folder}/inbox/batch=*/block=*")
         if not fs.globStatus(where):
             return None
-        return self.spark.read.parquet(f"{self.folder}/inbox/batch=*/block={blk}")
+        kept = self.spark.read.option("basePath", f"{self.folder}/inbox").parquet(f"{self.folder}/inbox/batch=*")
+        return kept.where(F.col("block") > self.tables.finished())
+
+    def _whole(self, inbox: DataFrame, n_rounds: int | None) -> dict[int, bool]:
+        """The blocks from the next one on that are whole, in order, and whether a round came twice; one pass over narrow columns."""
+        length, blk = self.cfg.iteration_length, self.tables.finished() + 1
+        sizes = inbox.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("round_id").alias("there"))
+        sizes = {r.block: (r.rows, r.there) for r in sizes.collect()}
+        whole = {}
+        while blk in sizes and (n_rounds is None or blk * length < n_rounds):
+            rows, there = sizes[blk]
+            if there < self._end(blk, n_rounds) - blk * length:
+                break
+            whole[blk] = rows > there
+            blk += 1
+        return whole
+
+    def _end(self, blk: int, n_rounds: int | None) -> int:
+        end = (blk + 1) * self.cfg.iteration_length
+        return end if n_rounds is None else min(end, n_rounds)
 
     def _play_ready(self, n_rounds: int | None = None) -> None:
-        """Play blocks as long as the next one is whole (``n_rounds``: the stream has ended after so many)."""
-        length = self.cfg.iteration_length
-        while n_rounds is None or (self.tables.finished() + 1) * length < n_rounds:
-            blk = self.tables.finished() + 1
-            rounds = self._block(blk)
-            if rounds is None:
-                return
-            t1, t2 = blk * length, (blk + 1) * length if n_rounds is None else min((blk + 1) * length, n_rounds)
-            rows, there = rounds.agg(F.count(F.lit(1)), F.count_distinct("round_id")).first()
-            if there < t2 - t1:
-                return
-            self._play(blk, t1, t2, rounds.dropDuplicates(["round_id"]) if rows > there else rounds)
-
-    def _play(self, blk: int, t1: int, t2: int, rounds: DataFrame) -> None:
+        """Play the blocks that are whole, from the next one on (``n_rounds``: the stream has ended after so many).
+
+        Without clusters nothing happens between two blocks, so those that became whole together are played by one
+        fold; with clusters block by block.
+        """
+        inbox = self._inbox()
+        whole = {} if inbox is None else self._whole(inbox, n_rounds)
+        if not whole:
+            return
+        runs = [[blk] for blk in whole] if self.clusters else [list(whole)]
+        for run in runs:
+            rounds = inbox.where(F.col("block").between(run[0], run[-1])).drop("block", "batch")
+            if any(whole[blk] for blk in run):
+                rounds = rounds.dropDuplicates(["round_id"])
+            self._play(run[0], run[-1], rounds, n_rounds)
+
+    def _play(self, blk: int, last: int, rounds: DataFrame, n_rounds: int | None) -> None:
+        """Blocks ``blk`` to ``last``; more than one only without clusters."""
+        t1, t2 = blk * self.cfg.iteration_length, self._end(last, n_rounds)
         state = state_after(self.tables, blk - 1, self.cfg, self.k, self.d) if blk else self.tables.load("users")
-        mid = t2 if not self.clusters else min(t1 + self.cfg.user_rounds, t2)
+        if not self.clusters:
+            play_user_blocks(self.tables, blk, last, state, rounds, self.cfg, self.k, self.d)
+            return
+        mid = min(t1 + self.cfg.user_rounds, t2)
         first, second = rounds.where(F.col("round_id") < mid), rounds.where(F.col("round_id") >= mid)
         play_block(
             self.tables, blk, t1, t2, state, first if mid > t1 else None, second if t2 > mid else None,
-            self.cfg, self.k, self.d, clusters=self.clusters,
+            self.cfg, self.k, self.d,
         )
 
     # result ------------------------------------------------------------------

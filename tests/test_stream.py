@@ -72,3 +72,26 @@ def test_stream_in_any_order_with_a_restart_equals_batch(spark, tmp_path, monkey
     with pytest.raises(ValueError, match="missing"):
         again.finish(1300)
     assert _rows(again.finish(1000)) == _rows(batch)
+
+
+def test_blocks_that_become_whole_together_are_one_fold(spark, tmp_path, monkeypatch):
+    """Twenty blocks in four micro-batches, some rounds twice: a fold a micro-batch at most, a manifest row a block."""
+    log = fx.bandit_log(spark, SF001)
+    log = log.unionByName(log.where("round_id % 97 = 3"))
+    folds, keep = [], RS.BlockTables.write
+
+    def write(self, name, *rest):
+        folds.extend([name] if name == "user" else [])
+        return keep(self, name, *rest)
+
+    monkeypatch.setattr(RS.BlockTables, "write", write)
+    cfg = ReplayConfig(iteration_length=50)
+    got = RS.run_stream(spark, log, cfg, fx.K, fx.D, clusters=False, files=4, files_a_batch=1, folder=str(tmp_path))
+    assert 1 <= len(folds) <= 5
+    batch = run_fold(fx.bandit_log(spark, SF001), None, UserUCB(fx.D, fx.K, 0.03)).decisions
+    want = {r.round_id: (r.choice, r.reward) for r in batch.collect()}
+    rows = got.decisions.collect()
+    assert len(rows) == 1000 and {r.round_id: (r.choice, r.reward) for r in rows} == want
+    assert all(r.block == r.round_id // 50 and r.stage == "user" for r in rows)
+    totals = {b: sum(want[i][1] for i in range(50 * b, 50 * b + 50)) for b in range(20)}
+    assert {r.block: (r.rounds, r.reward) for r in got.tables.manifest().collect()} == {b: (50, t) for b, t in totals.items()}
