@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from banditflow.functions import linalg as L
 from banditflow.functions.draws import mixed
-from banditflow.operators.graph import degree
+from banditflow.operators.graph import degree, small_side
 from banditflow.operators.ordering import global_index
 
 
@@ -29,7 +29,7 @@ def partner_pairs(users: DataFrame, seed: int = 0) -> DataFrame:
 def cut_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Remove the (unordered) pairs from the edge set."""
     p = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return edges.select("src", "dst").join(p, ["src", "dst"], "left_anti")
+    return edges.select("src", "dst").join(small_side(p), ["src", "dst"], "left_anti")
 
 
 def _avg_buf(a, b):

@@ -132,3 +132,41 @@ def test_complement_of_dense_cuts(spark):
     cuts = [(i, j) for i in range(n) for j in range(i + 1, n) if (i, j) not in path]
     got = G.complement_components(users, spark.createDataFrame(cuts, "src long, dst long")).collect()
     assert {r.cluster_id for r in got} == {0}
+
+
+def test_only_edges_leave_the_similarity_test(spark):
+    """Pairs are tested inside tasks: no join makes a row a candidate pair, and a hot cell is held in chunks."""
+    rng = np.random.default_rng(9)
+    n = 300
+    th = np.concatenate([rng.normal(scale=0.01, size=(n // 2, 4)), rng.normal(scale=0.5, size=(n // 2, 4))])
+    t = rng.integers(0, 2000, n)
+    rows = [(i, th[i].tolist(), int(t[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, theta array<double>, t long")
+    edges = G.similar_users(df, 0.2, 4)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "theta_s" not in plan and "MapInArrow" in plan
+    held, G.HELD = G.HELD, 16
+    try:
+        chunked = sorted(map(tuple, G.similar_users(df, 0.2, 4).collect()))
+    finally:
+        G.HELD = held
+    want = [(a, b) for a, b in itertools.combinations(range(n), 2) if np.linalg.norm(th[a] - th[b]) <= bf.cb(t[a], t[b], 0.2)]
+    assert sorted(map(tuple, edges.collect())) == chunked == want
+    ends = [e for pair in want for e in pair]
+    assert {r.user_id: r.degree for r in G.degree(df, edges).collect()} == {i: ends.count(i) for i in range(n)}
+
+
+def test_clusters_do_not_list_the_edges(spark, monkeypatch):
+    """Components come from spanning links, at most one a user, and equal those of all edges; a user without id has none."""
+    from banditflow.operators.user_graph import similar_links
+
+    theta = Q.ridge_vec(spark, SF01, 0)
+    lost = theta.limit(1).select(F.lit(None).cast("long").alias("user_id"), "theta", "t")
+    links = similar_links(theta.unionByName(lost), Q.GRAPH_ALPHA2, 4)
+    users = theta.select("user_id")
+    edges = G.similar_users(theta, Q.GRAPH_ALPHA2, 4)
+    assert links.count() < users.count() < edges.count()
+    want = bf.components([r.user_id for r in users.collect()], [(r.src, r.dst) for r in edges.collect()])
+    monkeypatch.setattr(Q.G, "similar_users", None)
+    got = {r.user_id: r.cluster_id for r in Q.q_user_clusters(spark, SF01).collect()}
+    assert got == want == {r.user_id: r.cluster_id for r in G.connected_components(users, links).collect()}
