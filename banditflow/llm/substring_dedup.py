@@ -39,8 +39,9 @@ from banditflow.llm.texts import U64, mix64, row_key
 from banditflow.session import materialize
 
 LENGTH, GRAM = 100, 32
-_CHUNK = 1 << 20  # bytes hashed at once
-_SHARE = 1 << 23  # bytes of texts settled at once
+_CHUNK = 1 << 18  # bytes hashed at once
+_SHARE = 1 << 21  # bytes of texts taken out of a batch at once
+_ROWS = 1 << 16  # rows settled at once, and those of one chunk more
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 #: One row a name: trigger g, content c, document (k, h), and place = lo << 16 | (anchor - lo) << 8 |
@@ -167,11 +168,23 @@ def _windows(texts: list[bytes], open_: list[np.ndarray], length: int) -> Iterat
 
 
 def _settle(parts: Iterator[tuple[np.ndarray, ...]], k: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One open row for each name; what repeats an earlier row of the batch is settled, neighbours as one."""
-    got = list(parts)
-    if not got:
-        return
+    """``_settled`` rows of about ``_ROWS`` parts at a time, so that what is held does not grow with the texts."""
+    got, n = [], 0
+    for part in parts:
+        got.append(part)
+        n += len(part[0])
+        if n >= _ROWS:
+            yield from _settled(got, k, h)
+            n = 0
+    if got:
+        yield from _settled(got, k, h)
+
+
+def _settled(got: list[tuple[np.ndarray, ...]], k: np.ndarray, h: np.ndarray) -> list[pa.RecordBatch]:
+    """One open row for each name; what repeats an earlier row of ``got`` is settled, neighbours as one.  Empties ``got``."""
+    out = []
     text, lo, hi, anchor, g, c = (np.concatenate(p) for p in zip(*got))
+    got.clear()
     text = text.astype(np.int64)
     kk, hh = k[text], h[text]
     name = mix64(g ^ mix64(c.copy()))
@@ -190,10 +203,11 @@ def _settle(parts: Iterator[tuple[np.ndarray, ...]], k: np.ndarray, h: np.ndarra
         z = o[np.append(a[1:], len(o)) - 1]
         a = o[a]
         deal = mix64(kk[a].astype(np.uint64) ^ mix64(hh[a].astype(np.uint64))).view(np.int64)
-        yield _batch(deal, hi[z], kk[a], hh[a], lo[a] << 16 | 1)
+        out.append(_batch(deal, hi[z], kk[a], hh[a], lo[a] << 16 | 1))
     i = np.flatnonzero(~dup)
     place = lo[i] << 16 | (anchor[i] - lo[i]) << 8 | (hi[i] - lo[i]) << 1
-    yield _batch(g[i].view(np.int64), c[i].view(np.int64), kk[i], hh[i], place)
+    out.append(_batch(g[i].view(np.int64), c[i].view(np.int64), kk[i], hh[i], place))
+    return out
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
