@@ -244,22 +244,26 @@ def _columns(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _company(texts: list[np.ndarray], column: np.ndarray, window: int = 1 << 19) -> np.ndarray:
-    """How often each subword of the texts stands 1, 2, 3, 5 or 8 places from each of the commonest ones (cells, flat)."""
+def _company(
+    texts: list[np.ndarray], column: np.ndarray, window: int = 1 << 17, total: np.ndarray | None = None
+) -> np.ndarray:
+    """How often each subword of the texts stands 1, 2, 3, 5 or 8 places from each of the commonest ones (cells, flat).
+
+    Counts are added to ``total``, when given, in place; beside it only the pairs of one window and distance are held.
+    """
     size = len(column) - 1
     gap = np.full(8, size)
     flat = np.concatenate([x for t in texts for x in (t, gap)])
-    total = np.zeros(size * COMPANY, np.int64)
+    if total is None:
+        total = np.zeros(size * COMPANY, np.int64)
     for lo in range(0, len(flat), window):
         own = flat[lo : lo + window + 8]
         of, n = column[own], min(window, len(own))
-        cells = []
         for d in (1, 2, 3, 5, 8):
             e = min(n, len(own) - d)  # the pairs that begin in this window
             for i, j in ((0, d), (d, 0)):
                 at = np.flatnonzero((of[j : j + e] >= 0) & (own[i : i + e] < size))
-                cells.append(own[i : i + e][at] * COMPANY + of[j : j + e][at])
-        total += np.bincount(np.concatenate(cells), minlength=len(total))
+                np.add.at(total, own[i : i + e][at] * COMPANY + of[j : j + e][at], 1)
     return total
 
 
@@ -423,7 +427,6 @@ def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = loaded(vocabulary)
         total = np.zeros(size * COMPANY, np.int64)
-        waiting: list[np.ndarray] = []
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -437,18 +440,13 @@ def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
                 deal = pa.array(np.concatenate(deal).view(np.int64)) if deal else pa.array([], pa.int64())
                 none = pa.nulls(len(ids), pa.int64())
                 yield pa.RecordBatch.from_arrays([deal, pa.array(ids, pa.binary()), none, none], names=names)
-                waiting += texts
-                if sum(map(len, waiting)) >= 1 << 19:
-                    total += _company(waiting, column)
-                    waiting = []
-        if waiting:
-            total += _company(waiting, column)
-        cells = np.flatnonzero(total)
-        for lo in range(0, len(cells), 100_000):
-            at = cells[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(total[at])], names=names
-            )
+                _company(texts, column, total=total)
+        for lo in range(0, len(total), 100_000):
+            at = lo + np.flatnonzero(total[lo : lo + 100_000])
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(total[at])], names=names
+                )
 
     body = docs.select(*row_key(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
     return body.mapInArrow(run, "deal long, ids binary, cell long, n long")
@@ -510,7 +508,6 @@ def _mix(docs: DataFrame, words: DataFrame, m: Model, counts: dict, vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value
-        known = _Counts(known)
         _, code = loaded(vocabulary)
         total: Counter = Counter()
         for b in batches:
@@ -580,7 +577,7 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
         kept, least = kept + r.k, r.s
     common = words.where(F.floor(F.log2("n") * 8) >= F.lit(least)) if least is not None else words.limit(0)
     table = common.toArrow()
-    counts = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+    counts = _Counts(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))  # as the tasks read it: no copy there
 
     of_subword = count_subwords(words, vocabulary, size)
     of_subword[-1] = counts.get(END, 0)
@@ -602,7 +599,6 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
-        known = _Counts(known)
         _, code = loaded(vocabulary)
         for b in batches:
             for lo in range(0, b.num_rows, 256):

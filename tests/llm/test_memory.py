@@ -51,3 +51,17 @@ def test_every_name_stays_open_whatever_is_settled_at_once(monkeypatch):
     whole = first_names()
     monkeypatch.setattr(substring_dedup, "_ROWS", 1)
     assert first_names() == whole
+
+
+def test_company_holds_one_table_and_a_window():
+    rng = np.random.default_rng(5)
+    size = 20_000
+    text = rng.integers(0, size, 1 << 20)
+    column = lm._columns(np.arange(size, 0, -1, dtype=float))
+    column[:size] = np.arange(size) % lm.COMPANY  # every subword has company
+    total, mb = _peak(lambda: lm._company([text], column))
+    assert total.sum() == 2 * sum(len(text) - d for d in (1, 2, 3, 5, 8))
+    assert mb < total.nbytes / 1e6 + 40
+    again = np.ones_like(total)
+    assert lm._company([text], column, total=again) is again
+    assert (again == total + 1).all()
