@@ -159,3 +159,18 @@ def test_replay_clusters_equal_all_pairs(spark):
     assert n == [(r.block, r.n_clusters) for r in listed.cluster_counts.orderBy("block").collect()]
     by_edges = G.connected_components(log.select("user_id").distinct(), listed.edges)
     assert sorted(map(tuple, by_edges.collect())) == sorted(map(tuple, free.clusters.collect()))
+
+
+def test_a_dense_area_of_many_cells_does_not_meet_itself(spark, monkeypatch):
+    """Users spread evenly over many cells, and a few at their rim: rows sent to the comparison grow with the few."""
+    rng = np.random.default_rng(8)
+    n = 600
+    th = np.concatenate((rng.random((n - 3, 2)), [[1.9, 0.5], [2.1, 0.5], [0.5, -0.9]]))
+    t = np.append(np.full(n - 3, 50), [200, 200, 300])
+    met = []
+    compare = U._compare
+    monkeypatch.setattr(U, "SMALL", 0)
+    monkeypatch.setattr(U, "HELD", 32)
+    monkeypatch.setattr(U, "_compare", lambda df, *a: met.append(df.count()) or compare(df, *a))
+    _same(U.refresh(None, _table(spark, th, t), 0.7, 2), n, _edges(th, t, 0.7))
+    assert len(met) == 1 and met[0] < 2 * n
