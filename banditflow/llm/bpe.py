@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banditflow.llm.texts import map_texts
+from banditflow.llm.texts import kept, map_texts
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,6 +76,7 @@ class Vocabulary:
             self.bytes[i] = t
         for t, i in self.specials.items():
             self.bytes[i] = t.encode()
+        self.sizes = np.array([len(t) for t in self.bytes], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.merges: list[tuple[int, int, int]] = []
         for a, b in pairs:
@@ -334,15 +335,14 @@ def decode_ids(v: Vocabulary, ids: bytes, block: int = 1 << 16) -> str:
     return "".join(out) + machine.decode(b"", True)
 
 
-_LOADED: dict[str, tuple[Vocabulary, Encoder]] = {}
-
-
 def loaded(path: str) -> tuple[Vocabulary, Encoder]:
-    """One vocabulary and memo for each Python worker."""
-    if path not in _LOADED:
+    """One vocabulary and memo for each Python worker, as long as its tasks ask for them."""
+
+    def load() -> tuple[Vocabulary, Encoder]:
         v = Vocabulary(path)
-        _LOADED[path] = (v, Encoder(v))
-    return _LOADED[path]
+        return v, Encoder(v)
+
+    return kept(("bpe", path), load)
 
 
 def encode_texts(

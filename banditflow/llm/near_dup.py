@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, window_hashes, word_hashes
+from banditflow.llm.texts import LOWER, U64, WordIds, map_texts, mix64, slices, tidied, window_hashes, word_hashes
 from banditflow.operators.graph import edge_components
 from banditflow.session import materialize, materialize_counted, release
 
@@ -117,7 +117,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """(path, doc, n, m, m_n, size): the members of every leaf with two or more, m being its smallest id; its tables."""
     kind = "path long, doc long, n long"
-    rows = sig.select("doc", "n", "tokens").mapInArrow(_roots(trees), kind)
+    rows = sig.select("doc", "n", "tokens").mapInArrow(tidied(_roots(trees)), kind)
     out, tables = None, []
     for level in range(1, depth + 1):
         rows = materialize(rows)
@@ -133,7 +133,7 @@ def _leaves(sig: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFram
         large = grown.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             break
-        rows = large.select("path", "doc").join(sig.select("doc", "n", "tokens"), "doc").mapInArrow(_branch, kind)
+        rows = large.select("path", "doc").join(sig.select("doc", "n", "tokens"), "doc").mapInArrow(tidied(_branch), kind)
     return out, tables
 
 
@@ -141,14 +141,14 @@ def _near(pairs: DataFrame, sig: DataFrame, sketch: int) -> DataFrame:
     """The pairs (a, b) whose sketches do not rule the threshold out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCHES) for c in ("x", "y"))
             ok = (x == y).sum(1) >= sketch
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     x = sig.select(F.col("doc").alias("a"), F.col("sketch").alias("x"))
     y = sig.select(F.col("doc").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, body: DataFrame, n: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _confirm(pairs: DataFrame, body: DataFrame, n: int, percent: int) -> DataFra
     ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             both = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
             ok = pa.array([_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
@@ -188,7 +188,7 @@ def _confirm(pairs: DataFrame, body: DataFrame, n: int, percent: int) -> DataFra
     sets = _sets(ends, body, n)
     x = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long"))
     release(sets)
     return out
 
@@ -234,7 +234,7 @@ def _pairs(small: DataFrame, sig: DataFrame, percent: int, sketch: int) -> DataF
         if open_ is not None:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(*open_[1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 class _Joined:
@@ -318,7 +318,7 @@ def _crowd_links(large: DataFrame, sig: DataFrame, body: DataFrame, n_words: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return materialize(dealt.mapInArrow(run, "a long, b long")), [docs, sets]
+    return materialize(dealt.mapInArrow(tidied(run), "a long, b long")), [docs, sets]
 
 
 def near_duplicates(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,51 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 U64 = np.uint64
 
+#: Rows of a batch that are worked on at once.
+ROWS = 1024
+
+_KEPT: dict[Hashable, object] = {}
+_USED: set[Hashable] = set()
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """``make()``, which this process keeps until a task ends that did not ask for it."""
+    _USED.add(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidy() -> None:
+    """At the end of a task: what it did not ask for, and free memory, go back.
+
+    Spark's Python workers live on between tasks and operators; what one of them keeps counts for all that follow.
+    """
+    for key in _KEPT.keys() - _USED:
+        del _KEPT[key]
+    _USED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # the C library keeps freed blocks otherwise
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with ``tidy`` after its last batch."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows."""
+    return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
+
 
 def map_texts(
     df: DataFrame,
@@ -31,10 +78,10 @@ def map_texts(
     replaced by it.
     """
     new = [name for name, _ in fields]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    carried = [c for c in (df.columns if keep is None else keep) if c not in new]
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType(
-        [T.StructField(c, types[c]) for c in kept]
+        [T.StructField(c, types[c]) for c in carried]
         + [T.StructField(c, T._parse_datatype_string(kind)) for c, kind in fields]
     )
     from pyspark.sql.pandas.types import to_arrow_type
@@ -42,20 +89,21 @@ def map_texts(
     arrow = [to_arrow_type(schema[c].dataType) for c in new]
     # the text travels as bytes under a name no column has
     body = "__text_bytes__"
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(body))
+    src = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("binary").alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            if work is None:
-                work = fn()
-            texts = [x if x is not None else b"" for x in batch.column(body).to_pylist()]
-            got = work(texts)
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns += [c if isinstance(c := got[n], pa.Array) else pa.array(c, kind) for n, kind in zip(new, arrow)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
-
-    return src.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole):
+                if work is None:
+                    work = fn()
+                texts = [x if x is not None else b"" for x in batch.column(body).to_pylist()]
+                got = work(texts)
+                columns = [batch.column(i) for i in range(len(carried))]
+                columns += [c if isinstance(c := got[n], pa.Array) else pa.array(c, kind) for n, kind in zip(new, arrow)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carried, *new])
+
+    return src.mapInArrow(tidied(run), schema)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:

@@ -24,13 +24,7 @@ RULES = ("most", "first", "share")
 
 def token_ends(v: Vocabulary, ids: bytes) -> np.ndarray:
     """End of each token, in bytes of the text."""
-    sizes = _SIZES.get(id(v))
-    if sizes is None:
-        sizes = _SIZES[id(v)] = np.array([len(t) for t in v.bytes], np.int64)
-    return np.cumsum(sizes[np.frombuffer(ids, "<u4")])
-
-
-_SIZES: dict[int, np.ndarray] = {}
+    return np.cumsum(v.sizes[np.frombuffer(ids, "<u4")])
 
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from banditflow.llm import lm, substring_dedup
+from banditflow.llm import lm, substring_dedup, texts
 
 
 def _peak(run) -> tuple[object, float]:
@@ -65,3 +65,32 @@ def test_company_holds_one_table_and_a_window():
     again = np.ones_like(total)
     assert lm._company([text], column, total=again) is again
     assert (again == total + 1).all()
+
+
+def test_a_worker_keeps_only_what_its_last_task_asked_for(monkeypatch):
+    monkeypatch.setattr(texts, "_KEPT", {})
+    monkeypatch.setattr(texts, "_USED", set())
+
+    def task(batches):
+        for b in batches:
+            texts.kept("memo", object)
+            yield b
+
+    assert list(texts.tidied(task)([1, 2])) == [1, 2]
+    first = texts._KEPT["memo"]
+    list(texts.tidied(task)([1]))
+    assert texts._KEPT == {"memo": first}  # the next task of the operator finds it
+    list(texts.tidied(iter)([1]))  # a task of another operator
+    assert not texts._KEPT
+
+
+def test_large_batches_are_worked_on_in_parts(spark):
+    n = 2 * texts.ROWS + 7
+
+    def start():
+        return lambda got: {"k": [len(got)] * len(got)}
+
+    df = spark.range(n).coalesce(1).selectExpr("id", "if(id % 5 = 0, null, string(id)) as text")
+    rows = texts.map_texts(df, start, [("k", "bigint")]).collect()
+    assert sorted(r.id for r in rows) == list(range(n))
+    assert max(r.k for r in rows) <= texts.ROWS
