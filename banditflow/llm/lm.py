@@ -32,11 +32,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banditflow.llm.bpe import Encoder, loaded
-from banditflow.llm.texts import LOWER, U64, mix64, row_key
+from banditflow.llm.texts import LOWER, U64, mix64, row_key, slices
 from banditflow.session import materialize, release
 
 BLOCK, STARTS, INNERS, WIDTH = 16, 24, 24, 16
@@ -52,11 +53,47 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _strings(text: bytes) -> list[str]:
-    """The words of a text as strings (decoded in one go; no word holds a line end)."""
+    """The words of a text as strings (decoded in one go; no word holds a line end); ``_parsed`` finds the same."""
     words = words_of(text)
     return b"\n".join(words).decode("utf-8", "replace").split("\n") if words else []
 
 
+@dataclass
+class _Parsed:
+    """Words and subwords of several texts, joined; each text's end is a word and a subword."""
+
+    words: list[str]  # the distinct words, END last
+    word: np.ndarray  # number of each word of the texts
+    n_words: np.ndarray  # of each text
+    ids: np.ndarray  # the subwords of the texts
+    lens: np.ndarray  # number of each word's subwords
+
+    @property
+    def first(self) -> np.ndarray:  # of each text, among the words
+        return np.cumsum(self.n_words) - self.n_words
+
+    @property
+    def sizes(self) -> np.ndarray:  # subwords of each text
+        return np.add.reduceat(self.lens, self.first)
+
+
+def _parsed(encode: Encoder, texts: list[bytes], end: int) -> _Parsed:
+    """The texts' words and subwords; each distinct word is encoded once, ``end`` is the id of the end."""
+    low = pa.array([t.translate(LOWER).decode("utf-8", "replace") for t in texts], pa.string())
+    split = pc.ascii_split_whitespace(low)
+    flat, edges = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at the edges of a text gives empty ones
+    found = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+    words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    at = np.concatenate(([0], np.cumsum(real)))[edges]  # each text's first word
+    word = np.insert(found.indices.to_numpy().astype(np.int64), at[1:], len(words))
+    codes, size = _encoded(encode, words)
+    codes, size = np.append(codes, end), np.append(size, 1)
+    lens = size[word]
+    begin = (np.cumsum(size) - size)[word] - (np.cumsum(lens) - lens)
+    return _Parsed([*words, END], word, np.diff(at) + 1, codes[np.repeat(begin, lens) + np.arange(lens.sum())], lens)
+
+
 class _Counts(dict):
     """word -> count, 0 for any other word."""
 
@@ -151,80 +188,78 @@ _SEEN = _REACH >= 0
 
 
 def _tables(m: Model) -> tuple[np.ndarray, ...]:
-    """The attention's factors, exponentiated while they are small tables; values, rest, out and bias in single precision."""
+    """The attention's factors, exponentiated while they are small tables, in single precision: by content, by
+    distance, values with a column of ones (which sums the weights), rest, out, bias; and the rows of classes as unit vectors."""
     weight = np.exp((m.query @ m.key.T).astype(np.float32))
     weight[:, m.blank] = 0.0
     weight[m.blank, m.blank] = 1e-9
     near = np.where(_SEEN, np.exp(m.near)[np.maximum(_REACH, 0)], 0).astype(np.float32)
-    return weight, near, *(x.astype(np.float32) for x in (m.value, m.rest, m.out, m.bias))
+    value = np.concatenate((m.value, np.ones((len(m.value), 1))), 1)
+    unit = np.eye(len(weight), dtype=np.float32)
+    return weight, near, *(x.astype(np.float32) for x in (value, m.rest, m.out, m.bias)), unit
 
 
-def _attend(tables: tuple[np.ndarray, ...], q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class scores after each query place, attention weights and their sums, hidden states.
+def _attend(tables: tuple[np.ndarray, ...], q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class scores after each query place, factors by content, weights by class of key, their sums, hidden states.
 
-    q: (n, BLOCK) classes, k: (n, 2 * BLOCK).
+    Keys of one class differ in their distance alone, so ``near`` has the distances' factors summed by class.
+    q: (n) classes, near: (n, classes).
     """
-    weight, near, value, rest, out, bias = tables
-    w = weight.ravel().take(q[:, :, None] * len(weight) + k[:, None, :])
-    w *= near
-    total = w.sum(2, keepdims=True) + np.float32(1e-12)
-    h = np.matmul(w, value[k])
-    h /= total
-    h += rest[q]
+    weight, _, value, rest, out, bias, _ = tables
+    w = weight.take(q, 0)
+    p = w * near
+    h = p @ value
+    total = h[:, WIDTH:] + np.float32(1e-12)
+    h = h[:, :WIDTH] / total
+    h += rest.take(q, 0)
     z = h @ out
     z += bias
-    return z, w, total, h
+    return z, w, p, total, h
 
 
-def _layout(m_blank: int, cls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' classes laid out in blocks: (blocks of classes, place of each text's first block).
+def _place_scores(m: Model, ids: np.ndarray, sizes: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For the subwords of texts of ``sizes`` places, joined: their log probabilities, and the log probability, at
+    each of them, that any subword that begins a word (or the end) comes.
 
-    Before a text stand one blank block and the start; the class after a place is the one to predict.
+    Texts are laid out in blocks.  Before a text stand one blank block and the start; the class after a place is the one to predict.
     """
-    pieces, first, at = [], [], 0
-    for c in cls:
-        n = len(c)  # the start and all classes but the last are read
-        size = -(-n // BLOCK) * BLOCK + BLOCK
-        row = np.full(size, m_blank, np.int64)
-        row[BLOCK] = m_blank + 1
-        row[BLOCK + 1 : BLOCK + n] = c[:-1]
-        pieces.append(row)
-        first.append(at)
-        at += size
-    return np.concatenate(pieces).reshape(-1, BLOCK), np.array(first)
-
-
-def predict(m: Model, texts: list[np.ndarray], chunk: int = 2048) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text's subwords (the end last): their log probabilities, and the log probability, at
-    each of them, that any subword that begins a word (or the end) comes."""
-    cls = [m.cls[t] for t in texts]
-    blocks, first = _layout(m.blank, cls)
-    # class that follows each place
-    follow = np.append(blocks.ravel()[1:], 0)
-    for c, at in zip(cls, first):
-        follow[at + BLOCK + len(c) - 1] = c[-1]
-    follow = np.where(follow < m.blank, follow, 0).reshape(-1, BLOCK)
-    p = np.empty(blocks.shape, np.float32)
-    s = np.empty(blocks.shape, np.float32)
-    p[0] = s[0] = 0
+    n, cls = m.blank, m.cls[ids]
+    span = -(-sizes // BLOCK) * BLOCK + BLOCK
+    own = np.arange(len(ids)) + np.repeat(np.cumsum(span) - span + BLOCK - (np.cumsum(sizes) - sizes), sizes)  # where each is predicted
+    row = np.full(int(span.sum()), n)
+    row[own[:-1] + 1] = cls[:-1]  # the last ones of texts are not read: what they wrote is mended below
+    last = np.cumsum(sizes) - 1
+    row[(own[last] + 1)[own[last] + 1 < len(row)]] = n
+    row[own[last - sizes + 1]] = n + 1
+    follow = np.zeros(len(row), np.int64)
+    follow[own] = cls
+    blocks, follow = row.reshape(-1, BLOCK).T, follow.reshape(-1, BLOCK).T
+    p, s = np.zeros(blocks.shape, np.float32), np.zeros(blocks.shape, np.float32)
     tables = _tables(m)
-    for i in range(1, len(blocks), chunk):
-        q = blocks[i : i + chunk]
-        k = np.concatenate((blocks[i - 1 : i - 1 + len(q)], q), 1)
-        z = _attend(tables, q, k)[0]
+    near, unit = tables[1], tables[6]
+    kinds = np.stack((np.arange(n) < STARTS, np.ones(n)), 1).astype(np.float32)
+    for i in range(1, blocks.shape[1], chunk):
+        q = np.ascontiguousarray(blocks[:, i : i + chunk])
+        c = q.shape[1]
+        seen = unit.take(blocks[:, i - 1 : i + c], 0).reshape(BLOCK, -1)
+        by_class = near[:, :BLOCK] @ seen[:, : c * (n + 2)]
+        by_class += near[:, BLOCK:] @ seen[:, n + 2 :]
+        z = _attend(tables, q.ravel(), by_class.reshape(-1, n + 2))[0]
         z -= z.max()  # scores lie close enough together for one shift
-        own = np.take_along_axis(z, follow[i : i + chunk, :, None], 2)[:, :, 0]
+        chosen = z[np.arange(len(z)), follow[:, i : i + c].ravel()]
         np.exp(z, out=z)
-        begin = z[:, :, :STARTS].sum(2)
-        whole = begin + z[:, :, STARTS:].sum(2)
-        p[i : i + chunk] = own - np.log(whole)
-        s[i : i + chunk] = np.log(begin / whole)
-    p, s = p.ravel(), s.ravel()
-    out = []
-    for t, at in zip(texts, first):
-        lo = at + BLOCK
-        out.append((p[lo : lo + len(t)].astype(float) + m.inside[t], s[lo : lo + len(t)].astype(float)))
-    return out
+        begin, whole = (z @ kinds).T
+        p[:, i : i + c] = (chosen - np.log(whole)).reshape(BLOCK, c)
+        s[:, i : i + c] = np.log(begin / whole).reshape(BLOCK, c)
+    return p.T.ravel()[own].astype(float) + m.inside[ids], s.T.ravel()[own].astype(float)
+
+
+def predict(m: Model, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two log probabilities of ``_place_scores`` for each text's subwords (the end last)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.cumsum(sizes)[:-1]
+    p, s = _place_scores(m, np.concatenate(texts), sizes)
+    return list(zip(np.split(p, at), np.split(s, at)))
 
 
 def word_scores(m: Model, ids: np.ndarray, lens: np.ndarray, got: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -236,6 +271,16 @@ def word_scores(m: Model, ids: np.ndarray, lens: np.ndarray, got: tuple[np.ndarr
     return out
 
 
+def _word_scores(m: Model, x: _Parsed) -> np.ndarray:
+    """``word_scores`` of the words of several texts."""
+    p, s = _place_scores(m, x.ids, x.sizes)
+    first = np.cumsum(x.lens) - x.lens
+    out = np.add.reduceat(p, first) - s[first]
+    inner = np.flatnonzero(x.word < len(x.words) - 1)
+    out[inner] += s[first[inner + 1]]
+    return out
+
+
 def _columns(counts: np.ndarray) -> np.ndarray:
     """Number of each subword among the COMPANY commonest, -1 for the others; one place more for gaps between texts."""
     out = np.full(len(counts) + 1, -1)
@@ -352,49 +397,53 @@ def descend(
     blocks, follow = np.concatenate(blocks).reshape(-1, BLOCK), np.concatenate(follow).reshape(-1, BLOCK)
     order = rng.permutation(rows)
     steps = max(-(-len(rows) // batch), least)
-    first_m = {x: np.zeros_like(getattr(m, x)) for x in _NAMES}
-    second = {x: np.zeros_like(getattr(m, x)) for x in _NAMES}
-    m = replace(m)
-    one = np.eye(n + 2, dtype=np.float32)
+    flat = _weights(m)
+    first_m, second = np.zeros_like(flat), np.zeros_like(flat)
+    ones = np.ones(n, np.float32)
     at = 0
     for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(rows), 0
         i = order[at : at + batch]
         at += batch
-        q, k, y = blocks[i], np.concatenate((blocks[i - 1], blocks[i]), 1), follow[i].ravel()
+        k = np.concatenate((blocks[i - 1].T, blocks[i].T))  # places run before blocks, so one product sums over distances
+        q, y = k[BLOCK:].ravel(), follow[i].T.ravel()
         tables = _tables(m)
-        z, w, total, h = _attend(tables, q, k)
-        w /= total
-        dz = z.reshape(-1, n)
-        dz -= dz.max(1, keepdims=True)
-        np.exp(dz, out=dz)
-        dz /= dz.sum(1, keepdims=True)
+        near, value, out, unit = tables[1], tables[2], tables[4], tables[6]
+        keys = unit.take(k, 0).reshape(2 * BLOCK, -1)
+        queries = keys[BLOCK:].reshape(-1, n + 2)
+        z, w, p, total, h = _attend(tables, q, (near @ keys).reshape(-1, n + 2))
+        top = z.max()
+        z -= top if z.min() > top - 60 else z.max(1, keepdims=True)  # mostly one shift does
+        dz = np.exp(z, out=z)
+        dz /= (dz @ ones)[:, None]
         real = np.flatnonzero(y < n)
         dz[real, y[real]] -= 1
         dz *= ((y < n) / np.float32(max(len(real), 1))).astype(np.float32)[:, None]
-        dh = (dz @ tables[4].T).reshape(h.shape)
-        dw = np.matmul(dh, tables[2][k].transpose(0, 2, 1))
-        dw -= (w * dw).sum(2, keepdims=True)
-        dw *= w
-        pair = q[:, :, None] * (n + 2) + k[:, None, :]
-        table = np.bincount(pair.ravel(), dw.ravel(), (n + 2) ** 2).reshape(n + 2, n + 2)
-        flat = h.reshape(-1, WIDTH)
+        dh = dz @ out.T
+        dv = np.empty((len(q), WIDTH + 1), np.float32)
+        np.divide(dh, total, out=dv[:, :WIDTH])
+        np.einsum("ij,ij->i", dv[:, :WIDTH], tables[3].take(q, 0) - h, out=dv[:, WIDTH])
+        dp = dv @ value.T
+        by_distance = (dp * w).reshape(BLOCK, -1) @ keys.T
+        by_distance *= near
+        dp *= p
+        table = queries.T @ dp
         g = {
             "query": table @ m.key,
             "key": table.T @ m.query,
-            "near": np.bincount(np.maximum(_REACH, 0).ravel(), dw.sum(0).ravel(), 2 * BLOCK),
-            "value": one[k.ravel()].T @ np.matmul(w.transpose(0, 2, 1), dh).reshape(-1, WIDTH),
-            "rest": one[q.ravel()].T @ dh.reshape(-1, WIDTH),
-            "out": flat.T @ dz,
-            "bias": dz.sum(0),
+            "near": np.bincount(np.maximum(_REACH, 0).ravel(), by_distance.ravel(), 2 * BLOCK),
+            "value": p.T @ dv[:, :WIDTH],
+            "rest": queries.T @ dh,
+            "out": h.T @ dz,
+            "bias": np.ones(len(dz), np.float32) @ dz,
         }
+        g = np.concatenate([g[x].ravel() for x in _NAMES])
+        first_m = 0.9 * first_m + 0.1 * g
+        second = 0.99 * second + 0.01 * g**2
         pace = rate * min(1.0, 2 * (1 - done - share * step / (steps + 1)))
-        for x in _NAMES:
-            first_m[x] = 0.9 * first_m[x] + 0.1 * g[x]
-            second[x] = 0.99 * second[x] + 0.01 * g[x] ** 2
-            change = pace * (first_m[x] / (1 - 0.9**step)) / (np.sqrt(second[x] / (1 - 0.99**step)) + 1e-8)
-            setattr(m, x, getattr(m, x) - change)
+        flat -= pace * (first_m / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        m = _with_weights(m, flat)
     return m, len(rows)
 
 
@@ -428,9 +477,9 @@ def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
         _, encode = loaded(vocabulary)
         total = np.zeros(size * COMPANY, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts, _ = _inputs(encode, [_strings(t) for t in part.column("body").to_pylist()], size - 1)
+            for part in slices(b):
+                x = _parsed(encode, part.column("body").to_pylist(), size - 1)
+                texts = np.split(x.ids, np.cumsum(x.sizes)[:-1])
                 keys = mix64(part.column("_k").to_numpy().view(U64) * U64(3) + part.column("_h").to_numpy().view(U64))
                 deal, ids = [], []
                 for key, t in zip(keys, texts):
@@ -511,18 +560,15 @@ def _mix(docs: DataFrame, words: DataFrame, m: Model, counts: dict, vocabulary:
         _, code = loaded(vocabulary)
         total: Counter = Counter()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                given = [_strings(t) for t in b.column("body").slice(lo, 256).to_pylist()]
-                inputs, lens = _inputs(code, given, len(own.cls) - 1)
-                rare: list[tuple[str, float]] = []
-                for ws, t, n, got in zip(given, inputs, lens, predict(own, inputs)):
-                    p = word_scores(own, t[:-1], n, got)
-                    ws = [*ws, END]
-                    c = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                    common = c > 0
-                    cells = np.floor((np.log(c[common] / base) - p[common]) * FINE).astype(int)
-                    total.update(dict(zip(*(x.tolist() for x in np.unique(cells, return_counts=True)))))
-                    rare += [(ws[i], float(p[i])) for i in np.flatnonzero(~common)]
+            for part in slices(b):
+                x = _parsed(code, part.column("body").to_pylist(), len(own.cls) - 1)
+                p = _word_scores(own, x)
+                c = np.fromiter(map(known.__getitem__, x.words), np.float64, len(x.words))
+                common = (c > 0)[x.word]
+                with np.errstate(divide="ignore"):
+                    cells = np.floor((np.log(c / base)[x.word[common]] - p[common]) * FINE).astype(int)
+                total.update(dict(zip(*(y.tolist() for y in np.unique(cells, return_counts=True)))))
+                rare = [(x.words[i], y) for i, y in zip(x.word[~common].tolist(), p[~common].tolist())]
                 none = pa.nulls(len(rare), pa.int64())
                 word, p = pa.array([w for w, _ in rare], pa.string()), pa.array([x for _, x in rare], pa.float64())
                 yield pa.RecordBatch.from_arrays([word, p, none, none], names=names)
@@ -601,8 +647,7 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
         m, known = shared.value
         _, code = loaded(vocabulary)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 yield _scored(m, known, code, base, part)
 
     k, h = row_key()
@@ -639,23 +684,21 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
 
 def _scored(m: Model, known: dict, code: Encoder, base: int, part: pa.RecordBatch) -> pa.RecordBatch:
     """One batch of texts: the sums over common words, and the rare words with their probabilities."""
-    given = [_strings(t) for t in part.column("body").to_pylist()]
-    inputs, lens = _inputs(code, given, len(m.cls) - 1)
-    out: dict = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "rare": []}
-    log_mix, log_rest, per = np.log(m.mix), np.log1p(-m.mix), np.log(10)
-    for j, (ws, got) in enumerate(zip(given, predict(m, inputs))):
-        p = word_scores(m, inputs[j][:-1], lens[j], got)
-        ws = [*ws, END]
-        n = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-        common = n > 0
-        counted = np.log((n + 1) / base)
-        out["n_tokens"].append(len(ws))
-        out["n_known"].append(int(common.sum()))
-        out["base_score"].append(float(counted[common].sum() / per))
-        out["score"].append(float(np.logaddexp(log_mix + counted, log_rest + p)[common].sum() / per))
-        out["rare"].append([{"word": ws[i], "p": float(p[i])} for i in np.flatnonzero(~common)])
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("p", pa.float64())]))]
+    x = _parsed(code, part.column("body").to_pylist(), len(m.cls) - 1)
+    p = _word_scores(m, x)
+    n = np.fromiter(map(known.__getitem__, x.words), np.float64, len(x.words))
+    common = (n > 0)[x.word]
+    counted = np.log((n + 1) / base)[x.word]
+    mixed = np.logaddexp(np.log(m.mix) + counted, np.log1p(-m.mix) + p)
+    sums = lambda of: np.add.reduceat(np.where(common, of, 0), x.first)
+    rare = np.flatnonzero(~common)
+    places = np.searchsorted(rare, np.append(x.first, len(x.word)))  # each text's first rare word
+    word = pa.array(x.words, pa.string()).take(pa.array(x.word[rare]))
+    rare = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays([word, pa.array(p[rare])], ["word", "p"]))
     return pa.RecordBatch.from_arrays(
-        [part.column("_k"), part.column("_h"), part.column("doc_id"), *(pa.array(out[c], t) for c, t in zip(out, kinds))],
-        names=["_k", "_h", "doc_id", *out],
+        [
+            part.column("_k"), part.column("_h"), part.column("doc_id"), pa.array(x.n_words), pa.array(sums(1)),
+            pa.array(sums(counted) / np.log(10)), pa.array(sums(mixed) / np.log(10)), rare,
+        ],
+        names=["_k", "_h", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
     )

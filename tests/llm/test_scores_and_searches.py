@@ -135,6 +135,50 @@ def _want(texts):
     )
 
 
+def test_words_of_a_batch_are_found_and_encoded_once():
+    _, encode = lm.loaded(PATH)
+    size = len(lm.loaded(PATH)[0].bytes)
+    given = [b" the THE\t cat\x0b\xff sat.\r\n", b"", b" \x0c ", "\u00c4 \u2028x the\u00a0cat".encode(), b"the cat", b"cat\xc3 \x00 "]
+
+    class Once(dict):
+        asked: list = []
+
+        def learn(self, words):
+            encode.learn(words)
+
+        def __missing__(self, word):
+            self.asked.append(word)
+            return encode[word]
+
+    code = Once()
+    got = lm._parsed(code, given, size)
+    assert max(Counter(code.asked).values()) == 1
+    ids, lens = lm._inputs(encode, [lm._strings(t) for t in given], size)
+    assert got.ids.tolist() == np.concatenate(ids).tolist() and got.sizes.tolist() == [len(x) for x in ids]
+    assert [got.words[i] for i in got.word] == [w for t in given for w in [*lm._strings(t), lm.END]]
+    assert got.lens.tolist() == [x for own in lens for x in [*own.tolist(), 1]]
+
+
+def test_attention_by_classes_equals_attention_by_places():
+    rng = np.random.default_rng(11)
+    size = 60
+    begins = np.arange(size) % 2 == 0
+    texts = [np.append(rng.integers(0, size - 1, n), size - 1) for n in (1, 15, 16, 17, 40, 3)]
+    m = lm.fit(texts, begins, np.ones(size), steps=5, batch=4)
+    weight = np.exp(m.query @ m.key.T)
+    weight[:, m.blank] = 0
+    for t, (p, s) in zip(texts, lm.predict(m, texts)):
+        c = np.concatenate(([m.blank] * lm.BLOCK, [m.blank + 1], m.cls[t]))
+        for i in range(len(t)):
+            at = i + lm.BLOCK
+            keys = np.arange(at // lm.BLOCK * lm.BLOCK - lm.BLOCK, at + 1)
+            w = weight[c[at], c[keys]] * np.exp(m.near[at - keys])
+            z = (w @ m.value[c[keys]] / w.sum() + m.rest[c[at]]) @ m.out + m.bias
+            z -= np.log(np.exp(z).sum())
+            assert abs(p[i] - z[m.cls[t[i]]] - m.inside[t[i]]) < 1e-4
+            assert abs(s[i] - np.log(np.exp(z[: lm.STARTS]).sum())) < 1e-4
+
+
 def test_counts_and_base(nasty, texts, nothing):
     totals = []
     for head in (1 << 18, 20):  # all words common; most of them joined
