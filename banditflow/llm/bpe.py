@@ -85,13 +85,47 @@ class Vocabulary:
         #: (left id, right id) -> rank; made[rank]: id of the merged token
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(self.merges)}
         self.made = [c for _, _, c in self.merges]
-        keys = np.array([a << 32 | b for a, b, _ in self.merges], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order
+        self.slots, self.slot_ranks = _slots(np.array([a << 32 | b for a, b, _ in self.merges], np.int64))
         self.made_array = np.array(self.made, np.int64)
         self.of_byte = [self.ids[bytes([b])] for b in range(256)]
         self.lookahead = sufficient_lookahead(self.merges, [len(t) for t in self.bytes])
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; that of a pair which does not merge is the number of merges."""
+        key = left << 32 | right
+        at = _slot(key, len(self.slots))
+        there, out = self.slots[at], self.slot_ranks[at]
+        other = there != key
+        out[other] = len(self.made)
+        again = np.nonzero(other & (there >= 0))
+        key, at = key[again], at[again]
+        while len(key):  # another pair holds that slot: this one may hold the next
+            at = (at + 1) % len(self.slots)
+            there = self.slots[at]
+            hit = there == key
+            out[tuple(x[hit] for x in again)] = self.slot_ranks[at[hit]]
+            more = ~hit & (there >= 0)
+            again, key, at = tuple(x[more] for x in again), key[more], at[more]
+        return out
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    """First slot of a pair in a table of ``size`` (a power of 2) slots."""
+    return (key * 0x2545F4914F6CDD1D >> 40) & (size - 1)
+
+
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash table of the pairs, and the rank of the pair in each slot; -1: an empty slot."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    slots, ranks = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    left, at = np.arange(len(keys)), _slot(keys, size)
+    while len(left):
+        empty = np.flatnonzero(slots[at] < 0)
+        own = empty[np.unique(at[empty], return_index=True)[1]]
+        slots[at[own]], ranks[at[own]] = keys[left[own]], left[own]
+        left, at = np.delete(left, own), (np.delete(at, own) + 1) % size
+    return slots, ranks
+
 
 def sufficient_lookahead(merges: list[tuple[int, int, int]], size: list[int]) -> int:
     """Greatest total length of a chain of left parts u1, u2, ... of merges of rising rank in which
@@ -150,49 +184,54 @@ def _merge_long(v: Vocabulary, ids: list[int]) -> list[int]:
     return [t for t in ids if t >= 0]
 
 
-def merge_many(v: Vocabulary, runs: list[bytes]) -> list[bytes]:
-    """Packed tokens of many short runs at once: every step does the next merge of each run (numpy)."""
+def merge_many(v: Vocabulary, runs: list[bytes], chunk: int = 4096) -> list[bytes]:
+    """Packed tokens of many short runs at once: every step does the next merge of each run (numpy).
+
+    Runs of like length go together, ``chunk`` of them at a time.
+    """
     size = np.fromiter(map(len, runs), np.int64, len(runs))
-    width = int(size.max())
-    ids = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in runs), np.uint8).reshape(-1, width)
-    ids = np.array(v.of_byte, np.int64)[ids]
-    none = len(v.made)
+    order = np.argsort(size, kind="stable")
+    out: list[bytes] = [b""] * len(runs)
+    for lo in range(0, len(order), chunk):
+        own = order[lo : lo + chunk]
+        for i, ids in zip(own.tolist(), _merge_chunk(v, [runs[i] for i in own.tolist()], size[own])):
+            out[i] = ids
+    return out
 
-    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(v.pair_keys, key), none - 1)
-        return np.where(v.pair_keys[at] == key, v.pair_ranks[at], none)
-
-    cols = np.arange(width)
-    found = np.full((len(runs), width), none, np.int64)
-    found[:, :-1] = ranks(ids[:, :-1], ids[:, 1:])
-    found[cols >= (size - 1)[:, None]] = none
-    rows = np.arange(len(runs))
-    done_ids, done_size = np.zeros_like(ids), size.copy()
+
+def _merge_chunk(v: Vocabulary, runs: list[bytes], size: np.ndarray) -> list[bytes]:
+    """``merge_many`` of runs that are worked on together.
+
+    Places run before runs; the last place holds nothing and takes what ended runs write.  A pair's rank and its
+    place are one number, so the least one is the next merge.
+    """
+    width, bits = int(size.max()), int(size.max()).bit_length()
+    none, place = len(v.made) << bits, np.arange(width + 1)[:, None]
+    raw = np.frombuffer(b"".join(r.ljust(width + 1, b"\0") for r in runs), np.uint8).reshape(-1, width + 1)
+    ids = np.array(v.of_byte, np.int64)[raw.T]
+    found = np.full(ids.shape, none) + place
+    found[:-1] = np.where(place[:-1] < size - 1, (v.ranks(ids[:-1], ids[1:]) << bits) + place[:-1], found[:-1])
+    rows, own = np.arange(len(runs)), np.arange(len(runs))
+    done, left_over = np.zeros((len(runs), width), "<u4"), size.copy()
     while len(rows):
-        i = found.argmin(1)
-        own = np.arange(len(rows))
-        best = found[own, i]
-        if (ended := best == none).any():
-            done_ids[rows[ended]], done_size[rows[ended]] = ids[ended], size[ended]
-            go = ~ended
-            rows, ids, found, size, i, best = rows[go], ids[go], found[go], size[go], i[go], best[go]
+        best = found.min(0)
+        go = best < none
+        if 8 * np.count_nonzero(go) <= 7 * len(rows):  # ended runs leave when there are many
+            done[rows[~go]], left_over[rows[~go]] = ids[:width, ~go].T, size[~go]
+            rows, ids, found, size, best, go = rows[go], ids[:, go], found[:, go], size[go], best[go], go[go]
             own = np.arange(len(rows))
-            if not len(rows):
-                break
-        # drop column i + 1 of the ids and column i of the pairs, then rank the two new pairs
-        src = np.minimum(cols + (cols > i[:, None]), width - 1)
-        ids = ids[own[:, None], src]
-        ids[own, i] = v.made_array[best]
-        found = found[own[:, None], np.minimum(cols + (cols >= i[:, None]), width - 1)]
-        size -= 1
-        found[own, size - 1] = none
+        i = np.where(go, best & ((1 << bits) - 1), width)
+        # drop place i + 1 of the ids and place i of the pairs, then rank the two new pairs
+        np.copyto(ids[:-1], ids[1:], where=place[:-1] > i)
+        np.copyto(found[:-1], found[1:] - 1, where=place[:-1] >= i)
+        ids[i[go], own[go]] = v.made_array[best[go] >> bits]
+        size = size - go
         for left in (i, i - 1):
-            ok = (left >= 0) & (left < size - 1)
+            ok = go & (left >= 0) & (left < size - 1)
             r, c = own[ok], left[ok]
-            found[r, c] = ranks(ids[r, c], ids[r, c + 1])
-    packed = done_ids[cols < done_size[:, None]].astype("<u4").tobytes()
-    ends = (np.cumsum(done_size) * 4).tolist()
+            found[c, r] = (v.ranks(ids[c, r], ids[c + 1, r]) << bits) + c
+    packed = done[np.arange(width) < left_over[:, None]].tobytes()
+    ends = (np.cumsum(left_over) * 4).tolist()
     return [packed[x:y] for x, y in zip([0, *ends], ends)]
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banditflow.llm.bpe import Encoder, loaded
-from banditflow.llm.texts import LOWER, U64, mix64, row_key, slices
+from banditflow.llm.texts import LOWER, U64, mix64, row_key, slices, tidied
 from banditflow.session import materialize, release
 
 BLOCK, STARTS, INNERS, WIDTH = 16, 24, 24, 16
@@ -184,7 +184,8 @@ class Model:
 
 
 _REACH = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)  # distance of key from query; < 0: not yet there
-_SEEN = _REACH >= 0
+_SEEN, _DISTANCE = _REACH >= 0, np.maximum(_REACH, 0)
+_UNIT = np.eye(STARTS + INNERS + 2, dtype=np.float32)
 
 
 def _tables(m: Model) -> tuple[np.ndarray, ...]:
@@ -193,10 +194,9 @@ def _tables(m: Model) -> tuple[np.ndarray, ...]:
     weight = np.exp((m.query @ m.key.T).astype(np.float32))
     weight[:, m.blank] = 0.0
     weight[m.blank, m.blank] = 1e-9
-    near = np.where(_SEEN, np.exp(m.near)[np.maximum(_REACH, 0)], 0).astype(np.float32)
+    near = np.where(_SEEN, np.exp(m.near)[_DISTANCE], 0).astype(np.float32)
     value = np.concatenate((m.value, np.ones((len(m.value), 1))), 1)
-    unit = np.eye(len(weight), dtype=np.float32)
-    return weight, near, *(x.astype(np.float32) for x in (value, m.rest, m.out, m.bias)), unit
+    return weight, near, *(x.astype(np.float32) for x in (value, m.rest, m.out, m.bias)), _UNIT
 
 
 def _attend(tables: tuple[np.ndarray, ...], q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -271,16 +271,39 @@ def word_scores(m: Model, ids: np.ndarray, lens: np.ndarray, got: tuple[np.ndarr
     return out
 
 
-def _word_scores(m: Model, x: _Parsed) -> np.ndarray:
-    """``word_scores`` of the words of several texts."""
-    p, s = _place_scores(m, x.ids, x.sizes)
-    first = np.cumsum(x.lens) - x.lens
+def _word_scores(m: Model, part: pa.RecordBatch) -> np.ndarray:
+    """``word_scores`` of the words of several texts (rows of ``read_texts``)."""
+    pieces, kind = part.column("pieces"), _kind(len(m.cls))
+    skip = (BLOCK + 1) * kind.itemsize  # what a piece has before its own places
+    own = [x[skip:] for x in pieces.flatten().field("ids").to_pylist()]
+    ids = np.frombuffer(b"".join(own), kind).astype(np.int64)
+    sizes = np.add.reduceat(np.fromiter(map(len, own), np.int64, len(own)) // kind.itemsize, _edges(pieces)[:-1])
+    p, s = _place_scores(m, ids, sizes)
+    first = np.flatnonzero(m.cls[ids] < STARTS)
     out = np.add.reduceat(p, first) - s[first]
-    inner = np.flatnonzero(x.word < len(x.words) - 1)
+    inner = np.flatnonzero(ids[first] < len(m.cls) - 1)
     out[inner] += s[first[inner + 1]]
     return out
 
 
+def _kind(size: int) -> np.dtype:
+    """Of stored numbers, for ``size`` subwords and what stands for none or a start, or for so many levels."""
+    return np.dtype("<u2" if size + 2 <= 1 << 16 else "<u4")
+
+
+def _edges(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins among the values of all, and where the last one ends."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
+
+
+def _levels(part: pa.RecordBatch, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level of each word of the texts, and the texts' numbers of words."""
+    kind, level = _kind(len(top)), part.column("level")
+    n = pc.binary_length(level).to_numpy().astype(np.int64) // kind.itemsize
+    return np.frombuffer(b"".join(level.to_pylist()), kind).astype(np.int64), n
+
+
 def _columns(counts: np.ndarray) -> np.ndarray:
     """Number of each subword among the COMPANY commonest, -1 for the others; one place more for gaps between texts."""
     out = np.full(len(counts) + 1, -1)
@@ -398,6 +421,7 @@ def descend(
     order = rng.permutation(rows)
     steps = max(-(-len(rows) // batch), least)
     flat = _weights(m)
+    m = _with_weights(m, flat)  # parts of ``flat``, which each step changes in place
     first_m, second = np.zeros_like(flat), np.zeros_like(flat)
     ones = np.ones(n, np.float32)
     at = 0
@@ -432,7 +456,7 @@ def descend(
         g = {
             "query": table @ m.key,
             "key": table.T @ m.query,
-            "near": np.bincount(np.maximum(_REACH, 0).ravel(), by_distance.ravel(), 2 * BLOCK),
+            "near": np.bincount(_DISTANCE.ravel(), by_distance.ravel(), 2 * BLOCK),
             "value": p.T @ dv[:, :WIDTH],
             "rest": queries.T @ dh,
             "out": h.T @ dz,
@@ -443,7 +467,6 @@ def descend(
         second = 0.99 * second + 0.01 * g**2
         pace = rate * min(1.0, 2 * (1 - done - share * step / (steps + 1)))
         flat -= pace * (first_m / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        m = _with_weights(m, flat)
     return m, len(rows)
 
 
@@ -467,45 +490,84 @@ def kept_out(text: str = "text") -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))), F.lit(KEPT)) == 0
 
 
-def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
-    """All texts of ``docs`` as rows (deal, ids), one a piece, and rows (cell, n) of their company counts."""
+def read_texts(
+    docs: DataFrame, vocabulary: str, column: np.ndarray, known: dict, levels: int, learn: Column, keep: Column
+) -> DataFrame:
+    """Every text of ``docs``, taken apart once for training and scoring, and the company counts of those with ``learn``.
+
+    Rows of texts: _k, _h, doc_id, learn, keep, pieces (deal, ids: see ``pieces_of``), level (``known``'s number, below
+    ``levels``, of each word, the end included; 0: rare) and rare (the words of level 0, in order).  Other rows: cell, n.
+    """
     size = len(column) - 1
-    kind = "<u2" if size + 2 <= 1 << 16 else "<u4"
-    names = ["deal", "ids", "cell", "n"]
+    kind, level_kind = _kind(size), _kind(levels)
+    names = ["_k", "_h", "doc_id", "learn", "keep", "pieces", "level", "rare", "cell", "n"]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = loaded(vocabulary)
+        level_of = shared.value
         total = np.zeros(size * COMPANY, np.int64)
+        columns = []
         for b in batches:
             for part in slices(b):
                 x = _parsed(encode, part.column("body").to_pylist(), size - 1)
                 texts = np.split(x.ids, np.cumsum(x.sizes)[:-1])
                 keys = mix64(part.column("_k").to_numpy().view(U64) * U64(3) + part.column("_h").to_numpy().view(U64))
-                deal, ids = [], []
+                deal, ids, edges = [], [], [0]
                 for key, t in zip(keys, texts):
                     own = pieces_of(t, size)
                     deal.append(mix64(key + np.arange(len(own), dtype=U64) * U64(0x9E3779B97F4A7C15)))
-                    ids += [x.astype(kind).tobytes() for x in own]
-                deal = pa.array(np.concatenate(deal).view(np.int64)) if deal else pa.array([], pa.int64())
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([deal, pa.array(ids, pa.binary()), none, none], names=names)
-                _company(texts, column, total=total)
+                    ids += [y.astype(kind).tobytes() for y in own]
+                    edges.append(len(ids))
+                pieces = pa.StructArray.from_arrays([pa.array(np.concatenate(deal).view(np.int64)), pa.array(ids, pa.binary())], ["deal", "ids"])
+                level = np.fromiter(map(level_of.__getitem__, x.words), level_kind, len(x.words))[x.word]
+                rare = np.flatnonzero(level == 0)
+                at = np.append(x.first, len(level))
+                words = pa.array(x.words, pa.string()).take(pa.array(x.word[rare]))
+                columns = [part.column(c) for c in names[:5]] + [
+                    pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pieces),
+                    pa.array([level[lo:hi].tobytes() for lo, hi in zip(at, at[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), words),
+                ]
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, none, none], names=names)
+                own = part.column("learn").to_numpy(zero_copy_only=False)
+                if own.any():
+                    _company([t for t, y in zip(texts, own) if y], column, total=total)
         for lo in range(0, len(total), 100_000):
             at = lo + np.flatnonzero(total[lo : lo + 100_000])
             if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(total[at])], names=names
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), c.type) for c in columns), pa.array(at), pa.array(total[at])], names=names)
+
+    body = docs.select(
+        *row_key(), "doc_id", learn.alias("learn"), keep.alias("keep"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")
+    )
+    return body.mapInArrow(
+        tidied(run),
+        f"_k long, _h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, keep boolean, "
+        "pieces array<struct<deal: long, ids: binary>>, level binary, rare array<string>, cell long, n long",
+    )
+
 
-    body = docs.select(*row_key(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    return body.mapInArrow(run, "deal long, ids binary, cell long, n long")
+def _pieces(read: DataFrame) -> DataFrame:
+    """The pieces (deal, ids) of the texts to learn from."""
+    return read.where("learn").select(F.explode("pieces").alias("x")).select("x.deal", "x.ids")
+
+
+def _dealt(docs: DataFrame, vocabulary: str, column: np.ndarray) -> DataFrame:
+    """All texts of ``docs`` as rows (deal, ids), one a piece, and rows (cell, n) of their company counts."""
+    read = read_texts(docs, vocabulary, column, _Counts(), 1, F.lit(True), F.lit(False))
+    none = F.lit(None).cast("long")
+    cells = read.where("cell is not null").select(none.alias("deal"), F.lit(None).cast("binary").alias("ids"), "cell", "n")
+    return _pieces(read).withColumns({"cell": none, "n": none}).unionAll(cells)
 
 
 def _trained(m: Model, pieces: DataFrame, places: int) -> Model:
     """The model trained on all pieces, round by round: each group from the same weights, then their mean by blocks."""
     size = len(m.cls)
-    kind = "<u2" if size + 2 <= 1 << 16 else "<u4"
+    kind = _kind(size)
     groups = max(1, -(-places // GROUP))
+    parts = min(groups, max(48, groups // 4))  # a task takes its groups one after the other
     rounds = ROUNDS if groups > 1 else 1
     deal = pieces.select(
         F.pmod("deal", F.lit(groups)).alias("g"), F.pmod(F.shiftright("deal", 40), F.lit(rounds)).alias("r"), "deal", "ids"
@@ -533,8 +595,8 @@ def _trained(m: Model, pieces: DataFrame, places: int) -> Model:
                 learn()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
-        part = deal.where(F.col("r") == r).repartition(groups, "g").sortWithinPartitions("g", "deal").select("g", "ids")
-        sums = part.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        part = deal.where(F.col("r") == r).repartition(parts, "g").sortWithinPartitions("g", "deal").select("g", "ids")
+        sums = part.mapInArrow(tidied(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         if sums:  # a row for each parameter, the number of blocks last
             flat = np.array([x for _, x in sorted(map(tuple, sums))])
             m = _with_weights(m, flat[:-1] / flat[-1])
@@ -550,34 +612,30 @@ def fit_mix(apart: np.ndarray, times: np.ndarray, rounds: int = 20) -> float:
     return share
 
 
-def _mix(docs: DataFrame, words: DataFrame, m: Model, counts: dict, vocabulary: str, base: int) -> float:
-    """The mixture's share from all words of ``docs``, whose own occurrence is taken off their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast((m, counts))
+def _mix(read: DataFrame, words: DataFrame, m: Model, top: np.ndarray, base: int) -> float:
+    """The mixture's share from all words of the texts ``read``, whose own occurrence is taken off their counts."""
+    shared = read.sparkSession.sparkContext.broadcast((m, top))
     names = ["word", "p", "cell", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value
-        _, code = loaded(vocabulary)
+        own, count = shared.value
         total: Counter = Counter()
+        with np.errstate(divide="ignore"):
+            counted = np.log(count / base)
         for b in batches:
             for part in slices(b):
-                x = _parsed(code, part.column("body").to_pylist(), len(own.cls) - 1)
-                p = _word_scores(own, x)
-                c = np.fromiter(map(known.__getitem__, x.words), np.float64, len(x.words))
-                common = (c > 0)[x.word]
-                with np.errstate(divide="ignore"):
-                    cells = np.floor((np.log(c / base)[x.word[common]] - p[common]) * FINE).astype(int)
+                p, (level, _) = _word_scores(own, part), _levels(part, count)
+                common = level > 0
+                cells = np.floor((counted[level[common]] - p[common]) * FINE).astype(int)
                 total.update(dict(zip(*(y.tolist() for y in np.unique(cells, return_counts=True)))))
-                rare = [(x.words[i], y) for i, y in zip(x.word[~common].tolist(), p[~common].tolist())]
+                rare = part.column("rare").flatten()
                 none = pa.nulls(len(rare), pa.int64())
-                word, p = pa.array([w for w, _ in rare], pa.string()), pa.array([x for _, x in rare], pa.float64())
-                yield pa.RecordBatch.from_arrays([word, p, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([rare, pa.array(p[~common]), none, none], names=names)
         none = pa.nulls(len(total))
         cells = [pa.array(list(x), pa.int64()) for x in (total.keys(), total.values())]
         yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.float64()), *cells], names=names)
 
-    body = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    found = materialize(body.mapInArrow(run, "word string, p double, cell long, n long"))
+    found = materialize(read.select("pieces", "level", "rare").mapInArrow(tidied(run), "word string, p double, cell long, n long"))
     apart = F.floor((F.log(F.col("c") / base) - F.col("p")) * FINE)
     joined = found.where("word is not null").drop("n", "cell").join(words.withColumnRenamed("n", "c"), "word")
     rare = joined.select(apart.alias("cell"), F.lit(1).cast("long").alias("n"))
@@ -625,41 +683,41 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
     table = common.toArrow()
     counts = _Counts(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))  # as the tasks read it: no copy there
 
+    # a word's level is the number of its count among the counts that occur, 0 for the words that go to the join
+    top = np.unique([0, *counts.values()])
+    known = _Counts(zip(counts, np.searchsorted(top, list(counts.values())).tolist()))
+
     of_subword = count_subwords(words, vocabulary, size)
     of_subword[-1] = counts.get(END, 0)
     column = _columns(of_subword)
-    training = docs.where(~held_out())
-    learnt, kept = training.where(~kept_out()), training.where(kept_out())
-    if learnt.isEmpty() or kept.isEmpty():  # too few texts to keep any out
-        learnt = kept = training
-    dealt = materialize(_dealt(learnt, vocabulary, column))
-    cells = dealt.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    learn, keep = ~held_out() & ~kept_out(), ~held_out() & kept_out()
+    if docs.where(learn).isEmpty() or docs.where(keep).isEmpty():  # too few texts to keep any out
+        learn = keep = ~held_out()
+    read = materialize(read_texts(docs, vocabulary, column, known, len(top), learn, keep))
+    cells = read.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     company = np.zeros(size * COMPANY, np.int64)  # at most so many rows
     company[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     del cells
     model = start(company, begins, of_subword)
-    model = _trained(model, dealt.where("cell is null"), int(of_subword.sum()))
-    release(dealt)
-    model.mix = _mix(kept, words, model, counts, vocabulary, base)
-    shared = spark.sparkContext.broadcast((model, counts))
+    model = _trained(model, _pieces(read), int(of_subword.sum()))
+    model.mix = _mix(read.where("keep"), words, model, top, base)
+    shared = spark.sparkContext.broadcast((model, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        _, code = loaded(vocabulary)
+        m, count = shared.value
         for b in batches:
             for part in slices(b):
-                yield _scored(m, known, code, base, part)
+                yield _scored(m, count, base, part)
 
-    k, h = row_key()
-    body = docs.select(k, h, "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = materialize(
-        body.mapInArrow(
-            run,
+        read.where("cell is null").select("_k", "_h", "doc_id", "pieces", "level", "rare").mapInArrow(
+            tidied(run),
             f"_k long, _h long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, "
             "rare array<struct<word: string, p: double>>",
         )
     )
+    release(read)
     # rare words get their counts by a join; copies of a row share their key, so one stands for all
     rare = scored.dropDuplicates(["_k", "_h"]).select("_k", "_h", F.explode("rare").alias("x")).select("_k", "_h", "x.*")
     n = F.coalesce("n", F.lit(0))
@@ -682,22 +740,19 @@ def score_texts(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame
     )
 
 
-def _scored(m: Model, known: dict, code: Encoder, base: int, part: pa.RecordBatch) -> pa.RecordBatch:
+def _scored(m: Model, top: np.ndarray, base: int, part: pa.RecordBatch) -> pa.RecordBatch:
     """One batch of texts: the sums over common words, and the rare words with their probabilities."""
-    x = _parsed(code, part.column("body").to_pylist(), len(m.cls) - 1)
-    p = _word_scores(m, x)
-    n = np.fromiter(map(known.__getitem__, x.words), np.float64, len(x.words))
-    common = (n > 0)[x.word]
-    counted = np.log((n + 1) / base)[x.word]
+    p, (level, n_words) = _word_scores(m, part), _levels(part, top)
+    common, first = level > 0, np.cumsum(n_words) - n_words
+    counted = np.log((top + 1) / base)[level]
     mixed = np.logaddexp(np.log(m.mix) + counted, np.log1p(-m.mix) + p)
-    sums = lambda of: np.add.reduceat(np.where(common, of, 0), x.first)
-    rare = np.flatnonzero(~common)
-    places = np.searchsorted(rare, np.append(x.first, len(x.word)))  # each text's first rare word
-    word = pa.array(x.words, pa.string()).take(pa.array(x.word[rare]))
-    rare = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays([word, pa.array(p[rare])], ["word", "p"]))
+    sums = lambda of: np.add.reduceat(np.where(common, of, 0), first)
+    rare = part.column("rare")
+    words = pa.StructArray.from_arrays([rare.flatten(), pa.array(p[~common])], ["word", "p"])
+    rare = pa.ListArray.from_arrays(pa.array(_edges(rare), pa.int32()), words)
     return pa.RecordBatch.from_arrays(
         [
-            part.column("_k"), part.column("_h"), part.column("doc_id"), pa.array(x.n_words), pa.array(sums(1)),
+            part.column("_k"), part.column("_h"), part.column("doc_id"), pa.array(n_words), pa.array(sums(1)),
             pa.array(sums(counted) / np.log(10)), pa.array(sums(mixed) / np.log(10)), rare,
         ],
         names=["_k", "_h", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],

@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from banditflow.llm import lm, substring_dedup, texts
+from banditflow.llm import bpe, lm, substring_dedup, texts
+from banditflow.llm.registry import VOCABULARY
 
 
 def _peak(run) -> tuple[object, float]:
@@ -67,6 +68,18 @@ def test_company_holds_one_table_and_a_window():
     assert (again == total + 1).all()
 
 
+def test_runs_of_bytes_are_merged_in_bounded_shares():
+    v = bpe.Vocabulary(VOCABULARY)
+    rng = np.random.default_rng(2)
+    runs = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in rng.integers(1, 25, 60_000)]
+    runs += [b"a" * n for n in range(1, 25)] + [" \u00e4\u00e4 the".encode(), b"\x00\xff"]
+    got, mb = _peak(lambda: bpe.merge_many(v, runs))
+    assert mb < 40
+    own = [*range(0, 60_000, 100), *range(60_000, len(runs))]
+    assert [np.frombuffer(got[i], "<u4").tolist() for i in own] == [bpe.merge_bytes(v, runs[i]) for i in own]
+    assert bpe.merge_many(v, runs[:50], chunk=7) == got[:50]
+
+
 def test_a_worker_keeps_only_what_its_last_task_asked_for(monkeypatch):
     monkeypatch.setattr(texts, "_KEPT", {})
     monkeypatch.setattr(texts, "_USED", set())

@@ -235,6 +235,43 @@ def test_every_place_of_every_training_text_is_dealt_once(spark, monkeypatch):
     assert loss[1] < loss[0] - 0.5
 
 
+def test_texts_read_once_give_the_words_scores(spark):
+    texts = ["The cat sat. " * 300, None, "", "Zqx\u00e4 \u2028x caterwauling the\u00a0cat \x00", "zqx the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    v, encode = lm.loaded(PATH)
+    size = len(v.bytes) + 1
+    own = [lm._strings((t or "").encode()) for t in texts]
+    ids, lens = lm._inputs(encode, own, size - 1)
+    counts = np.bincount(np.concatenate(ids), minlength=size)
+    begins = np.array([t[:1] == b" " for t in v.bytes] + [True])
+    m = lm.fit(ids, begins, counts.astype(float), steps=3, batch=8)
+    known = lm._Counts({"the": 2, "cat": 1, lm.END: 2})
+    read = lm.read_texts(df, PATH, lm._columns(counts), known, 3, F.lit(True), F.lit(False)).where("cell is null")
+    part = read.toArrow().combine_chunks().to_batches()[0]
+    for part in (part, part.slice(2)):
+        at = part.column("doc_id").to_pylist()
+        words = [w for i in at for w in [*own[i], lm.END]]
+        level, n = lm._levels(part, np.array([0, 5, 9]))
+        assert level.tolist() == [known[w] for w in words] and n.tolist() == [len(own[i]) + 1 for i in at]
+        assert part.column("rare").flatten().to_pylist() == [w for w in words if not known[w]]
+        want = np.concatenate([lm.word_scores(m, ids[i][:-1], lens[i], lm.predict(m, [ids[i]])[0]) for i in at])
+        assert np.allclose(lm._word_scores(m, part), want, atol=1e-4)
+
+
+def test_each_text_is_taken_apart_once_after_the_counts(spark):
+    n = 1200
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        asked.add(1)
+        return f"word{i % 50} the cat {i % 7}"
+
+    df = spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    assert lm.score_texts(df, PATH).count() == n
+    assert asked.value < 2.4 * n  # counted, then taken apart; some again to see whether any text is kept out
+
+
 # op7 ------------------------------------------------------------------------------------------------
 def _hits(texts, items, n=10):
     ok = lambda b: b >= 128 or chr(b).isalnum()
