@@ -27,7 +27,7 @@ from banditflow.operators.folds import ClusterSequentialUCB, UserUCB, fold_parts
 from banditflow.operators.log import block, replay, with_cluster
 from banditflow.operators.skew import chunk_numbers, with_chunks
 from banditflow.plans.blocks import BlockTables, Totals
-from banditflow.plans.two_stage import COUNTS, ReplayResult, all_of, counts_row, drop_graph, prune
+from banditflow.plans.two_stage import COUNTS, ReplayResult, all_of, counts_row, drop_graph, edges_after, prune
 
 KEYS = ("cluster_id", "chunk")
 
@@ -43,11 +43,11 @@ def _start_counts(t2: int, users: DataFrame) -> DataFrame:
 
 def _regroup(tables: BlockTables, blk: int, state: DataFrame, cfg: ReplayConfig, d: int) -> None:
     """Graph and cluster models after block ``blk``."""
-    graph, edges = prune(tables, blk, state, cfg, d)
+    graph, n_edges = prune(tables, blk, state, cfg, d)
     tables.write("models", S.rollup_clusters(state, graph.clusters, d), blk)
     t1 = cfg.warmup_rounds + (blk - 1) * cfg.block_length
     if blk:
-        tables.write("counts", counts_row(blk, t1, t1 + cfg.block_length, graph.clusters, edges), blk)
+        tables.write("counts", counts_row(blk, t1, t1 + cfg.block_length, graph.clusters, n_edges), blk)
 
 
 def play_lazy_block(tables: BlockTables, blk: int, rounds: DataFrame, cfg: ReplayConfig, k: int, d: int) -> None:
@@ -107,7 +107,7 @@ def lazy_replay(log: DataFrame, order: DataFrame, cfg: ReplayConfig, k: int, d:
     counts = all_of([tables.read("counts", COUNTS, b) for b in range(n_blocks)])
     last = n_blocks - 1
     return ReplayResult(
-        all_of(parts), tables.load("state", last), tables.load("edges", last) if cfg.list_edges else None,
+        all_of(parts), tables.load("state", last), edges_after(tables, last, cfg, d),
         G.dense_cluster_ids(tables.load("labels", tables.latest("labels", last))),
         counts.withColumn("to_round", F.least("to_round", F.lit(n_rounds).cast("long"))), tables,
     )

@@ -174,3 +174,111 @@ def test_a_dense_area_of_many_cells_does_not_meet_itself(spark, monkeypatch):
     monkeypatch.setattr(U, "_compare", lambda df, *a: met.append(df.count()) or compare(df, *a))
     _same(U.refresh(None, _table(spark, th, t), 0.7, 2), n, _edges(th, t, 0.7))
     assert len(met) == 1 and met[0] < 2 * n
+
+
+# ------------------------------------------------------------------ edges counted without a row an edge
+def _history(spark, blocks):
+    """(history, [users, users] linked in every block at alpha2 = 0.7, the same with strict bounds)."""
+    ok = {False: True, True: True}
+    hist = []
+    for th, t in blocks:
+        f = np.sqrt((1 + np.log1p(t)) / (1 + t))
+        square = sum((th[:, None, i] - th[None, :, i]) ** 2 for i in range(th.shape[1]))
+        dist, bound = np.sqrt(square), 0.7 * (f[:, None] + f[None])
+        ok = {False: ok[False] & (dist <= bound), True: ok[True] & (dist < bound)}
+        hist.append((th, f))
+    rows = [(i, [(th[i].tolist(), float(f[i])) for th, f in hist]) for i in range(len(hist[0][1]))]
+    return spark.createDataFrame(rows, "user_id long, hist array<struct<theta array<double>, f double>>"), ok[False], ok[True]
+
+
+def _check_edges(df, want, d, strict=False):
+    want = np.triu(want, 1)
+    assert [tuple(r) for r in U.count_edges(df, 0.7, d, strict).collect()] == [(int(want.sum()),)]
+    got = U.standing_edges(df, 0.7, d, strict).collect()
+    assert len(got) == want.sum() and {(r.src, r.dst) for r in got} == set(zip(*(x.tolist() for x in np.nonzero(want))))
+
+
+@pytest.mark.parametrize("held", [40, 8192])
+def test_counted_edges_are_all_pairs_of_all_blocks(spark, monkeypatch, held):
+    """Radius tiers from no history to a long one, cells of several chunks, one to four blocks, vectors compared by pivots."""
+    monkeypatch.setattr(U, "EDGE_HELD", held)
+    rng = np.random.default_rng(11)
+    blocks = list(_drift(rng, 400, 4, 4))
+    blocks[-1] = (blocks[-1][0], np.where(rng.random(400) < 0.3, 10 ** rng.integers(0, 6, 400), blocks[-1][1]))
+    for upto in (1, 2, 4):
+        df, want, _ = _history(spark, blocks[:upto])
+        _check_edges(df, want, 4)
+    long = rng.normal(size=(20, 12))[rng.integers(0, 20, 250)] + rng.normal(scale=0.05, size=(250, 12))
+    df, want, _ = _history(spark, [(long, rng.integers(5, 9000, 250))])
+    assert want.sum() > 250
+    _check_edges(df, want, 12)
+
+
+def test_counted_edges_of_a_dense_cell_of_many_tiles(spark):
+    """More users of one cell than a tile holds, most of them linked, then fewer, then few."""
+    n = 2 * U.TILE[0] + 77
+    rng = np.random.default_rng(12)
+    base = rng.normal(scale=0.2, size=(n, 3))
+    blocks = [(base, np.full(n, 16)), (base * 2, np.full(n, 40)), (base * 6, np.full(n, 90))]
+    for upto in (1, 2, 3):
+        df, want, _ = _history(spark, blocks[:upto])
+        assert U.count_edges(df, 0.7, 3).first()[0] == np.triu(want, 1).sum()
+
+
+def test_counted_edges_at_the_bound(spark):
+    """Pairs exactly at the bound, equal users, vectors far from 0: the test as written decides."""
+    step = 0.7 * (1.0 + 1.0)  # t = 0: f = 1
+    grid = np.array([[i * step, j * step] for i in range(12) for j in range(12)] + [[0.0, 0.0]] * 3)
+    for shift in (0.0, 1e6):
+        df, loose, strict = _history(spark, [(grid + shift, np.zeros(len(grid)))])
+        assert np.triu(loose, 1).sum() > np.triu(strict, 1).sum() or shift
+        _check_edges(df, loose, 2)
+        _check_edges(df, strict, 2, strict=True)
+    odd = grid.copy()
+    odd[5] = np.nan
+    df, want, _ = _history(spark, [(odd, np.zeros(len(grid)))])
+    _check_edges(df, want, 2)
+
+
+def test_counted_edges_of_none_one_and_unknown_users(spark):
+    none = spark.createDataFrame([], "user_id long, hist array<struct<theta array<double>, f double>>")
+    assert U.count_edges(none, 0.7, 2).first()[0] == 0 and U.standing_edges(none, 0.7, 2).count() == 0
+    one = spark.createDataFrame([(1, [([0.0, 0.0], 1.0)]), (None, [([0.0, 0.0], 0.5)])], none.schema)
+    assert U.count_edges(one, 0.7, 2).first()[0] == 0
+
+
+def test_replay_counts_edges_and_writes_none(spark, monkeypatch):
+    """R1 asked for edges: their number block by block is that of the listed ones, and no written table has a row an edge."""
+    from banditflow.config import ReplayConfig
+    from banditflow.plans import blocks as B
+    from banditflow.plans import two_stage as TS
+
+    rng = np.random.default_rng(13)
+    users, rounds = 120, 960
+    rows = [(i, int(rng.integers(0, users)), rng.random((2, 2)).tolist(), rng.integers(0, 2, 2).astype(float).tolist()) for i in range(rounds)]
+    log = spark.createDataFrame(rows, "round_id long, user_id long, arms array<array<double>>, rewards array<double>")
+    thetas, sizes = [], {}
+    keep, theta_of = B.BlockTables.write, TS.user_theta
+
+    def write(self, name, df, blk=None, parts=()):
+        out = keep(self, name, df, blk, parts)
+        sizes[name, blk] = out.count()
+        return out
+
+    def seen(state, d):
+        thetas.append(sorted(tuple(r) for r in theta_of(state, d).select("user_id", "theta", "t").collect()))
+        return theta_of(state, d)
+
+    monkeypatch.setattr(B.BlockTables, "write", write)
+    monkeypatch.setattr(TS, "user_theta", seen)
+    got = TS.two_stage_replay(log, ReplayConfig(iteration_length=320, mean_over="members", list_edges=True), 2, 2)
+    edges, counts = None, []
+    for rows in thetas:
+        ids = [r[0] for r in rows]
+        now = {(ids[a], ids[b]) for a, b in _edges(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), 0.7)}
+        edges = now if edges is None else edges & now
+        counts.append(len(edges))
+    assert [(r.block, r.n_edges) for r in got.cluster_counts.orderBy("block").collect()] == list(enumerate(counts))
+    assert len(counts) == 3 and counts[0] > counts[2] > users
+    assert {(r.src, r.dst) for r in got.edges.collect()} == edges
+    assert all(n <= users for (name, _), n in sizes.items() if name not in ("log", "user", "cluster"))
